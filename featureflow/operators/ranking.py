@@ -15,7 +15,7 @@ make it fast. Nothing depends on partition ids, so a recomputed partition
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -28,12 +28,18 @@ _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
                partition_cols: Sequence[str] = (), name: str = "rank",
-               check_unique: bool = True) -> DataFrame:
+               check_unique: bool = True,
+               per_partition: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """0-based ``row_number`` within ``partition_cols`` ordered by ``order_cols``.
 
     ``bucket`` must be non-decreasing in the order key within each partition.
     With ``check_unique`` a repeated order key fails the job (ties would make
     the numbering depend on execution order).
+
+    ``per_partition`` receives the small table ``(partition cols..., n)`` of
+    partition sizes and may return extra per-partition columns (keyed by the
+    partition columns); they ride along the small offsets join instead of
+    costing another pass over the data.
     """
     parts = list(partition_cols)
     order = list(order_cols)
@@ -42,6 +48,14 @@ def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
     prior = Window.partitionBy(*parts).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, _BUCKET,
                             F.coalesce(F.sum("__ff_n").over(prior), F.lit(0)).cast("long").alias(_OFFSET))
+    if per_partition is not None:
+        sizes = counts.groupBy(*parts).agg(F.sum("__ff_n").cast("long").alias("n"))
+        if parts:
+            offsets = offsets.join(per_partition(sizes), on=parts, how="inner")
+        else:  # one global partition: a one-row table, joined on a constant key
+            one = F.lit(0).alias("__ff_one")
+            extra = per_partition(sizes).select("*", one)
+            offsets = offsets.select("*", one).join(extra, "__ff_one").drop("__ff_one")
     # The offsets table has one row per (partition, bucket): AQE turns this
     # into a broadcast join once it has seen its size. The join key equals
     # the window key below, so the big side is shuffled once.

@@ -9,11 +9,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from featureflow.operators import validate as V
+from featureflow.operators.align import align, alignment_report
 from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
 from featureflow.operators.ranking import row_index
+from featureflow.operators.scale import apply_scaler, fit_scaler
+from featureflow.operators.split import stratified_folds, stratified_split
 from featureflow.schema import FEATURE_MEASURES, RAW_MEASURES
+from featureflow.session import table
 from featureflow.sources.standins import (
-    OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, observations,
+    OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, observations, order_features, order_labels,
 )
 
 # Fixed parameters of the registered queries (the reference uses the wall
@@ -50,9 +55,84 @@ def q_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return engineer_features(observations(spark, sf), "obs_id", OBS_RENAME, BASE_TIME, AS_OF)
 
 
+def split_observations(spark: SparkSession, sf: str) -> DataFrame:
+    return stratified_split(observations(spark, sf), "obs_id", "label", TEST_SIZE, SEED)
+
+
+def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    return split_observations(spark, sf).select("obs_id", "label", "split", "class_rank")
+
+
+def q_stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    folds = stratified_folds(split_observations(spark, sf), N_FOLDS)
+    return folds.where(F.col("split") == "train").select("obs_id", "label", "fold")
+
+
+def _r6(c: str):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def q_scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
+    sp = split_observations(spark, sf)
+    sc = fit_scaler(sp.where(F.col("split") == "train"), OBS_MEASURES)
+    return sc.select("feature", _r6("mean"), _r6("scale"))
+
+
+def scaled_observations(spark: SparkSession, sf: str) -> DataFrame:
+    sp = split_observations(spark, sf)
+    sc = fit_scaler(sp.where(F.col("split") == "train"), OBS_MEASURES)
+    return apply_scaler(sp, sc, OBS_MEASURES)
+
+
+def q_scaled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return scaled_observations(spark, sf).select("obs_id", "split", "label", *[_r6(c) for c in OBS_MEASURES])
+
+
+def q_align_features_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return align(order_features(spark, sf), order_labels(spark, sf), "obs_id")
+
+
+def q_alignment_report(spark: SparkSession, sf: str) -> DataFrame:
+    # feature rows are the raw line items: repeated keys are reported
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id"), "l_quantity")
+    return alignment_report(lines, order_labels(spark, sf), "obs_id")
+
+
+def q_validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    vf = derived_features(rename_columns(observations(spark, sf), OBS_RENAME)).select(
+        "obs_id", *FEATURE_MEASURES, "sepal_ratio", "petal_ratio", "total_area", "label")
+    n_orders = table(spark, sf, "orders").select(F.count(F.lit(1))).scalar()
+    rules = [
+        V.required_columns(vf, [*FEATURE_MEASURES, "label"]),
+        V.column_count(vf, 9),
+        V.row_count(n_orders),
+        V.no_nulls(vf),
+        V.distinct_count("label", 3),
+        V.no_infinity(["sepal_ratio", "petal_ratio"]),
+        V.positive_std(FEATURE_MEASURES),
+        V.non_negative(FEATURE_MEASURES),
+    ]
+    return V.validate(vf, rules).select("rule", "column", _r6("observed"), "threshold", "passed")
+
+
+def q_split_drift(spark: SparkSession, sf: str) -> DataFrame:
+    sc = scaled_observations(spark, sf)
+    x = sc.select(*OBS_MEASURES)
+    rules = [V.same_columns(x, x), V.mean_gap(OBS_MEASURES, "split", "train", "test", 1.0)]
+    return V.validate(sc, rules).select("rule", "column", _r6("observed"), "threshold", "passed")
+
+
 QUERIES: dict[str, Query] = {
     "feature_ratios": q_feature_ratios,
     "row_index": q_row_index,
     "label_lookup": q_label_lookup,
     "feature_table": q_feature_table,
+    "stratified_split": q_stratified_split,
+    "stratified_folds": q_stratified_folds,
+    "scaler_stats": q_scaler_stats,
+    "scaled_rows": q_scaled_rows,
+    "align_features_labels": q_align_features_labels,
+    "alignment_report": q_alignment_report,
+    "validation_report": q_validation_report,
+    "split_drift": q_split_drift,
 }

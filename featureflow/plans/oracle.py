@@ -48,3 +48,115 @@ SELECT CAST(idx AS VARCHAR) AS entity_id, f1 AS sepal_length, f2 AS sepal_width,
        TIMESTAMP '2024-06-01 12:00:00' AS created_timestamp
 FROM r
 """
+
+SPLIT = """
+h AS (SELECT *, md5(CAST(obs_id AS VARCHAR) || ':42') AS hsh FROM obs),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hsh, obs_id) - 1 AS class_rank FROM h),
+c AS (SELECT label, count(*) AS n_c FROM obs GROUP BY label),
+t AS (SELECT CAST(sum(n_c) AS BIGINT) AS n,
+             CAST(sum(n_c) AS BIGINT) - CAST(ceil(CAST(0.2 AS DOUBLE) * CAST(sum(n_c) AS DOUBLE)) AS BIGINT) AS n_train
+      FROM c),
+a AS (SELECT c.label, (CAST(c.n_c AS HUGEINT) * t.n_train) // t.n AS fl,
+             (CAST(c.n_c AS HUGEINT) * t.n_train) % t.n AS rem, t.n_train FROM c, t),
+b AS (SELECT label, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, label) <= n_train - sum(fl) OVER ()
+                              THEN 1 ELSE 0 END AS n_train_c FROM a),
+sp AS (SELECT r.*, CASE WHEN r.class_rank < b.n_train_c THEN 'train' ELSE 'test' END AS split
+       FROM r JOIN b USING (label))"""
+
+ORACLE["stratified_split"] = f"""
+WITH {OBS}, {SPLIT}
+SELECT obs_id, label, split, class_rank FROM sp
+"""
+
+ORACLE["stratified_folds"] = f"""
+WITH {OBS}, {SPLIT}
+SELECT obs_id, label, CAST(class_rank % 5 AS INTEGER) AS fold FROM sp WHERE split = 'train'
+"""
+
+_EPS = "2.220446049250313e-16"
+
+
+def _scale_sql(c: str) -> str:
+    return (f"CASE WHEN var_pop({c}) <= count(*) * {_EPS} * var_pop({c}) + power(count(*) * avg({c}) * {_EPS}, 2) "
+            f"THEN 1.0 ELSE sqrt(var_pop({c})) END")
+
+
+STATS = "st AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, {_scale_sql(c)} AS s_{c}" for c in ["f1", "f2", "f3", "f4"]
+) + " FROM sp WHERE split = 'train')"
+
+ORACLE["scaler_stats"] = f"""
+WITH {OBS}, {SPLIT}, {STATS}
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(m_{c}, 6) AS mean, round(s_{c}, 6) AS scale FROM st"
+    for c in ["f1", "f2", "f3", "f4"])
+
+SCALED = "sc AS (SELECT sp.obs_id, sp.split, sp.label, " + ", ".join(
+    f"(sp.{c} - st.m_{c}) / st.s_{c} AS {c}" for c in ["f1", "f2", "f3", "f4"]) + " FROM sp, st)"
+
+ORACLE["scaled_rows"] = f"""
+WITH {OBS}, {SPLIT}, {STATS}, {SCALED}
+SELECT obs_id, split, label, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, round(f4, 6) AS f4
+FROM sc
+"""
+
+ORACLE["align_features_labels"] = """
+SELECT f.obs_id, f.f1, f.f2, f.f3, f.f4, o.o_orderstatus AS label
+FROM (SELECT l_orderkey AS obs_id, max(l_quantity) AS f1, max(l_extendedprice) AS f2,
+             max(l_discount) AS f3, max(l_tax) AS f4 FROM lineitem GROUP BY l_orderkey) f
+JOIN orders o ON o.o_orderkey = f.obs_id
+"""
+
+ORACLE["alignment_report"] = """
+WITH f AS (SELECT l_orderkey AS obs_id, count(*) AS nf FROM lineitem GROUP BY l_orderkey),
+     l AS (SELECT o_orderkey AS obs_id, count(*) AS nl FROM orders GROUP BY o_orderkey),
+     j AS (SELECT f.nf, l.nl FROM f FULL OUTER JOIN l ON f.obs_id = l.obs_id)
+SELECT count(*) FILTER (WHERE nf IS NOT NULL AND nl IS NOT NULL) AS matched_keys,
+       count(*) FILTER (WHERE nl IS NULL) AS features_only_keys,
+       count(*) FILTER (WHERE nf IS NULL) AS labels_only_keys,
+       count(*) FILTER (WHERE nf > 1) AS repeated_feature_keys,
+       count(*) FILTER (WHERE nl > 1) AS repeated_label_keys,
+       CAST(coalesce(sum(nf * nl), 0) AS BIGINT) AS joined_rows
+FROM j
+"""
+
+_VF = """
+vf AS (SELECT obs_id, f1 AS sepal_length, f2 AS sepal_width, f3 AS petal_length, f4 AS petal_width,
+              f1 / f2 AS sepal_ratio, f3 / f4 AS petal_ratio, f1 * f2 + f3 * f4 AS total_area, label FROM obs)"""
+_VCOLS = ["obs_id", "sepal_length", "sepal_width", "petal_length", "petal_width",
+          "sepal_ratio", "petal_ratio", "total_area", "label"]
+_MEAS = ["sepal_length", "sepal_width", "petal_length", "petal_width"]
+
+
+def _nullcond(c: str) -> str:
+    return f"{c} IS NULL" if c in ("obs_id", "label") else f"({c} IS NULL OR isnan({c}))"
+
+
+_vrows = [f"SELECT 'required_column' AS rule, '{c}' AS \"column\", 1.0::DOUBLE AS observed, "
+          f"1.0::DOUBLE AS threshold, true AS passed" for c in [*_MEAS, "label"]]
+_vrows.append("SELECT 'column_count', '*', 9.0, 9.0, true")
+_vrows.append("SELECT 'row_count', '*', (SELECT count(*) FROM vf)::DOUBLE, (SELECT count(*) FROM orders)::DOUBLE, "
+              "(SELECT count(*) FROM vf) = (SELECT count(*) FROM orders)")
+for _c in _VCOLS:
+    _vrows.append(f"SELECT 'null_count', '{_c}', count(*) FILTER (WHERE {_nullcond(_c)})::DOUBLE, 0.0, "
+                  f"count(*) FILTER (WHERE {_nullcond(_c)}) = 0 FROM vf")
+_tot = " + ".join(f"count(*) FILTER (WHERE {_nullcond(c)})" for c in _VCOLS)
+_vrows.append(f"SELECT 'null_count', '*', ({_tot})::DOUBLE, 0.0, ({_tot}) = 0 FROM vf")
+_vrows.append("SELECT 'distinct_count', 'label', count(DISTINCT label)::DOUBLE, 3.0, count(DISTINCT label) = 3 FROM vf")
+for _c in ["sepal_ratio", "petal_ratio"]:
+    _vrows.append(f"SELECT 'infinite_count', '{_c}', count(*) FILTER (WHERE abs({_c}) = 'infinity'::DOUBLE)::DOUBLE, "
+                  f"0.0, count(*) FILTER (WHERE abs({_c}) = 'infinity'::DOUBLE) = 0 FROM vf")
+for _c in _MEAS:
+    _vrows.append(f"SELECT 'std_positive', '{_c}', round(stddev_samp({_c}), 6), 0.0, "
+                  f"coalesce(stddev_samp({_c}) > 0, false) FROM vf")
+for _c in _MEAS:
+    _vrows.append(f"SELECT 'min_non_negative', '{_c}', min({_c}), 0.0, coalesce(min({_c}) >= 0, false) FROM vf")
+
+ORACLE["validation_report"] = f"WITH {OBS}, {_VF}\n" + "\nUNION ALL\n".join(_vrows)
+
+_drows = ["SELECT 'same_columns' AS rule, '*' AS \"column\", 1.0::DOUBLE AS observed, 1.0::DOUBLE AS threshold, "
+          "true AS passed"]
+for _c in ["f1", "f2", "f3", "f4"]:
+    _gap = f"abs(avg({_c}) FILTER (WHERE split = 'train') - avg({_c}) FILTER (WHERE split = 'test'))"
+    _drows.append(f"SELECT 'mean_gap', '{_c}', round({_gap}, 6), 1.0, coalesce({_gap} < 1.0, false) FROM sc")
+ORACLE["split_drift"] = f"WITH {OBS}, {SPLIT}, {STATS}, {SCALED}\n" + "\nUNION ALL\n".join(_drows)
