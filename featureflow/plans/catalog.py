@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from featureflow.functions.forest import STANDIN_FOREST, argmax_index, confidence, forest_proba, probability_columns
+from featureflow.operators import evaluate as EV
 from featureflow.operators import validate as V
 from featureflow.operators.align import align, alignment_report
 from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
@@ -122,6 +124,42 @@ def q_split_drift(spark: SparkSession, sf: str) -> DataFrame:
     return V.validate(sc, rules).select("rule", "column", _r6("observed"), "threshold", "passed")
 
 
+def scored_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations scored by the hand-written forest (M4)."""
+    classes = F.array(*[F.lit(c) for c in STANDIN_FOREST.classes])
+    return (observations(spark, sf)
+            .withColumn("proba", forest_proba(STANDIN_FOREST, OBS_MEASURES))
+            .withColumn("prediction", argmax_index(F.col("proba")))
+            .withColumn("predicted_label", F.element_at(classes, F.col("prediction") + 1)))
+
+
+def q_forest_score(spark: SparkSession, sf: str) -> DataFrame:
+    s = scored_observations(spark, sf)
+    probs = [F.round(c, 6).alias(n) for c, n in zip(
+        probability_columns(F.col("proba"), STANDIN_FOREST.classes),
+        [f"p_{c}" for c in STANDIN_FOREST.classes])]
+    return s.select("obs_id", "label", "prediction", "predicted_label", *probs,
+                    F.round(confidence(F.col("proba")), 6).alias("confidence"))
+
+
+def q_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.confusion_matrix(scored_observations(spark, sf), "label", "predicted_label")
+
+
+def q_confusion_matrix_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.confusion_matrix_lines(scored_observations(spark, sf), "label", "predicted_label")
+
+
+def q_classification_report(spark: SparkSession, sf: str) -> DataFrame:
+    r = EV.classification_report(scored_observations(spark, sf), "label", "predicted_label")
+    return r.select("label", _r6("precision"), _r6("recall"), _r6("f1_score"), "support")
+
+
+def q_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    r = EV.evaluation_report(scored_observations(spark, sf), "label", "predicted_label", with_matrix=False)
+    return r.select(_r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1_score"))
+
+
 QUERIES: dict[str, Query] = {
     "feature_ratios": q_feature_ratios,
     "row_index": q_row_index,
@@ -135,4 +173,9 @@ QUERIES: dict[str, Query] = {
     "alignment_report": q_alignment_report,
     "validation_report": q_validation_report,
     "split_drift": q_split_drift,
+    "forest_score": q_forest_score,
+    "confusion_matrix": q_confusion_matrix,
+    "confusion_matrix_lines": q_confusion_matrix_lines,
+    "classification_report": q_classification_report,
+    "evaluation_report": q_evaluation_report,
 }

@@ -160,3 +160,79 @@ for _c in ["f1", "f2", "f3", "f4"]:
     _gap = f"abs(avg({_c}) FILTER (WHERE split = 'train') - avg({_c}) FILTER (WHERE split = 'test'))"
     _drows.append(f"SELECT 'mean_gap', '{_c}', round({_gap}, 6), 1.0, coalesce({_gap} < 1.0, false) FROM sc")
 ORACLE["split_drift"] = f"WITH {OBS}, {SPLIT}, {STATS}, {SCALED}\n" + "\nUNION ALL\n".join(_drows)
+
+# Hand-written CASE form of the three-tree stand-in forest (classes F, O, P).
+FOREST = """
+tr AS (SELECT obs_id, label,
+  CASE WHEN f3 <= 0.07::DOUBLE THEN 0.5::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END AS a0,
+  CASE WHEN f3 <= 0.07::DOUBLE THEN 0.3::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS a1,
+  CASE WHEN f3 <= 0.07::DOUBLE THEN 0.2::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS a2,
+  CASE WHEN f2 <= 87000.0::DOUBLE THEN (CASE WHEN f4 <= 0.06::DOUBLE THEN 0.6::DOUBLE ELSE 0.25::DOUBLE END)
+       ELSE 0.2::DOUBLE END AS b0,
+  CASE WHEN f2 <= 87000.0::DOUBLE THEN (CASE WHEN f4 <= 0.06::DOUBLE THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END)
+       ELSE 0.3::DOUBLE END AS b1,
+  CASE WHEN f2 <= 87000.0::DOUBLE THEN (CASE WHEN f4 <= 0.06::DOUBLE THEN 0.2::DOUBLE ELSE 0.25::DOUBLE END)
+       ELSE 0.5::DOUBLE END AS b2,
+  CASE WHEN f4 <= 0.04::DOUBLE THEN 0.4::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS c0,
+  CASE WHEN f4 <= 0.04::DOUBLE THEN 0.4::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS c1,
+  CASE WHEN f4 <= 0.04::DOUBLE THEN 0.2::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END AS c2
+  FROM obs),
+pr AS (SELECT obs_id, label, (a0 + b0 + c0) / 3.0::DOUBLE AS p0, (a1 + b1 + c1) / 3.0::DOUBLE AS p1,
+              (a2 + b2 + c2) / 3.0::DOUBLE AS p2 FROM tr),
+fs AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS prediction FROM pr),
+sc AS (SELECT *, CASE prediction WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS predicted_label,
+              greatest(p0, p1, p2) AS conf FROM fs)"""
+
+ORACLE["forest_score"] = f"""
+WITH {OBS}, {FOREST}
+SELECT obs_id, label, CAST(prediction AS INTEGER) AS prediction, predicted_label,
+       round(p0, 6) AS p_F, round(p1, 6) AS p_O, round(p2, 6) AS p_P, round(conf, 6) AS confidence
+FROM sc
+"""
+
+PAIRS = """
+cls AS (SELECT label AS c FROM sc UNION SELECT predicted_label FROM sc),
+pairs AS (SELECT label AS actual, predicted_label AS predicted, count(*) AS n FROM sc GROUP BY 1, 2),
+cm AS (SELECT a.c AS actual, b.c AS predicted, coalesce(p.n, 0) AS n
+       FROM cls a CROSS JOIN cls b LEFT JOIN pairs p ON p.actual = a.c AND p.predicted = b.c),
+st AS (SELECT c AS cls,
+              (SELECT coalesce(sum(n), 0) FROM pairs WHERE actual = c) AS support,
+              (SELECT coalesce(sum(n), 0) FROM pairs WHERE predicted = c) AS pred_n,
+              (SELECT coalesce(sum(n), 0) FROM pairs WHERE actual = c AND predicted = c) AS tp FROM cls),
+mt AS (SELECT cls, support, tp,
+              CASE WHEN pred_n = 0 THEN 0.0 ELSE tp::DOUBLE / pred_n END AS prec,
+              CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END AS rec,
+              CASE WHEN support + pred_n = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (support + pred_n) END AS f1
+       FROM st)"""
+
+ORACLE["confusion_matrix"] = f"""
+WITH {OBS}, {FOREST}, {PAIRS}
+SELECT actual, predicted, CAST(n AS BIGINT) AS n FROM cm
+"""
+
+ORACLE["confusion_matrix_lines"] = f"""
+WITH {OBS}, {FOREST}, {PAIRS}
+SELECT actual, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY predicted) AS line FROM cm GROUP BY actual
+"""
+
+ORACLE["classification_report"] = f"""
+WITH {OBS}, {FOREST}, {PAIRS}
+SELECT cls AS label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM mt
+UNION ALL
+SELECT 'accuracy', NULL, NULL, round(sum(tp)::DOUBLE / sum(support), 6), CAST(sum(support) AS BIGINT) FROM mt
+UNION ALL
+SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM mt
+UNION ALL
+SELECT 'weighted avg', round(sum(support * prec) / sum(support), 6), round(sum(support * rec) / sum(support), 6),
+       round(sum(support * f1) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM mt
+"""
+
+ORACLE["evaluation_report"] = f"""
+WITH {OBS}, {FOREST}, {PAIRS}
+SELECT round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
+       round(sum(support * prec) / sum(support), 6) AS precision,
+       round(sum(support * rec) / sum(support), 6) AS recall,
+       round(sum(support * f1) / sum(support), 6) AS f1_score
+FROM mt
+"""
