@@ -15,12 +15,14 @@ from featureflow.operators import validate as V
 from featureflow.operators.align import align, alignment_report
 from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
 from featureflow.operators.ranking import row_index
+from featureflow.operators.serving import ServingModel, score_batch_requests, score_requests
 from featureflow.operators.scale import apply_scaler, fit_scaler
 from featureflow.operators.split import stratified_folds, stratified_split
 from featureflow.schema import FEATURE_MEASURES, RAW_MEASURES
 from featureflow.session import table
 from featureflow.sources.standins import (
-    OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, observations, order_features, order_labels,
+    OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, batch_request_bodies, observations, order_features,
+    order_labels, request_bodies,
 )
 
 # Fixed parameters of the registered queries (the reference uses the wall
@@ -160,6 +162,33 @@ def q_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(_r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1_score"))
 
 
+def serving_model() -> ServingModel:
+    """The stand-in forest served without a scaler (the reference's service
+    falls back to unscaled inputs when no scaler is present)."""
+    return ServingModel(forest=STANDIN_FOREST, class_names=OBS_CLASS_NAMES)
+
+
+_PROBS = [f"p_{n}" for n in OBS_CLASS_NAMES]
+_ECHO = [f"in_{n}" for n in FEATURE_MEASURES]
+
+
+def q_request_score(spark: SparkSession, sf: str) -> DataFrame:
+    r = score_requests(request_bodies(spark, sf), serving_model())
+    return r.select("req_id", "status", "error", "received", "success", *_ECHO, "prediction", "class_name",
+                    *[_r6(p) for p in _PROBS], _r6("confidence"))
+
+
+def q_request_batch_score(spark: SparkSession, sf: str) -> DataFrame:
+    summary, _ = score_batch_requests(batch_request_bodies(spark, sf), serving_model())
+    return summary
+
+
+def q_request_batch_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    _, preds = score_batch_requests(batch_request_bodies(spark, sf), serving_model())
+    return preds.select("req_id", "sample_id", *_ECHO, "prediction", "class_name",
+                        *[_r6(p) for p in _PROBS], _r6("confidence"))
+
+
 QUERIES: dict[str, Query] = {
     "feature_ratios": q_feature_ratios,
     "row_index": q_row_index,
@@ -178,4 +207,7 @@ QUERIES: dict[str, Query] = {
     "confusion_matrix_lines": q_confusion_matrix_lines,
     "classification_report": q_classification_report,
     "evaluation_report": q_evaluation_report,
+    "request_score": q_request_score,
+    "request_batch_score": q_request_batch_score,
+    "request_batch_predictions": q_request_batch_predictions,
 }

@@ -161,9 +161,11 @@ for _c in ["f1", "f2", "f3", "f4"]:
     _drows.append(f"SELECT 'mean_gap', '{_c}', round({_gap}, 6), 1.0, coalesce({_gap} < 1.0, false) FROM sc")
 ORACLE["split_drift"] = f"WITH {OBS}, {SPLIT}, {STATS}, {SCALED}\n" + "\nUNION ALL\n".join(_drows)
 
-# Hand-written CASE form of the three-tree stand-in forest (classes F, O, P).
-FOREST = """
-tr AS (SELECT obs_id, label,
+# Hand-written CASE form of the three-tree stand-in forest (classes F, O, P)
+# over columns f1..f4 of ``src``; adds p0..p2, prediction, predicted_label, conf.
+def forest_ctes(src: str, out: str = "sc") -> str:
+    return f"""
+{out}_tr AS (SELECT *,
   CASE WHEN f3 <= 0.07::DOUBLE THEN 0.5::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END AS a0,
   CASE WHEN f3 <= 0.07::DOUBLE THEN 0.3::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS a1,
   CASE WHEN f3 <= 0.07::DOUBLE THEN 0.2::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS a2,
@@ -176,12 +178,16 @@ tr AS (SELECT obs_id, label,
   CASE WHEN f4 <= 0.04::DOUBLE THEN 0.4::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS c0,
   CASE WHEN f4 <= 0.04::DOUBLE THEN 0.4::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS c1,
   CASE WHEN f4 <= 0.04::DOUBLE THEN 0.2::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END AS c2
-  FROM obs),
-pr AS (SELECT obs_id, label, (a0 + b0 + c0) / 3.0::DOUBLE AS p0, (a1 + b1 + c1) / 3.0::DOUBLE AS p1,
-              (a2 + b2 + c2) / 3.0::DOUBLE AS p2 FROM tr),
-fs AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS prediction FROM pr),
-sc AS (SELECT *, CASE prediction WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS predicted_label,
-              greatest(p0, p1, p2) AS conf FROM fs)"""
+  FROM {src}),
+{out}_pr AS (SELECT *, (a0 + b0 + c0) / 3.0::DOUBLE AS p0, (a1 + b1 + c1) / 3.0::DOUBLE AS p1,
+              (a2 + b2 + c2) / 3.0::DOUBLE AS p2 FROM {out}_tr),
+{out}_fs AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS prediction
+             FROM {out}_pr),
+{out} AS (SELECT *, CASE prediction WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS predicted_label,
+              greatest(p0, p1, p2) AS conf FROM {out}_fs)"""
+
+
+FOREST = forest_ctes("obs")
 
 ORACLE["forest_score"] = f"""
 WITH {OBS}, {FOREST}
@@ -236,3 +242,66 @@ SELECT round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
        round(sum(support * f1) / sum(support), 6) AS f1_score
 FROM mt
 """
+
+REQ = """
+ev AS (SELECT event_id AS req_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value
+       FROM events),
+x AS (SELECT req_id, event_type, k, CAST(k AS DOUBLE) / 2.0::DOUBLE AS x1, value * 300.0::DOUBLE AS x2,
+             CAST(k % 11 AS DOUBLE) / 100.0::DOUBLE AS x3, CAST(k % 9 AS DOUBLE) / 100.0::DOUBLE AS x4 FROM ev)"""
+
+_MISSING = "'Missing features in request body'"
+_BADLEN = "'Expected 4 features (sepal_length, sepal_width, petal_length, petal_width)'"
+_NOTJSON = "'Invalid JSON body'"
+_NOLEN = "'features has no length'"
+_NOTNUM = "'features must be numbers'"
+
+ORACLE["request_score"] = f"""
+WITH {REQ},
+q AS (SELECT req_id,
+   CASE WHEN event_type = 'view' THEN 200 WHEN event_type IN ('click', 'signup') THEN 400
+        WHEN event_type = 'error' THEN 500
+        ELSE CASE k % 4 WHEN 0 THEN 500 WHEN 1 THEN 400 WHEN 2 THEN 500 ELSE 200 END END AS status,
+   CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN {_BADLEN}
+        WHEN event_type = 'signup' THEN {_MISSING}
+        WHEN event_type = 'error' THEN CASE WHEN k % 2 = 0 THEN {_NOTJSON} ELSE {_NOLEN} END
+        ELSE CASE k % 4 WHEN 0 THEN {_NOTNUM} WHEN 1 THEN {_BADLEN} WHEN 2 THEN {_NOTNUM} ELSE NULL END END AS error,
+   CASE WHEN event_type = 'click' THEN 2 WHEN event_type = 'purchase' AND k % 4 = 1 THEN 5 END AS received,
+   CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE x1 END AS f1, x2 AS f2, x3 AS f3, x4 AS f4
+   FROM x),
+ok AS (SELECT * FROM q WHERE status = 200),
+{forest_ctes("ok", "sc")}
+SELECT q.req_id, CAST(q.status AS INTEGER) AS status, q.error, CAST(q.received AS INTEGER) AS received,
+       q.status = 200 AS success,
+       sc.f1 AS in_sepal_length, sc.f2 AS in_sepal_width, sc.f3 AS in_petal_length, sc.f4 AS in_petal_width,
+       CAST(sc.prediction AS INTEGER) AS prediction,
+       CASE sc.prediction WHEN 0 THEN 'finished' WHEN 1 THEN 'open' WHEN 2 THEN 'partial' END AS class_name,
+       round(sc.p0, 6) AS p_finished, round(sc.p1, 6) AS p_open, round(sc.p2, 6) AS p_partial,
+       round(sc.conf, 6) AS confidence
+FROM q LEFT JOIN sc ON sc.req_id = q.req_id
+"""
+
+ORACLE["request_batch_score"] = f"""
+WITH {REQ}
+SELECT req_id,
+   CAST(CASE WHEN event_type IN ('view', 'signup') THEN 200 WHEN event_type = 'click' THEN 400 ELSE 500 END
+        AS INTEGER) AS status,
+   CASE WHEN event_type IN ('view', 'signup') THEN NULL
+        WHEN event_type = 'click' THEN 'Sample 1: Expected 4 features, got 1' ELSE {_NOTNUM} END AS error,
+   event_type IN ('view', 'signup') AS success,
+   CAST(CASE WHEN event_type = 'view' THEN 2 WHEN event_type = 'signup' THEN 0 END AS INTEGER) AS total_samples
+FROM x
+"""
+
+ORACLE["request_batch_predictions"] = f"""
+WITH {REQ},
+s AS (SELECT req_id, 0 AS sample_id, x1 AS f1, x2 AS f2, x3 AS f3, x4 AS f4 FROM x WHERE event_type = 'view'
+      UNION ALL
+      SELECT req_id, 1, x4, x3, x2, x1 FROM x WHERE event_type = 'view'),
+{forest_ctes("s", "sc")}
+SELECT req_id, CAST(sample_id AS INTEGER) AS sample_id,
+       f1 AS in_sepal_length, f2 AS in_sepal_width, f3 AS in_petal_length, f4 AS in_petal_width,
+       CAST(prediction AS INTEGER) AS prediction,
+       CASE prediction WHEN 0 THEN 'finished' WHEN 1 THEN 'open' WHEN 2 THEN 'partial' END AS class_name,
+       round(p0, 6) AS p_finished, round(p1, 6) AS p_open, round(p2, 6) AS p_partial, round(conf, 6) AS confidence
+FROM sc
+"""

@@ -93,3 +93,67 @@ def rule_labelled_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("f3") < 0.08, F.lit("mid"))
              .otherwise(F.lit("high")))
     return obs.withColumn("label", label)
+
+
+def _request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return ev.select(
+        F.col("event_id").alias("req_id"), "event_type", k.alias("k"),
+        (k.cast("double") / F.lit(2.0)).alias("x1"), (F.col("value") * F.lit(300.0)).alias("x2"),
+        ((k % 11).cast("double") / F.lit(100.0)).alias("x3"), ((k % 9).cast("double") / F.lit(100.0)).alias("x4"))
+
+
+def _num(*cols) -> list:
+    out = []
+    for i, c in enumerate(cols):
+        if i:
+            out.append(F.lit(","))
+        out.append(F.col(c).cast("string") if isinstance(c, str) else c)
+    return out
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(req_id, body)`` single-prediction requests, one per event; the event
+    type picks the request shape so every rule outcome occurs:
+    view → valid; click → 2 features; signup → ``{}`` / ``null`` / no
+    ``features``; error → not JSON / ``features: null``; purchase → a string
+    element / 5 features / a 4-character string / a boolean element."""
+    p = _request_parts(spark, sf_dir)
+    four = F.concat(F.lit('{"features":['), *_num("x1", "x2", "x3", "x4"), F.lit("]}"))
+    k = F.col("k")
+    body = (F.when(F.col("event_type") == "view", four)
+            .when(F.col("event_type") == "click", F.concat(F.lit('{"features":['), *_num("x1", "x2"), F.lit("]}")))
+            .when(F.col("event_type") == "signup",
+                  F.when(k % 3 == 0, F.lit("{}")).when(k % 3 == 1, F.lit("null"))
+                  .otherwise(F.concat(F.lit('{"other":'), k.cast("string"), F.lit("}"))))
+            .when(F.col("event_type") == "error",
+                  F.when(k % 2 == 0, F.concat(F.lit("not json "), k.cast("string")))
+                  .otherwise(F.lit('{"features":null}')))
+            .otherwise(
+                F.when(k % 4 == 0, F.concat(F.lit('{"features":['), *_num("x1", F.lit('"x"'), "x3", "x4"),
+                                            F.lit("]}")))
+                .when(k % 4 == 1, F.concat(F.lit('{"features":['), *_num("x1", "x2", "x3", "x4", "x1"),
+                                           F.lit("]}")))
+                .when(k % 4 == 2, F.lit('{"features":"abcd"}'))
+                .otherwise(F.concat(F.lit('{"features":['), *_num(F.lit("true"), "x2", "x3", "x4"),
+                                    F.lit("]}")))))
+    return p.select("req_id", body.alias("body"))
+
+
+def batch_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(req_id, body)`` batch requests: view → two valid samples; click →
+    second sample too short; signup → empty list; error → a null sample;
+    purchase → a non-numeric first sample followed by a short one."""
+    p = _request_parts(spark, sf_dir)
+    s1 = F.concat(F.lit("["), *_num("x1", "x2", "x3", "x4"), F.lit("]"))
+    s2 = F.concat(F.lit("["), *_num("x4", "x3", "x2", "x1"), F.lit("]"))
+    bad = F.concat(F.lit("["), *_num("x1", "x2", F.lit('"x"'), "x4"), F.lit("]"))
+    et = F.col("event_type")
+    body = (F.when(et == "view", F.concat(F.lit('{"features":['), s1, F.lit(","), s2, F.lit("]}")))
+            .when(et == "click", F.concat(F.lit('{"features":['), s1, F.lit(",["), F.col("x1").cast("string"),
+                                          F.lit("]]}")))
+            .when(et == "signup", F.lit('{"features":[]}'))
+            .when(et == "error", F.concat(F.lit('{"features":['), s1, F.lit(",null]}")))
+            .otherwise(F.concat(F.lit('{"features":['), bad, F.lit(",[1,2]]}"))))
+    return p.select("req_id", body.alias("body"))
