@@ -15,14 +15,15 @@ from featureflow.operators import validate as V
 from featureflow.operators.align import align, alignment_report
 from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
 from featureflow.operators.ranking import row_index
+from featureflow.operators.requestlog import latency_flags, latency_summary, read_request_log, write_request_log
 from featureflow.operators.serving import ServingModel, score_batch_requests, score_requests
 from featureflow.operators.scale import apply_scaler, fit_scaler
 from featureflow.operators.split import stratified_folds, stratified_split
 from featureflow.schema import FEATURE_MEASURES, RAW_MEASURES
-from featureflow.session import table
+from featureflow.session import scratch_path, table
 from featureflow.sources.standins import (
     OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, batch_request_bodies, observations, order_features,
-    order_labels, request_bodies,
+    order_labels, request_bodies, request_log,
 )
 
 # Fixed parameters of the registered queries (the reference uses the wall
@@ -189,6 +190,35 @@ def q_request_batch_predictions(spark: SparkSession, sf: str) -> DataFrame:
                         *[_r6(p) for p in _PROBS], _r6("confidence"))
 
 
+_LAT_DOUBLES = ["success_rate", "total_time", "requests_per_second", "avg_response_time",
+                "min_response_time", "max_response_time", "p95_response_time"]
+
+
+def _latency(spark: SparkSession, sf: str, groups) -> DataFrame:
+    s = latency_summary(request_log(spark, sf), groups)
+    return s.select(*groups, "total_requests", "successful_requests", "failed_requests",
+                    *[_r6(c) for c in _LAT_DOUBLES], "high_latency", "has_failures", "timeout_issues")
+
+
+def q_latency_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _latency(spark, sf, [])
+
+
+def q_latency_by_phase(spark: SparkSession, sf: str) -> DataFrame:
+    return _latency(spark, sf, ["phase"])
+
+
+def q_latency_flags(spark: SparkSession, sf: str) -> DataFrame:
+    flags = latency_flags(latency_summary(request_log(spark, sf), ["phase"]), ["phase"])
+    return flags.select("phase", "flag", _r6("observed"), "threshold", "raised")
+
+
+def q_request_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "request-log")
+    write_request_log(request_log(spark, sf), path)
+    return read_request_log(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "feature_ratios": q_feature_ratios,
     "row_index": q_row_index,
@@ -210,4 +240,8 @@ QUERIES: dict[str, Query] = {
     "request_score": q_request_score,
     "request_batch_score": q_request_batch_score,
     "request_batch_predictions": q_request_batch_predictions,
+    "latency_summary": q_latency_summary,
+    "latency_by_phase": q_latency_by_phase,
+    "latency_flags": q_latency_flags,
+    "request_log_roundtrip": q_request_log_roundtrip,
 }

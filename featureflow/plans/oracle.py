@@ -305,3 +305,55 @@ SELECT req_id, CAST(sample_id AS INTEGER) AS sample_id,
        round(p0, 6) AS p_finished, round(p1, 6) AS p_open, round(p2, 6) AS p_partial, round(conf, 6) AS confidence
 FROM sc
 """
+
+LOG = """
+lg AS (SELECT event_id AS request_id, CAST(CASE WHEN event_type <> 'error' THEN 200 ELSE 500 END AS INTEGER) AS status_code,
+              value AS response_time, event_type <> 'error' AS success,
+              epoch_us(ts) / 1000000.0::DOUBLE AS "timestamp",
+              CASE WHEN event_type <> 'error' THEN NULL ELSE 'server error' END AS error,
+              strftime(ts, '%Y-%m-%d') AS phase
+       FROM events)"""
+
+
+def _latency_sql(group: str) -> str:
+    sel = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    ok = "FILTER (WHERE success)"
+    wall = '(max("timestamp" + response_time) - min("timestamp"))'
+    return f"""
+WITH {LOG}
+SELECT {sel}count(*) AS total_requests, count(*) {ok} AS successful_requests,
+       count(*) FILTER (WHERE NOT success) AS failed_requests,
+       round(100.0::DOUBLE * count(*) {ok} / count(*), 6) AS success_rate,
+       round({wall}, 6) AS total_time,
+       round(CASE WHEN {wall} > 0 THEN count(*) / {wall} END, 6) AS requests_per_second,
+       round(avg(response_time) {ok}, 6) AS avg_response_time,
+       round(min(response_time) {ok}, 6) AS min_response_time,
+       round(max(response_time) {ok}, 6) AS max_response_time,
+       round(quantile_cont(response_time, 0.95) {ok}, 6) AS p95_response_time,
+       CASE WHEN count(*) {ok} > 0 THEN avg(response_time) {ok} > 1.0 END AS high_latency,
+       CASE WHEN count(*) {ok} > 0 THEN count(*) FILTER (WHERE NOT success) > 0 END AS has_failures,
+       CASE WHEN count(*) {ok} > 0 THEN max(response_time) {ok} > 5.0 END AS timeout_issues
+FROM lg {gb}
+"""
+
+
+ORACLE["latency_summary"] = _latency_sql("")
+ORACLE["latency_by_phase"] = _latency_sql("phase")
+
+ORACLE["latency_flags"] = f"""
+WITH {LOG},
+s AS (SELECT phase, avg(response_time) FILTER (WHERE success) AS a, max(response_time) FILTER (WHERE success) AS mx,
+             count(*) FILTER (WHERE NOT success) AS nf, count(*) FILTER (WHERE success) AS ns
+      FROM lg GROUP BY phase)
+SELECT phase, 'high_latency' AS flag, round(a, 6) AS observed, 1.0::DOUBLE AS threshold, a > 1.0 AS raised FROM s WHERE ns > 0
+UNION ALL
+SELECT phase, 'failed_requests', round(nf::DOUBLE, 6), 0.0::DOUBLE, nf > 0 FROM s WHERE ns > 0
+UNION ALL
+SELECT phase, 'timeout_issues', round(mx, 6), 5.0::DOUBLE, mx > 5.0 FROM s WHERE ns > 0
+"""
+
+ORACLE["request_log_roundtrip"] = f"""
+WITH {LOG}
+SELECT * FROM lg
+"""
