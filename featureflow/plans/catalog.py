@@ -5,6 +5,7 @@ the names equal the oracle SQL's (see ``plans/oracle.py``)."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from featureflow.operators.align import align, alignment_report
 from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
 from featureflow.operators.ranking import row_index
 from featureflow.operators.requestlog import latency_flags, latency_summary, read_request_log, write_request_log
+from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest
 from featureflow.operators.serving import ServingModel, score_batch_requests, score_requests
 from featureflow.operators.scale import apply_scaler, fit_scaler
 from featureflow.operators.split import stratified_folds, stratified_split
@@ -23,7 +25,7 @@ from featureflow.schema import FEATURE_MEASURES, RAW_MEASURES
 from featureflow.session import scratch_path, table
 from featureflow.sources.standins import (
     OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, batch_request_bodies, observations, order_features,
-    order_labels, request_bodies, request_log,
+    feature_events, order_labels, request_bodies, request_log, spine_events,
 )
 
 # Fixed parameters of the registered queries (the reference uses the wall
@@ -219,6 +221,27 @@ def q_request_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_request_log(spark, path)
 
 
+# The stand-in feature view: 'view' events keyed by user, one day TTL.
+VIEW = FeatureView(name="user_views", key="user_id", event_ts="event_timestamp",
+                   created_ts="created_timestamp", features=["view_value", "view_k"],
+                   ttl=dt.timedelta(days=1), tiebreak=["feature_event_id"])
+LATEST_START, LATEST_END, LOOKUP_AS_OF = "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-20 12:00:00"
+
+
+def q_asof_features(spark: SparkSession, sf: str) -> DataFrame:
+    return asof_join(spine_events(spark, sf), feature_events(spark, sf), VIEW, "ts")
+
+
+def q_latest_features(spark: SparkSession, sf: str) -> DataFrame:
+    return latest_features(feature_events(spark, sf), VIEW, LATEST_START, LATEST_END)
+
+
+def q_latest_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    latest = latest_features(feature_events(spark, sf), VIEW, LATEST_START, LATEST_END)
+    return lookup_latest(keys, latest, VIEW, LOOKUP_AS_OF)
+
+
 QUERIES: dict[str, Query] = {
     "feature_ratios": q_feature_ratios,
     "row_index": q_row_index,
@@ -244,4 +267,7 @@ QUERIES: dict[str, Query] = {
     "latency_by_phase": q_latency_by_phase,
     "latency_flags": q_latency_flags,
     "request_log_roundtrip": q_request_log_roundtrip,
+    "asof_features": q_asof_features,
+    "latest_features": q_latest_features,
+    "latest_lookup": q_latest_lookup,
 }

@@ -357,3 +357,41 @@ ORACLE["request_log_roundtrip"] = f"""
 WITH {LOG}
 SELECT * FROM lg
 """
+
+FV = """
+sp AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+fv AS (SELECT user_id, ts AS event_timestamp, ts AS created_timestamp, event_id AS feature_event_id,
+              value AS view_value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS view_k
+       FROM events WHERE event_type = 'view')"""
+
+ORACLE["asof_features"] = f"""
+WITH {FV},
+j AS (SELECT sp.event_id, sp.user_id, sp.ts, fv.event_timestamp AS fts, fv.view_value, fv.view_k
+      FROM sp ASOF LEFT JOIN fv ON sp.user_id = fv.user_id AND sp.ts >= fv.event_timestamp)
+SELECT event_id, user_id, ts,
+       CASE WHEN fts >= ts - INTERVAL 1 DAY THEN CAST(view_value AS FLOAT) END AS view_value,
+       CASE WHEN fts >= ts - INTERVAL 1 DAY THEN CAST(view_k AS FLOAT) END AS view_k,
+       CASE WHEN fts >= ts - INTERVAL 1 DAY THEN fts END AS feature_timestamp
+FROM j
+"""
+
+LATEST = """
+lt AS (SELECT user_id, event_timestamp, view_value, view_k FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id
+                                      ORDER BY event_timestamp DESC, created_timestamp DESC, feature_event_id DESC) AS rn
+         FROM fv WHERE event_timestamp >= TIMESTAMP '2024-01-10 00:00:00'
+                   AND event_timestamp <= TIMESTAMP '2024-01-20 00:00:00') WHERE rn = 1)"""
+
+ORACLE["latest_features"] = f"""
+WITH {FV}, {LATEST}
+SELECT user_id, event_timestamp, CAST(view_value AS FLOAT) AS view_value, CAST(view_k AS FLOAT) AS view_k FROM lt
+"""
+
+ORACLE["latest_lookup"] = f"""
+WITH {FV}, {LATEST}
+SELECT c.c_custkey AS user_id,
+       CASE WHEN lt.event_timestamp >= TIMESTAMP '2024-01-19 12:00:00' THEN lt.event_timestamp END AS event_timestamp,
+       CASE WHEN lt.event_timestamp >= TIMESTAMP '2024-01-19 12:00:00' THEN CAST(lt.view_value AS FLOAT) END AS view_value,
+       CASE WHEN lt.event_timestamp >= TIMESTAMP '2024-01-19 12:00:00' THEN CAST(lt.view_k AS FLOAT) END AS view_k
+FROM customer c LEFT JOIN lt ON lt.user_id = c.c_custkey
+"""
