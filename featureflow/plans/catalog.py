@@ -17,15 +17,21 @@ from featureflow.operators.align import align, alignment_report
 from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
 from featureflow.operators.ranking import row_index
 from featureflow.operators.requestlog import latency_flags, latency_summary, read_request_log, write_request_log
+from featureflow.operators.train import (
+    FOREST_PARAMS, batch_predict_file, best_run, checkpointed, grid_search, importances, log_run, predict,
+    read_runs, save_model, train_forest,
+)
 from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest
 from featureflow.operators.serving import ServingModel, score_batch_requests, score_requests
 from featureflow.operators.scale import apply_scaler, fit_scaler
 from featureflow.operators.split import stratified_folds, stratified_split
-from featureflow.schema import FEATURE_MEASURES, RAW_MEASURES
+from featureflow.schema import EVALUATION, FEATURE_MEASURES, RAW_MEASURES
+from featureflow.sources.files import load_table, read_record, write_csv, write_record
+from featureflow.streaming.stream_score import start_stream_scoring
 from featureflow.session import scratch_path, table
 from featureflow.sources.standins import (
     OBS_CLASS_NAMES, OBS_CLASSES, OBS_MEASURES, OBS_RENAME, batch_request_bodies, observations, order_features,
-    feature_events, order_labels, request_bodies, request_log, spine_events,
+    feature_events, order_labels, request_bodies, request_log, rule_labelled_observations, spine_events,
 )
 
 # Fixed parameters of the registered queries (the reference uses the wall
@@ -242,6 +248,95 @@ def q_latest_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lookup_latest(keys, latest, VIEW, LOOKUP_AS_OF)
 
 
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    csv_dir, target = scratch_path(spark, "part-csv"), scratch_path(spark, "part-table")
+    write_csv(part, csv_dir)
+    load_table(spark, csv_dir, part.schema, target)
+    return spark.read.parquet(target)
+
+
+def q_metrics_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rep = EV.evaluation_report(scored_observations(spark, sf), "label", "predicted_label")
+    path = scratch_path(spark, "metrics")
+    write_record(rep, path)
+    back = read_record(spark, path, EVALUATION)
+    lines = F.concat_ws(";", F.transform("confusion_matrix", lambda r: F.array_join(r, " ")))
+    return back.select(_r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1_score"),
+                       lines.alias("confusion_matrix"))
+
+
+def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
+    src, out, ckpt = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ckpt"))
+    request_bodies(spark, sf).write.mode("overwrite").json(src)
+    q = start_stream_scoring(spark, src, out, ckpt, serving_model())
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("req_id", "status", "error", "received", "success", *_ECHO, "prediction", "class_name",
+                    *[_r6(p) for p in _PROBS], _r6("confidence"))
+
+
+# Model queries: training is not bit-reproducible across engines, so these
+# have no SQL oracle (row-count check); tests assert the quality gates.
+RULE_CLASSES = ["low", "mid", "high"]
+
+
+def _rule_split(spark: SparkSession, sf: str) -> DataFrame:
+    sp = stratified_split(rule_labelled_observations(spark, sf), "obs_id", "label", TEST_SIZE, SEED)
+    return checkpointed(sp)
+
+
+def q_train_predict(spark: SparkSession, sf: str) -> DataFrame:
+    sp = _rule_split(spark, sf)
+    train = sp.where(F.col("split") == "train")
+    sc = fit_scaler(train, OBS_MEASURES)
+    x = apply_scaler(sp, sc, OBS_MEASURES)
+    model = train_forest(x.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES, **FOREST_PARAMS)
+    pred = predict(model, x.where(F.col("split") == "test"), RULE_CLASSES)
+    return EV.classification_report(pred, "label", "predicted_label")
+
+
+def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    sp = _rule_split(spark, sf)
+    model = train_forest(sp.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES, **FOREST_PARAMS)
+    return EV.feature_importances(spark, importances(model), OBS_MEASURES)
+
+
+# The registered search runs a small grid (2 x 2 candidates, 5 folds) so the
+# check stays short; grid_search's default is the reference's full grid.
+QUERY_GRID = {"num_trees": [20, 50], "max_depth": [3, 5], "min_samples_leaf": [1]}
+
+
+def q_grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    sp = stratified_folds(_rule_split(spark, sf), N_FOLDS)
+    _, cand, _ = grid_search(sp.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES, "fold",
+                             N_FOLDS, QUERY_GRID, SEED)
+    return cand
+
+
+def q_batch_predict_file(spark: SparkSession, sf: str) -> DataFrame:
+    sp = _rule_split(spark, sf)
+    model = train_forest(sp.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES,
+                         num_trees=20, max_depth=5, seed=SEED)
+    model_dir, in_csv, out_csv = (scratch_path(spark, n) for n in ("model", "batch-in", "batch-out"))
+    save_model(model, model_dir)
+    test = sp.where(F.col("split") == "test").select("obs_id", *OBS_MEASURES)
+    write_csv(test, in_csv)
+    batch_predict_file(spark, model, in_csv, out_csv, test.schema, OBS_MEASURES, "obs_id", RULE_CLASSES,
+                       RULE_CLASSES, as_of=AS_OF)
+    return spark.read.option("header", True).csv(out_csv)
+
+
+def q_run_log(spark: SparkSession, sf: str) -> DataFrame:
+    rep = EV.evaluation_report(scored_observations(spark, sf), "label", "predicted_label",
+                               with_matrix=False).first()
+    runs = scratch_path(spark, "runs")
+    for trees in (3, 2):
+        metrics = {k: rep[k] * (1.0 if trees == 3 else 0.5) for k in ("accuracy", "f1_score")}
+        log_run(spark, runs, "standin_forest", {"n_trees": trees}, metrics)
+    return best_run(read_runs(spark, runs), "standin_forest", "accuracy")
+
+
 QUERIES: dict[str, Query] = {
     "feature_ratios": q_feature_ratios,
     "row_index": q_row_index,
@@ -270,4 +365,12 @@ QUERIES: dict[str, Query] = {
     "asof_features": q_asof_features,
     "latest_features": q_latest_features,
     "latest_lookup": q_latest_lookup,
+    "csv_roundtrip": q_csv_roundtrip,
+    "metrics_roundtrip": q_metrics_roundtrip,
+    "stream_score": q_stream_score,
+    "train_predict": q_train_predict,
+    "feature_importance": q_feature_importance,
+    "grid_search": q_grid_search,
+    "batch_predict_file": q_batch_predict_file,
+    "run_log": q_run_log,
 }

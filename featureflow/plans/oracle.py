@@ -395,3 +395,18 @@ SELECT c.c_custkey AS user_id,
        CASE WHEN lt.event_timestamp >= TIMESTAMP '2024-01-19 12:00:00' THEN CAST(lt.view_k AS FLOAT) END AS view_k
 FROM customer c LEFT JOIN lt ON lt.user_id = c.c_custkey
 """
+
+ORACLE["csv_roundtrip"] = "SELECT * FROM part"
+
+ORACLE["metrics_roundtrip"] = f"""
+WITH {OBS}, {FOREST}, {PAIRS},
+ln AS (SELECT actual, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY predicted) AS line FROM cm GROUP BY actual)
+SELECT round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
+       round(sum(support * prec) / sum(support), 6) AS precision,
+       round(sum(support * rec) / sum(support), 6) AS recall,
+       round(sum(support * f1) / sum(support), 6) AS f1_score,
+       (SELECT string_agg(line, ';' ORDER BY actual) FROM ln) AS confusion_matrix
+FROM mt
+"""
+
+ORACLE["stream_score"] = ORACLE["request_score"]
