@@ -1,4 +1,4 @@
-"""Request-body rules (F8) as Spark SQL expressions over the VARIANT type.
+"""Request-body rules (F8) as staged Spark SQL projections over VARIANT.
 
 The reference's service decides each request's outcome in this order:
 1. body is not JSON → 500;
@@ -15,11 +15,15 @@ The reference's service decides each request's outcome in this order:
 ``from_json`` cannot separate these cases (it nulls all of them), so the
 body is parsed once with ``try_parse_json`` and inspected by kind.
 Booleans count as numbers (1/0), as numpy converts them.
+
+Each step is its own projection over the previous step's columns: the
+parsed body and its type string are computed once per row, and Catalyst
+does not inline a non-trivial expression that is used more than once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Response texts.
 MISSING = "Missing features in request body"
@@ -32,12 +36,14 @@ NOT_ITERABLE = "features is not iterable"
 N_FEATURES = 4
 
 _NUMBER_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
+# an array whose merged element type is one numeric (or boolean) type holds
+# only numbers or nulls
+_NUMERIC_ARRAY = r"^ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL\(\d+,\d+\))>$"
 
 
-def kind(v: Column) -> Column:
-    """'null' | 'bool' | 'number' | 'string' | 'array' | 'object' (SQL null
-    when ``v`` is SQL null, i.e. absent or not parseable)."""
-    t = F.schema_of_variant(v)
+def kind_of(t: Column) -> Column:
+    """Kind from a ``schema_of_variant`` string: 'null' | 'bool' | 'number' |
+    'string' | 'array' | 'object' (SQL null for a SQL-null value)."""
     return (F.when(t == "VOID", F.lit("null"))
             .when(t == "BOOLEAN", F.lit("bool"))
             .when(t.isin(_NUMBER_TYPES) | t.startswith("DECIMAL"), F.lit("number"))
@@ -47,6 +53,10 @@ def kind(v: Column) -> Column:
             .otherwise(F.lit("other")))
 
 
+def kind(v: Column) -> Column:
+    return kind_of(F.schema_of_variant(v))
+
+
 def _string(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
@@ -59,110 +69,132 @@ def _nkeys(v: Column) -> Column:
     return F.size(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def _is_numeric(v: Column) -> Column:
-    return kind(v).isin("number", "bool")
-
-
-def sized_length(v: Column) -> Column:
-    """Python ``len()`` of a JSON value: code points of a string, elements of
-    an array, keys of an object; null where ``len`` raises."""
-    k = kind(v)
+def _length(k: Column, v: Column) -> Column:
+    """Python ``len()`` of a JSON value of kind ``k``; null where it raises."""
     return (F.when(k == "string", F.char_length(_string(v)))
             .when(k == "array", F.size(_array(v)))
             .when(k == "object", _nkeys(v)))
 
 
-def _sample_code(v: Column) -> Column:
-    """0 = a valid 4-number sample, 400 = wrong length, 500 = model error."""
-    n = sized_length(v)
-    all_numeric = F.forall(_array(v), lambda e: _is_numeric(e))
-    return (F.when(n.isNull(), F.lit(500))
-            .when(n != N_FEATURES, F.lit(400))
-            .when((kind(v) == "array") & all_numeric, F.lit(0))
-            .otherwise(F.lit(500)))
+def _doubles(arr: Column) -> Column:
+    return F.transform(arr, lambda e: F.try_variant_get(e, "$", "double"))
 
 
-def _values(v: Column) -> Column:
-    return F.transform(_array(v), lambda e: F.try_variant_get(e, "$", "double"))
+def _four_numbers(t: Column, arr: Column) -> Column:
+    """True when a 4-element array (type string ``t``, elements ``arr``) holds
+    only numbers/booleans: a homogeneous numeric type needs only a null check;
+    a mixed array is checked element by element."""
+    no_null = ~F.exists(_doubles(arr), lambda x: x.isNull())
+    mixed_ok = F.forall(arr, lambda e: kind(e).isin("number", "bool"))
+    return F.when(t.rlike(_NUMERIC_ARRAY), no_null).otherwise(mixed_ok)
 
 
-def _envelope(body: Column):
-    """Parsed body, its kind, the ``features`` value, and the status decided
-    before ``features`` is looked at (null when it is present)."""
-    v = F.try_parse_json(body)
-    k = kind(v)
+def _envelope(df: DataFrame, body: str) -> DataFrame:
+    """Adds ``__f`` (the ``features`` value), ``__ft`` (its type string) and
+    ``__pre_status``/``__pre_error`` (decided before ``features`` is read;
+    null when it is present)."""
+    df = df.withColumn("__v", F.try_parse_json(F.col(body)))
+    df = df.withColumns({"__vt": F.schema_of_variant("__v"),
+                         "__f": F.try_variant_get("__v", "$.features", "variant")})
+    df = df.withColumns({"__k": kind_of(F.col("__vt")), "__ft": F.schema_of_variant("__f")})
+    v, k = F.col("__v"), F.col("__k")
     num = F.try_variant_get(v, "$", "double")
     falsy = ((k == "null") | (k.isin("bool", "number") & (num == 0))
              | ((k == "string") & (F.char_length(_string(v)) == 0))
              | ((k == "array") & (F.size(_array(v)) == 0))
              | ((k == "object") & (_nkeys(v) == 0)))
-    feats = F.try_variant_get(v, "$.features", "variant")
     string_elems = F.transform(_array(v), lambda e: F.when(kind(e) == "string", _string(e)))
     member_fails = (k.isin("bool", "number")
                     | ((k == "string") & (F.instr(_string(v), "features") > 0))
                     | ((k == "array") & F.coalesce(F.array_contains(string_elems, "features"), F.lit(False))))
-    pre_status = (F.when(v.isNull(), F.lit(500))
-                  .when(falsy, F.lit(400))
-                  .when(k != "object", F.when(member_fails, F.lit(500)).otherwise(F.lit(400)))
-                  .when(feats.isNull(), F.lit(400)))
-    pre_error = (F.when(v.isNull(), F.lit(NOT_JSON))
-                 .when(falsy, F.lit(MISSING))
-                 .when(k != "object", F.when(member_fails, F.lit(NOT_CONTAINER)).otherwise(F.lit(MISSING)))
-                 .when(feats.isNull(), F.lit(MISSING)))
-    return feats, pre_status, pre_error
-
-
-def single_request(body: Column) -> Column:
-    """``struct<status int, error string, received int, features array<double>>``
-    for a single-prediction body (M6)."""
-    feats, pre_status, pre_error = _envelope(body)
-    n = sized_length(feats)
-    code = _sample_code(feats)
-    status = F.coalesce(pre_status, F.when(code == 0, F.lit(200)).otherwise(code))
-    error = F.coalesce(pre_error, F.when(code == 0, F.lit(None).cast("string"))
+    feats_absent = F.col("__f").isNull()
+    df = df.withColumn("__pre", F.when(v.isNull(), F.struct(F.lit(500).alias("s"), F.lit(NOT_JSON).alias("e")))
+                       .when(falsy, F.struct(F.lit(400).alias("s"), F.lit(MISSING).alias("e")))
+                       .when(k != "object", F.when(member_fails, F.struct(F.lit(500).alias("s"),
+                                                                          F.lit(NOT_CONTAINER).alias("e")))
+                             .otherwise(F.struct(F.lit(400).alias("s"), F.lit(MISSING).alias("e"))))
+                       .when(feats_absent, F.struct(F.lit(400).alias("s"), F.lit(MISSING).alias("e"))))
+    return df.select("*", F.col("__pre.s").alias("__pre_status"), F.col("__pre.e").alias("__pre_error")) \
+        .drop("__v", "__vt", "__k", "__pre")
+
+
+_TEMP = ["__f", "__ft", "__fk", "__farr", "__n", "__code", "__pre_status", "__pre_error"]
+
+
+def single_request(df: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``status int, error string, received int, features array<double>``
+    for single-prediction bodies (M6)."""
+    df = _envelope(df, body)
+    df = df.withColumn("__fk", kind_of(F.col("__ft")))
+    df = df.withColumn("__farr", F.when(F.col("__fk") == "array", _array(F.col("__f"))))
+    fk, f, arr = F.col("__fk"), F.col("__f"), F.col("__farr")
+    df = df.withColumn("__n", F.when(fk == "array", F.size(arr)).otherwise(_length(fk, f)))
+    n = F.col("__n")
+    df = df.withColumn("__code", F.when(n.isNull(), F.lit(500)).when(n != N_FEATURES, F.lit(400))
+                       .when((fk == "array") & _four_numbers(F.col("__ft"), arr), F.lit(0))
+                       .otherwise(F.lit(500)))
+    code, pre = F.col("__code"), F.col("__pre_status")
+    status = F.coalesce(pre, F.when(code == 0, F.lit(200)).otherwise(code)).cast("int")
+    error = F.coalesce(F.col("__pre_error"), F.when(code == 0, F.lit(None).cast("string"))
                        .when(n.isNull(), F.lit(NO_LENGTH))
                        .when(code == 400, F.lit(BAD_LENGTH))
                        .otherwise(F.lit(NOT_NUMERIC)))
-    received = F.when(pre_status.isNull() & (code == 400), n)
-    values = F.when(status == 200, _values(feats))
-    return F.struct(status.cast("int").alias("status"), error.alias("error"),
-                    received.cast("int").alias("received"), values.alias("features"))
-
-
-def batch_request(body: Column) -> Column:
-    """``struct<status int, error string, samples array<array<double>>>`` for
-    a batch body (M7): the first offending sample decides; no partial output."""
-    feats, pre_status, pre_error = _envelope(body)
-    fk = kind(feats)
-    s = _string(feats)
-    # iterating a string yields 1-character samples; an object yields its keys
-    # (document order, taken from the JSON text)
-    keys = F.json_object_keys(F.get_json_object(body, "$.features"))
-    samples = _array(feats)
-    codes = F.transform(samples, lambda e: _sample_code(e))
-    first = F.array_position(F.transform(codes, lambda c: c != 0), True)  # 1-based, 0 = none
-    arr_status = F.when(first == 0, F.lit(200)).otherwise(F.element_at(codes, first.cast("int")))
-    arr_len = F.when(first > 0, sized_length(F.element_at(samples, first.cast("int"))))
+    df = df.withColumns({"status": status, "error": error,
+                         "received": F.when(pre.isNull() & (code == 400), n).cast("int")})
+    df = df.withColumn("features", F.when(F.col("status") == 200, _doubles(arr)))
+    return df.drop(*_TEMP)
+
+
+def _sample_codes(samples: Column) -> Column:
+    """Per sample ``struct<code, len>``: 0 = valid, 400 = wrong length, 500 = error."""
+    typed = F.transform(samples, lambda e: F.struct(e.alias("v"), F.schema_of_variant(e).alias("t")))
+
+    def code(s: Column) -> Column:
+        k = kind_of(s["t"])
+        n = _length(k, s["v"])
+        c = (F.when(n.isNull(), F.lit(500)).when(n != N_FEATURES, F.lit(400))
+             .when((k == "array") & _four_numbers(s["t"], _array(s["v"])), F.lit(0)).otherwise(F.lit(500)))
+        return F.struct(c.alias("code"), n.alias("len"))
+
+    return F.transform(typed, code)
+
+
+def batch_request(df: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``status int, error string, samples array<array<double>>`` for
+    batch bodies (M7): the first offending sample decides; no partial output."""
+    df = _envelope(df, body)
+    df = df.withColumn("__fk", kind_of(F.col("__ft")))
+    df = df.withColumn("__farr", F.when(F.col("__fk") == "array", _array(F.col("__f"))))
+    df = df.withColumn("__codes", _sample_codes(F.col("__farr")))
+    df = df.withColumn("__first", F.array_position(F.transform("__codes", lambda c: c["code"] != 0), True))
+    fk, first = F.col("__fk"), F.col("__first")
+    bad = F.element_at("__codes", first.cast("int"))
+    arr_status = F.when(first == 0, F.lit(200)).otherwise(bad["code"])
+    # iterating a string yields 1-character samples; an object yields its
+    # keys in document order (taken from the JSON text)
+    s_len = F.char_length(_string(F.col("__f")))
+    keys = F.json_object_keys(F.get_json_object(F.col(body), "$.features"))
     first_key_len = F.char_length(F.element_at(keys, 1))
-    status = F.coalesce(pre_status, (
-        F.when(fk.isin("null", "bool", "number"), F.lit(500))
-        .when(fk == "string", F.when(F.char_length(s) == 0, F.lit(200)).otherwise(F.lit(400)))
-        .when(fk == "object", F.when(F.size(keys) == 0, F.lit(200))
-              .when(first_key_len != N_FEATURES, F.lit(400)).otherwise(F.lit(500)))
-        .otherwise(arr_status)))
-    sample_msg = F.concat(F.lit("Sample "), (first - 1).cast("string"),
-                          F.lit(f": Expected {N_FEATURES} features, got "))
-    error = F.coalesce(pre_error, (
-        F.when(fk.isin("null", "bool", "number"), F.lit(NOT_ITERABLE))
-        .when(fk == "string", F.when(F.char_length(s) == 0, F.lit(None).cast("string"))
-              .otherwise(F.lit(f"Sample 0: Expected {N_FEATURES} features, got 1")))
-        .when(fk == "object", F.when(F.size(keys) == 0, F.lit(None).cast("string"))
-              .when(first_key_len != N_FEATURES,
-                    F.concat(F.lit(f"Sample 0: Expected {N_FEATURES} features, got "),
-                             first_key_len.cast("string")))
-              .otherwise(F.lit(NOT_NUMERIC)))
-        .when(arr_status == 400, F.concat(sample_msg, arr_len.cast("string")))
-        .when(arr_status == 500, F.lit(NOT_NUMERIC))))
-    ok_samples = F.when((status == 200) & (fk == "array"), F.transform(samples, lambda e: _values(e))) \
-        .when(status == 200, F.array().cast("array<array<double>>"))
-    return F.struct(status.cast("int").alias("status"), error.alias("error"), ok_samples.alias("samples"))
+    outcome = (
+        F.when(fk.isin("null", "bool", "number"), F.struct(F.lit(500).alias("s"), F.lit(NOT_ITERABLE).alias("e")))
+        .when(fk == "string", F.when(s_len == 0, F.struct(F.lit(200).alias("s"), F.lit(None).cast("string").alias("e")))
+              .otherwise(F.struct(F.lit(400).alias("s"),
+                                  F.lit(f"Sample 0: Expected {N_FEATURES} features, got 1").alias("e"))))
+        .when(fk == "object", F.when(F.size(keys) == 0, F.struct(F.lit(200).alias("s"),
+                                                                 F.lit(None).cast("string").alias("e")))
+              .when(first_key_len != N_FEATURES, F.struct(F.lit(400).alias("s"), F.concat(
+                  F.lit(f"Sample 0: Expected {N_FEATURES} features, got "), first_key_len.cast("string")).alias("e")))
+              .otherwise(F.struct(F.lit(500).alias("s"), F.lit(NOT_NUMERIC).alias("e"))))
+        .when(arr_status == 400, F.struct(F.lit(400).alias("s"), F.concat(
+            F.lit("Sample "), (first - 1).cast("string"), F.lit(f": Expected {N_FEATURES} features, got "),
+            bad["len"].cast("string")).alias("e")))
+        .when(arr_status == 500, F.struct(F.lit(500).alias("s"), F.lit(NOT_NUMERIC).alias("e")))
+        .otherwise(F.struct(F.lit(200).alias("s"), F.lit(None).cast("string").alias("e"))))
+    df = df.withColumn("__out", F.when(F.col("__pre_status").isNotNull(),
+                                       F.struct(F.col("__pre_status").alias("s"), F.col("__pre_error").alias("e")))
+                       .otherwise(outcome))
+    df = df.withColumns({"status": F.col("__out.s").cast("int"), "error": F.col("__out.e")})
+    ok = F.col("status") == 200
+    df = df.withColumn("samples", F.when(ok & (fk == "array"), F.transform("__farr", lambda e: _doubles(_array(e))))
+                       .when(ok, F.array().cast("array<array<double>>")))
+    return df.drop(*_TEMP, "__codes", "__first", "__out")

@@ -48,31 +48,33 @@ def _predict_columns(df: DataFrame, model: ServingModel, xs: Sequence[str], ok)
 def score_requests(requests: DataFrame, model: ServingModel, as_of: str | None = None) -> DataFrame:
     """One result row per request: status, error, received length, echoed
     inputs, prediction, class name, per-class probabilities, confidence."""
-    r = requests.withColumn("__r", single_request(F.col("body")))
+    r = single_request(requests.select("req_id", "body"), "body")
     xs = [f"__x{i}" for i in range(len(model.feature_names))]
-    r = r.select("req_id", "__r.*", *[F.element_at("__r.features", i + 1).alias(x) for i, x in enumerate(xs)])
-    echoed = [F.col(x).alias(f"in_{name}") for x, name in zip(xs, model.feature_names)]
-    r = r.select("*", *echoed)
+    r = r.select("req_id", "status", "error", "received",
+                 *[F.element_at("features", i + 1).alias(x) for i, x in enumerate(xs)])
+    r = r.select("*", *[F.col(x).alias(f"in_{name}") for x, name in zip(xs, model.feature_names)])
     ok = F.col("status") == 200
-    out = _predict_columns(r, model, xs, ok)
-    out = out.withColumn("success", ok)
+    out = _predict_columns(r, model, xs, ok).withColumn("success", ok)
     if as_of is not None:
         out = out.withColumn("timestamp", F.when(ok, F.lit(as_of)))
-    return out.drop("features", *xs)
+    return out.drop(*xs)
 
 
 def score_batch_requests(requests: DataFrame, model: ServingModel):
     """``(summary, predictions)``: per request ``status, error, success,
     total_samples``; per sample of a successful request ``sample_id`` (0-based
     position, R6), inputs and prediction."""
-    b = requests.select("req_id", batch_request(F.col("body")).alias("__b"))
-    summary = b.select(
-        "req_id", F.col("__b.status").alias("status"), F.col("__b.error").alias("error"),
-        (F.col("__b.status") == 200).alias("success"),
-        F.when(F.col("__b.status") == 200, F.size("__b.samples")).cast("int").alias("total_samples"))
+    b = batch_request(requests.select("req_id", "body"), "body")
+    ok = F.col("status") == 200
+    summary = b.select("req_id", "status", "error", ok.alias("success"),
+                       F.when(ok, F.size("samples")).cast("int").alias("total_samples"))
     xs = [f"__x{i}" for i in range(len(model.feature_names))]
-    samples = b.where(F.col("__b.status") == 200).select(
-        "req_id", F.posexplode("__b.samples").alias("sample_id", "__s"))
+    # A filter on status, or the non-null filter Spark infers for an inner
+    # explode, would be pushed down and re-expanded into every rule
+    # projection; the outer explode keeps the rules computed once, and the
+    # filter on its output position cannot move below the generator.
+    samples = b.select("req_id", F.posexplode_outer("samples").alias("sample_id", "__s")) \
+        .where(F.col("sample_id").isNotNull())
     samples = samples.select("req_id", F.col("sample_id").cast("int").alias("sample_id"),
                              *[F.element_at("__s", i + 1).alias(x) for i, x in enumerate(xs)])
     samples = samples.select("*", *[F.col(x).alias(f"in_{n}") for x, n in zip(xs, model.feature_names)])
