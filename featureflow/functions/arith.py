@@ -13,8 +13,9 @@ def _col(c) -> Column:
 
 
 def is_negative_zero(c: Column) -> Column:
-    # atan2(+0, -0) = pi while atan2(+0, +0) = 0
-    return (c == 0) & (F.atan2(F.lit(0.0), c) > 0)
+    # -0.0 == 0.0 and Spark's atan2 normalises the sign, but the string form
+    # keeps it; the cast only runs for a zero (AND short-circuits)
+    return (c == 0) & c.cast("string").startswith("-")
 
 
 def ieee_div(a, b, mode: str = "ieee") -> Column:

@@ -51,7 +51,7 @@ def derived_features(df: DataFrame, measures: Sequence[str] = FEATURE_MEASURES)
 
 
 def engineer_features(df: DataFrame, order_col: str, rename: dict[str, str], base_time,
-                      created_time, buckets: int = 4096) -> DataFrame:
+                      created_time, buckets: int | None = None) -> DataFrame:
     """Feature table in the fixed 10-column schema (F1–F5, P1, P2, IO5).
 
     ``entity_id`` is the row's 0-based position in ``order_col`` order, as a

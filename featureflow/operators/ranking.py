@@ -109,7 +109,7 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
     if buckets <= 1:
         return staged.withColumn(out, F.lit(0.0)).drop(_KEYNUM)
     probs = [i / buckets for i in range(1, buckets)]
-    acc = accuracy or max(10000, 10 * buckets)
+    acc = accuracy or max(10000, 4 * buckets)
     row = staged.agg(F.percentile_approx(_KEYNUM, probs, acc).alias("b")).first()
     bounds = sorted({float(x) for x in (row["b"] or [])})
     splits = [float("-inf")] + bounds + [float("inf")]
@@ -119,17 +119,22 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
     return bz.transform(staged).drop(_KEYNUM)
 
 
-def row_index(df: DataFrame, order_col: str, name: str = "row_index",
-              buckets: int = 4096) -> DataFrame:
+def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: int | None = None,
+              rows_per_bucket: int = 1_000_000, max_buckets: int = 65536) -> DataFrame:
     """Contiguous 0..n-1 index in ``order_col`` order (F1).
 
     Not ``monotonically_increasing_id`` (gaps, depends on partitioning) and
-    not an un-partitioned window (one task).
+    not an un-partitioned window (one task for everything). The number of
+    range buckets follows the row count (about ``rows_per_bucket`` rows
+    per window task) unless ``buckets`` is given.
     """
     if df.schema[order_col].nullable:
         df = df.withColumn(order_col, F.when(F.col(order_col).isNull(),
                                              F.raise_error(F.lit(f"null in order key {order_col}")))
                            .otherwise(F.col(order_col)))
+    if buckets is None:
+        n = df.count()
+        buckets = int(min(max_buckets, max(1, -(-n // rows_per_bucket))))
     staged = with_quantile_bucket(df, order_col, "__ff_qbucket", buckets)
     ranked = exact_rank(staged, [order_col], F.col("__ff_qbucket"), name=name)
     return ranked.drop("__ff_qbucket")
