@@ -72,3 +72,18 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and len(df.columns) == 10
     assert set(E.oracle_sql()) <= set(E.queries())
     assert os.path.isdir(SF0001)
+
+
+def test_workflow_end_to_end(spark):
+    from featureflow.plans.workflow import WorkflowConfig, run_workflow
+    from featureflow.sources.standins import OBS_RENAME
+    out = scratch_path(spark, "workflow")
+    cfg = WorkflowConfig(id_col="obs_id", label_col="label", classes=CLASSES, measures=OBS_MEASURES,
+                         rename=OBS_RENAME, base_time="2024-06-01 00:00:00", as_of="2024-06-01 12:00:00",
+                         out_dir=out, grid={"num_trees": [10], "max_depth": [3, 5], "min_samples_leaf": [1]},
+                         n_folds=3)
+    res = run_workflow(spark, rule_labelled_observations(spark, SF0001), cfg)
+    assert res["metrics"]["accuracy"] > 0.8 and res["metrics"]["cv_score"] > 0.8
+    lines = spark.read.text(f"{out}/confusion_matrix").collect()
+    assert len(lines) == 3
+    assert spark.read.parquet(f"{out}/feature_table").count() == rule_labelled_observations(spark, SF0001).count()
