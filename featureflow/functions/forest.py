@@ -6,7 +6,7 @@ rest of the projection: no Python worker, no model broadcast, no shuffle.
 It gives the same probabilities as the ensemble's own ``predict_proba`` /
 MLlib ``transform`` (mean over trees of leaf class fractions). Large
 forests (many deep trees) make huge expressions; those go through MLlib's
-``transform`` instead (see ``operators/score.py``).
+``transform`` instead (``operators/train.py: predict``).
 """
 
 from __future__ import annotations
@@ -43,7 +43,11 @@ class Forest:
 
 
 def forest_from_node_table(df: DataFrame, classes: Sequence) -> Forest:
-    """Build from a node table (model metadata: trees × nodes rows)."""
+    """Build from a node table (model metadata: trees × nodes rows). The
+    node count is checked before anything is brought to the driver."""
+    n = df.count()
+    if n > MAX_EXPRESSION_NODES:
+        raise ValueError(f"forest has {n} nodes; score it with MLlib transform instead")
     rows = [tuple(r) for r in df.select(*[f.name for f in NODE_SCHEMA.fields]).collect()]
     return Forest(tuple(classes), tuple(rows))
 

@@ -88,3 +88,12 @@ def test_metric_gates_skip_absent(spark):
                                                                  "other": 0.1}).collect()}
     assert got == {"accuracy": "passed", "cv_score": "skipped", "other": "skipped"}
     assert F is not None
+
+
+def test_artifact_checks(spark, tmp_path):
+    good = str(tmp_path / "t")
+    spark.range(3).write.parquet(good)
+    res = {r["column"]: r["passed"] for r in V.artifact_checks(
+        spark, {"table": ("parquet", good), "gone": ("parquet", str(tmp_path / "nope")),
+                "model": ("model", str(tmp_path / "nomodel"))}).collect()}
+    assert res == {"table": True, "gone": False, "model": False}
