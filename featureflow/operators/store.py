@@ -62,7 +62,9 @@ def asof_join(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts
               bucket: dt.timedelta | None = None) -> DataFrame:
     """Spine columns + the view's feature values + ``feature_timestamp``."""
     key = view.key
-    width = bucket or view.ttl or dt.timedelta(days=1)
+    # narrow buckets split a hot key over many window tasks; the carry table
+    # holds at most (time span / width) rows per key
+    width = bucket or min(view.ttl or dt.timedelta(hours=1), dt.timedelta(hours=1))
     created = F.col(view.created_ts) if view.created_ts else F.lit(None).cast("timestamp_ntz")
     feat_struct = F.struct(F.col(view.event_ts).alias("__ets"), created.alias("__cts"),
                            *[F.col(f).alias(f) for f in view.features])
