@@ -107,16 +107,16 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
     keyd = key_as_double(df, col)
     staged = df.withColumn(_KEYNUM, keyd)
     if buckets <= 1:
-        return staged.withColumn(out, F.lit(0.0)).drop(_KEYNUM)
+        return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
     probs = [i / buckets for i in range(1, buckets)]
     acc = accuracy or max(10000, 4 * buckets)
     row = staged.agg(F.percentile_approx(_KEYNUM, probs, acc).alias("b")).first()
     bounds = sorted({float(x) for x in (row["b"] or [])})
     splits = [float("-inf")] + bounds + [float("inf")]
     if len(splits) < 3:
-        return staged.withColumn(out, F.lit(0.0)).drop(_KEYNUM)
+        return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
     bz = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=out, handleInvalid="error")
-    return bz.transform(staged).drop(_KEYNUM)
+    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop(_KEYNUM)
 
 
 def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: int | None = None,
@@ -133,8 +133,11 @@ def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: i
                                              F.raise_error(F.lit(f"null in order key {order_col}")))
                            .otherwise(F.col(order_col)))
     if buckets is None:
+        # at least one bucket per default task slot, so the window is always
+        # hash-partitioned by bucket (never a single-partition exchange)
         n = df.count()
-        buckets = int(min(max_buckets, max(1, -(-n // rows_per_bucket))))
+        floor = max(2, df.sparkSession.sparkContext.defaultParallelism)
+        buckets = int(min(max_buckets, max(floor, -(-n // rows_per_bucket))))
     staged = with_quantile_bucket(df, order_col, "__ff_qbucket", buckets)
     ranked = exact_rank(staged, [order_col], F.col("__ff_qbucket"), name=name)
     return ranked.drop("__ff_qbucket")
