@@ -62,6 +62,9 @@ def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[s
         F.when(F.col("__q_r") == F.col("__q_hi"), F.col("__q_v")).alias("__q_vhi"))
     hs = stats.select(*groups, "__q_h", "__q_lo").distinct()
     ends = const.unionByName(picked).groupBy(*groups).agg(F.max("__q_vlo").alias("vlo"), F.max("__q_vhi").alias("vhi"))
-    out = ends.join(hs, on=groups, how="inner").select(
-        *groups, (F.col("vlo") + (F.col("__q_h") - F.col("__q_lo")) * (F.col("vhi") - F.col("vlo"))).alias(name))
-    return out.drop("__q_all") if groups == ["__q_all"] else out
+    interp = lambda h, lo: F.col("vlo") + (h - lo) * (F.col("vhi") - F.col("vlo"))
+    if groups == ["__q_all"]:
+        # one global value: h and lo as scalar subqueries (a join on the
+        # constant key would be planned as a nested-loop join)
+        return ends.select(interp(hs.select("__q_h").scalar(), hs.select("__q_lo").scalar()).alias(name))
+    return ends.join(hs, on=groups, how="inner").select(*groups, interp(F.col("__q_h"), F.col("__q_lo")).alias(name))

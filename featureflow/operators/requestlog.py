@@ -43,8 +43,10 @@ def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), p: float = 0
     base = log.groupBy(*groups).agg(*aggs)
     if not approx:
         pct = exact_percentile(log.where(ok), "response_time", p, groups, "p95_response_time")
-        base = base.join(pct, on=groups, how="left") if groups else \
-            base.withColumn("__one", F.lit(1)).join(pct.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+        if groups:
+            base = base.join(pct, on=groups, how="left")
+        else:  # one global value: a scalar subquery, not a join
+            base = base.withColumn("p95_response_time", pct.select("p95_response_time").scalar())
     n, s = F.col("total_requests"), F.col("successful_requests")
     has_ok = s > 0
     return base.select(

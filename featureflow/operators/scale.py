@@ -48,5 +48,8 @@ def apply_scaler(df: DataFrame, scaler: DataFrame | None, cols: Sequence[str]) -
     scaler leaves the values unscaled, as the reference's service does."""
     if scaler is None:
         return df
-    m = scaler_map(scaler)
-    return df.withColumns({c: (F.col(c) - m[c]["mean"]) / m[c]["scale"] for c in cols})
+    # one scalar subquery, referenced by every column (kept as its own
+    # projection because it is used more than once)
+    staged = df.withColumn("__ff_scaler", scaler_map(scaler))
+    m = F.col("__ff_scaler")
+    return staged.withColumns({c: (F.col(c) - m[c]["mean"]) / m[c]["scale"] for c in cols}).drop("__ff_scaler")

@@ -32,9 +32,10 @@ class ServingModel:
 
 def _predict_columns(df: DataFrame, model: ServingModel, xs: Sequence[str], ok) -> DataFrame:
     if model.scaler is not None:
-        m = scaler_map(model.scaler)
+        df = df.withColumn("__scaler", scaler_map(model.scaler))
+        m = F.col("__scaler")
         df = df.withColumns({x: (F.col(x) - m[name]["mean"]) / m[name]["scale"]
-                             for x, name in zip(xs, model.feature_names)})
+                             for x, name in zip(xs, model.feature_names)}).drop("__scaler")
     proba = F.when(ok, forest_proba(model.forest, xs))
     pred = argmax_index(proba)
     return df.withColumns({
