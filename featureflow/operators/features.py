@@ -24,6 +24,12 @@ def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def head_rows(df: DataFrame, order_cols: Sequence[str], n: int = 5) -> DataFrame:
+    """First ``n`` rows (P4). Spark keeps no row order, so "first" is by the
+    given key; planned as a top-n (each task keeps n rows, one merge)."""
+    return df.orderBy(*[F.col(c) for c in order_cols]).limit(n)
+
+
 def raw_snapshot(df: DataFrame, id_col: str, measures: dict[str, str], label_col: str,
                  classes: Sequence[str], class_names: Sequence[str], as_of) -> DataFrame:
     """Raw table (IO3): measures under their raw names, numeric ``target``

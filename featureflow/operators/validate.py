@@ -133,6 +133,11 @@ def same_columns(left: DataFrame, right: DataFrame) -> Rule:
     return Rule(rows=[_row("same_columns", "*", F.lit(1.0 if ok else 0.0), F.lit(1.0), F.lit(ok))])
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """``(rows, columns)`` of a frame (A1): one count, the width from the schema."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"))
+
+
 def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Evaluate all rules with one aggregate pass over ``df``."""
     aggs = [a for r in rules for a in r.aggs]

@@ -14,7 +14,9 @@ from featureflow.functions.forest import STANDIN_FOREST, argmax_index, confidenc
 from featureflow.operators import evaluate as EV
 from featureflow.operators import validate as V
 from featureflow.operators.align import align, alignment_report
-from featureflow.operators.features import derived_features, engineer_features, raw_snapshot, rename_columns
+from featureflow.operators.features import (
+    derived_features, engineer_features, head_rows, raw_snapshot, rename_columns,
+)
 from featureflow.operators.ranking import row_index
 from featureflow.operators.requestlog import latency_flags, latency_summary, read_request_log, write_request_log
 from featureflow.operators.train import (
@@ -64,6 +66,15 @@ def q_label_lookup(spark: SparkSession, sf: str) -> DataFrame:
                         "label", OBS_CLASSES, OBS_CLASS_NAMES, AS_OF)
 
 
+def q_snapshot_head(spark: SparkSession, sf: str) -> DataFrame:
+    # the reference prints the first 5 raw rows; the limit is the feature
+    return head_rows(q_label_lookup(spark, sf), ["obs_id"], 5)
+
+
+def q_snapshot_shape(spark: SparkSession, sf: str) -> DataFrame:
+    return V.shape(q_label_lookup(spark, sf))
+
+
 def q_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return engineer_features(observations(spark, sf), "obs_id", OBS_RENAME, BASE_TIME, AS_OF)
 
@@ -342,6 +353,8 @@ QUERIES: dict[str, Query] = {
     "row_index": q_row_index,
     "label_lookup": q_label_lookup,
     "feature_table": q_feature_table,
+    "snapshot_head": q_snapshot_head,
+    "snapshot_shape": q_snapshot_shape,
     "stratified_split": q_stratified_split,
     "stratified_folds": q_stratified_folds,
     "scaler_stats": q_scaler_stats,

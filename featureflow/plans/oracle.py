@@ -39,6 +39,21 @@ SELECT obs_id, f1 AS "sepal length (cm)", f2 AS "sepal width (cm)", f3 AS "petal
 FROM obs
 """
 
+ORACLE["snapshot_head"] = f"""
+WITH {OBS}
+SELECT obs_id, f1 AS "sepal length (cm)", f2 AS "sepal width (cm)", f3 AS "petal length (cm)",
+       f4 AS "petal width (cm)",
+       CAST(CASE label WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS INTEGER) AS target,
+       CASE label WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END AS target_name,
+       TIMESTAMP '2024-06-01 12:00:00' AS "timestamp"
+FROM obs ORDER BY obs_id LIMIT 5
+"""
+
+ORACLE["snapshot_shape"] = f"""
+WITH {OBS}
+SELECT count(*) AS "rows", CAST(8 AS INTEGER) AS "columns" FROM obs
+"""
+
 ORACLE["feature_table"] = f"""
 WITH {OBS}, r AS (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS idx FROM obs)
 SELECT CAST(idx AS VARCHAR) AS entity_id, f1 AS sepal_length, f2 AS sepal_width,
