@@ -43,7 +43,12 @@ def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
     """
     parts = list(partition_cols)
     order = list(order_cols)
-    b = df.withColumn(_BUCKET, bucket)
+    # The bucket is never null for the callers here; the coalesce makes that
+    # visible to Catalyst. Otherwise it infers ``isnotnull(bucket)`` from the
+    # offsets join and pushes it (with the whole bucket expression) below
+    # upstream aggregates, e.g. computing an md5 per raw line item, and the
+    # extra filter keeps identical subplans from sharing one exchange.
+    b = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(-1)))
     counts = b.groupBy(*parts, _BUCKET).agg(F.count(F.lit(1)).alias("__ff_n"))
     prior = Window.partitionBy(*parts).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, _BUCKET,

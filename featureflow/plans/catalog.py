@@ -28,6 +28,7 @@ from featureflow.operators.serving import ServingModel, score_batch_requests, sc
 from featureflow.operators.scale import apply_scaler, fit_scaler
 from featureflow.operators.split import stratified_folds, stratified_split
 from featureflow.schema import EVALUATION, FEATURE_MEASURES, RAW_MEASURES
+from featureflow.functions.lookup import lookup_join
 from featureflow.sources.files import load_table, read_record, write_csv, write_record
 from featureflow.streaming.stream_score import start_stream_scoring
 from featureflow.session import scratch_path, table
@@ -182,6 +183,22 @@ def q_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(_r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1_score"))
 
 
+# The reference's quality gates for the tuned model.
+TUNED_GATES = {"accuracy": 0.85, "cv_score": 0.80}
+
+
+def q_metric_gates(spark: SparkSession, sf: str) -> DataFrame:
+    # the evaluation record has no cross-validation score: that gate is skipped
+    rep = EV.evaluation_report(scored_observations(spark, sf), "label", "predicted_label", with_matrix=False)
+    return V.metric_gates(rep, TUNED_GATES).select("metric", _r6("observed"), "threshold", "status")
+
+
+def q_class_name_join(spark: SparkSession, sf: str) -> DataFrame:
+    # code -> name through a lookup table whose size is checked before it is broadcast
+    names = spark.createDataFrame(list(zip(OBS_CLASSES, OBS_CLASS_NAMES)), "label string, class_name string")
+    return lookup_join(observations(spark, sf).select("obs_id", "label"), names, "label")
+
+
 def serving_model() -> ServingModel:
     """The stand-in forest served without a scaler (the reference's service
     falls back to unscaled inputs when no scaler is present)."""
@@ -368,6 +385,8 @@ QUERIES: dict[str, Query] = {
     "confusion_matrix_lines": q_confusion_matrix_lines,
     "classification_report": q_classification_report,
     "evaluation_report": q_evaluation_report,
+    "metric_gates": q_metric_gates,
+    "class_name_join": q_class_name_join,
     "request_score": q_request_score,
     "request_batch_score": q_request_batch_score,
     "request_batch_predictions": q_request_batch_predictions,

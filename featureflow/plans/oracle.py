@@ -226,6 +226,22 @@ mt AS (SELECT cls, support, tp,
               CASE WHEN support + pred_n = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (support + pred_n) END AS f1
        FROM st)"""
 
+ORACLE["metric_gates"] = f"""
+WITH {OBS}, {FOREST}, {PAIRS}, acc AS (SELECT sum(tp)::DOUBLE / sum(support) AS a FROM mt)
+SELECT 'accuracy' AS metric, round(a, 6) AS observed, 0.85::DOUBLE AS threshold,
+       CASE WHEN a > 0.85 THEN 'passed' ELSE 'failed' END AS status
+FROM acc
+UNION ALL
+SELECT 'cv_score', NULL::DOUBLE, 0.80::DOUBLE, 'skipped'
+"""
+
+ORACLE["class_name_join"] = f"""
+WITH {OBS}
+SELECT obs_id, label,
+       CASE label WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END AS class_name
+FROM obs
+"""
+
 ORACLE["confusion_matrix"] = f"""
 WITH {OBS}, {FOREST}, {PAIRS}
 SELECT actual, predicted, CAST(n AS BIGINT) AS n FROM cm
