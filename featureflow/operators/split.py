@@ -54,13 +54,15 @@ def _allocation(label_col: str, test_size: float):
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2,
-                     seed: int = 42, hex_digits: int = 3, rank_col: str = "class_rank",
+                     seed: int = 42, hex_digits: int = 5, rank_col: str = "class_rank",
                      split_col: str = "split") -> DataFrame:
     """Adds ``split`` ('train'|'test') and the row's 0-based ``class_rank``.
 
     Work per task is bounded by the hash buckets (16**hex_digits per class),
-    not by class size, so a class holding a third of all rows is spread out.
-    ``id_col`` must be unique.
+    not by class size, so a class holding a third of all rows is spread out:
+    with 5 digits (about a million buckets per class) a class of 3e11 rows
+    puts about 3e5 rows in each window task, while the bucket-count table
+    stays at most ``classes * 16**hex_digits`` rows. ``id_col`` must be unique.
     """
     h = "__ff_h"
     staged = df.withColumn(h, split_hash(id_col, seed))
