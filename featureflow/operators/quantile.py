@@ -1,4 +1,4 @@
-"""Exact percentile with linear interpolation, without collecting a group.
+"""Exact percentile with linear interpolation, without gathering a group.
 
 ``percentile`` keeps a value→count map per group (unbounded for a big
 group of continuous values) and ``percentile_approx`` is approximate. Here:
@@ -6,65 +6,127 @@ group of continuous values) and ``percentile_approx`` is approximate. Here:
 1. every value gets a bucket from global approximate-quantile boundaries
    (a parameter-sized array; MLlib Bucketizer does a JVM binary search);
 2. ``(group, bucket)`` counts, min and max → prefix counts (small table);
-3. per group the target ranks ``floor(h)``, ``ceil(h)`` with
-   ``h = (n - 1) * p`` pick at most two buckets; a bucket whose values are
-   all equal answers directly;
-4. only rows of the remaining target buckets are ranked (row_number inside
-   the bucket + prefix count), and the two order statistics interpolate:
-   ``v_lo + (h - lo) * (v_hi - v_lo)``.
-
-Exact for any boundaries; balanced boundaries keep each ranked bucket near
-``n / buckets`` rows.
+   per group the target ranks ``floor(h)``, ``ceil(h)`` with
+   ``h = (n - 1) * p`` each get the value range ``[a, b]`` of the bucket
+   holding them and the number of the group's values below ``a``;
+3. narrowing: while a target range still holds more than ``max_rank_rows``
+   values, its rows (a map-side filter against the size-checked broadcast
+   table of open targets, so a hot group is never shuffled to one task)
+   are split into ``buckets`` equal-width sub-ranges with a partial
+   aggregate, and the sub-range holding the rank becomes the new range.
+   The range's minimum and maximum always land in different sub-ranges,
+   so every round shrinks it; the small target table is checkpointed
+   between rounds;
+4. a range of equal values answers directly; the others (at most
+   ``max_rank_rows`` rows each after narrowing) are ranked with
+   ``row_number`` plus the count below the range, and the two order
+   statistics interpolate: ``v_lo + (h - lo) * (v_hi - v_lo)``.
+
+Exact for any boundaries; balanced boundaries only make it fast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featureflow.operators.ranking import with_quantile_bucket
+from featureflow.session import ensure_checkpoint_dir
 
 _B = "__q_bucket"
+_V = "__q_v"
+# target table columns: the rank, its value range [a, b], the number of the
+# group's values below a, the number of values in [a, b]
+_T = ["__q_r", "__q_a", "__q_b", "__q_before", "__q_c"]
+# per-group interpolation columns carried on every target row
+_H = ["__q_h", "__q_lo", "__q_hi"]
+
+
+def _in_range(r: Column, before: Column, c: Column) -> Column:
+    return (before <= r) & (r < before + c)
+
+
+def _targets_from_ranges(ranges: DataFrame, groups: list[str], part: list[str], order: str) -> DataFrame:
+    """From ``(groups..., part..., order, __q_cnt, __q_min, __q_max, __q_base, ranks...)``
+    ranges (ordered by ``order`` within ``groups + part``), the range holding
+    each wanted rank ``__q_want`` as a new target row."""
+    prior = Window.partitionBy(*groups, *part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__q_base") + F.coalesce(F.sum("__q_cnt").over(prior), F.lit(0))
+    r = ranges.select("*", before.alias("__q_bf"))
+    hit = r.where(_in_range(F.col("__q_want"), F.col("__q_bf"), F.col("__q_cnt")))
+    return hit.select(*groups, F.col("__q_want").alias("__q_r"), F.col("__q_min").alias("__q_a"),
+                      F.col("__q_max").alias("__q_b"), F.col("__q_bf").cast("long").alias("__q_before"),
+                      F.col("__q_cnt").cast("long").alias("__q_c"), *_H)
+
+
+def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str], max_broadcast: int) -> DataFrame:
+    """Value rows of each target's range: the target table is broadcast when
+    its row count is within ``max_broadcast`` (then the filter runs map-side
+    and nothing is shuffled by group); a larger table takes a shuffle join."""
+    n = targets.count()
+    side = F.broadcast(targets) if n <= max_broadcast else targets
+    j = vals.join(side, on=groups, how="inner")
+    return j.where((F.col(_V) >= F.col("__q_a")) & (F.col(_V) <= F.col("__q_b")))
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[str] = (),
-                     name: str = "percentile", buckets: int = 1024) -> DataFrame:
+                     name: str = "percentile", buckets: int = 1024, max_rank_rows: int = 1_000_000,
+                     max_rounds: int = 8, max_broadcast_targets: int = 500_000) -> DataFrame:
     """``(group cols..., name)``; groups with no non-null value are absent."""
+    spark = df.sparkSession
     groups = list(group_cols)
     if not groups:
         df = df.withColumn("__q_all", F.lit(0))
         groups = ["__q_all"]
-    vals = df.select(*groups, F.col(value).cast("double").alias("__q_v")).where(F.col("__q_v").isNotNull())
-    b = with_quantile_bucket(vals, "__q_v", _B, buckets)
-    stats = b.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias("__q_c"), F.min("__q_v").alias("__q_min"),
-                                       F.max("__q_v").alias("__q_max"))
-    w_prior = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*groups)
-    stats = stats.select(
-        "*", F.coalesce(F.sum("__q_c").over(w_prior), F.lit(0)).alias("__q_before"),
-        F.sum("__q_c").over(w_all).alias("__q_n"))
-    h = (F.col("__q_n") - 1).cast("double") * F.lit(float(p))
-    stats = stats.select("*", h.alias("__q_h"), F.floor(h).cast("long").alias("__q_lo"),
-                         F.ceil(h).cast("long").alias("__q_hi"))
-    in_bucket = lambda r: (F.col("__q_before") <= r) & (r < F.col("__q_before") + F.col("__q_c"))
-    targets = stats.where(in_bucket(F.col("__q_lo")) | in_bucket(F.col("__q_hi")))
-    # a target bucket whose values are all equal needs no ranking
-    const = targets.where(F.col("__q_min") == F.col("__q_max")).select(
-        *groups, F.when(in_bucket(F.col("__q_lo")), F.col("__q_min")).alias("__q_vlo"),
-        F.when(in_bucket(F.col("__q_hi")), F.col("__q_min")).alias("__q_vhi"))
-    ranged = targets.where(F.col("__q_min") != F.col("__q_max")).select(*groups, _B, "__q_before", "__q_lo", "__q_hi")
-    rows = b.join(ranged, on=[*groups, _B], how="inner")
-    w = Window.partitionBy(*groups, _B).orderBy("__q_v")
-    rows = rows.withColumn("__q_r", F.row_number().over(w) - 1 + F.col("__q_before"))
-    picked = rows.where((F.col("__q_r") == F.col("__q_lo")) | (F.col("__q_r") == F.col("__q_hi"))).select(
-        *groups, F.when(F.col("__q_r") == F.col("__q_lo"), F.col("__q_v")).alias("__q_vlo"),
-        F.when(F.col("__q_r") == F.col("__q_hi"), F.col("__q_v")).alias("__q_vhi"))
-    hs = stats.select(*groups, "__q_h", "__q_lo").distinct()
-    ends = const.unionByName(picked).groupBy(*groups).agg(F.max("__q_vlo").alias("vlo"), F.max("__q_vhi").alias("vhi"))
-    interp = lambda h, lo: F.col("vlo") + (h - lo) * (F.col("vhi") - F.col("vlo"))
+    vals = df.select(*groups, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
+
+    # level 0: global quantile buckets, per-(group, bucket) statistics
+    b = with_quantile_bucket(vals, _V, _B, buckets)
+    stats = b.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias("__q_cnt"), F.min(_V).alias("__q_min"),
+                                       F.max(_V).alias("__q_max"))
+    n = F.sum("__q_cnt").over(Window.partitionBy(*groups))
+    h = (n - 1).cast("double") * F.lit(float(p))
+    stats = stats.select("*", h.alias("__q_h")).select(
+        "*", F.floor("__q_h").cast("long").alias("__q_lo"), F.ceil("__q_h").cast("long").alias("__q_hi"),
+        F.lit(0).cast("long").alias("__q_base"))
+    stats = stats.select("*", F.explode(F.array_distinct(F.array("__q_lo", "__q_hi"))).alias("__q_want"))
+    ensure_checkpoint_dir(spark)
+    targets = _targets_from_ranges(stats, groups, ["__q_want"], _B).checkpoint(eager=True)
+
+    # narrowing rounds over the targets whose range is still large
+    for _ in range(max_rounds):
+        is_open = ((F.col("__q_a") < F.col("__q_b")) & (F.col("__q_c") > max_rank_rows)
+                   & ((F.col("__q_b") - F.col("__q_a")) < F.lit(float("inf"))))
+        open_t = targets.where(is_open)
+        if open_t.isEmpty():
+            break
+        rows = _rows_in(vals, open_t, groups, max_broadcast_targets)
+        width = F.col("__q_b") - F.col("__q_a")
+        sub = F.least(F.floor((F.col(_V) - F.col("__q_a")) / width * F.lit(buckets)),
+                      F.lit(buckets - 1)).cast("int")
+        ranges = rows.groupBy(*groups, "__q_r", "__q_before", *_H, sub.alias("__q_sub")).agg(
+            F.count(F.lit(1)).alias("__q_cnt"), F.min(_V).alias("__q_min"), F.max(_V).alias("__q_max"))
+        ranges = ranges.select("*", F.col("__q_before").alias("__q_base"), F.col("__q_r").alias("__q_want"))
+        narrowed = _targets_from_ranges(ranges.drop("__q_before", "__q_r"), groups, ["__q_want"], "__q_sub")
+        targets = targets.where(~is_open).unionByName(narrowed).checkpoint(eager=True)
+
+    # values at the target ranks: equal-valued ranges directly, the rest ranked
+    const = targets.where(F.col("__q_a") == F.col("__q_b")).select(
+        *groups, "__q_r", F.col("__q_a").alias("__q_val"))
+    ranged = targets.where(F.col("__q_a") < F.col("__q_b"))
+    rows = _rows_in(vals, ranged.select(*groups, "__q_r", "__q_a", "__q_b", "__q_before"), groups,
+                    max_broadcast_targets)
+    w = Window.partitionBy(*groups, "__q_r").orderBy(_V)
+    ranked = rows.withColumn("__q_k", F.row_number().over(w) - 1 + F.col("__q_before")) \
+        .where(F.col("__q_k") == F.col("__q_r")).select(*groups, "__q_r", F.col(_V).alias("__q_val"))
+    at = const.unionByName(ranked).join(targets.select(*groups, "__q_r", *_H), on=[*groups, "__q_r"])
+    ends = at.groupBy(*groups).agg(
+        F.max(F.when(F.col("__q_r") == F.col("__q_lo"), F.col("__q_val"))).alias("vlo"),
+        F.max(F.when(F.col("__q_r") == F.col("__q_hi"), F.col("__q_val"))).alias("vhi"),
+        F.max("__q_h").alias("h"), F.max("__q_lo").alias("lo"))
+    out = ends.select(*groups, (F.col("vlo") + (F.col("h") - F.col("lo")) * (F.col("vhi") - F.col("vlo")))
+                      .alias(name))
     if groups == ["__q_all"]:
-        # one global value: h and lo as scalar subqueries (a join on the
-        # constant key would be planned as a nested-loop join)
-        return ends.select(interp(hs.select("__q_h").scalar(), hs.select("__q_lo").scalar()).alias(name))
-    return ends.join(hs, on=groups, how="inner").select(*groups, interp(F.col("__q_h"), F.col("__q_lo")).alias(name))
+        return out.drop("__q_all")
+    return out

@@ -23,6 +23,22 @@ def test_exact_percentile_matches_numpy_with_many_buckets(spark):
     assert whole == pytest.approx(float(np.percentile([v for _, v in rows], 50)), abs=1e-12)
 
 
+def test_exact_percentile_narrowing_on_hot_group(spark):
+    # one group holds most rows; a tiny rank budget forces several narrowing
+    # rounds, and a zero broadcast budget forces the shuffle-join path
+    rnd = random.Random(11)
+    rows = [("hot", rnd.expovariate(1.0) ** 3 if i % 4 else 2.0) for i in range(3000)]
+    rows += [("cold", rnd.choice([rnd.random(), 0.5])) for _ in range(300)] + [("pair", 1.0), ("pair", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for kw in (dict(buckets=2, max_rank_rows=1, max_rounds=40), dict(buckets=8, max_rank_rows=10,
+                                                                     max_broadcast_targets=0)):
+        for p in (0.95, 0.5, 1.0):
+            got = {r["g"]: r["p"] for r in exact_percentile(df, "v", p, ["g"], "p", **kw).collect()}
+            for g in ("hot", "cold", "pair"):
+                exp = float(np.percentile([v for gg, v in rows if gg == g], p * 100))
+                assert got[g] == pytest.approx(exp, rel=1e-12, abs=1e-12), (kw, p, g)
+
+
 def _log(spark, rows):
     return spark.createDataFrame(rows, "request_id long, status_code int, response_time double, success boolean, "
                                        "timestamp double, error string, phase string")
