@@ -58,13 +58,35 @@ def _values(view: FeatureView, prefix: str = "") -> list[Column]:
     return out
 
 
+def bucket_width(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts: str,
+                 max_cell_rows: int = 1_000_000, base: dt.timedelta = dt.timedelta(hours=1),
+                 floor: dt.timedelta = dt.timedelta(seconds=1)) -> dt.timedelta:
+    """Time-bucket width for the as-of window, from the data: one partial
+    aggregate counts spine + feature rows per ``(key, base bucket)``; when
+    the densest cell (a hot key) holds more than ``max_cell_rows`` rows, the
+    width shrinks by that factor (not below ``floor``). Only one number
+    reaches the driver."""
+    cells = spine.select(F.col(view.key).alias("__k"), _bucket(spine_ts, base).alias("__b")).unionByName(
+        features.select(F.col(view.key).alias("__k"), _bucket(view.event_ts, base).alias("__b")))
+    densest = cells.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")) \
+        .first()["m"] or 0
+    if densest <= max_cell_rows:
+        return base
+    return max(base / -(-densest // max_cell_rows), floor)
+
+
 def asof_join(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts: str,
-              bucket: dt.timedelta | None = None) -> DataFrame:
-    """Spine columns + the view's feature values + ``feature_timestamp``."""
+              bucket: dt.timedelta | None = None, max_cell_rows: int = 1_000_000) -> DataFrame:
+    """Spine columns + the view's feature values + ``feature_timestamp``.
+
+    ``bucket`` fixes the time-bucket width; by default it is
+    ``min(ttl, bucket_width(...))``, so a hot key is cut into cells of about
+    ``max_cell_rows`` rows. Results do not depend on the width."""
     key = view.key
     # narrow buckets split a hot key over many window tasks; the carry table
     # holds at most (time span / width) rows per key
-    width = bucket or min(view.ttl or dt.timedelta(hours=1), dt.timedelta(hours=1))
+    width = bucket or min(view.ttl or dt.timedelta(hours=1),
+                          bucket_width(spine, features, view, spine_ts, max_cell_rows))
     created = F.col(view.created_ts) if view.created_ts else F.lit(None).cast("timestamp_ntz")
     feat_struct = F.struct(F.col(view.event_ts).alias("__ets"), created.alias("__cts"),
                            *[F.col(f).alias(f) for f in view.features])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from featureflow.operators.quantile import exact_percentile
 from featureflow.operators.requestlog import latency_flags, latency_summary
-from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest
+from featureflow.operators.store import FeatureView, asof_join, bucket_width, latest_features, lookup_latest
 
 
 def test_exact_percentile_matches_numpy_with_many_buckets(spark):
@@ -91,12 +91,26 @@ def test_asof_join_matches_brute_force_with_hot_key(spark):
     ttl = dt.timedelta(hours=5)
     sdf = spark.createDataFrame(spine, "sid long, key long, ts timestamp_ntz")
     fdf = spark.createDataFrame(feats, "key long, ets timestamp_ntz, cts timestamp_ntz, fid long, val double")
-    for bucket in (dt.timedelta(hours=1), dt.timedelta(days=30)):
+    # fixed widths, the data-driven width, and a tiny cell budget that makes
+    # the hot key's cells a few minutes wide
+    for bucket, cell in ((dt.timedelta(hours=1), None), (dt.timedelta(days=30), None), (None, 1_000_000),
+                         (None, 2)):
         for t in (ttl, None):
             view = FeatureView("v", "key", "ets", ["val"], created_ts="cts", ttl=t, as_float=False,
                                tiebreak=["fid"])
-            got = {r["sid"]: r["val"] for r in asof_join(sdf, fdf, view, "ts", bucket=bucket).collect()}
-            assert got == _brute_asof(spine, feats, t), (bucket, t)
+            kw = {"max_cell_rows": cell} if cell else {}
+            got = {r["sid"]: r["val"] for r in asof_join(sdf, fdf, view, "ts", bucket=bucket, **kw).collect()}
+            assert got == _brute_asof(spine, feats, t), (bucket, cell, t)
+
+
+def test_bucket_width_shrinks_for_a_dense_key(spark):
+    rows = [(0, _ts(1, m, s)) for m in range(10) for s in range(0, 60, 6)]   # 100 rows in one hour
+    sdf = spark.createDataFrame(rows, "key long, ts timestamp_ntz")
+    fdf = spark.createDataFrame(rows, "key long, ets timestamp_ntz")
+    view = FeatureView("v", "key", "ets", [])
+    assert bucket_width(sdf, fdf, view, "ts", max_cell_rows=1000) == dt.timedelta(hours=1)
+    assert bucket_width(sdf, fdf, view, "ts", max_cell_rows=50) == dt.timedelta(minutes=15)   # 200 rows / 50
+    assert bucket_width(sdf, fdf, view, "ts", max_cell_rows=1) == dt.timedelta(seconds=18)
 
 
 def test_asof_ttl_bound_is_inclusive(spark):
