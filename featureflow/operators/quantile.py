@@ -71,7 +71,7 @@ def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str], max_broadca
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[str] = (),
-                     name: str = "percentile", buckets: int = 1024, max_rank_rows: int = 1_000_000,
+                     name: str = "percentile", buckets: int = 256, max_rank_rows: int = 1_000_000,
                      max_rounds: int = 8, max_broadcast_targets: int = 500_000) -> DataFrame:
     """``(group cols..., name)``; groups with no non-null value are absent."""
     spark = df.sparkSession

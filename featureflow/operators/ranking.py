@@ -101,6 +101,27 @@ def key_as_double(df: DataFrame, col: str) -> Column:
     raise TypeError(f"cannot order by column {col} of type {dt}")
 
 
+def _quantile_bounds(staged: DataFrame, buckets: int, accuracy: int | None = None,
+                     with_count: bool = False) -> tuple[list[float], int | None]:
+    """``buckets - 1`` approximate quantile boundaries of ``_KEYNUM`` (and the
+    row count, from the same aggregate pass, when asked)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    acc = accuracy or max(10000, 4 * buckets)
+    aggs = [F.percentile_approx(_KEYNUM, probs, acc).alias("b")]
+    if with_count:
+        aggs.append(F.count(F.lit(1)).alias("n"))
+    row = staged.agg(*aggs).first()
+    return [float(x) for x in (row["b"] or [])], (row["n"] if with_count else None)
+
+
+def _bucketize(staged: DataFrame, bounds: list[float], out: str) -> DataFrame:
+    splits = [float("-inf")] + sorted(set(bounds)) + [float("inf")]
+    if len(splits) < 3:
+        return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
+    bz = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=out, handleInvalid="error")
+    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop(_KEYNUM)
+
+
 def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
                          accuracy: int | None = None) -> DataFrame:
     """Add ``out``: a bucket number from approximate quantile boundaries of ``col``.
@@ -109,41 +130,45 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
     is the parameter, not the data); MLlib's Bucketizer then does a JVM binary
     search per row. Equal keys always land in the same bucket.
     """
-    keyd = key_as_double(df, col)
-    staged = df.withColumn(_KEYNUM, keyd)
+    staged = df.withColumn(_KEYNUM, key_as_double(df, col))
     if buckets <= 1:
         return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = accuracy or max(10000, 4 * buckets)
-    row = staged.agg(F.percentile_approx(_KEYNUM, probs, acc).alias("b")).first()
-    bounds = sorted({float(x) for x in (row["b"] or [])})
-    splits = [float("-inf")] + bounds + [float("inf")]
-    if len(splits) < 3:
-        return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
-    bz = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=out, handleInvalid="error")
-    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop(_KEYNUM)
+    bounds, _ = _quantile_bounds(staged, buckets, accuracy)
+    return _bucketize(staged, bounds, out)
 
 
 def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: int | None = None,
-              rows_per_bucket: int = 1_000_000, max_buckets: int = 65536) -> DataFrame:
+              rows_per_bucket: int = 1_000_000, max_buckets: int = 65536, coarse_buckets: int = 256) -> DataFrame:
     """Contiguous 0..n-1 index in ``order_col`` order (F1).
 
     Not ``monotonically_increasing_id`` (gaps, depends on partitioning) and
     not an un-partitioned window (one task for everything). The number of
     range buckets follows the row count (about ``rows_per_bucket`` rows
-    per window task) unless ``buckets`` is given.
+    per window task) unless ``buckets`` is given. The count and
+    ``coarse_buckets`` quantile boundaries come from one aggregate pass; the
+    boundaries are thinned to the needed number, and only an input of more
+    than ``coarse_buckets * rows_per_bucket`` rows takes a second, finer pass.
     """
     if df.schema[order_col].nullable:
         df = df.withColumn(order_col, F.when(F.col(order_col).isNull(),
                                              F.raise_error(F.lit(f"null in order key {order_col}")))
                            .otherwise(F.col(order_col)))
-    if buckets is None:
+    if buckets is not None:
+        staged = with_quantile_bucket(df, order_col, "__ff_qbucket", buckets)
+    else:
+        staged = df.withColumn(_KEYNUM, key_as_double(df, order_col))
+        coarse = max(2, min(coarse_buckets, max_buckets))
+        bounds, n = _quantile_bounds(staged, coarse, with_count=True)
         # at least one bucket per default task slot, so the window is always
         # hash-partitioned by bucket (never a single-partition exchange)
-        n = df.count()
         floor = max(2, df.sparkSession.sparkContext.defaultParallelism)
-        buckets = int(min(max_buckets, max(floor, -(-n // rows_per_bucket))))
-    staged = with_quantile_bucket(df, order_col, "__ff_qbucket", buckets)
+        need = int(min(max_buckets, max(floor, -(-n // rows_per_bucket))))
+        if need > coarse:
+            bounds, _ = _quantile_bounds(staged, need)
+        elif need < coarse and bounds:
+            # boundary j/need is the coarse boundary round(j * coarse / need)
+            bounds = [bounds[min(len(bounds), max(1, round(j * coarse / need))) - 1] for j in range(1, need)]
+        staged = _bucketize(staged, bounds, "__ff_qbucket")
     ranked = exact_rank(staged, [order_col], F.col("__ff_qbucket"), name=name)
     return ranked.drop("__ff_qbucket")
 

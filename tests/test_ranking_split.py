@@ -17,6 +17,17 @@ def test_row_index_is_permutation_with_many_buckets(spark):
     assert [i for _, i in by_key] == list(range(2000))
 
 
+def test_row_index_bucket_count_from_the_data(spark):
+    # bucket count derived from the row count: boundaries thinned from the
+    # coarse pass, or a second finer pass when the coarse ones are too few
+    df = spark.range(0, 3000).select((F.col("id") * 7919 % 3001).alias("k"))
+    expect = list(range(3000))
+    for kw in ({}, {"rows_per_bucket": 7}, {"rows_per_bucket": 3, "coarse_buckets": 64},
+               {"rows_per_bucket": 100, "coarse_buckets": 16}):
+        got = sorted((r["k"], r["row_index"]) for r in row_index(df, "k", **kw).collect())
+        assert [i for _, i in got] == expect, kw
+
+
 def test_row_index_independent_of_partitioning(spark):
     df = spark.range(0, 500).select((F.col("id") * 11 % 501).alias("k"))
     a = {r["k"]: r["row_index"] for r in row_index(df.repartition(1), "k", buckets=5).collect()}
