@@ -104,7 +104,11 @@ def q_scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scaled_observations(spark: SparkSession, sf: str) -> DataFrame:
-    sp = split_observations(spark, sf)
+    # The split is read twice (scaler fit on train rows, then applied to all
+    # rows): it is written once to the shared checkpoint folder, as the
+    # reference writes its split tables, instead of recomputing the line-item
+    # aggregation and ranking for each use.
+    sp = checkpointed(split_observations(spark, sf))
     sc = fit_scaler(sp.where(F.col("split") == "train"), OBS_MEASURES)
     return apply_scaler(sp, sc, OBS_MEASURES)
 
