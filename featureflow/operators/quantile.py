@@ -36,6 +36,7 @@ from featureflow.session import ensure_checkpoint_dir
 
 _B = "__q_bucket"
 _V = "__q_v"
+_ALL = "__q_all"
 # target table columns: the rank, its value range [a, b], the number of the
 # group's values below a, the number of values in [a, b]
 _T = ["__q_r", "__q_a", "__q_b", "__q_before", "__q_c"]
@@ -63,7 +64,17 @@ def _targets_from_ranges(ranges: DataFrame, groups: list[str], part: list[str],
 def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str], max_broadcast: int) -> DataFrame:
     """Value rows of each target's range: the target table is broadcast when
     its row count is within ``max_broadcast`` (then the filter runs map-side
-    and nothing is shuffled by group); a larger table takes a shuffle join."""
+    and nothing is shuffled by group); a larger table takes a shuffle join.
+    The single global group has at most two targets: their ranges become
+    literal conditions, with no join."""
+    if groups == [_ALL]:
+        cols = [c for c in targets.columns if c != _ALL]
+        stype = targets.select(F.struct(*cols)).schema[0].dataType
+        picked = [F.when((F.col(_V) >= F.lit(t["__q_a"])) & (F.col(_V) <= F.lit(t["__q_b"])),
+                         F.struct(*[F.lit(t[c]).cast(targets.schema[c].dataType).alias(c) for c in cols]))
+                  for t in targets.collect()] or [F.lit(None).cast(stype)]
+        m = vals.select("*", F.explode(F.array_compact(F.array(*picked))).alias("__q_t"))
+        return m.select(*vals.columns, "__q_t.*")
     n = targets.count()
     side = F.broadcast(targets) if n <= max_broadcast else targets
     j = vals.join(side, on=groups, how="inner")
@@ -77,8 +88,8 @@ def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[s
     spark = df.sparkSession
     groups = list(group_cols)
     if not groups:
-        df = df.withColumn("__q_all", F.lit(0))
-        groups = ["__q_all"]
+        df = df.withColumn(_ALL, F.lit(0))
+        groups = [_ALL]
     vals = df.select(*groups, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
 
     # level 0: global quantile buckets, per-(group, bucket) statistics
@@ -127,6 +138,6 @@ def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[s
         F.max("__q_h").alias("h"), F.max("__q_lo").alias("lo"))
     out = ends.select(*groups, (F.col("vlo") + (F.col("h") - F.col("lo")) * (F.col("vhi") - F.col("vlo")))
                       .alias(name))
-    if groups == ["__q_all"]:
-        return out.drop("__q_all")
+    if groups == [_ALL]:
+        return out.drop(_ALL)
     return out

@@ -57,10 +57,9 @@ def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
         sizes = counts.groupBy(*parts).agg(F.sum("__ff_n").cast("long").alias("n"))
         if parts:
             offsets = offsets.join(per_partition(sizes), on=parts, how="inner")
-        else:  # one global partition: a one-row table, joined on a constant key
-            one = F.lit(0).alias("__ff_one")
-            extra = per_partition(sizes).select("*", one)
-            offsets = offsets.select("*", one).join(extra, "__ff_one").drop("__ff_one")
+        else:  # one global partition: a one-row table, added as scalar subqueries (no join)
+            extra = per_partition(sizes)
+            offsets = offsets.withColumns({c: extra.select(c).scalar() for c in extra.columns})
     # The offsets table has one row per (partition, bucket): AQE turns this
     # into a broadcast join once it has seen its size. The join key equals
     # the window key below, so the big side is shuffled once.

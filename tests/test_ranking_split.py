@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from featureflow.operators.ranking import row_index
+from featureflow.operators.ranking import exact_rank, row_index
 from featureflow.operators.split import stratified_folds, stratified_split
 
 
@@ -28,6 +28,14 @@ def test_row_index_bucket_count_from_the_data(spark):
         assert [i for _, i in got] == expect, kw
 
 
+def test_exact_rank_global_with_per_partition_columns(spark):
+    df = spark.range(0, 300).select((F.col("id") * 13 % 301).alias("k"))
+    out = exact_rank(df, ["k"], (F.col("k") / 40).cast("int"), name="r",
+                     per_partition=lambda sizes: sizes.select(F.col("n").alias("total")))
+    rows = sorted((r["k"], r["r"], r["total"]) for r in out.collect())
+    assert [r for _, r, _ in rows] == list(range(300)) and {t for _, _, t in rows} == {300}
+
+
 def test_row_index_independent_of_partitioning(spark):
     df = spark.range(0, 500).select((F.col("id") * 11 % 501).alias("k"))
     a = {r["k"]: r["row_index"] for r in row_index(df.repartition(1), "k", buckets=5).collect()}
