@@ -57,3 +57,16 @@ def test_no_python_udf_in_feature_plan(spark):
     plan = derived_features(df)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert F is not None
+
+
+def test_lookup_join_broadcasts_only_within_the_row_bound(spark):
+    from featureflow.functions.lookup import lookup_join
+
+    df = spark.createDataFrame([(i, i % 4) for i in range(40)], "id long, code int")
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "code int, name string")
+    expect = {i: {0: "a", 1: "b", 2: "c"}.get(i % 4) for i in range(40)}   # unmapped code 3 -> null
+    for bound, hinted in ((10, True), (2, False)):
+        out = lookup_join(df, names, "code", max_broadcast_rows=bound)
+        assert {r["id"]: r["name"] for r in out.collect()} == expect
+        hint = "broadcast" in out._jdf.queryExecution().logical().toString().lower()
+        assert hint == hinted
