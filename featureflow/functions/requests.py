@@ -80,11 +80,12 @@ def _doubles(arr: Column) -> Column:
     return F.transform(arr, lambda e: F.try_variant_get(e, "$", "double"))
 
 
-def _four_numbers(t: Column, arr: Column) -> Column:
+def _four_numbers(t: Column, arr: Column, doubles: Column | None = None) -> Column:
     """True when a 4-element array (type string ``t``, elements ``arr``) holds
-    only numbers/booleans: a homogeneous numeric type needs only a null check;
-    a mixed array is checked element by element."""
-    no_null = ~F.exists(_doubles(arr), lambda x: x.isNull())
+    only numbers/booleans: a homogeneous numeric type needs only a null check
+    (on ``doubles``, the elements as doubles, when already computed); a mixed
+    array is checked element by element."""
+    no_null = ~F.exists(_doubles(arr) if doubles is None else doubles, lambda x: x.isNull())
     mixed_ok = F.forall(arr, lambda e: kind(e).isin("number", "bool"))
     return F.when(t.rlike(_NUMERIC_ARRAY), no_null).otherwise(mixed_ok)
 
@@ -102,7 +103,7 @@ def _envelope(df: DataFrame, body: str) -> DataFrame:
     falsy = ((k == "null") | (k.isin("bool", "number") & (num == 0))
              | ((k == "string") & (F.char_length(_string(v)) == 0))
              | ((k == "array") & (F.size(_array(v)) == 0))
-             | ((k == "object") & (_nkeys(v) == 0)))
+             | ((k == "object") & (F.col("__vt") == "OBJECT<>")))  # '{}' is the only empty object
     string_elems = F.transform(_array(v), lambda e: F.when(kind(e) == "string", _string(e)))
     member_fails = (k.isin("bool", "number")
                     | ((k == "string") & (F.instr(_string(v), "features") > 0))
@@ -128,10 +129,11 @@ def single_request(df: DataFrame, body: str = "body") -> DataFrame:
     df = df.withColumn("__fk", kind_of(F.col("__ft")))
     df = df.withColumn("__farr", F.when(F.col("__fk") == "array", _array(F.col("__f"))))
     fk, f, arr = F.col("__fk"), F.col("__f"), F.col("__farr")
-    df = df.withColumn("__n", F.when(fk == "array", F.size(arr)).otherwise(_length(fk, f)))
+    df = df.withColumns({"__n": F.when(fk == "array", F.size(arr)).otherwise(_length(fk, f)),
+                         "__fd": F.when(F.size(arr) == N_FEATURES, _doubles(arr))})
     n = F.col("__n")
     df = df.withColumn("__code", F.when(n.isNull(), F.lit(500)).when(n != N_FEATURES, F.lit(400))
-                       .when((fk == "array") & _four_numbers(F.col("__ft"), arr), F.lit(0))
+                       .when((fk == "array") & _four_numbers(F.col("__ft"), arr, F.col("__fd")), F.lit(0))
                        .otherwise(F.lit(500)))
     code, pre = F.col("__code"), F.col("__pre_status")
     status = F.coalesce(pre, F.when(code == 0, F.lit(200)).otherwise(code)).cast("int")
@@ -141,8 +143,8 @@ def single_request(df: DataFrame, body: str = "body") -> DataFrame:
                        .otherwise(F.lit(NOT_NUMERIC)))
     df = df.withColumns({"status": status, "error": error,
                          "received": F.when(pre.isNull() & (code == 400), n).cast("int")})
-    df = df.withColumn("features", F.when(F.col("status") == 200, _doubles(arr)))
-    return df.drop(*_TEMP)
+    df = df.withColumn("features", F.when(F.col("status") == 200, F.col("__fd")))
+    return df.drop(*_TEMP, "__fd")
 
 
 def _sample_codes(samples: Column) -> Column:
