@@ -37,10 +37,9 @@ from featureflow.session import ensure_checkpoint_dir
 _B = "__q_bucket"
 _V = "__q_v"
 _ALL = "__q_all"
-# target table columns: the rank, its value range [a, b], the number of the
-# group's values below a, the number of values in [a, b]
-_T = ["__q_r", "__q_a", "__q_b", "__q_before", "__q_c"]
-# per-group interpolation columns carried on every target row
+# A target row is (group..., __q_r: the rank, __q_a/__q_b: its value range,
+# __q_before: the group's values below __q_a, __q_c: values in the range)
+# plus the per-group interpolation columns:
 _H = ["__q_h", "__q_lo", "__q_hi"]
 
 
