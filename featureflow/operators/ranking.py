@@ -60,21 +60,25 @@ def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
         else:  # one global partition: a one-row table, added as scalar subqueries (no join)
             extra = per_partition(sizes)
             offsets = offsets.withColumns({c: extra.select(c).scalar() for c in extra.columns})
-    # The offsets table has one row per (partition, bucket): AQE turns this
-    # into a broadcast join once it has seen its size. The join key equals
-    # the window key below, so the big side is shuffled once.
-    joined = b.join(offsets, on=[*parts, _BUCKET], how="inner")
+    # Rank inside (partition, bucket) first, then add the bucket's offset.
+    # The big side is shuffled once, by the window key, and that shuffle does
+    # not wait for the small offsets chain (counts -> prefix sums -> per
+    # partition extras). The offsets table has one row per (partition,
+    # bucket): AQE broadcasts it once it has seen its size; otherwise the join
+    # reuses the window's partitioning and order, so only the offsets move.
     local = Window.partitionBy(*parts, _BUCKET).orderBy(*order)
-    out = joined.withColumn(name, (F.row_number().over(local) - 1 + F.col(_OFFSET)).cast("long"))
+    ranked = b.withColumn("__ff_local", F.row_number().over(local) - 1)
     if check_unique:
         key = F.struct(*order) if len(order) > 1 else F.col(order[0])
         prev = F.lag(key).over(local)
-        out = out.withColumn(
-            name,
+        ranked = ranked.withColumn(
+            "__ff_local",
             F.when(prev.isNotNull() & (prev == key),
-                   F.raise_error(F.lit(f"order key {order} is not unique")).cast("long"))
-            .otherwise(F.col(name)),
+                   F.raise_error(F.lit(f"order key {order} is not unique")).cast("int"))
+            .otherwise(F.col("__ff_local")),
         )
+    out = ranked.join(offsets, on=[*parts, _BUCKET], how="inner") \
+        .withColumn(name, (F.col("__ff_local") + F.col(_OFFSET)).cast("long")).drop("__ff_local")
     return out.drop(_BUCKET, _OFFSET)
 
 
