@@ -1,4 +1,7 @@
+import math
+
 import pytest
+from hypothesis import assume, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from featureflow.operators.ranking import exact_rank, row_index
@@ -95,3 +98,37 @@ def test_folds_balanced_within_one(spark):
     for sizes in by_class.values():
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
     assert sp.where("split = 'test' and fold is not null").count() == 0
+
+
+def _brute_split(rows, test_size, seed):
+    """Plain-Python reference: largest-remainder train counts per class, the
+    first ranks of md5(id:seed) within each class are train."""
+    import hashlib
+    import math
+
+    by_class: dict = {}
+    for i, c in rows:
+        by_class.setdefault(c, []).append(i)
+    n = len(rows)
+    n_train = n - math.ceil(test_size * n)
+    fl = {c: len(v) * n_train // n for c, v in by_class.items()}
+    rem = {c: len(v) * n_train - fl[c] * n for c, v in by_class.items()}
+    extra = sorted(by_class, key=lambda c: (-rem[c], c))[: n_train - sum(fl.values())]
+    out = {}
+    for c, ids in by_class.items():
+        k = fl[c] + (1 if c in extra else 0)
+        ranked = sorted(ids, key=lambda i: (hashlib.md5(f"{i}:{seed}".encode()).hexdigest(), i))
+        out.update({i: ("train" if r < k else "test") for r, i in enumerate(ranked)})
+    return out
+
+
+@settings(max_examples=8, deadline=None)
+@given(sizes=st.lists(st.integers(min_value=6, max_value=60), min_size=2, max_size=4),
+       test_size=st.sampled_from([0.1, 0.2, 0.33]), seed=st.integers(min_value=0, max_value=10**6))
+def test_split_matches_brute_force(spark, sizes, test_size, seed):
+    rows = [(c * 1000 + j, c) for c, m in enumerate(sizes) for j in range(m)]
+    n = len(rows)
+    assume(math.ceil(test_size * n) >= len(sizes) and n - math.ceil(test_size * n) >= len(sizes))
+    df = spark.createDataFrame(rows, "id long, label int")
+    got = {r["id"]: r["split"] for r in stratified_split(df, "id", "label", test_size, seed, hex_digits=2).collect()}
+    assert got == _brute_split(rows, test_size, seed)
