@@ -5,7 +5,8 @@ expressions (see ``functions/requests.py``); valid feature vectors go
 through the optional scaler (a scalar subquery) and the forest expression.
 Nothing leaves the JVM and nothing is shuffled: the plan is a projection
 (plus ``posexplode`` for batch samples), so it also runs unchanged on a
-stream.
+stream. The one exception is ``spread``: a batch source with fewer splits
+than task slots is hash-spread over the slots first.
 """
 
 from __future__ import annotations
@@ -46,10 +47,22 @@ def _predict_columns(df: DataFrame, model: ServingModel, xs: Sequence[str], ok)
     }).select("*", *probability_columns(F.col("__proba"), model.class_names)).drop("__proba")
 
 
+def spread(df: DataFrame, key: str = "req_id") -> DataFrame:
+    """Parsing bodies is CPU work per row with no shuffle, so it runs in as
+    many tasks as the source has splits. A batch source with fewer splits
+    than task slots (one unsplittable file) is hash-spread on the request id
+    over the slots (deterministic, so a retried task sees the same rows); a
+    large, already split input (or a stream) is left as it is."""
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def score_requests(requests: DataFrame, model: ServingModel, as_of: str | None = None) -> DataFrame:
     """One result row per request: status, error, received length, echoed
     inputs, prediction, class name, per-class probabilities, confidence."""
-    r = single_request(requests.select("req_id", "body"), "body")
+    r = single_request(spread(requests.select("req_id", "body")), "body")
     xs = [f"__x{i}" for i in range(len(model.feature_names))]
     r = r.select("req_id", "status", "error", "received",
                  *[F.element_at("features", i + 1).alias(x) for i, x in enumerate(xs)])
@@ -65,7 +78,7 @@ def score_batch_requests(requests: DataFrame, model: ServingModel):
     """``(summary, predictions)``: per request ``status, error, success,
     total_samples``; per sample of a successful request ``sample_id`` (0-based
     position, R6), inputs and prediction."""
-    b = batch_request(requests.select("req_id", "body"), "body")
+    b = batch_request(spread(requests.select("req_id", "body")), "body")
     ok = F.col("status") == 200
     summary = b.select("req_id", "status", "error", ok.alias("success"),
                        F.when(ok, F.size("samples")).cast("int").alias("total_samples"))
