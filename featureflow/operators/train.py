@@ -20,6 +20,7 @@ import logging
 import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -75,9 +76,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def train_forest(df: DataFrame, feature_cols: Sequence[str], label_col: str, classes: Sequence,
                  num_trees: int = 100, max_depth: int | None = 5, seed: int = 42,
                  min_instances: int = 1) -> PipelineModel:
-    """Fit the forest (M1) on ``df`` (gini, bootstrap, sqrt features)."""
+    """Fit the forest (M1) on ``df`` (gini, bootstrap, sqrt features).
+
+    MLlib reads its input several times (metadata, split candidates, bagged
+    points), so the label-indexed input is persisted (memory, spilling to
+    disk; lost blocks are recomputed from lineage) for the fit only."""
     pipe, _ = forest_estimator(feature_cols, num_trees, max_depth, seed, min_instances)
-    return pipe.fit(with_label_index(df, label_col, classes))
+    data = with_label_index(df, label_col, classes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipe.fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, classes: Sequence, class_names: Sequence[str] | None = None,
