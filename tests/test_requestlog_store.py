@@ -137,3 +137,23 @@ def test_latest_and_lookup(spark):
     look = {r["key"]: r["val"] for r in lookup_latest(keys, latest, view, _ts(4, 30)).collect()}
     assert look == {1: 4.0, 2: None, 3: None}
     assert F is not None
+
+
+def test_no_nested_loop_or_cartesian_joins(spark):
+    # the global percentile, the grouped percentile, the as-of join and the
+    # exact rank must stay equi-joins or literal filters
+    from featureflow.operators.ranking import row_index
+    from featureflow.operators.split import stratified_split
+
+    vals = spark.createDataFrame([(g, float(i % 37)) for g in ("a", "b") for i in range(200)], "g string, v double")
+    spine = spark.createDataFrame([(1, 1, _ts(5))], "sid long, key long, ts timestamp_ntz")
+    feats = spark.createDataFrame([(1, _ts(4), 1.0)], "key long, ets timestamp_ntz, val double")
+    ids = spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, label int")
+    frames = [exact_percentile(vals, "v", 0.95, [], "p", max_rank_rows=5),
+              exact_percentile(vals, "v", 0.95, ["g"], "p", max_rank_rows=5),
+              asof_join(spine, feats, FeatureView("v", "key", "ets", ["val"], ttl=dt.timedelta(hours=2)), "ts"),
+              stratified_split(ids, "id", "label"), row_index(ids, "id")]
+    for df in frames:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, plan
