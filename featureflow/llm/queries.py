@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featureflow.llm.chat import format_chat, read_back, text_parts
 from featureflow.llm.exactdedup import exact_dedup
+from featureflow.llm.langid import identify
+from featureflow.llm.licenses import scan_licenses
 from featureflow.llm.mixing import Mix
+from featureflow.llm.pieces import encode
 from featureflow.llm.substrings import remove_repeated_passages
+from featureflow.llm.topk import quantised, top_k
 from featureflow.llm.urlfilter import judge_urls
 from featureflow.session import table
 
@@ -28,6 +33,30 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    out = encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return top_k(rows, F.col("vec_id") % 100 == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -56,6 +85,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mix": op2_source_mix,
+    "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_license_scan": op5_license_scan,
+    "op6_exact_topk": op6_exact_topk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_chat_format": op10_chat_format,
@@ -74,6 +107,15 @@ kept AS (SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
                      ELSE [x[1] FOR x IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(gone, x[2])] END AS kept
          FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
+""",
+    "op6_exact_topk": """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op7_exact_dedup": r"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
