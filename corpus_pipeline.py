@@ -1,5 +1,62 @@
-"""placeholder"""
-STAGES = []
+"""Corpus pipeline: language ID, exact dedup, near dedup, source mixing, tokenization.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs. All stages but the
+last return the columns of documents. Nulls, empty texts and extra columns
+follow the operators' rules: documents without a letter leave in the first
+stage; extra columns are carried along.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from featureflow.llm.exactdedup import drop_copies
+from featureflow.llm.langid import keep_identified
+from featureflow.llm.mixing import Mix
+from featureflow.llm.nearjoin import keep_one_of_each_class
+from featureflow.llm.queries import digests
+from featureflow.llm.pieces import encode
+from featureflow.session import scratch_path, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an identified language."""
+    return keep_identified(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased), the document with the largest id."""
+    return drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id."""
+    return keep_one_of_each_class(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, once for each time that the mix takes them."""
+    return Mix(docs).documents()
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return digests(encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mixed), ("tokens", tokens)]
+
+#: language ID and the merge agenda have no SQL form; tests compare run() with a brute-force version
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage's result is a written table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    return docs

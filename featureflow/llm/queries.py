@@ -11,6 +11,7 @@ from featureflow.llm.exactdedup import exact_dedup
 from featureflow.llm.langid import identify
 from featureflow.llm.licenses import scan_licenses
 from featureflow.llm.mixing import Mix
+from featureflow.llm.nearjoin import similarity_links
 from featureflow.llm.pieces import encode
 from featureflow.llm.substrings import remove_repeated_passages
 from featureflow.llm.topk import quantised, top_k
@@ -37,15 +38,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def encoded_digests(docs: DataFrame) -> DataFrame:
-    out = encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+def digests(out: DataFrame) -> DataFrame:
+    """Digest columns of encoded documents."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_digests(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_links(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(EXTRA_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -91,6 +97,7 @@ QUERIES = {
     "op6_exact_topk": op6_exact_topk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -134,6 +141,16 @@ m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
              arg_max(rverdict, length(rhost || rpath)) AS verdict
       FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+""",
+    "op9_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i + 4] AS sh FROM w, LATERAL unnest(range(1, greatest(len(ws) - 3, 2))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+r(id, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.top = l.a)
+SELECT d.doc_id, (SELECT min(top) FROM r WHERE id = d.doc_id) AS class_id,
+       (SELECT count(*) FROM l WHERE a = d.doc_id) AS n_links FROM documents d
 """,
     "op10_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
