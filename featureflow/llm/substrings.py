@@ -5,10 +5,10 @@ same words also start in a row with a smaller id. The suffixes of all texts
 are split into groups by a prefix, a subtree is grown top-down in each group,
 and its internal nodes at word depth `window` are the repeats.
 
-* Sparse suffixes. A suffix is anchored at the smallest of the 5-word prefixes
+* Sparse suffixes. A suffix is anchored at the smallest of the 4-word prefixes
   that its window holds, so equal windows always meet under the same prefix,
   and consecutive windows with one anchor travel as a single run of words.
-* Variable-length prefixes. A pass over all texts counts 5-word prefixes; one
+* Variable-length prefixes. A pass over all texts counts 4-word prefixes; one
   that would overfill a group is extended to the whole window.
 * Pre-aggregation. Within a slice of rows only the smallest row of equal
   windows travels; the others are already known to be repeats. A passage that
@@ -18,7 +18,7 @@ and its internal nodes at word depth `window` are the repeats.
 
 Rows with a null id have no order: they keep all words and match nothing.
 Null or empty texts have no words. Rows that share an id never remove each
-other's words. A text shorter than the window is kept whole.
+other's words (a 24-bit digest of the text tells them apart). A text shorter than the window is kept whole.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.llm.words import U64, cut, find_words, grams, slices, word_hashes
 
-PREFIX = 5          # words of a short prefix
-GROUP_WINDOWS = 500_000  # suffixes that a group should hold at most
+PREFIX = 4          # words of a short prefix
+GROUP_WINDOWS = 4_000_000  # suffixes that a group should hold at most
+SLICE_BYTES = 3 << 20
 MAX_LONG_PREFIXES = 1_000_000  # bound of the list of extended prefixes (8 bytes each)
 I64_MIN = np.iinfo(np.int64).min
 
@@ -81,11 +83,12 @@ class Anchored:
 
 def _count_prefixes(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             a = Anchored(batch, window)
             if not len(a.at):
                 continue
-            values, times = np.unique(a.prefix, return_counts=True)
+            all_windows = np.ones(len(a.at), bool)
+            values, times = np.unique(a.prefix[a.runs(all_windows, ~all_windows)[0]], return_counts=True)
             often = times > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(values[often].view(np.int64), 0)),
@@ -115,7 +118,7 @@ def _ship(window: int, groups: int, long_prefixes: np.ndarray):
     """Rows (grp >= 0: packed runs for a group; grp < 0: repeats found within the slice)."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             a = Anchored(batch, window)
             if not len(a.at):
                 continue
@@ -153,7 +156,7 @@ def _ship(window: int, groups: int, long_prefixes: np.ndarray):
 
 
 def _pack(cols: list[np.ndarray], tag: np.ndarray | None = None, text: pa.Array | None = None) -> bytes:
-    arrays = [pa.array(c.astype(np.int64)) for c in cols[:2]] + [pa.array(c.astype(np.int32)) for c in cols[2:]]
+    arrays = [pa.array(cols[0].astype(np.int64))] + [pa.array(c.astype(np.int32)) for c in cols[1:]]
     names = ["id", "row_key", "start", "n"]
     if tag is not None:
         arrays, names = [*arrays, pa.array(tag), text], [*names, "tag", "text"]
@@ -169,7 +172,7 @@ def _unpack(data: pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for chunk in data.chunks for x in chunk)
 
 
-SPANS = pa.schema([("id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+SPANS = pa.schema([("id", pa.int64()), ("row_key", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def _within(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,15 +246,25 @@ def repeated_spans(rows: DataFrame, window: int, group_windows: int = GROUP_WIND
     # repeats found within a slice need no tree; they are spread by content
     part = F.when(F.col("grp") >= 0, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("data"), F.lit(groups)))
     return shipped.withColumn("grp", part).groupBy("grp").applyInArrow(
-        subtree, "id long, row_key long, start int, n int")
+        subtree, "id long, row_key int, start int, n int")
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle that brings them to their spans."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data = [None if t is None else zstd.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_key"), pa.array(data, pa.binary())],
+                                         ["id", "row_key", "data"])
 
 
 def _remove(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        zstd = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "data"):
             n_words, n_removed, kept_text = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
-                words = (text.as_py() or "").encode().split()
+            for data, spans in zip(batch.column("data"), batch.column("spans")):
+                words = zstd.decompress(data.as_py()).split() if data.is_valid else []
                 n_words.append(len(words))
                 if spans.is_valid:
                     drop = np.zeros(len(words) + 1, np.int32)
@@ -274,9 +287,10 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     """(id_col, n_words, n_removed, kept_text) for every row: words covered by a window that also starts
     in a row with a smaller id are removed; kept words are joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64("text"))
+    rows = rows.withColumn("row_key", F.pmod(F.xxhash64("text"), F.lit(1 << 24)).cast("int"))
     spans = repeated_spans(rows, window, group_windows).groupBy("id", "row_key").agg(
         F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(spans, ["id", "row_key"], "left").select("id", "text", "spans")
+    texts = rows.mapInArrow(_squeeze, "id long, row_key int, data binary")
+    joined = texts.join(spans, ["id", "row_key"], "left").select("id", "data", "spans")
     out = joined.mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("id", id_col)

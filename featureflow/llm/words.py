@@ -101,8 +101,11 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     total = int(lens.sum())
     if not total:
         return np.empty(0, np.int64)
-    out = np.repeat(starts - (np.cumsum(lens) - lens), lens)
-    out += np.arange(total)
+    shift = starts - (np.cumsum(lens) - lens)
+    small = total < 2**31 and int(starts[-1] + lens[-1]) < 2**31 and int(shift.max()) < 2**31
+    kind = np.int32 if small else np.int64
+    out = np.repeat(shift.astype(kind), lens)
+    out += np.arange(total, dtype=kind)
     return out
 
 
@@ -134,7 +137,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         if not batch.num_rows:
             continue
         text = batch.column(column)
-        _, offs = raw(text.fill_null("") if text.null_count else text)
+        _, offs = raw(text.fill_null(b"" if pa.types.is_binary(text.type) else "") if text.null_count else text)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + max_bytes, side="right")) - 1)
