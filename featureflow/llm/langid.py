@@ -29,7 +29,8 @@ from featureflow.llm.words import slices
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
 SMOOTH = 0.5
-CACHE = 200_000
+CACHE = 100_000
+SLICE_BYTES = 4 << 20
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -46,7 +47,7 @@ def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", SLICE_BYTES):
         flat, offsets = words_of(batch.column("text"))
         if not len(flat):
             continue
@@ -72,38 +73,48 @@ def grams_of(word: str, order: int) -> list[str]:
     return [marked[i:i + order] for i in range(len(marked) - order + 1)]
 
 
+class Table:
+    """Log frequencies by language: a row number for each key, and the rows."""
+
+    def __init__(self, rows: list[dict], langs: list[str], kind: str):
+        """rows (kind, lang, n); n-grams are normalised within their order."""
+        at = {lang: i for i, lang in enumerate(langs)}
+        self.row = {k: i for i, k in enumerate(dict.fromkeys(r[kind] for r in rows))}
+        counts = np.zeros((len(self.row), len(langs)))
+        for r in rows:
+            counts[self.row[r[kind]], at[r["lang"]]] += r["n"]
+        order = np.array([0 if kind == "word" else len(k) for k in self.row], int)
+        self.log = np.zeros(counts.shape, np.float32)
+        for o in np.unique(order):
+            own = order == o
+            self.log[own] = np.log((counts[own] + SMOOTH) / (counts[own].sum(axis=0) + SMOOTH * own.sum()))
+
+
 class Model:
     """Log frequencies by language of known words and n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
 
     def unseen(self, word: str) -> np.ndarray:
         for order in ORDERS:
-            known = [g for g in (self.grams.get(x) for x in grams_of(word, order)) if g is not None]
+            known = [r for r in (self.grams.row.get(x) for x in grams_of(word, order)) if r is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.grams.log[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        return self.unseen(word) if known is None else known
-
-
-def _log_table(rows: list, langs: list[str], kind: str) -> dict[str, np.ndarray]:
-    """rows (kind, lang, n) -> per key the log frequency in each language; for n-grams per order."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for r in rows:
-        counts.setdefault(r[kind], np.zeros(len(langs), np.float64))[at[r["lang"]]] += r["n"]
-    totals: dict[int, np.ndarray] = {}
-    sizes: dict[int, int] = {}
-    order = (lambda k: 0) if kind == "word" else len
-    for key, n in counts.items():
-        totals[order(key)] = totals.get(order(key), 0) + n
-        sizes[order(key)] = sizes.get(order(key), 0) + 1
-    return {k: np.log((n + SMOOTH) / (totals[order(k)] + SMOOTH * sizes[order(k)])).astype(np.float32)
-            for k, n in counts.items()}
+    def scores(self, words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
+        """A row per word; scores of unseen words are kept in the cache while it has room."""
+        at = np.array([self.words.row.get(w, -1) for w in words])
+        out = self.words.log[at] if len(self.words.row) else np.zeros((len(words), len(self.langs)), np.float32)
+        for i in np.flatnonzero(at < 0).tolist():
+            row = cache.get(words[i])
+            if row is None:
+                row = self.unseen(words[i])
+                if len(cache) < CACHE:
+                    cache[words[i]] = row
+            out[i] = row
+        return out
 
 
 def fit(labelled: DataFrame, docs_a_language: int = 5000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
@@ -112,7 +123,7 @@ def fit(labelled: DataFrame, docs_a_language: int = 5000, max_words: int = 60_00
     per_lang = labelled.groupBy("lang").count().collect()  # one row per language
     langs = sorted(r["lang"] for r in per_lang)
     if not langs:
-        return Model([], {}, {})
+        return Model([], Table([], [], "word"), Table([], [], "gram"))
     share = F.lit(0.0)
     for r in per_lang:
         share = F.when(F.col("lang") == r["lang"], min(1.0, docs_a_language / r["count"])).otherwise(share)
@@ -128,29 +139,22 @@ def fit(labelled: DataFrame, docs_a_language: int = 5000, max_words: int = 60_00
         top = by_lang.orderBy(F.desc("total"), kind).limit(limit)
         return [{kind: r[kind], "lang": x["lang"], "n": x["n"]} for r in top.collect() for x in r["by"]]
 
-    return Model(langs, _log_table(most_frequent(counted, "word", max_words), langs, "word"),
-                 _log_table(most_frequent(grams, "gram", max_grams), langs, "gram"))
+    return Model(langs, Table(most_frequent(counted, "word", max_words), langs, "word"),
+                 Table(most_frequent(grams, "gram", max_grams), langs, "gram"))
 
 
 def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         cache: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             flat, offsets = words_of(batch.column("text"))
             n = batch.num_rows
             best, score = np.zeros(n, np.int64), np.zeros(n)
             spoken = np.diff(offsets) > 0
             if len(flat) and model.langs:
                 coded = flat.dictionary_encode()
-                table = np.empty((len(coded.dictionary), len(model.langs)), np.float32)
-                for i, word in enumerate(coded.dictionary.to_pylist()):
-                    known = cache.get(word)
-                    if known is None:
-                        known = model.score(word)
-                        if len(cache) < CACHE:
-                            cache[word] = known
-                    table[i] = known
+                table = model.scores(coded.dictionary.to_pylist(), cache)
                 sums = np.zeros((n, len(model.langs)))
                 sums[spoken] = np.add.reduceat(table[coded.indices.to_numpy()].astype(np.float64), offsets[:-1][spoken], axis=0)
                 sums = sums - sums.max(axis=1, keepdims=True)

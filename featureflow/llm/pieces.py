@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from featureflow.llm.words import ranges, slices
 
 SPACE = "▁"
 SHORT = 24       # longest word (characters) encoded in the common agenda
-CACHE = 150_000
+CACHE = 100_000
+SLICE_BYTES = 2 << 20
 NO_PAIR = np.iinfo(np.int32).max
 
 
@@ -177,7 +179,7 @@ def _encode(model: bytes):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         cache: dict[str, tuple[list[int], bytes]] = {}
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             text = batch.column("text").fill_null("")
             lists = pc.split_pattern(text, " ")
             flat, rows = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
@@ -212,8 +214,10 @@ def _encode(model: bytes):
             entries.append(([v.eos], b""))  # closes each row
             index = np.insert(index, rows[1:], len(distinct))
             rows = rows + np.arange(len(rows))
-            ids, id_rows = _gather([np.array(e[0], np.int32) for e in entries], index, rows, np.int32)
-            decoded, text_rows = _gather([np.frombuffer(e[1], np.uint8) for e in entries], index, rows, np.uint8)
+            ids, id_rows = _gather(np.fromiter(chain.from_iterable(e[0] for e in entries), np.int32),
+                                   [len(e[0]) for e in entries], index, rows)
+            decoded, text_rows = _gather(np.frombuffer(b"".join(e[1] for e in entries), np.uint8),
+                                         [len(e[1]) for e in entries], index, rows)
             decoded = decoded.tobytes()
             # the first space mark of a text is the encoder's own
             texts = [decoded[a + 1:b].decode("utf-8", "replace") for a, b in zip(text_rows[:-1].tolist(), text_rows[1:].tolist())]
@@ -224,11 +228,10 @@ def _encode(model: bytes):
     return encode
 
 
-def _gather(entries: list[np.ndarray], index: np.ndarray, rows: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate entries[index]; returns the data and each row's offsets in it."""
-    lens = np.array([len(e) for e in entries], np.int64)
+def _gather(data: np.ndarray, lens: list[int], index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the entries (of lengths lens in data) that index names; returns the data and each row's offsets in it."""
+    lens = np.array(lens, np.int64)
     starts = np.cumsum(lens) - lens
-    data = np.concatenate(entries).astype(dtype)
     taken = lens[index]
     ends = np.append(0, np.cumsum(taken))
     return data[ranges(starts[index], taken)], ends[rows]
