@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from featureflow.llm.words import U64, cut, find_words, grams, slices, word_hashes
 
 PREFIX = 4          # words of a short prefix
-GROUP_WINDOWS = 4_000_000  # suffixes that a group should hold at most
-SLICE_BYTES = 3 << 20
+GROUP_WINDOWS = 2_000_000  # suffixes that a group should hold at most
+SLICE_BYTES = 2 << 20
 MAX_LONG_PREFIXES = 1_000_000  # bound of the list of extended prefixes (8 bytes each)
 I64_MIN = np.iinfo(np.int64).min
 
