@@ -2,7 +2,7 @@ r"""Chat formatting with typed content parts (DataFrame operations only).
 
 Every turn has an ordered array of parts (type, text, ref, tokens). A visitor
 renders each part: a text is escaped, an image, audio, document or other
-attachment becomes the placeholder `<type turn.part>` and leaves a record of
+attachment becomes the placeholder `<type turn.part>` (both counted from 1) and leaves a record of
 its reference and of the tokens it expands to. A turn is rendered as
 `<turn role>parts</turn>` and a line feed; the loss mask covers the bodies of
 assistant turns.
@@ -45,7 +45,7 @@ def is_text(part: Column) -> Column:
 
 
 def placeholder(part: Column, turn_no: Column, i: Column) -> Column:
-    return F.concat(F.lit("<"), escape(part["type"]), F.lit(" "), turn_no.cast("string"), F.lit("."), i.cast("string"), F.lit(">"))
+    return F.concat(F.lit("<"), escape(part["type"]), F.lit(" "), turn_no.cast("string"), F.lit("."), (i + 1).cast("string"), F.lit(">"))
 
 
 def word_count(text: Column) -> Column:
