@@ -82,11 +82,14 @@ def _doubles(arr: Column) -> Column:
 
 def _four_numbers(t: Column, arr: Column, doubles: Column | None = None) -> Column:
     """True when a 4-element array (type string ``t``, elements ``arr``) holds
-    only numbers/booleans: a homogeneous numeric type needs only a null check
-    (on ``doubles``, the elements as doubles, when already computed); a mixed
-    array is checked element by element."""
-    no_null = ~F.exists(_doubles(arr) if doubles is None else doubles, lambda x: x.isNull())
-    mixed_ok = F.forall(arr, lambda e: kind(e).isin("number", "bool"))
+    only finite numbers/booleans: a homogeneous numeric type needs only a null
+    and infinity check (on ``doubles``, the elements as doubles, when already
+    computed); a mixed array is checked element by element."""
+    infinite = F.lit(float("inf"))
+    values = _doubles(arr) if doubles is None else doubles
+    no_null = ~F.exists(values, lambda x: x.isNull() | (F.abs(x) == infinite))
+    finite = ~F.exists(values, lambda x: F.coalesce(F.abs(x) == infinite, F.lit(False)))
+    mixed_ok = F.forall(arr, lambda e: kind(e).isin("number", "bool")) & finite
     return F.when(t.rlike(_NUMERIC_ARRAY), no_null).otherwise(mixed_ok)
 
 

@@ -98,7 +98,8 @@ def asof_join(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts
         F.col(key).alias("__k"), _bucket(spine_ts, width).alias("__b"), F.col(spine_ts).alias("__t"),
         F.lit(1).alias("__is_spine"), F.lit(None).cast("timestamp_ntz").alias("__c"), *tb_null,
         spine_struct.alias("__s"), F.lit(None).cast(features.select(feat_struct).schema[0].dataType).alias("__f"))
-    f_rows = features.select(
+    # a null key matches nothing; spine rows with a null key are kept without features
+    f_rows = features.where(F.col(key).isNotNull()).select(
         F.col(key).alias("__k"), _bucket(view.event_ts, width).alias("__b"), F.col(view.event_ts).alias("__t"),
         F.lit(0).alias("__is_spine"), created.alias("__c"), *[c.alias(f"__tb{i}") for i, c in enumerate(tb)],
         F.lit(None).cast(spine.select(spine_struct).schema[0].dataType).alias("__s"), feat_struct.alias("__f"))
@@ -161,4 +162,4 @@ def lookup_latest(keys: DataFrame, latest: DataFrame, view: FeatureView, as_of)
         return j
     us = int(view.ttl.total_seconds() * 1_000_000)
     fresh = F.col("event_timestamp") >= F.timestamp_add("MICROSECOND", F.lit(-us), ntz(as_of))
-    return j.select(view.key, *[F.when(fresh, F.col(c)).alias(c) for c in ["event_timestamp", *view.features]])
+    return j.select(*keys.columns, *[F.when(fresh, F.col(c)).alias(c) for c in ["event_timestamp", *view.features]])

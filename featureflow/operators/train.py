@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -176,8 +177,10 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame | None:
     """A missing scaler is a warning and scoring proceeds unscaled."""
     try:
         return spark.read.schema(SCALER).parquet(path)
-    except Exception as e:  # noqa: BLE001 — absent path
-        log.warning("scaler not found at %s (%s); scoring unscaled", path, type(e).__name__)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.warning("scaler not found at %s; scoring unscaled", path)
         return None
 
 

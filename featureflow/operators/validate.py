@@ -7,6 +7,7 @@ unpivoted with ``inline``. Schema rules need no job and become literal rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -76,20 +77,30 @@ def no_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> Rule:
     return Rule(aggs=aggs, rows=rows)
 
 
+_numbers = itertools.count()
+
+
+def _alias(kind: str) -> str:
+    """A fresh aggregate name, so a rule may occur any number of times in one validation."""
+    return f"__v_{kind}_{next(_numbers)}"
+
+
 def distinct_count(col: str, expected: int, approx: bool = False) -> Rule:
     c = F.col(f"`{col}`")
     agg = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-    o = F.col("__v_distinct")
-    return Rule(aggs=[agg.alias("__v_distinct")],
+    name = _alias("distinct")
+    o = F.col(name)
+    return Rule(aggs=[agg.alias(name)],
                 rows=[_row("distinct_count", col, o, F.lit(expected), o == expected)])
 
 
 def no_infinity(cols: Sequence[str]) -> Rule:
     """Count of ±inf per column; NaN passes, as in the reference."""
     aggs, rows = [], []
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.abs(F.col(f"`{c}`")) == F.lit(_INF)).alias(f"__v_inf{i}"))
-        o = F.col(f"__v_inf{i}")
+    for c in cols:
+        name = _alias("inf")
+        aggs.append(F.count_if(F.abs(F.col(f"`{c}`")) == F.lit(_INF)).alias(name))
+        o = F.col(name)
         rows.append(_row("infinite_count", c, o, F.lit(0), o == 0))
     return Rule(aggs=aggs, rows=rows)
 
@@ -97,18 +108,20 @@ def no_infinity(cols: Sequence[str]) -> Rule:
 def positive_std(cols: Sequence[str]) -> Rule:
     """Sample standard deviation > 0; a null deviation (one row) fails."""
     aggs, rows = [], []
-    for i, c in enumerate(cols):
-        aggs.append(F.stddev_samp(F.col(f"`{c}`")).alias(f"__v_std{i}"))
-        o = F.col(f"__v_std{i}")
+    for c in cols:
+        name = _alias("std")
+        aggs.append(F.stddev_samp(F.col(f"`{c}`")).alias(name))
+        o = F.col(name)
         rows.append(_row("std_positive", c, o, F.lit(0), o > 0))
     return Rule(aggs=aggs, rows=rows)
 
 
 def non_negative(cols: Sequence[str]) -> Rule:
     aggs, rows = [], []
-    for i, c in enumerate(cols):
-        aggs.append(F.min(F.col(f"`{c}`")).alias(f"__v_min{i}"))
-        o = F.col(f"__v_min{i}")
+    for c in cols:
+        name = _alias("min")
+        aggs.append(F.min(F.col(f"`{c}`")).alias(name))
+        o = F.col(name)
         rows.append(_row("min_non_negative", c, o, F.lit(0), o >= 0))
     return Rule(aggs=aggs, rows=rows)
 
@@ -119,10 +132,11 @@ def mean_gap(cols: Sequence[str], split_col: str, a: str = "train", b: str = "te
     as conditional averages in the same single pass."""
     aggs, rows = [], []
     s = F.col(split_col)
-    for i, c in enumerate(cols):
+    for c in cols:
         x = F.col(f"`{c}`")
-        aggs += [F.avg(F.when(s == a, x)).alias(f"__v_ma{i}"), F.avg(F.when(s == b, x)).alias(f"__v_mb{i}")]
-        o = F.abs(F.col(f"__v_ma{i}") - F.col(f"__v_mb{i}"))
+        in_a, in_b = _alias("mean"), _alias("mean")
+        aggs += [F.avg(F.when(s == a, x)).alias(in_a), F.avg(F.when(s == b, x)).alias(in_b)]
+        o = F.abs(F.col(in_a) - F.col(in_b))
         rows.append(_row("mean_gap", c, o, F.lit(max_gap), o < max_gap))
     return Rule(aggs=aggs, rows=rows)
 

@@ -148,8 +148,8 @@ def q_validation_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_split_drift(spark: SparkSession, sf: str) -> DataFrame:
     sc = scaled_observations(spark, sf)
-    x = sc.select(*OBS_MEASURES)
-    rules = [V.same_columns(x, x), V.mean_gap(OBS_MEASURES, "split", "train", "test", 1.0)]
+    train, test = (sc.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    rules = [V.same_columns(train, test), V.mean_gap(OBS_MEASURES, "split", "train", "test", 1.0)]
     return V.validate(sc, rules).select("rule", "column", _r6("observed"), "threshold", "passed")
 
 

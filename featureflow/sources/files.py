@@ -7,6 +7,7 @@ malformed record instead of silently nulling it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from featureflow.schema import conform
@@ -53,5 +54,7 @@ def read_record(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     reference treats a missing file as an empty dict)."""
     try:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    except Exception:  # noqa: BLE001 — path does not exist
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)

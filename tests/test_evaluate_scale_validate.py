@@ -97,3 +97,11 @@ def test_artifact_checks(spark, tmp_path):
         spark, {"table": ("parquet", good), "gone": ("parquet", str(tmp_path / "nope")),
                 "model": ("model", str(tmp_path / "nomodel"))}).collect()}
     assert res == {"table": True, "gone": False, "model": False}
+
+
+def test_repeated_rules_and_different_columns(spark):
+    from featureflow.operators import validate as V
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "a int, b double")
+    rules = [V.distinct_count("a", 2), V.distinct_count("b", 3), V.non_negative(["a"]), V.non_negative(["b"]),
+             V.same_columns(df, df.select("b", "a"))]
+    assert [r.passed for r in V.validate(df, rules).collect()] == [True, False, True, True, False]
