@@ -62,10 +62,13 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
     not by class size, so a class holding a third of all rows is spread out:
     with 5 digits (about a million buckets per class) a class of 3e11 rows
     puts about 3e5 rows in each window task, while the bucket-count table
-    stays at most ``classes * 16**hex_digits`` rows. ``id_col`` must be unique.
+    stays at most ``classes * 16**hex_digits`` rows. ``id_col`` must be unique; a row
+    without a label fails the split (it would belong to no class).
     """
     h = "__ff_h"
-    staged = df.withColumn(h, split_hash(id_col, seed))
+    label = F.col(label_col)
+    no_label = F.raise_error(F.lit("stratified split: a row has no label")).cast(df.schema[label_col].dataType)
+    staged = df.withColumns({h: split_hash(id_col, seed), label_col: F.when(label.isNull(), no_label).otherwise(label)})
     ranked = exact_rank(staged, [h, id_col], hash_prefix_bucket(F.col(h), hex_digits),
                         partition_cols=[label_col], name=rank_col,
                         per_partition=_allocation(label_col, test_size))

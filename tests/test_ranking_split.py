@@ -132,3 +132,10 @@ def test_split_matches_brute_force(spark, sizes, test_size, seed):
     df = spark.createDataFrame(rows, "id long, label int")
     got = {r["id"]: r["split"] for r in stratified_split(df, "id", "label", test_size, seed, hex_digits=2).collect()}
     assert got == _brute_split(rows, test_size, seed)
+
+
+def test_split_rejects_rows_without_a_label(spark):
+    from featureflow.operators.split import stratified_split
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id int, label int")
+    with pytest.raises(Exception, match="no label"):
+        stratified_split(df, "id", "label").collect()

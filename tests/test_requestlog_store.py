@@ -157,3 +157,15 @@ def test_no_nested_loop_or_cartesian_joins(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, plan
+
+
+def test_asof_null_keys_match_nothing_at_any_bucket_width(spark):
+    from datetime import datetime, timedelta
+    from featureflow.operators.store import FeatureView, asof_join
+    at = datetime(2024, 1, 1)
+    feats = spark.createDataFrame([(None, at, at, 7.0), (1, at, at, 8.0)],
+                                  "k int, ts timestamp_ntz, created timestamp_ntz, x double")
+    spine = spark.createDataFrame([(None, at + timedelta(minutes=30)), (1, at + timedelta(minutes=30))], "k int, t timestamp_ntz")
+    view = FeatureView(name="v", key="k", features=["x"], event_ts="ts", created_ts="created")
+    got = {r.k: r.x for r in asof_join(spine, feats, view, "t").collect()}
+    assert got == {None: None, 1: 8.0}
