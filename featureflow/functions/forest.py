@@ -4,9 +4,10 @@ Each tree becomes a nested ``CASE`` returning its leaf's class-fraction
 array; the forest averages them. The expression is code-generated with the
 rest of the projection: no Python worker, no model broadcast, no shuffle.
 It gives the same probabilities as the ensemble's own ``predict_proba`` /
-MLlib ``transform`` (mean over trees of leaf class fractions). Large
-forests (many deep trees) make huge expressions; those go through MLlib's
-``transform`` instead (``operators/train.py: predict``).
+MLlib ``transform`` (mean over trees of leaf class fractions). The expression
+is as large as the model: a trained forest of many deep trees is better
+served as the saved pipeline itself (``operators/serving.py:
+load_serving_model``), which has no expression to compile.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ NODE_SCHEMA = T.StructType([
     T.StructField("probs", T.ArrayType(T.DoubleType())),  # leaf class fractions
 ])
 
-MAX_EXPRESSION_NODES = 4000
-
 
 @dataclass(frozen=True)
 class Forest:
@@ -38,16 +37,10 @@ class Forest:
     def n_trees(self) -> int:
         return len({n[0] for n in self.nodes})
 
-    def node_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.nodes), NODE_SCHEMA)
-
 
 def forest_from_node_table(df: DataFrame, classes: Sequence) -> Forest:
-    """Build from a node table (model metadata: trees × nodes rows). The
-    node count is checked before anything is brought to the driver."""
-    n = df.count()
-    if n > MAX_EXPRESSION_NODES:
-        raise ValueError(f"forest has {n} nodes; score it with MLlib transform instead")
+    """Build from a node table (model metadata: one row per tree node; it
+    grows with the model, not with the data)."""
     rows = [tuple(r) for r in df.select(*[f.name for f in NODE_SCHEMA.fields]).collect()]
     return Forest(tuple(classes), tuple(rows))
 
@@ -92,8 +85,6 @@ def forest_proba(forest: Forest, feats: Sequence) -> Column:
 
     Trees are summed left to right and divided by the tree count.
     """
-    if len(forest.nodes) > MAX_EXPRESSION_NODES:
-        raise ValueError(f"forest has {len(forest.nodes)} nodes; score it with MLlib transform instead")
     cols = [F.col(f) if isinstance(f, str) else f for f in feats]
     trees: dict[int, dict[int, tuple]] = {}
     for n in forest.nodes:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,10 +52,14 @@ def name_by_index(col, names: Sequence[str]) -> Column:
     ).otherwise(F.element_at(arr, (pos + 1).cast("int")))
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: str | list[str],
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Left join to a lookup table (J3). The lookup side is broadcast only
-    after its row count is checked; a larger table takes a shuffle join."""
-    n = lookup.count()
-    side = F.broadcast(lookup) if n <= max_broadcast_rows else lookup
-    return df.join(side, on=on, how="left")
+def lookup_join(df: DataFrame, lookup: DataFrame, on: str | list[str]) -> DataFrame:
+    """Left join to a lookup table (J3). No hint: Spark broadcasts the lookup
+    side when its measured size is within the session's byte threshold."""
+    return df.join(lookup, on=on, how="left")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key; keeps left's keys."""
+    other = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    equal = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__right_{c}")) for c in on])
+    return left.join(other, equal, how).drop(*[f"__right_{c}" for c in on])

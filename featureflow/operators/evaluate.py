@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 
 def confusion_pairs(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """``(actual, predicted, n)`` for the observed pairs only."""
-    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")) \
+    """``(actual, predicted, n)`` for the observed pairs only. A null class
+    fails the job (it has no place in a sorted class list)."""
+    a, p = (F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null class in {c}"))).otherwise(F.col(c))
+            for c in (actual, predicted))
+    return df.groupBy(a.alias("actual"), p.alias("predicted")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 

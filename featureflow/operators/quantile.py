@@ -10,13 +10,13 @@ group of continuous values) and ``percentile_approx`` is approximate. Here:
    ``h = (n - 1) * p`` each get the value range ``[a, b]`` of the bucket
    holding them and the number of the group's values below ``a``;
 3. narrowing: while a target range still holds more than ``max_rank_rows``
-   values, its rows (a map-side filter against the size-checked broadcast
-   table of open targets, so a hot group is never shuffled to one task)
-   are split into ``buckets`` equal-width sub-ranges with a partial
-   aggregate, and the sub-range holding the rank becomes the new range.
-   The range's minimum and maximum always land in different sub-ranges,
-   so every round shrinks it; the small target table is checkpointed
-   between rounds;
+   values, its rows (joined to the table of open targets, at most two rows
+   a group, which Spark broadcasts when its bytes allow it) are split into
+   ``buckets`` equal-width sub-ranges with a partial aggregate, and the
+   sub-range holding the rank becomes the new range. The range's minimum
+   and maximum always land in different sub-ranges (infinities and NaN get
+   sub-ranges of their own), so every round shrinks it and the rounds end;
+   the small target table is checkpointed between rounds;
 4. a range of equal values answers directly; the others (at most
    ``max_rank_rows`` rows each after narrowing) are ranked with
    ``row_number`` plus the count below the range, and the two order
@@ -27,10 +27,12 @@ Exact for any boundaries; balanced boundaries only make it fast.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from featureflow.functions.lookup import join_null_safe
 from featureflow.operators.ranking import with_quantile_bucket
 from featureflow.session import ensure_checkpoint_dir
 
@@ -60,11 +62,22 @@ def _targets_from_ranges(ranges: DataFrame, groups: list[str], part: list[str],
                       F.col("__q_cnt").cast("long").alias("__q_c"), *_H)
 
 
-def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str], max_broadcast: int) -> DataFrame:
-    """Value rows of each target's range: the target table is broadcast when
-    its row count is within ``max_broadcast`` (then the filter runs map-side
-    and nothing is shuffled by group); a larger table takes a shuffle join.
-    The single global group has at most two targets: their ranges become
+def _sub_range(buckets: int) -> Column:
+    """Number of the equal-width sub-range of ``[__q_a, __q_b]`` that holds the
+    value: monotone, and different for the two ends. A width beyond the
+    largest double is measured in halves."""
+    largest = F.lit(sys.float_info.max)
+    v, a, b = (F.greatest(F.least(F.col(c), largest), -largest) for c in (_V, "__q_a", "__q_b"))
+    scale = F.when(b - a < F.lit(float("inf")), F.lit(1.0)).otherwise(F.lit(0.5))
+    at = F.coalesce(F.try_divide(v * scale - a * scale, b * scale - a * scale), F.lit(0.0))
+    inner = F.least(F.floor(at * F.lit(float(buckets))), F.lit(buckets - 1))
+    return (F.when(F.isnan(_V), F.lit(buckets + 1)).when(F.col(_V) > largest, F.lit(buckets))
+            .when(F.col(_V) < -largest, F.lit(-1)).otherwise(inner).cast("int"))
+
+
+def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str]) -> DataFrame:
+    """Value rows of each target's range, by a join on the group (null is a
+    group). The single global group has at most two targets: their ranges become
     literal conditions, with no join."""
     if groups == [_ALL]:
         cols = [c for c in targets.columns if c != _ALL]
@@ -74,16 +87,14 @@ def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str], max_broadca
                   for t in targets.collect()] or [F.lit(None).cast(stype)]
         m = vals.select("*", F.explode(F.array_compact(F.array(*picked))).alias("__q_t"))
         return m.select(*vals.columns, "__q_t.*")
-    n = targets.count()
-    side = F.broadcast(targets) if n <= max_broadcast else targets
-    j = vals.join(side, on=groups, how="inner")
+    j = join_null_safe(vals, targets, groups)
     return j.where((F.col(_V) >= F.col("__q_a")) & (F.col(_V) <= F.col("__q_b")))
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[str] = (),
-                     name: str = "percentile", buckets: int = 256, max_rank_rows: int = 1_000_000,
-                     max_rounds: int = 8, max_broadcast_targets: int = 500_000) -> DataFrame:
-    """``(group cols..., name)``; groups with no non-null value are absent."""
+                     name: str = "percentile", buckets: int = 256, max_rank_rows: int = 1_000_000) -> DataFrame:
+    """``(group cols..., name)``; null is a group, groups with no non-null value
+    are absent. ``max_rank_rows`` bounds what one task ranks."""
     spark = df.sparkSession
     groups = list(group_cols)
     if not groups:
@@ -105,17 +116,13 @@ def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[s
     targets = _targets_from_ranges(stats, groups, ["__q_want"], _B).checkpoint(eager=True)
 
     # narrowing rounds over the targets whose range is still large
-    for _ in range(max_rounds):
-        is_open = ((F.col("__q_a") < F.col("__q_b")) & (F.col("__q_c") > max_rank_rows)
-                   & ((F.col("__q_b") - F.col("__q_a")) < F.lit(float("inf"))))
+    while True:
+        is_open = (F.col("__q_a") < F.col("__q_b")) & (F.col("__q_c") > max_rank_rows)
         open_t = targets.where(is_open)
         if open_t.isEmpty():
             break
-        rows = _rows_in(vals, open_t, groups, max_broadcast_targets)
-        width = F.col("__q_b") - F.col("__q_a")
-        sub = F.least(F.floor((F.col(_V) - F.col("__q_a")) / width * F.lit(buckets)),
-                      F.lit(buckets - 1)).cast("int")
-        ranges = rows.groupBy(*groups, "__q_r", "__q_before", *_H, sub.alias("__q_sub")).agg(
+        rows = _rows_in(vals, open_t, groups)
+        ranges = rows.groupBy(*groups, "__q_r", "__q_before", *_H, _sub_range(buckets).alias("__q_sub")).agg(
             F.count(F.lit(1)).alias("__q_cnt"), F.min(_V).alias("__q_min"), F.max(_V).alias("__q_max"))
         ranges = ranges.select("*", F.col("__q_before").alias("__q_base"), F.col("__q_r").alias("__q_want"))
         narrowed = _targets_from_ranges(ranges.drop("__q_before", "__q_r"), groups, ["__q_want"], "__q_sub")
@@ -125,18 +132,17 @@ def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[s
     const = targets.where(F.col("__q_a") == F.col("__q_b")).select(
         *groups, "__q_r", F.col("__q_a").alias("__q_val"))
     ranged = targets.where(F.col("__q_a") < F.col("__q_b"))
-    rows = _rows_in(vals, ranged.select(*groups, "__q_r", "__q_a", "__q_b", "__q_before"), groups,
-                    max_broadcast_targets)
+    rows = _rows_in(vals, ranged.select(*groups, "__q_r", "__q_a", "__q_b", "__q_before"), groups)
     w = Window.partitionBy(*groups, "__q_r").orderBy(_V)
     ranked = rows.withColumn("__q_k", F.row_number().over(w) - 1 + F.col("__q_before")) \
         .where(F.col("__q_k") == F.col("__q_r")).select(*groups, "__q_r", F.col(_V).alias("__q_val"))
-    at = const.unionByName(ranked).join(targets.select(*groups, "__q_r", *_H), on=[*groups, "__q_r"])
+    at = join_null_safe(const.unionByName(ranked), targets.select(*groups, "__q_r", *_H), [*groups, "__q_r"])
     ends = at.groupBy(*groups).agg(
         F.max(F.when(F.col("__q_r") == F.col("__q_lo"), F.col("__q_val"))).alias("vlo"),
         F.max(F.when(F.col("__q_r") == F.col("__q_hi"), F.col("__q_val"))).alias("vhi"),
         F.max("__q_h").alias("h"), F.max("__q_lo").alias("lo"))
-    out = ends.select(*groups, (F.col("vlo") + (F.col("h") - F.col("lo")) * (F.col("vhi") - F.col("vlo")))
-                      .alias(name))
+    between = F.col("vlo") + (F.col("h") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))
+    out = ends.select(*groups, F.when(F.col("vlo") == F.col("vhi"), F.col("vlo")).otherwise(between).alias(name))
     if groups == [_ALL]:
         return out.drop(_ALL)
     return out

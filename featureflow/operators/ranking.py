@@ -15,6 +15,8 @@ make it fast. Nothing depends on partition ids, so a recomputed partition
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -82,6 +84,17 @@ def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
     return out.drop(_BUCKET, _OFFSET)
 
 
+def _shared_prefix(df: DataFrame, col: str) -> int:
+    """Bytes that all values of a string or binary key start with (those that
+    the smallest and the largest share); 0 for other types."""
+    if not isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType)):
+        return 0
+    ends = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if ends["lo"] is None:
+        return 0
+    return len(os.path.commonprefix([x.encode() if isinstance(x, str) else bytes(x) for x in ends]))
+
+
 def key_as_double(df: DataFrame, col: str) -> Column:
     """A monotone double image of an order key (for bucketing only)."""
     dt = df.schema[col].dataType
@@ -96,10 +109,10 @@ def key_as_double(df: DataFrame, col: str) -> Column:
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(dt, (T.StringType, T.BinaryType)):
-        # first 6 bytes, zero padded, as a 48-bit number: non-decreasing in
-        # the binary (UTF-8) order Spark uses for strings
+        # the 6 bytes after the prefix that all keys share, zero padded, as a
+        # 48-bit number: non-decreasing in the binary (UTF-8) order of strings
         raw = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
-        hex6 = F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0")
+        hex6 = F.rpad(F.hex(F.substring(raw, 1 + _shared_prefix(df, col), 6)), 12, "0")
         return F.conv(hex6, 16, 10).cast("double")
     raise TypeError(f"cannot order by column {col} of type {dt}")
 
@@ -118,7 +131,7 @@ def _quantile_bounds(staged: DataFrame, buckets: int, accuracy: int | None = Non
 
 
 def _bucketize(staged: DataFrame, bounds: list[float], out: str) -> DataFrame:
-    splits = [float("-inf")] + sorted(set(bounds)) + [float("inf")]
+    splits = [float("-inf")] + sorted({b for b in bounds if math.isfinite(b)}) + [float("inf")]
     if len(splits) < 3:
         return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
     bz = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=out, handleInvalid="error")

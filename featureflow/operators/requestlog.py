@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from featureflow.functions.lookup import join_null_safe
 from featureflow.operators.quantile import exact_percentile
 from featureflow.schema import REQUEST_LOG
 
@@ -23,8 +24,9 @@ HIGH_LATENCY_S = 1.0
 TIMEOUT_S = 5.0
 
 
-def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), p: float = 0.95,
+def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), p: float | None = 0.95,
                     approx: bool = False) -> DataFrame:
+    """One row per group (null is a group); ``p=None`` leaves the percentile null."""
     groups = list(group_cols)
     ok = F.col("success")
     rt = F.col("response_time")
@@ -38,13 +40,15 @@ def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), p: float = 0
         F.min(F.when(ok, rt)).alias("min_response_time"),
         F.max(F.when(ok, rt)).alias("max_response_time"),
     ]
-    if approx:
+    if p is None:
+        aggs.append(F.lit(None).cast("double").alias("p95_response_time"))
+    elif approx:
         aggs.append(F.percentile_approx(F.when(ok, rt), p, 10000).cast("double").alias("p95_response_time"))
     base = log.groupBy(*groups).agg(*aggs)
-    if not approx:
+    if p is not None and not approx:
         pct = exact_percentile(log.where(ok), "response_time", p, groups, "p95_response_time")
         if groups:
-            base = base.join(pct, on=groups, how="left")
+            base = join_null_safe(base, pct, groups, "left")
         else:  # one global value: a scalar subquery, not a join
             base = base.withColumn("p95_response_time", pct.select("p95_response_time").scalar())
     n, s = F.col("total_requests"), F.col("successful_requests")

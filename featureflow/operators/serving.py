@@ -2,11 +2,11 @@
 
 One request = one row ``(req_id, body)``. Parsing and the rule checks are
 expressions (see ``functions/requests.py``); valid feature vectors go
-through the optional scaler (a scalar subquery) and the forest expression.
-Nothing leaves the JVM and nothing is shuffled: the plan is a projection
-(plus ``posexplode`` for batch samples), so it also runs unchanged on a
-stream. The one exception is ``spread``: a batch source with fewer splits
-than task slots is hash-spread over the slots first.
+through the optional scaler (a scalar subquery) and the model: a saved MLlib
+pipeline (``load_serving_model``) or a forest expression. Nothing leaves the
+JVM and nothing is shuffled: the plan is a projection (plus ``posexplode``
+for batch samples), so it also runs unchanged on a stream. A caller whose
+batch source has few splits may ask for ``spread_over`` tasks.
 """
 
 from __future__ import annotations
@@ -14,21 +14,49 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featureflow.functions.forest import Forest, argmax_index, confidence, forest_proba, probability_columns
 from featureflow.functions.lookup import name_by_index
 from featureflow.functions.requests import batch_request, single_request
 from featureflow.operators.scale import scaler_map
+from featureflow.operators.train import load_model, load_scaler
 from featureflow.schema import FEATURE_MEASURES
 
 
 @dataclass
 class ServingModel:
-    forest: Forest
+    forest: Forest | None                     # None: ``pipeline`` scores
     class_names: Sequence[str]
     scaler: DataFrame | None = None           # (feature, mean, scale); None = unscaled
     feature_names: Sequence[str] = tuple(FEATURE_MEASURES)
+    pipeline: PipelineModel | None = None     # its last stage is the classifier
+
+
+def load_serving_model(spark: SparkSession, model_path: str, class_names: Sequence[str],
+                       scaler_path: str | None = None,
+                       feature_names: Sequence[str] = tuple(FEATURE_MEASURES)) -> ServingModel:
+    """The saved pipeline and scaler, read once. A missing model is an error;
+    a missing scaler is a warning and requests are scored unscaled."""
+    scaler = load_scaler(spark, scaler_path) if scaler_path else None
+    return ServingModel(None, class_names, scaler, feature_names, load_model(model_path))
+
+
+def _with_proba(df: DataFrame, model: ServingModel, xs: Sequence[str], ok) -> DataFrame:
+    """Adds ``__proba``, the class probabilities (null where not ``ok``)."""
+    if model.pipeline is None:
+        return df.withColumn("__proba", F.when(ok, forest_proba(model.forest, xs)))
+    # The vector is assembled here, not by the pipeline's assembler: rejected
+    # requests have no features, get zeros and their result is dropped.
+    classifier = model.pipeline.stages[-1]
+    vector = array_to_vector(F.array(*[F.coalesce(F.when(ok, F.col(x)), F.lit(0.0)) for x in xs]))
+    scored = classifier.transform(df.withColumn(classifier.getFeaturesCol(), vector))
+    proba = vector_to_array(F.col(classifier.getProbabilityCol()))
+    return scored.withColumn("__proba", F.when(ok, proba)).drop(
+        classifier.getFeaturesCol(), classifier.getRawPredictionCol(), classifier.getProbabilityCol(),
+        classifier.getPredictionCol())
 
 
 def _predict_columns(df: DataFrame, model: ServingModel, xs: Sequence[str], ok) -> DataFrame:
@@ -37,32 +65,29 @@ def _predict_columns(df: DataFrame, model: ServingModel, xs: Sequence[str], ok)
         m = F.col("__scaler")
         df = df.withColumns({x: (F.col(x) - m[name]["mean"]) / m[name]["scale"]
                              for x, name in zip(xs, model.feature_names)}).drop("__scaler")
-    proba = F.when(ok, forest_proba(model.forest, xs))
+    df = _with_proba(df, model, xs, ok)
+    proba = F.col("__proba")
     pred = argmax_index(proba)
     return df.withColumns({
         "prediction": pred,
         "class_name": name_by_index(pred, list(model.class_names)),
-        "__proba": proba,
         "confidence": confidence(proba),
     }).select("*", *probability_columns(F.col("__proba"), model.class_names)).drop("__proba")
 
 
-def spread(df: DataFrame, key: str = "req_id") -> DataFrame:
+def spread(df: DataFrame, tasks: int | None, key: str = "req_id") -> DataFrame:
     """Parsing bodies is CPU work per row with no shuffle, so it runs in as
-    many tasks as the source has splits. A batch source with fewer splits
-    than task slots (one unsplittable file) is hash-spread on the request id
-    over the slots (deterministic, so a retried task sees the same rows); a
-    large, already split input (or a stream) is left as it is."""
-    if df.isStreaming:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+    many tasks as the source has splits. A caller who knows that a batch
+    source has few splits (one unsplittable file) may have it hash-spread on
+    the request id (deterministic, so a retried task sees the same rows)."""
+    return df if tasks is None else df.repartition(tasks, key)
 
 
-def score_requests(requests: DataFrame, model: ServingModel, as_of: str | None = None) -> DataFrame:
+def score_requests(requests: DataFrame, model: ServingModel, as_of: str | None = None,
+                   spread_over: int | None = None) -> DataFrame:
     """One result row per request: status, error, received length, echoed
     inputs, prediction, class name, per-class probabilities, confidence."""
-    r = single_request(spread(requests.select("req_id", "body")), "body")
+    r = single_request(spread(requests.select("req_id", "body"), spread_over), "body")
     xs = [f"__x{i}" for i in range(len(model.feature_names))]
     r = r.select("req_id", "status", "error", "received",
                  *[F.element_at("features", i + 1).alias(x) for i, x in enumerate(xs)])
@@ -74,11 +99,11 @@ def score_requests(requests: DataFrame, model: ServingModel, as_of: str | None =
     return out.drop(*xs)
 
 
-def score_batch_requests(requests: DataFrame, model: ServingModel):
+def score_batch_requests(requests: DataFrame, model: ServingModel, spread_over: int | None = None):
     """``(summary, predictions)``: per request ``status, error, success,
     total_samples``; per sample of a successful request ``sample_id`` (0-based
     position, R6), inputs and prediction."""
-    b = batch_request(spread(requests.select("req_id", "body")), "body")
+    b = batch_request(spread(requests.select("req_id", "body"), spread_over), "body")
     ok = F.col("status") == 200
     summary = b.select("req_id", "status", "error", ok.alias("success"),
                        F.when(ok, F.size("samples")).cast("int").alias("total_samples"))

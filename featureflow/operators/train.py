@@ -15,7 +15,6 @@ MLlib's maximum depth 30.
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 import logging
 import uuid
 from collections.abc import Sequence
@@ -236,8 +235,3 @@ def best_run(runs: DataFrame, experiment: str, metric: str) -> DataFrame:
     r = runs.where(F.col("experiment") == experiment).where(F.col("metrics")[metric].isNotNull())
     return r.agg(F.max_by(F.struct(*[F.col(c) for c in runs.columns]), F.col("metrics")[metric]).alias("r")) \
         .select("r.*")
-
-
-def grid_points(grid: dict) -> list[dict]:
-    keys = list(grid)
-    return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]

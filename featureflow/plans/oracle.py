@@ -178,7 +178,8 @@ ORACLE["split_drift"] = f"WITH {OBS}, {SPLIT}, {STATS}, {SCALED}\n" + "\nUNION A
 
 # Hand-written CASE form of the three-tree stand-in forest (classes F, O, P)
 # over columns f1..f4 of ``src``; adds p0..p2, prediction, predicted_label, conf.
-def forest_ctes(src: str, out: str = "sc") -> str:
+def forest_ctes(src: str, out: str = "sc", trees: int = 3) -> str:
+    mean = [" + ".join(f"{t}{i}" for t in "abc"[:trees]) for i in range(3)]
     return f"""
 {out}_tr AS (SELECT *,
   CASE WHEN f3 <= 0.07::DOUBLE THEN 0.5::DOUBLE WHEN f1 <= 42.0::DOUBLE THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END AS a0,
@@ -194,8 +195,8 @@ def forest_ctes(src: str, out: str = "sc") -> str:
   CASE WHEN f4 <= 0.04::DOUBLE THEN 0.4::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS c1,
   CASE WHEN f4 <= 0.04::DOUBLE THEN 0.2::DOUBLE WHEN f3 <= 0.09::DOUBLE THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END AS c2
   FROM {src}),
-{out}_pr AS (SELECT *, (a0 + b0 + c0) / 3.0::DOUBLE AS p0, (a1 + b1 + c1) / 3.0::DOUBLE AS p1,
-              (a2 + b2 + c2) / 3.0::DOUBLE AS p2 FROM {out}_tr),
+{out}_pr AS (SELECT *, ({mean[0]}) / {trees}::DOUBLE AS p0, ({mean[1]}) / {trees}::DOUBLE AS p1,
+              ({mean[2]}) / {trees}::DOUBLE AS p2 FROM {out}_tr),
 {out}_fs AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS prediction
              FROM {out}_pr),
 {out} AS (SELECT *, CASE prediction WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS predicted_label,
@@ -286,8 +287,8 @@ _NOTJSON = "'Invalid JSON body'"
 _NOLEN = "'features has no length'"
 _NOTNUM = "'features must be numbers'"
 
-ORACLE["request_score"] = f"""
-WITH {REQ},
+REQUEST_RULES = f"""
+{REQ},
 q AS (SELECT req_id,
    CASE WHEN event_type = 'view' THEN 200 WHEN event_type IN ('click', 'signup') THEN 400
         WHEN event_type = 'error' THEN 500
@@ -298,7 +299,10 @@ q AS (SELECT req_id,
         ELSE CASE k % 4 WHEN 0 THEN {_NOTNUM} WHEN 1 THEN {_BADLEN} WHEN 2 THEN {_NOTNUM} ELSE NULL END END AS error,
    CASE WHEN event_type = 'click' THEN 2 WHEN event_type = 'purchase' AND k % 4 = 1 THEN 5 END AS received,
    CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE x1 END AS f1, x2 AS f2, x3 AS f3, x4 AS f4
-   FROM x),
+   FROM x)"""
+
+ORACLE["request_score"] = f"""
+WITH {REQUEST_RULES},
 ok AS (SELECT * FROM q WHERE status = 200),
 {forest_ctes("ok", "sc")}
 SELECT q.req_id, CAST(q.status AS INTEGER) AS status, q.error, CAST(q.received AS INTEGER) AS received,
@@ -441,3 +445,70 @@ FROM mt
 """
 
 ORACLE["stream_score"] = ORACLE["request_score"]
+
+
+# Model queries: rows, supports and names are plain SQL; the property columns
+# must be true for any right model.
+RULE_SPLIT = f"""
+{OBS.replace("obs AS", "raw_obs AS")},
+obs AS (SELECT * REPLACE (CASE WHEN f1 < 40 THEN 'low' WHEN f3 < 0.08::DOUBLE THEN 'mid' ELSE 'high' END AS label)
+        FROM raw_obs),
+{SPLIT}"""
+
+ORACLE["train_predict"] = f"""
+WITH {RULE_SPLIT}
+SELECT label, count(*) AS support, true AS in_range, NULL::BOOLEAN AS gate_passed FROM sp WHERE split = 'test' GROUP BY label
+UNION ALL
+SELECT name, (SELECT count(*) FROM sp WHERE split = 'test'), true, gate
+FROM (VALUES ('accuracy', true), ('macro avg', NULL), ('weighted avg', NULL)) AS v(name, gate)
+"""
+
+ORACLE["feature_importance"] = f"""
+WITH {OBS}
+SELECT feature, CAST("index" AS INTEGER) AS "index", true AS in_range, true AS total_is_one
+FROM (VALUES ('f1', 0), ('f2', 1), ('f3', 2), ('f4', 3)) AS v(feature, "index")
+WHERE EXISTS (SELECT 1 FROM obs)
+"""
+
+ORACLE["grid_search"] = f"""
+WITH {OBS}
+SELECT CAST(2 * t.i + d.i AS INTEGER) AS candidate, CAST(t.v AS INTEGER) AS num_trees, CAST(d.v AS INTEGER) AS max_depth,
+       CAST(1 AS INTEGER) AS min_samples_leaf, true AS in_range, CAST(1 AS BIGINT) AS n_best
+FROM (VALUES (0, 20), (1, 50)) AS t(i, v), (VALUES (0, 3), (1, 5)) AS d(i, v)
+WHERE EXISTS (SELECT 1 FROM obs)
+"""
+
+ORACLE["batch_predict_file"] = f"""
+WITH {RULE_SPLIT}
+SELECT obs_id, true AS in_range, true AS label_fits, true AS confidence_is_max, '2024-06-01 12:00:00' AS "timestamp"
+FROM sp WHERE split = 'test'
+"""
+
+
+def _run_sql(trees: int) -> str:
+    return f"""(WITH {OBS}, {forest_ctes("obs", "sc", trees)}, {PAIRS}
+SELECT 'standin_forest' AS experiment, '{trees}' AS n_trees, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
+       round(sum(support * f1) / sum(support), 6) AS f1_score FROM mt)"""
+
+
+ORACLE["run_log"] = f"SELECT * FROM ({_run_sql(3)} UNION ALL {_run_sql(2)}) ORDER BY accuracy DESC LIMIT 1"
+
+_TRUE_IF_OK = ", ".join(f"CASE WHEN {{ok}} THEN true END AS {c}" for c in
+                        ["in_range", "name_fits", "confidence_is_max", "total_is_one"])
+
+ORACLE["request_score_loaded"] = f"""
+WITH {REQUEST_RULES}
+SELECT req_id, CAST(status AS INTEGER) AS status, error, CAST(received AS INTEGER) AS received, status = 200 AS success,
+       CASE WHEN status = 200 THEN f1 END AS in_sepal_length, CASE WHEN status = 200 THEN f2 END AS in_sepal_width,
+       CASE WHEN status = 200 THEN f3 END AS in_petal_length, CASE WHEN status = 200 THEN f4 END AS in_petal_width,
+       {_TRUE_IF_OK.format(ok="status = 200")}
+FROM q
+"""
+
+ORACLE["request_batch_loaded"] = f"""
+WITH {REQ}
+SELECT req_id, CAST(0 AS INTEGER) AS sample_id, x1 AS in_sepal_length, x2 AS in_sepal_width, x3 AS in_petal_length,
+       x4 AS in_petal_width, {_TRUE_IF_OK.format(ok="true")} FROM x WHERE event_type = 'view'
+UNION ALL
+SELECT req_id, 1, x4, x3, x2, x1, true, true, true, true FROM x WHERE event_type = 'view'
+"""

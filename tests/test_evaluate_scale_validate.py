@@ -105,3 +105,9 @@ def test_repeated_rules_and_different_columns(spark):
     rules = [V.distinct_count("a", 2), V.distinct_count("b", 3), V.non_negative(["a"]), V.non_negative(["b"]),
              V.same_columns(df, df.select("b", "a"))]
     assert [r.passed for r in V.validate(df, rules).collect()] == [True, False, True, True, False]
+
+
+def test_null_class_fails_the_evaluation(spark):
+    df = spark.createDataFrame([("a", "a"), (None, "a")], "actual string, predicted string")
+    with pytest.raises(Exception, match="null class in actual"):
+        EV.confusion_matrix(df, "actual", "predicted").collect()

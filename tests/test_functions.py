@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featureflow.functions.arith import ieee_div
+from featureflow.functions.forest import Forest, forest_proba
 from featureflow.functions.lookup import map_values, name_by_index
 from featureflow.operators.features import derived_features
 
@@ -59,14 +60,28 @@ def test_no_python_udf_in_feature_plan(spark):
     assert F is not None
 
 
-def test_lookup_join_broadcasts_only_within_the_row_bound(spark):
+def test_lookup_join_leaves_the_broadcast_to_spark(spark):
     from featureflow.functions.lookup import lookup_join
 
     df = spark.createDataFrame([(i, i % 4) for i in range(40)], "id long, code int")
     names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "code int, name string")
     expect = {i: {0: "a", 1: "b", 2: "c"}.get(i % 4) for i in range(40)}   # unmapped code 3 -> null
-    for bound, hinted in ((10, True), (2, False)):
-        out = lookup_join(df, names, "code", max_broadcast_rows=bound)
-        assert {r["id"]: r["name"] for r in out.collect()} == expect
-        hint = "broadcast" in out._jdf.queryExecution().logical().toString().lower()
-        assert hint == hinted
+    out = lookup_join(df, names, "code")
+    assert {r["id"]: r["name"] for r in out.collect()} == expect
+    assert "broadcast" not in out._jdf.queryExecution().logical().toString().lower()
+
+
+def test_forest_of_more_than_four_thousand_nodes_is_an_expression(spark):
+    leaf = [(t, n, -1, None, -1, -1, [1.0, 0.0] if n == 1 else [0.0, 1.0]) for t in range(1400) for n in (1, 2)]
+    forest = Forest(("a", "b"), tuple(leaf + [(t, 0, 0, 0.5, 1, 2, None) for t in range(1400)]))
+    expr = forest_proba(forest, ["x"])
+    assert len(forest.nodes) == 4200 and forest.n_trees == 1400 and expr is not None
+
+
+def test_null_keys_meet_in_the_null_safe_join(spark):
+    from featureflow.functions.lookup import join_null_safe
+
+    a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
+    b = spark.createDataFrame([(None, 10), ("y", 20)], "k string, b int")
+    got = {(r["k"], r["a"], r["b"]) for r in join_null_safe(a, b, ["k"], "left").collect()}
+    assert got == {(None, 1, 10), ("x", 2, None)}

@@ -139,3 +139,14 @@ def test_split_rejects_rows_without_a_label(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id int, label int")
     with pytest.raises(Exception, match="no label"):
         stratified_split(df, "id", "label").collect()
+
+
+def test_keys_with_a_long_shared_prefix_are_spread_over_buckets(spark):
+    from featureflow.operators.ranking import row_index, with_quantile_bucket
+
+    df = spark.range(2000).selectExpr("concat('order-', lpad(cast(id AS string), 12, '0')) AS k")
+    assert with_quantile_bucket(df, "k", "b", 8).select("b").distinct().count() == 8
+    got = [r["k"] for r in row_index(df, "k", buckets=8).orderBy("row_index").collect()]
+    assert got == sorted(got)
+    empty = row_index(df.where("k IS NULL"), "k", buckets=8)
+    assert empty.count() == 0

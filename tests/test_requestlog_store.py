@@ -25,13 +25,12 @@ def test_exact_percentile_matches_numpy_with_many_buckets(spark):
 
 def test_exact_percentile_narrowing_on_hot_group(spark):
     # one group holds most rows; a tiny rank budget forces several narrowing
-    # rounds, and a zero broadcast budget forces the shuffle-join path
+    # rounds
     rnd = random.Random(11)
     rows = [("hot", rnd.expovariate(1.0) ** 3 if i % 4 else 2.0) for i in range(3000)]
     rows += [("cold", rnd.choice([rnd.random(), 0.5])) for _ in range(300)] + [("pair", 1.0), ("pair", 3.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for kw in (dict(buckets=2, max_rank_rows=1, max_rounds=40), dict(buckets=8, max_rank_rows=10,
-                                                                     max_broadcast_targets=0)):
+    for kw in (dict(buckets=2, max_rank_rows=1), dict(buckets=8, max_rank_rows=10)):
         for p in (0.95, 0.5, 1.0):
             got = {r["g"]: r["p"] for r in exact_percentile(df, "v", p, ["g"], "p", **kw).collect()}
             for g in ("hot", "cold", "pair"):
@@ -39,6 +38,25 @@ def test_exact_percentile_narrowing_on_hot_group(spark):
                 assert got[g] == pytest.approx(exp, rel=1e-12, abs=1e-12), (kw, p, g)
 
 
+def test_exact_percentile_narrows_ranges_wider_than_a_double(spark):
+    big = 1.7e308
+    vals = [-big, big, 0.0, 5e-324, 1.0, 2.0, 3.0, big / 2, -1.0, 1e-300] * 3 + [float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = exact_percentile(df, "v", p, [], "p", buckets=2, max_rank_rows=1).first()["p"]
+        assert got == sorted(vals)[int(p * (len(vals) - 1))], p                     # 31 values: whole ranks
+
+
+def test_null_group_has_its_percentile(spark):
+    rows = [(i, 200, float(i), True, 0.0, None, None if i % 2 else "p") for i in range(1, 12)]
+    got = {r["phase"]: r["p95_response_time"] for r in latency_summary(_log(spark, rows), ["phase"]).collect()}
+    for phase, odd in ((None, 1), ("p", 0)):
+        want = float(np.percentile([float(i) for i in range(1, 12) if i % 2 == odd], 95))
+        assert got[phase] == pytest.approx(want, abs=1e-12)
+    plain = latency_summary(_log(spark, rows), ["phase"], p=None)
+    assert plain.where("p95_response_time IS NOT NULL").count() == 0 and plain.count() == 2
+
+
 def _log(spark, rows):
     return spark.createDataFrame(rows, "request_id long, status_code int, response_time double, success boolean, "
                                        "timestamp double, error string, phase string")

@@ -95,13 +95,9 @@ def test_scaler_applied_in_serving(spark):
     assert F is not None
 
 
-def test_spread_only_for_sources_with_few_splits(spark):
+def test_spread_is_the_callers_choice(spark):
     from featureflow.operators.serving import spread
 
-    slots = spark.sparkContext.defaultParallelism
     one = spark.createDataFrame([(i, "{}") for i in range(50)], "req_id long, body string").coalesce(1)
-    spread_one = spread(one)
-    assert spread_one.rdd.getNumPartitions() == slots
-    assert sorted(r["req_id"] for r in spread_one.collect()) == list(range(50))   # same rows, none lost
-    many = one.repartition(slots + 3)
-    assert spread(many).rdd.getNumPartitions() == slots + 3                       # already split: unchanged
+    assert spread(one, None) is one
+    assert sorted(r["req_id"] for r in spread(one, 7).collect()) == list(range(50))   # same rows, none lost
