@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featureflow.functions.arith import ieee_div, sum_of_products
 from featureflow.functions.lookup import index_of, name_by_index, ntz
@@ -56,19 +57,28 @@ def derived_features(df: DataFrame, measures: Sequence[str] = FEATURE_MEASURES)
     })
 
 
+def steps_before(position: Column, base_time, step: dt.timedelta = dt.timedelta(hours=1)) -> Column:
+    """``base_time - position * step``."""
+    us = step // dt.timedelta(microseconds=1)
+    return F.timestamp_add("MICROSECOND", -position * F.lit(us).cast("long"), ntz(base_time))
+
+
 def engineer_features(df: DataFrame, order_col: str, rename: dict[str, str], base_time,
-                      created_time, buckets: int | None = None) -> DataFrame:
+                      created_time, buckets: int | None = None,
+                      step: dt.timedelta = dt.timedelta(hours=1)) -> DataFrame:
     """Feature table in the fixed 10-column schema (F1–F5, P1, P2, IO5).
 
     ``entity_id`` is the row's 0-based position in ``order_col`` order, as a
-    string; ``event_timestamp = base_time - position hours``; one
-    ``created_timestamp`` for all rows. Both times are parameters.
+    string; ``event_timestamp = base_time - position * step``; one
+    ``created_timestamp`` for all rows. Times and step are parameters: with
+    an hour a row, timestamps before the year 1 start at some 18 million rows,
+    so a large table needs a shorter step.
     """
     indexed = row_index(df, order_col, "__ff_idx", buckets=buckets)
     renamed = rename_columns(indexed, rename)
     feats = derived_features(renamed).withColumns({
         "entity_id": F.col("__ff_idx").cast("string"),
-        "event_timestamp": F.timestamp_add("HOUR", -F.col("__ff_idx"), ntz(base_time)),
+        "event_timestamp": steps_before(F.col("__ff_idx"), base_time, step),
         "created_timestamp": ntz(created_time),
     })
     return conform(select_columns(feats, FEATURE_TABLE_COLUMNS), FEATURES)

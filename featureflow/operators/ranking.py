@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 _BUCKET = "__ff_bucket"
 _OFFSET = "__ff_offset"
 _KEYNUM = "__ff_keynum"
+_SALTS = 256         # first-level merges of quantile sketches
+_SKETCH_SIZE = 4096  # rank error of about 1/1500 of a bucket; some 100 KB
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -117,29 +119,35 @@ def key_as_double(df: DataFrame, col: str) -> Column:
     raise TypeError(f"cannot order by column {col} of type {dt}")
 
 
-def _quantile_bounds(staged: DataFrame, buckets: int, accuracy: int | None = None,
-                     with_count: bool = False) -> tuple[list[float], int | None]:
-    """``buckets - 1`` approximate quantile boundaries of ``_KEYNUM`` (and the
-    row count, from the same aggregate pass, when asked)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = accuracy or max(10000, 4 * buckets)
-    aggs = [F.percentile_approx(_KEYNUM, probs, acc).alias("b")]
-    if with_count:
-        aggs.append(F.count(F.lit(1)).alias("n"))
-    row = staged.agg(*aggs).first()
-    return [float(x) for x in (row["b"] or [])], (row["n"] if with_count else None)
+def _refine(staged: DataFrame, bounds: list[float], parts: int) -> tuple[list[float], int]:
+    """``bounds`` of ``_KEYNUM`` with every bucket between them cut at its own
+    approximate quantiles into ``parts``, and the row count.
+
+    Quantile sketches of a fixed size are merged in two levels, per (bucket,
+    salt) and then per bucket, so no task merges the sketches of all splits.
+    The salt is the split's number: it decides only where a sketch is merged,
+    and ranks are exact for any boundaries.
+    """
+    salted = _bucketize(staged.where(~F.isnan(_KEYNUM)), bounds, "__b").withColumn(
+        "__salt", F.spark_partition_id() % _SALTS)
+    k = F.lit(_SKETCH_SIZE)
+    sketches = salted.groupBy("__b", "__salt").agg(F.kll_sketch_agg_double(_KEYNUM, k).alias("k")) \
+        .groupBy("__b").agg(F.kll_merge_agg_double("k", k).alias("k"))
+    ranks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    rows = sketches.select(F.kll_sketch_get_n_double("k").alias("n"),
+                           F.kll_sketch_get_quantile_double("k", ranks).alias("q")).collect()  # one row a bucket
+    return sorted({*bounds, *(x for r in rows for x in r["q"])}), sum(r["n"] for r in rows)
 
 
 def _bucketize(staged: DataFrame, bounds: list[float], out: str) -> DataFrame:
     splits = [float("-inf")] + sorted({b for b in bounds if math.isfinite(b)}) + [float("inf")]
     if len(splits) < 3:
-        return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
+        return staged.withColumn(out, F.lit(0))
     bz = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=out, handleInvalid="error")
-    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop(_KEYNUM)
+    return bz.transform(staged).withColumn(out, F.col(out).cast("int"))
 
 
-def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
-                         accuracy: int | None = None) -> DataFrame:
+def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 256) -> DataFrame:
     """Add ``out``: a bucket number from approximate quantile boundaries of ``col``.
 
     One aggregate pass returns ``buckets - 1`` boundaries (an array whose size
@@ -147,23 +155,23 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 4096,
     search per row. Equal keys always land in the same bucket.
     """
     staged = df.withColumn(_KEYNUM, key_as_double(df, col))
-    if buckets <= 1:
-        return staged.withColumn(out, F.lit(0)).drop(_KEYNUM)
-    bounds, _ = _quantile_bounds(staged, buckets, accuracy)
-    return _bucketize(staged, bounds, out)
+    bounds = _refine(staged, [], buckets)[0] if buckets > 1 else []
+    return _bucketize(staged, bounds, out).drop(_KEYNUM)
 
 
 def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: int | None = None,
-              rows_per_bucket: int = 1_000_000, max_buckets: int = 65536, coarse_buckets: int = 256) -> DataFrame:
+              rows_per_bucket: int = 1_000_000, coarse_buckets: int = 256) -> DataFrame:
     """Contiguous 0..n-1 index in ``order_col`` order (F1).
 
     Not ``monotonically_increasing_id`` (gaps, depends on partitioning) and
     not an un-partitioned window (one task for everything). The number of
     range buckets follows the row count (about ``rows_per_bucket`` rows
     per window task) unless ``buckets`` is given. The count and
-    ``coarse_buckets`` quantile boundaries come from one aggregate pass; the
-    boundaries are thinned to the needed number, and only an input of more
-    than ``coarse_buckets * rows_per_bucket`` rows takes a second, finer pass.
+    ``coarse_buckets`` quantile boundaries come from one aggregate pass. They
+    are thinned to the needed number; an input of more than
+    ``coarse_buckets * rows_per_bucket`` rows has each bucket cut again at its
+    own quantiles, pass by pass, so buckets stay bounded at any size (the
+    driver holds one number per ``rows_per_bucket`` rows).
     """
     if df.schema[order_col].nullable:
         df = df.withColumn(order_col, F.when(F.col(order_col).isNull(),
@@ -173,18 +181,20 @@ def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: i
         staged = with_quantile_bucket(df, order_col, "__ff_qbucket", buckets)
     else:
         staged = df.withColumn(_KEYNUM, key_as_double(df, order_col))
-        coarse = max(2, min(coarse_buckets, max_buckets))
-        bounds, n = _quantile_bounds(staged, coarse, with_count=True)
+        have = max(2, coarse_buckets)
+        bounds, n = _refine(staged, [], have)
         # at least one bucket per default task slot, so the window is always
         # hash-partitioned by bucket (never a single-partition exchange)
         floor = max(2, df.sparkSession.sparkContext.defaultParallelism)
-        need = int(min(max_buckets, max(floor, -(-n // rows_per_bucket))))
-        if need > coarse:
-            bounds, _ = _quantile_bounds(staged, need)
-        elif need < coarse and bounds:
-            # boundary j/need is the coarse boundary round(j * coarse / need)
-            bounds = [bounds[min(len(bounds), max(1, round(j * coarse / need))) - 1] for j in range(1, need)]
-        staged = _bucketize(staged, bounds, "__ff_qbucket")
+        need = max(floor, -(-n // rows_per_bucket))
+        if need < have and bounds:
+            # boundary j/need is the coarse boundary round(j * have / need)
+            bounds = [bounds[min(len(bounds), max(1, round(j * have / need))) - 1] for j in range(1, need)]
+        while have < need:
+            parts = min(coarse_buckets, -(-need // have))
+            bounds, _ = _refine(staged, bounds, parts)
+            have *= parts
+        staged = _bucketize(staged, bounds, "__ff_qbucket").drop(_KEYNUM)
     ranked = exact_rank(staged, [order_col], F.col("__ff_qbucket"), name=name)
     return ranked.drop("__ff_qbucket")
 
