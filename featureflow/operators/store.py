@@ -9,11 +9,12 @@
 
 The as-of join never builds candidate pairs. Spine and feature rows are
 unioned and a running ``last(..., ignorenulls)`` window carries the newest
-feature forward. The window is partitioned by ``(key, time bucket)`` rather
+feature forward. The window is partitioned by ``(key, time cell)`` rather
 than by key, so one hot key is split over many tasks; the newest feature
-of *earlier* buckets comes from a small per-``(key, bucket)`` table
-(one row each, forward-filled per key), so results are exact for any bucket
-width and any TTL.
+of *earlier* cells comes from a small per-``(key, cell)`` table
+(one row each, forward-filled per key), so results are exact for any cells
+and any TTL. Cells are 2^32 microseconds wide; cells with too many rows are
+cut again, down to one microsecond.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featureflow.functions.lookup import ntz
+from featureflow.session import written
 
+CELL_BITS = (32, 26, 20, 14, 8, 2, 0)   # cells are 2**bits microseconds wide
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -45,11 +48,6 @@ def _micros(c: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, `{c}`)")
 
 
-def _bucket(c: str, width: dt.timedelta) -> Column:
-    us = int(width.total_seconds() * 1_000_000)
-    return F.floor(_micros(c) / F.lit(us)).cast("long")
-
-
 def _values(view: FeatureView, prefix: str = "") -> list[Column]:
     out = []
     for f in view.features:
@@ -58,65 +56,86 @@ def _values(view: FeatureView, prefix: str = "") -> list[Column]:
     return out
 
 
-def bucket_width(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts: str,
-                 max_cell_rows: int = 1_000_000, base: dt.timedelta = dt.timedelta(hours=1),
-                 floor: dt.timedelta = dt.timedelta(seconds=1)) -> dt.timedelta:
-    """Time-bucket width for the as-of window, from the data: one partial
-    aggregate counts spine + feature rows per ``(key, base bucket)``; when
-    the densest cell (a hot key) holds more than ``max_cell_rows`` rows, the
-    width shrinks by that factor (not below ``floor``). Only one number
-    reaches the driver."""
-    cells = spine.select(F.col(view.key).alias("__k"), _bucket(spine_ts, base).alias("__b")).unionByName(
-        features.select(F.col(view.key).alias("__k"), _bucket(view.event_ts, base).alias("__b")))
-    densest = cells.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")) \
-        .first()["m"] or 0
-    if densest <= max_cell_rows:
-        return base
-    return max(base / -(-densest // max_cell_rows), floor)
+def hot_cells(rows: DataFrame, max_cell_rows: int) -> list[DataFrame]:
+    """For each cell width in turn, the cells ``(__k, __c)`` of ``rows(__k,
+    __us)`` with more than ``max_cell_rows`` rows; ends at the first width
+    without any. Only rows of hot cells are counted again, and a list has at
+    most one entry per ``max_cell_rows`` rows."""
+    levels = []
+    for bits in CELL_BITS[:-1]:
+        cells = rows.withColumn("__c", F.shiftright("__us", bits))
+        hot = written(cells.groupBy("__k", "__c").agg(F.count(F.lit(1)).alias("n"))
+                      .where(F.col("n") > max_cell_rows).select("__k", "__c"), "hot-cells")
+        if hot.isEmpty():
+            break
+        levels.append(hot)
+        rows = cells.join(hot, ["__k", "__c"], "left_semi").select("__k", "__us")
+    return levels
+
+
+def with_cell(rows: DataFrame, levels: Sequence[DataFrame]) -> DataFrame:
+    """``rows(__k, __us, ...)`` with ``__b``, the first microsecond of the
+    row's cell: the widest cell that is not hot."""
+    def start(bits: int) -> Column:
+        return F.shiftleft(F.shiftright("__us", bits), bits)
+
+    cell = start(CELL_BITS[len(levels)])
+    for bits, hot in reversed(list(zip(CELL_BITS, levels))):
+        c, h = f"__c{bits}", f"__h{bits}"
+        rows = rows.withColumn(c, F.shiftright("__us", bits)).join(
+            hot.select("__k", F.col("__c").alias(c), F.lit(True).alias(h)), ["__k", c], "left")
+        cell = F.when(F.col(h), cell).otherwise(start(bits))
+    return rows.withColumn("__b", cell)
 
 
 def asof_join(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts: str,
               bucket: dt.timedelta | None = None, max_cell_rows: int = 1_000_000) -> DataFrame:
     """Spine columns + the view's feature values + ``feature_timestamp``.
 
-    ``bucket`` fixes the time-bucket width; by default it is
-    ``min(ttl, bucket_width(...))``, so a hot key is cut into cells of about
-    ``max_cell_rows`` rows. Results do not depend on the width."""
+    A key's rows are cut into time cells of about 72 minutes, and only a cell
+    with more than ``max_cell_rows`` rows is cut further, so a hot key is spread
+    over many tasks while the other keys keep wide cells. Results do not
+    depend on the cells; ``bucket`` fixes one width for all. A null key or time matches nothing; such spine rows
+    are kept without features."""
     key = view.key
-    # narrow buckets split a hot key over many window tasks; the carry table
-    # holds at most (time span / width) rows per key
-    width = bucket or min(view.ttl or dt.timedelta(hours=1),
-                          bucket_width(spine, features, view, spine_ts, max_cell_rows))
     created = F.col(view.created_ts) if view.created_ts else F.lit(None).cast("timestamp_ntz")
     feat_struct = F.struct(F.col(view.event_ts).alias("__ets"), created.alias("__cts"),
                            *[F.col(f).alias(f) for f in view.features])
     spine_struct = F.struct(*[F.col(c) for c in spine.columns])
+    feat_type = features.select(feat_struct).schema[0].dataType
     tb = [F.col(c) for c in view.tiebreak]
     tb_null = [F.lit(None).cast(features.schema[c].dataType).alias(f"__tb{i}") for i, c in enumerate(view.tiebreak)]
 
-    s_rows = spine.select(
-        F.col(key).alias("__k"), _bucket(spine_ts, width).alias("__b"), F.col(spine_ts).alias("__t"),
+    matchable = F.col(key).isNotNull() & F.col(spine_ts).isNotNull()
+    s_rows = spine.where(matchable).select(
+        F.col(key).alias("__k"), _micros(spine_ts).alias("__us"), F.col(spine_ts).alias("__t"),
         F.lit(1).alias("__is_spine"), F.lit(None).cast("timestamp_ntz").alias("__c"), *tb_null,
-        spine_struct.alias("__s"), F.lit(None).cast(features.select(feat_struct).schema[0].dataType).alias("__f"))
-    # a null key matches nothing; spine rows with a null key are kept without features
-    f_rows = features.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("__k"), _bucket(view.event_ts, width).alias("__b"), F.col(view.event_ts).alias("__t"),
+        spine_struct.alias("__s"), F.lit(None).cast(feat_type).alias("__f"))
+    f_rows = features.where(F.col(key).isNotNull() & F.col(view.event_ts).isNotNull()).select(
+        F.col(key).alias("__k"), _micros(view.event_ts).alias("__us"), F.col(view.event_ts).alias("__t"),
         F.lit(0).alias("__is_spine"), created.alias("__c"), *[c.alias(f"__tb{i}") for i, c in enumerate(tb)],
         F.lit(None).cast(spine.select(spine_struct).schema[0].dataType).alias("__s"), feat_struct.alias("__f"))
+    if bucket is not None:
+        fixed = F.floor(F.col("__us") / F.lit(bucket // dt.timedelta(microseconds=1))).cast("long")
+        s_rows, f_rows = s_rows.withColumn("__b", fixed), f_rows.withColumn("__b", fixed)
+    else:
+        levels = hot_cells(s_rows.select("__k", "__us").unionByName(f_rows.select("__k", "__us")), max_cell_rows)
+        s_rows, f_rows = with_cell(s_rows, levels), with_cell(f_rows, levels)
     order = ["__t", "__is_spine", "__c", *[f"__tb{i}" for i in range(len(tb))]]
     w = Window.partitionBy("__k", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     u = s_rows.unionByName(f_rows)
     hit = u.withColumn("__hit", F.last("__f", ignorenulls=True).over(w)).where(F.col("__is_spine") == 1) \
         .select("__k", "__b", "__s", "__hit")
 
-    # newest feature row of every (key, bucket), forward-filled over the
-    # key's buckets: gives the newest feature strictly before a bucket
-    last_in_bucket = f_rows.groupBy("__k", "__b").agg(
+    # newest feature row of every (key, cell), forward-filled over the
+    # key's cells: gives the newest feature strictly before a cell. A key has
+    # one row per cell here, about one per max_cell_rows rows if it is hot.
+    last_in_cell = f_rows.groupBy("__k", "__b").agg(
         F.max_by("__f", F.struct(*order)).alias("__last"), F.lit(0).alias("__need"))
     needed = s_rows.select("__k", "__b").distinct().select(
-        "__k", "__b", F.lit(None).cast(last_in_bucket.schema["__last"].dataType).alias("__last"),
+        "__k", "__b", F.lit(None).cast(last_in_cell.schema["__last"].dataType).alias("__last"),
         F.lit(1).alias("__need"))
-    k = needed.unionByName(last_in_bucket).groupBy("__k", "__b").agg(
+    k = needed.unionByName(last_in_cell).groupBy("__k", "__b").agg(
         F.max("__need").alias("__need"), F.max("__last").alias("__last"))
     wk = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     prev = k.withColumn("__prev", F.last("__last", ignorenulls=True).over(wk)) \
@@ -128,7 +147,8 @@ def asof_join(spine: DataFrame, features: DataFrame, view: FeatureView, spine_ts
     if view.ttl is not None:
         us = int(view.ttl.total_seconds() * 1_000_000)
         valid = valid & (f["__ets"] >= F.timestamp_add("MICROSECOND", F.lit(-us), F.col(f"__s.{spine_ts}")))
-    j = j.withColumn("__m", F.when(valid, f))
+    j = j.select("__s", F.when(valid, f).alias("__m")).unionByName(
+        spine.where(~matchable).select(spine_struct.alias("__s"), F.lit(None).cast(feat_type).alias("__m")))
     return j.select("__s.*", *_values(view, "__m."), F.col("__m.__ets").alias("feature_timestamp"))
 
 

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every entry point wants. Shuffle partitions follow the core count
 # locally; on a cluster the caller sets them from the data size (AQE then
@@ -72,5 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/featureflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read
+    back: it survives executor loss, and later reads take only the columns
+    they need (a checkpoint keeps whole rows)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from featureflow.operators.quantile import exact_percentile
 from featureflow.operators.requestlog import latency_flags, latency_summary
-from featureflow.operators.store import FeatureView, asof_join, bucket_width, latest_features, lookup_latest
+from featureflow.operators.store import FeatureView, asof_join, hot_cells, latest_features, lookup_latest
 
 
 def test_exact_percentile_matches_numpy_with_many_buckets(spark):
@@ -121,14 +121,26 @@ def test_asof_join_matches_brute_force_with_hot_key(spark):
             assert got == _brute_asof(spine, feats, t), (bucket, cell, t)
 
 
-def test_bucket_width_shrinks_for_a_dense_key(spark):
-    rows = [(0, _ts(1, m, s)) for m in range(10) for s in range(0, 60, 6)]   # 100 rows in one hour
-    sdf = spark.createDataFrame(rows, "key long, ts timestamp_ntz")
-    fdf = spark.createDataFrame(rows, "key long, ets timestamp_ntz")
-    view = FeatureView("v", "key", "ets", [])
-    assert bucket_width(sdf, fdf, view, "ts", max_cell_rows=1000) == dt.timedelta(hours=1)
-    assert bucket_width(sdf, fdf, view, "ts", max_cell_rows=50) == dt.timedelta(minutes=15)   # 200 rows / 50
-    assert bucket_width(sdf, fdf, view, "ts", max_cell_rows=1) == dt.timedelta(seconds=18)
+def test_only_hot_cells_are_cut(spark):
+    # key 0: 100 rows in one microsecond range of a second; key 1: one row an hour
+    rows = spark.range(100).selectExpr("0L AS __k", "7 * id AS __us").unionByName(
+        spark.range(100).selectExpr("1L AS __k", "3600000000 * id AS __us"))
+    assert hot_cells(rows, 1000) == []
+    levels = hot_cells(rows, 50)      # all of key 0 stays in one cell down to 2**14 microseconds
+    assert [[tuple(r) for r in level.collect()] for level in levels] == [[(0, 0)]] * 4
+
+
+def test_asof_join_with_a_dense_microsecond_and_negative_times(spark):
+    old = dt.datetime(1960, 1, 1)
+    feats = [(i % 2, old + dt.timedelta(microseconds=i // 4), old, i, float(i)) for i in range(200)]
+    spine = [(j, j % 3, old + dt.timedelta(microseconds=j)) for j in range(-5, 60)]
+    spine += [(100, None, old), (101, 0, None)]
+    sdf = spark.createDataFrame(spine, "sid long, key long, ts timestamp_ntz")
+    fdf = spark.createDataFrame(feats, "key long, ets timestamp_ntz, cts timestamp_ntz, fid long, val double")
+    view = FeatureView("v", "key", "ets", ["val"], created_ts="cts", as_float=False, tiebreak=["fid"])
+    expect = _brute_asof([s for s in spine if s[0] < 100], feats, None) | {100: None, 101: None}
+    for cell in (1, 3, 1000):
+        assert {r["sid"]: r["val"] for r in asof_join(sdf, fdf, view, "ts", max_cell_rows=cell).collect()} == expect
 
 
 def test_asof_ttl_bound_is_inclusive(spark):
