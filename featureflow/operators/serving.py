@@ -16,16 +16,23 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from featureflow.functions.forest import Forest, argmax_index, confidence, forest_proba, probability_columns
+from featureflow.functions.forest import (
+    Forest, argmax_index, confidence, forest_proba, probability_columns, probability_map,
+)
 from featureflow.functions.lookup import name_by_index
-from featureflow.functions.requests import batch_request, single_request
+from featureflow.functions.requests import MISSING, batch_request, single_request
 from featureflow.operators.scale import scaler_map
 from featureflow.operators.train import load_model, load_scaler
 from featureflow.schema import FEATURE_MEASURES
 
 
+# The examples in the answer to a request without features.
+EXAMPLE = [5.1, 3.5, 1.4, 0.2]
+BATCH_EXAMPLE = [EXAMPLE, [6.2, 2.8, 4.8, 1.8]]
+
+
 @dataclass
 class ServingModel:
     forest: Forest | None                     # None: ``pipeline`` scores
@@ -99,6 +106,47 @@ def score_requests(requests: DataFrame, model: ServingModel, as_of: str | None =
     return out.drop(*xs)
 
 
+def response_documents(scored: DataFrame, model: ServingModel, as_of: str) -> DataFrame:
+    """``(req_id, status, document)``: the JSON answer to each single request
+    from ``score_requests`` rows. A valid request has its nested prediction
+    with the probabilities map (F6), the echoed inputs and ``as_of``; a
+    wrong length the received length; missing features the expected format."""
+    ok = F.col("status") == 200
+    # fixed values: the example shown in the answer
+    example = F.when(F.col("error") == MISSING, F.struct(F.array(*[F.lit(x) for x in EXAMPLE]).alias("features")))
+    document = F.struct(
+        F.when(ok, F.lit(True)).when(F.col("status") == 500, F.lit(False)).alias("success"),
+        F.col("error"), F.col("received"), example.alias("expected_format"),
+        F.when(ok, _prediction(model)).alias("prediction"),
+        F.when(ok, F.struct(*[F.col(f"in_{n}").alias(n) for n in model.feature_names])).alias("input_features"),
+        F.when(ok, F.lit(as_of)).alias("timestamp"))
+    return scored.select("req_id", "status", F.to_json(document).alias("document"))  # null fields are left out
+
+
+def batch_documents(summary: DataFrame, predictions: DataFrame, model: ServingModel, as_of: str) -> DataFrame:
+    """``(req_id, status, document)``: the JSON answer to each batch request.
+    A request's samples came in one body and go back into one document."""
+    sample = F.struct("sample_id", _prediction(model).alias("prediction"),
+                      F.array(*[f"in_{n}" for n in model.feature_names]).alias("input_features"))
+    in_order = F.array_sort(F.collect_list(sample), lambda a, b: a["sample_id"] - b["sample_id"])
+    lists = predictions.groupBy("req_id").agg(in_order.alias("__p"))
+    ok = F.col("status") == 200
+    example = F.when(F.col("error") == MISSING, F.struct(
+        F.array(*[F.array(*[F.lit(x) for x in row]) for row in BATCH_EXAMPLE]).alias("features")))
+    empty = F.array().cast(lists.schema["__p"].dataType)
+    document = F.struct(
+        F.when(ok, F.lit(True)).when(F.col("status") == 500, F.lit(False)).alias("success"),
+        F.col("error"), example.alias("expected_format"),
+        F.when(ok, F.coalesce(F.col("__p"), empty)).alias("predictions"), F.col("total_samples"),
+        F.when(ok, F.lit(as_of)).alias("timestamp"))
+    return summary.join(lists, "req_id", "left").select("req_id", "status", F.to_json(document).alias("document"))
+
+
+def _prediction(model: ServingModel) -> Column:
+    probabilities = probability_map(F.array(*[f"p_{n}" for n in model.class_names]), model.class_names)
+    return F.struct("prediction", "class_name", probabilities.alias("probabilities"), "confidence")
+
+
 def score_batch_requests(requests: DataFrame, model: ServingModel, spread_over: int | None = None):
     """``(summary, predictions)``: per request ``status, error, success,
     total_samples``; per sample of a successful request ``sample_id`` (0-based

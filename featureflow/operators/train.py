@@ -7,19 +7,22 @@ aggregated across partitions); nothing here gathers rows on the driver.
 Labels are encoded by class *position* (not StringIndexer's frequency
 order), so probability index i is class i.
 
-Deviations forced by MLlib: ``min_samples_split`` has no MLlib parameter
-(that grid axis is dropped and reported); an unlimited depth becomes
-MLlib's maximum depth 30.
+MLlib has no ``min_samples_split``. Growth below a node does not depend on
+that limit, so the limit is applied to the fitted forest: nodes with fewer
+rows become leaves (``prune_forest``), without another fit. An unlimited
+depth becomes MLlib's maximum depth 30.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import logging
+import statistics
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -27,12 +30,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from featureflow.functions.forest import argmax_index, confidence
 from featureflow.functions.lookup import index_of
 from featureflow.schema import SCALER
-from featureflow.session import ensure_checkpoint_dir
+from featureflow.session import scratch_path, written
 
 log = logging.getLogger(__name__)
 
@@ -66,13 +69,6 @@ def forest_estimator(feature_cols: Sequence[str], num_trees: int = 100, max_dept
     return Pipeline(stages=[asm, rf]), rf
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared checkpoint
-    folder (survives executor loss; never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def train_forest(df: DataFrame, feature_cols: Sequence[str], label_col: str, classes: Sequence,
                  num_trees: int = 100, max_depth: int | None = 5, seed: int = 42,
                  min_instances: int = 1) -> PipelineModel:
@@ -104,20 +100,65 @@ def predict(model: PipelineModel, df: DataFrame, classes: Sequence, class_names:
     return scored.select(*out, proba.alias("probability"), confidence(proba).alias("confidence"))
 
 
+def pruned_nodes(nodes: DataFrame, min_samples_split: int) -> DataFrame:
+    """Saved node rows ``(treeID, nodeData)`` of a forest in which no node with
+    fewer than ``min_samples_split`` training rows is split.
+
+    A child has no more rows than its parent, so a node stays exactly when
+    its parent may split. Nodes keep their pre-order and are numbered anew
+    without gaps, as the loader expects. One row per tree node (model
+    metadata); all work is within a tree.
+    """
+    n = nodes.select("treeID", "nodeData.*")
+    splits = (F.col("leftChild") >= 0) & (F.col("rawCount") >= min_samples_split)
+    kept = n.where(splits).select("treeID", F.explode(F.array("leftChild", "rightChild")).alias("id")) \
+        .unionByName(n.where(F.col("id") == 0).select("treeID", "id"))
+    new_id = kept.withColumn("new", F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1)
+    child = [new_id.select("treeID", F.col("id").alias(c), F.col("new").alias(f"new_{c}"))
+             for c in ("leftChild", "rightChild")]
+    leaf = nodes.schema["nodeData"].dataType["split"].dataType
+    no_split = F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"),
+                        F.lit(-1).alias("numCategories")).cast(leaf)
+    out = n.join(new_id, ["treeID", "id"]).join(child[0], ["treeID", "leftChild"], "left") \
+        .join(child[1], ["treeID", "rightChild"], "left")
+    out = out.select("treeID", F.struct(
+        F.col("new").alias("id"), "prediction", "impurity", "impurityStats", "rawCount",
+        F.when(splits, F.col("gain")).otherwise(-1.0).alias("gain"),
+        F.when(splits, F.col("new_leftChild")).otherwise(-1).alias("leftChild"),
+        F.when(splits, F.col("new_rightChild")).otherwise(-1).alias("rightChild"),
+        F.when(splits, F.col("split")).otherwise(no_split).alias("split")).alias("nodeData"))
+    return out.select("treeID", F.col("nodeData").cast(nodes.schema["nodeData"].dataType).alias("nodeData"))
+
+
+def prune_forest(spark: SparkSession, model: PipelineModel, min_samples_split: int) -> PipelineModel:
+    """``model`` with the split limit applied to its forest (its last stage).
+
+    The limit needs saved node rows: the forest is saved to the shared folder,
+    and a copy with the pruned nodes is loaded back."""
+    if min_samples_split <= 2:  # a node of one row is never split
+        return model
+    forest = model.stages[-1]
+    full, pruned = scratch_path(spark, "forest"), scratch_path(spark, "forest-pruned")
+    forest.write().save(full)
+    forest.write().save(pruned)
+    pruned_nodes(spark.read.parquet(f"{full}/data"), min_samples_split) \
+        .write.mode("overwrite").parquet(f"{pruned}/data")
+    return PipelineModel([*model.stages[:-1], type(forest).load(pruned)])
+
+
 def grid_search(train: DataFrame, feature_cols: Sequence[str], label_col: str, classes: Sequence,
                 fold_col: str, n_folds: int = 5, grid: dict | None = None, seed: int = 42,
                 parallelism: int = 4):
     """Grid search with k-fold cross-validation on a given fold column (M2).
 
-    Returns ``(best_model, candidates, dropped_axes)``: ``best_model`` is
-    refit on all of ``train``; ``candidates`` has one row per grid point with
-    the mean and standard deviation of fold accuracy (A12) and ``is_best``
-    (highest mean; ties → first in grid order, R4).
+    Returns ``(best_model, candidates)``: ``best_model`` is refit on all of
+    ``train``; ``candidates`` has one row per grid point with the mean and
+    standard deviation of fold accuracy (A12) and ``is_best`` (highest mean;
+    ties → first in grid order, R4). The default grid is the reference's 108
+    candidates: 36 fits a fold, each with its three split limits.
     """
     grid = dict(grid or FULL_GRID)
-    dropped = [a for a in ("min_samples_split",) if a in grid]
-    for a in dropped:
-        grid.pop(a)
+    limits = list(grid.pop("min_samples_split", [2]))
     pipe, rf = forest_estimator(feature_cols, seed=seed)
     axes = [("num_trees", rf.numTrees, lambda v: v), ("max_depth", rf.maxDepth,
                                                        lambda v: MLLIB_MAX_DEPTH if v is None else v),
@@ -129,25 +170,46 @@ def grid_search(train: DataFrame, feature_cols: Sequence[str], label_col: str, c
             builder = builder.addGrid(param, [conv(v) for v in grid[name]])
             used.append((name, param))
     maps = builder.build()
-    data = checkpointed(with_label_index(train, label_col, classes))
+    spark = train.sparkSession
+    data = written(with_label_index(train, label_col, classes), "grid")
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=n_folds,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
+                        foldCol=fold_col, parallelism=parallelism, seed=seed,
+                        collectSubModels=any(limit > 2 for limit in limits))
     cvm = cv.fit(data)
+
+    def accuracy(point: tuple[int, int, int]) -> float:
+        i, limit, fold = point
+        model = prune_forest(spark, cvm.subModels[fold][i], limit)
+        return ev.evaluate(model.transform(data.where(F.col(fold_col) == fold)))
+
+    points = [(i, limit, fold) for i in range(len(maps)) for limit in limits if limit > 2 for fold in range(n_folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        folds = dict(zip(points, pool.map(inheritable_thread_target(spark)(accuracy), points)))
     rows = []
-    for i, (pm, mean, std) in enumerate(zip(maps, cvm.avgMetrics, cvm.stdMetrics)):
+    for i, pm in enumerate(maps):
         vals = {name: int(pm[param]) for name, param in used}
-        rows.append((i, vals.get("num_trees"), vals.get("max_depth"), vals.get("min_samples_leaf"),
-                     float(mean), float(std)))
+        for limit in limits:
+            if limit > 2:
+                scores = [folds[i, limit, fold] for fold in range(n_folds)]
+                mean, std = statistics.fmean(scores), statistics.pstdev(scores)
+            else:
+                mean, std = cvm.avgMetrics[i], cvm.stdMetrics[i]
+            rows.append((len(rows), vals.get("num_trees"), vals.get("max_depth"), limit,
+                         vals.get("min_samples_leaf"), float(mean), float(std)))
     schema = T.StructType([T.StructField("candidate", T.IntegerType()), T.StructField("num_trees", T.IntegerType()),
                            T.StructField("max_depth", T.IntegerType()),
+                           T.StructField("min_samples_split", T.IntegerType()),
                            T.StructField("min_samples_leaf", T.IntegerType()),
                            T.StructField("mean_accuracy", T.DoubleType()),
                            T.StructField("std_accuracy", T.DoubleType())])
     cand = train.sparkSession.createDataFrame(rows, schema)  # one row per grid point (model metadata)
-    best = cand.agg(F.max_by("candidate", F.struct(F.col("mean_accuracy"), -F.col("candidate"))).alias("b"))
-    cand = cand.withColumn("is_best", F.col("candidate") == best.scalar())
-    return cvm.bestModel, cand, dropped
+    best = max(rows, key=lambda r: (r[5], -r[0]))[0]
+    cand = cand.withColumn("is_best", F.col("candidate") == best)
+    base, limit = divmod(best, len(limits))
+    chosen = max(range(len(maps)), key=lambda i: (cvm.avgMetrics[i], -i))  # the one that was refit
+    model = cvm.bestModel if base == chosen else pipe.copy(maps[base]).fit(data)
+    return prune_forest(spark, model, limits[limit]), cand
 
 
 def importances(model: PipelineModel) -> list[float]:

@@ -472,9 +472,9 @@ WHERE EXISTS (SELECT 1 FROM obs)
 
 ORACLE["grid_search"] = f"""
 WITH {OBS}
-SELECT CAST(2 * t.i + d.i AS INTEGER) AS candidate, CAST(t.v AS INTEGER) AS num_trees, CAST(d.v AS INTEGER) AS max_depth,
-       CAST(1 AS INTEGER) AS min_samples_leaf, true AS in_range, CAST(1 AS BIGINT) AS n_best
-FROM (VALUES (0, 20), (1, 50)) AS t(i, v), (VALUES (0, 3), (1, 5)) AS d(i, v)
+SELECT CAST(4 * t.i + 2 * d.i + s.i AS INTEGER) AS candidate, CAST(t.v AS INTEGER) AS num_trees,
+       CAST(d.v AS INTEGER) AS max_depth, CAST(s.v AS INTEGER) AS min_samples_split, CAST(1 AS INTEGER) AS min_samples_leaf, true AS in_range, CAST(1 AS BIGINT) AS n_best
+FROM (VALUES (0, 20), (1, 50)) AS t(i, v), (VALUES (0, 3), (1, 5)) AS d(i, v), (VALUES (0, 2), (1, 10)) AS s(i, v)
 WHERE EXISTS (SELECT 1 FROM obs)
 """
 
@@ -512,3 +512,32 @@ SELECT req_id, CAST(0 AS INTEGER) AS sample_id, x1 AS in_sepal_length, x2 AS in_
 UNION ALL
 SELECT req_id, 1, x4, x3, x2, x1, true, true, true, true FROM x WHERE event_type = 'view'
 """
+
+_ANSWERED = "CASE WHEN status = 200 THEN '2024-06-01 12:00:00' END"
+
+ORACLE["response_documents"] = f"""
+SELECT req_id, status, CASE status WHEN 200 THEN true WHEN 500 THEN false END AS success, error, received,
+       CASE WHEN error = {_MISSING} THEN '5.1 3.5 1.4 0.2' END AS expected, prediction, class_name,
+       p_finished, p_open, p_partial, confidence,
+       in_sepal_length, in_sepal_width, in_petal_length, in_petal_width, {_ANSWERED} AS "timestamp"
+FROM ({ORACLE["request_score"]})
+"""
+
+ORACLE["batch_documents"] = f"""
+WITH s AS ({ORACLE["request_batch_score"]}), p AS ({ORACLE["request_batch_predictions"]})
+SELECT s.req_id, status, CASE status WHEN 200 THEN true WHEN 500 THEN false END AS success, error, total_samples,
+       CASE WHEN status = 200 THEN CAST((SELECT count(*) FROM p WHERE p.req_id = s.req_id) AS INTEGER) END AS n_predictions,
+       l.confidence AS last_confidence, l.in_sepal_length AS last_first_input, {_ANSWERED} AS "timestamp"
+FROM s LEFT JOIN p l ON l.req_id = s.req_id AND l.sample_id = s.total_samples - 1
+"""
+
+ORACLE["workflow_run"] = f"""
+WITH {OBS}
+SELECT v.artifact, v."check", true AS passed,
+       CASE n WHEN -1 THEN (SELECT count(*) FROM obs) ELSE CAST(n AS BIGINT) END AS "rows"
+FROM (VALUES ('metrics', 'accuracy', NULL), ('metrics_tuned', 'accuracy', NULL), ('metrics_tuned', 'cv_score', NULL),
+             ('feature_table', 'artifact_exists', -1), ('split', 'artifact_exists', -1), ('scaler', 'artifact_exists', 4),
+             ('model', 'artifact_exists', NULL), ('evaluation_report', 'artifact_exists', NULL),
+             ('confusion_matrix', 'artifact_exists', NULL), ('feature_importance', 'artifact_exists', 4),
+             ('runs', 'artifact_exists', 1)) AS v(artifact, "check", n)
+"""

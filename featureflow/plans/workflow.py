@@ -1,11 +1,11 @@
 """End-to-end training workflow (the reference's stage sequence, E1).
 
 features → feature table (fixed schema, overwrite) → exact stratified split
-→ scaler fit on train → grid search with stratified folds (or one fixed
-forest) → test evaluation → metrics record, matrix text, importances →
-run log. One lazy lineage per step; the only materialisations are the
-written tables and one checkpoint of the training set (MLlib and the
-cross-validator read it several times).
+(written, by split) → scaler fit on train → one fixed forest and its plain
+metrics record → with a grid: grid search with stratified folds and the tuned
+record → test evaluation of the last model → evaluation record, matrix text,
+importances → run log. One lazy lineage per step; the only materialisations
+are the written tables.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from featureflow.operators import evaluate as EV
 from featureflow.operators.features import engineer_features
 from featureflow.operators.scale import apply_scaler, fit_scaler
 from featureflow.operators.split import stratified_folds, stratified_split
 from featureflow.operators.train import (
-    checkpointed, grid_search, importances, log_run, predict, save_model, save_scaler, train_forest,
+    grid_search, importances, log_run, predict, save_model, save_scaler, train_forest,
 )
+from featureflow.schema import PLAIN_RECORD, TUNED_RECORD
 from featureflow.sources.files import write_record
 
 
@@ -38,18 +39,31 @@ class WorkflowConfig:
     test_size: float = 0.2
     seed: int = 42
     n_folds: int = 5
-    grid: dict | None = None              # None: one forest with forest_params
+    grid: dict | None = None              # None: only the forest with forest_params
     forest_params: dict = field(default_factory=lambda: {"num_trees": 100, "max_depth": 5, "seed": 42})
     experiment: str = "featureflow"
 
 
+MODEL_TYPE = "RandomForestClassifier"
+
+
+def _accuracy(model, test: DataFrame, cfg: WorkflowConfig) -> float:
+    pred = predict(model, test, cfg.classes)
+    return EV.evaluation_report(pred, cfg.label_col, "predicted_label", with_matrix=False).first()["accuracy"]
+
+
+def _write_metrics(spark: SparkSession, path: str, schema: T.StructType, record: dict) -> None:
+    write_record(spark.createDataFrame([record], schema), path)
+
+
 def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) -> dict:
     out = cfg.out_dir.rstrip("/")
     feats = engineer_features(source, cfg.id_col, dict(cfg.rename), cfg.base_time, cfg.as_of)
     feats.write.mode("overwrite").parquet(f"{out}/feature_table")
 
     split = stratified_split(source, cfg.id_col, cfg.label_col, cfg.test_size, cfg.seed)
-    split = checkpointed(stratified_folds(split, cfg.n_folds))
+    stratified_folds(split, cfg.n_folds).write.mode("overwrite").partitionBy("split").parquet(f"{out}/split")
+    split = spark.read.parquet(f"{out}/split")
     train = split.where(F.col("split") == "train")
     scaler = fit_scaler(train, cfg.measures)
     save_scaler(scaler, f"{out}/scaler")
@@ -59,16 +73,20 @@ def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) ->
 
     metrics: dict = {}
     params: dict = dict(cfg.forest_params)
+    model = train_forest(x_train, cfg.measures, cfg.label_col, cfg.classes, **cfg.forest_params)
+    _write_metrics(spark, f"{out}/metrics", PLAIN_RECORD, {
+        "accuracy": _accuracy(model, x_test, cfg), "model_type": MODEL_TYPE,
+        "n_estimators": params["num_trees"], "max_depth": params["max_depth"]})
     if cfg.grid:
-        model, cand, dropped = grid_search(x_train, cfg.measures, cfg.label_col, cfg.classes, "fold",
+        model, cand = grid_search(x_train, cfg.measures, cfg.label_col, cfg.classes, "fold",
                                            cfg.n_folds, cfg.grid, cfg.seed)
         cand.write.mode("overwrite").parquet(f"{out}/candidates")
         best = spark.read.parquet(f"{out}/candidates").where("is_best").first()
         metrics["cv_score"] = best["mean_accuracy"]
-        params = {k: best[k] for k in ("num_trees", "max_depth", "min_samples_leaf")}
-        params["dropped_axes"] = ",".join(dropped)
-    else:
-        model = train_forest(x_train, cfg.measures, cfg.label_col, cfg.classes, **cfg.forest_params)
+        params = {k: best[k] for k in ("num_trees", "max_depth", "min_samples_split", "min_samples_leaf")}
+        _write_metrics(spark, f"{out}/metrics_tuned", TUNED_RECORD, {
+            "accuracy": _accuracy(model, x_test, cfg), "cv_score": best["mean_accuracy"], "best_params": params,
+            "model_type": MODEL_TYPE})
     save_model(model, f"{out}/model")
 
     pred = predict(model, x_test, cfg.classes)

@@ -63,6 +63,21 @@ EVALUATION = T.StructType([
 ])
 
 
+PLAIN_RECORD = T.StructType([
+    T.StructField("accuracy", T.DoubleType()),
+    T.StructField("model_type", T.StringType()),
+    T.StructField("n_estimators", T.IntegerType()),
+    T.StructField("max_depth", T.IntegerType()),
+])
+
+TUNED_RECORD = T.StructType([
+    T.StructField("accuracy", T.DoubleType()),
+    T.StructField("cv_score", T.DoubleType()),
+    T.StructField("best_params", T.MapType(T.StringType(), T.IntegerType())),
+    T.StructField("model_type", T.StringType()),
+])
+
+
 class SchemaMismatch(ValueError):
     pass
 

@@ -9,7 +9,7 @@ from featureflow.functions.forest import forest_from_mllib, forest_proba
 from featureflow.operators import evaluate as EV
 from featureflow.operators.split import stratified_split
 from featureflow.operators.train import (
-    best_run, load_model, load_scaler, log_run, predict, read_runs, save_model, train_forest,
+    best_run, load_model, load_scaler, log_run, predict, prune_forest, read_runs, save_model, train_forest,
 )
 from featureflow.session import scratch_path
 from featureflow.sources.standins import OBS_MEASURES, rule_labelled_observations
@@ -66,6 +66,30 @@ def test_run_log_best_run(spark):
     assert r["run_id"] == best and r["params"]["n"] == "2"
 
 
+def test_pruned_forest_is_the_full_one_without_small_splits(spark, split):
+    model = train_forest(split.where("split = 'train'"), OBS_MEASURES, "label", CLASSES, num_trees=4, max_depth=7)
+    pruned = prune_forest(spark, model, 60)
+
+    def nodes(m):
+        path = scratch_path(spark, "rf")
+        m.stages[-1].write().save(path)
+        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+        return {t: {r["id"]: r for r in rows if r["treeID"] == t} for t in range(4)}
+
+    def shape(tree, i, limit):  # brute force: the tree below node i, no node under the limit split
+        n = tree[i]
+        if n["leftChild"] < 0 or n["rawCount"] < limit:
+            return tuple(n["impurityStats"])
+        return (n["split"], shape(tree, n["leftChild"], limit), shape(tree, n["rightChild"], limit))
+
+    full, cut = nodes(model), nodes(pruned)
+    assert sum(map(len, cut.values())) < sum(map(len, full.values()))
+    for t in full:
+        assert sorted(cut[t]) == list(range(len(cut[t])))
+        assert shape(full[t], 0, 60) == shape(cut[t], 0, 0)
+    assert pruned.transform(split).where("prediction is null").count() == 0
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
@@ -79,11 +103,14 @@ def test_workflow_end_to_end(spark):
     from featureflow.sources.standins import OBS_RENAME
     out = scratch_path(spark, "workflow")
     cfg = WorkflowConfig(id_col="obs_id", label_col="label", classes=CLASSES, measures=OBS_MEASURES,
-                         rename=OBS_RENAME, base_time="2024-06-01 00:00:00", as_of="2024-06-01 12:00:00",
+                         rename=OBS_RENAME, forest_params={"num_trees": 10, "max_depth": 5, "seed": 42}, base_time="2024-06-01 00:00:00", as_of="2024-06-01 12:00:00",
                          out_dir=out, grid={"num_trees": [10], "max_depth": [3, 5], "min_samples_leaf": [1]},
                          n_folds=3)
     res = run_workflow(spark, rule_labelled_observations(spark, SF0001), cfg)
     assert res["metrics"]["accuracy"] > 0.8 and res["metrics"]["cv_score"] > 0.8
+    assert spark.read.json(f"{out}/metrics").first()["n_estimators"] == 10
+    tuned = spark.read.json(f"{out}/metrics_tuned").first()
+    assert tuned["cv_score"] > 0.8 and tuned["best_params"]["num_trees"] == 10
     lines = spark.read.text(f"{out}/confusion_matrix").collect()
     assert len(lines) == 3
     assert spark.read.parquet(f"{out}/feature_table").count() == rule_labelled_observations(spark, SF0001).count()
