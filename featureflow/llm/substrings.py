@@ -10,9 +10,11 @@ and its internal nodes at word depth `window` are the repeats.
   and consecutive windows with one anchor travel as a single run of words.
 * Variable-length prefixes. A pass over all texts counts 4-word prefixes; one
   that would overfill a group is extended to the whole window.
-* Pre-aggregation. Within a slice of rows only the smallest row of equal
-  windows travels; the others are already known to be repeats. A passage that
-  a third of all rows hold reaches its group once per slice.
+* Pre-aggregation. Within a slice of rows only the first of equal windows in
+  the smallest row travels; windows of larger rows are already known to be
+  repeats, and other places in rows of the smallest id travel as positions that
+  share the first one's verdict. A passage that a third of all rows hold
+  reaches its group once per slice.
 * A subtree refines classes of suffixes word by word on exact words and drops
   leaves (classes within one row) at every step.
 
@@ -97,8 +99,9 @@ def _count_prefixes(window: int):
     return count
 
 
-def _local(a: Anchored, window: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows known to be repeats of a smaller row of the slice, and windows that must travel."""
+def _local(a: Anchored, window: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows known to be repeats of a smaller row of the slice, windows that must travel, and the
+    other places of travelling windows in rows of the same id with the window that each one follows."""
     h1, h2 = grams(a.hashes, window, 1)[a.at], grams(a.hashes, window, 2)[a.at]
     own = ids[a.row]
     order = np.lexsort((a.at, own, h1))
@@ -111,7 +114,26 @@ def _local(a: Anchored, window: int, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     travel = np.zeros(len(order), bool)
     repeat[order] = same & (sid > sid[head])
     travel[order] = new | ~same
-    return repeat, travel
+    other = same & ~new & (sid == sid[head])
+    return repeat, travel, order[other], order[head[other]]
+
+
+def _places(a: Anchored, row_key: np.ndarray, at_row: np.ndarray, first: np.ndarray, other: np.ndarray,
+            follows: np.ndarray) -> pa.ListArray:
+    """For each run (first windows, ascending): the other places (step in the run, row_key, start, n) of its
+    windows; places of one window in a row of words merge to one with n of them."""
+    run = np.searchsorted(first, follows, side="right") - 1
+    order = np.lexsort((other, follows))
+    other, follows, run = other[order], follows[order], run[order]
+    new = np.ones(len(other), bool)
+    new[1:] = (follows[1:] != follows[:-1]) | (other[1:] != other[:-1] + 1) | (a.row[other[1:]] != a.row[other[:-1]])
+    heads = np.flatnonzero(new)
+    n = np.diff(np.append(heads, len(other)))
+    other, follows, run = other[heads], follows[heads], run[heads]
+    cols = [follows - first[run], row_key[a.row[other]], at_row[other], n]
+    places = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["step", "row_key", "start", "n"])
+    offsets = np.append(0, np.cumsum(np.bincount(run, minlength=len(first)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), places)
 
 
 def _ship(window: int, groups: int, long_prefixes: np.ndarray):
@@ -124,7 +146,7 @@ def _ship(window: int, groups: int, long_prefixes: np.ndarray):
                 continue
             ids = batch.column("id").fill_null(I64_MIN).to_numpy()
             keys = batch.column("row_key").to_numpy()
-            repeat, travel = _local(a, window, ids)
+            repeat, travel, other, follows = _local(a, window, ids)
             at_row = a.at - a.words.rows[a.row]
             none = np.zeros(len(a.at), bool)
             long = np.isin(a.prefix, long_prefixes) if len(long_prefixes) else none
@@ -135,6 +157,7 @@ def _ship(window: int, groups: int, long_prefixes: np.ndarray):
                 out_data.append(_pack([ids[a.row[first]], keys[a.row[first]], at_row[first], n]))
             first, n = a.runs(travel, long)
             if len(first):
+                places = _places(a, keys, at_row, first, other, follows)
                 route = a.prefix[first]
                 if long.any():
                     full = grams(a.hashes, window, 1)[a.at[first]]
@@ -142,24 +165,27 @@ def _ship(window: int, groups: int, long_prefixes: np.ndarray):
                 group = (route % U64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 first, n, group, route = first[order], n[order], group[order], route[order]
+                places = places.take(pa.array(order))
                 text = cut(a.words.buf, a.words.starts[a.at[first]], a.words.ends[a.at[first] + n + window - 2])
                 tag = (route >> U64(32)).astype(np.uint32)
                 edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
                 cols = [ids[a.row[first]], keys[a.row[first]], at_row[first], n]
                 for lo, hi in zip(edges[:-1], edges[1:]):
                     out_group.append(int(group[lo]))
-                    out_data.append(_pack([c[lo:hi] for c in cols], tag[lo:hi], text.slice(lo, hi - lo)))
+                    out_data.append(_pack([c[lo:hi] for c in cols], tag[lo:hi], text.slice(lo, hi - lo),
+                                          places.slice(lo, hi - lo)))
             if out_group:
                 yield pa.RecordBatch.from_arrays([pa.array(out_group, pa.int64()), pa.array(out_data, pa.binary())],
                                                  ["grp", "data"])
     return ship
 
 
-def _pack(cols: list[np.ndarray], tag: np.ndarray | None = None, text: pa.Array | None = None) -> bytes:
+def _pack(cols: list[np.ndarray], tag: np.ndarray | None = None, text: pa.Array | None = None,
+          places: pa.ListArray | None = None) -> bytes:
     arrays = [pa.array(cols[0].astype(np.int64))] + [pa.array(c.astype(np.int32)) for c in cols[1:]]
     names = ["id", "row_key", "start", "n"]
     if tag is not None:
-        arrays, names = [*arrays, pa.array(tag), text], [*names, "tag", "text"]
+        arrays, names = [*arrays, pa.array(tag), text, places], [*names, "tag", "text", "places"]
     batch = pa.RecordBatch.from_arrays(arrays, names)
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5), use_threads=False)
@@ -215,13 +241,23 @@ def repeats_of_group(runs: pa.Table, window: int) -> pa.Table:
     found = np.sort(alive[ids[run[alive]] > low[cls]])
     if not len(found):
         return SPANS.empty_table()
+    repeated = np.zeros(len(run), bool)
+    repeated[found] = True
+    lists = runs["places"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    of, places = np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy()), lists.flatten()
+    hit = np.flatnonzero(repeated[first[of] + places.field("step").to_numpy()])
+    others = places.take(pa.array(hit))
+    others = pa.table([pa.array(ids[of[hit]]), *(others.field(c) for c in SPANS.names[1:])], SPANS)
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1] + 1) | (run[found[1:]] != run[found[:-1]])
     heads = np.flatnonzero(new)
     lead = found[heads]
-    return pa.table({"id": pa.array(ids[run[lead]]), "row_key": runs["row_key"].take(pa.array(run[lead])),
-                     "start": pa.array((start[run[lead]] + step[lead]).astype(np.int32)),
-                     "n": pa.array(np.diff(np.append(heads, len(found))).astype(np.int32))})
+    own = pa.table({"id": pa.array(ids[run[lead]]), "row_key": runs["row_key"].take(pa.array(run[lead])),
+                    "start": pa.array((start[run[lead]] + step[lead]).astype(np.int32)),
+                    "n": pa.array(np.diff(np.append(heads, len(found))).astype(np.int32))})
+    return pa.concat_tables([own, others])
 
 
 def repeated_spans(rows: DataFrame, window: int, group_windows: int = GROUP_WINDOWS) -> DataFrame:

@@ -50,6 +50,28 @@ def test_substrings(docs, nothing):
     assert remove_repeated_passages(nothing).count() == 0
 
 
+def test_substrings_repeated_within_a_row(spark):
+    from featureflow.llm.substrings import remove_repeated_passages
+    w, fill = " ".join(f"w{k}" for k in range(16)), " ".join(f"f{k}" for k in range(34))
+    parts = [[(1, w), (3, "y " * 60 + "end")],  # a partition, so a slice, each
+             [(2, f"{w} {fill} {w}"), (2, f"other {w} text {w}"), (4, "y " * 50), (5, f"p q r {w} p q r {w}"), (6, "z v u " * 30)],
+             [(7, "z v u " * 20 + w), (7, "v u " + "z v u " * 9)]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(list), "doc_id long, text string")
+    rows, first = [r for p in parts for r in p], {}
+    for i, t in rows:
+        for k in range(len(words(t)) - 12):
+            key = tuple(words(t)[k:k + 13])
+            first[key] = min(i, first.get(key, i))
+    want = []
+    for i, t in rows:
+        x = words(t)
+        gone = {k + j for k in range(len(x) - 12) if first[tuple(x[k:k + 13])] < i for j in range(13)}
+        want.append((i, len(x), len(gone), " ".join(y for k, y in enumerate(x) if k not in gone)))
+    for bounds in ({}, {"group_windows": 8}):
+        got = remove_repeated_passages(docs, **bounds).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
 def test_targets_and_mix(docs, nothing):
     from featureflow.llm.mixing import Mix, targets
     assert [float(t) for t in targets([10, 100, 100], [3, 1, 1])] == [30, 90, 90]
