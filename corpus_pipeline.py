@@ -27,12 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased), the document with the largest id."""
+    """Of equal texts (A-Z lower-cased), the document with the largest id, once."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id."""
+    """Of each class of near duplicates, the document with the smallest id; equal rows of it once."""
     return keep_one_of_each_class(docs)
 
 

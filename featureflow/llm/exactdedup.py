@@ -14,7 +14,8 @@
 
 Normalisation lower-cases A-Z only. A null text counts as empty. The row with
 the largest id of a group stays; rows that share this id stay together. Null
-ids lose against any id; a group of only null ids keeps all its rows.
+ids lose against any id; a group of only null ids keeps all its rows. The
+pipeline's stage (drop_copies) further keeps one row of equal id and text.
 """
 
 from __future__ import annotations
@@ -82,11 +83,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         "digest", "bucket", "chain")
 
 
+def one_of_equal(rows: DataFrame, docs: DataFrame, *keys: str) -> DataFrame:
+    """Of rows that agree on the keys (null equals null) one, with the columns of docs: the smallest by a hash
+    of its columns, so reruns agree. Partial aggregation merges a hot row before the shuffle."""
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("__row")
+    return rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(one).select("__row.*")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns; of kept rows with equal id and normalised text, one."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(
         F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct()
     text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     here = docs.withColumns({"__here": F.sha2(text, 256)})
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__here") == F.col("__digest"))
-    return here.join(kept, same, "left_semi").select(*docs.columns)
+    return one_of_equal(here.join(kept, same, "left_semi"), docs, id_col, "__here")

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featureflow.llm.exactdedup import one_of_equal
 from featureflow.llm.words import U64, NON_SPACE, find_words, grams, mix, ranges, slices, word_hashes
 from featureflow.session import scratch_path
 
@@ -348,7 +349,10 @@ def exact_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, n
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their class, with all their columns; rows with a null id stay."""
+    """The rows of docs whose id is the smallest of their class, with all their columns; rows with a null id stay.
+    Of rows with equal id and text (null ids are equal, a null text is empty) one stays."""
     classes = similarity_links(docs, id_col, text_col)
     others = classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return docs.join(others, id_col, "left_anti").select(*docs.columns)
+    kept = docs.join(others, id_col, "left_anti").withColumn(
+        "__text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    return one_of_equal(kept, docs, id_col, "__text")

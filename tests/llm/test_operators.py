@@ -155,6 +155,26 @@ def test_exact_dedup(docs, nothing):
     assert exact_dedup(nothing).count() == 0
 
 
+def test_dedup_stages_keep_one_row_of_equal_id_and_text(spark):
+    from featureflow.llm.exactdedup import drop_copies
+    from featureflow.llm.nearjoin import keep_one_of_each_class
+    rows = [(8, LONG, "a")] * 5 + [(8, LONG, "b"), (3, LONG, "c"), (9, "other text", "d"), (9, "more words", "e"),
+                                   (None, "no id", "f"), (None, "no id", "f"), (7, None, "g"), (7, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumn("m", map_column())
+    exact = [(r.doc_id, r.text) for r in drop_copies(df).collect()]
+    assert sorted(exact, key=str) == sorted({(8, LONG), (9, "other text"), (9, "more words"), (None, "no id"), (7, dict(exact)[7])}, key=str)
+    near = [(r.doc_id, r.text) for r in keep_one_of_each_class(df).collect()]
+    assert sorted(near, key=str) == sorted({(3, LONG), (9, "other text"), (9, "more words"), (None, "no id"), (7, dict(near)[7])}, key=str)
+    assert drop_copies(df).columns == keep_one_of_each_class(df).columns == df.columns
+    tags = {r.tag for _ in range(3) for r in drop_copies(df.repartition(3)).collect() if r.doc_id == 8}
+    assert len(tags) == 1  # reruns agree
+
+
+def map_column():
+    from pyspark.sql import functions as F
+    return F.create_map(F.lit("k"), F.lit(1))
+
+
 def test_urls(spark):
     from featureflow.llm.queries import URL_RULES
     from featureflow.llm.urlfilter import judge_urls
