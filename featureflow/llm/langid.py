@@ -12,6 +12,7 @@ ones. All three bounds are parameters, so the broadcast model is bounded.
 
 Null texts, and texts without a letter, are `und` with score 0; so is
 everything when no labelled row exists. Ties go to the first language by name.
+The pipeline's stage (keep_identified) drops texts without a letter only.
 """
 
 from __future__ import annotations
@@ -192,9 +193,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that have a language, with all their columns."""
+    """The rows of docs that have a language, with all their columns: those whose text holds a letter, whether or
+    not labelled rows give a model."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"), fold(F.col(id_col)).alias("fold"))
     model = fit(rows.filter("fold <> 0").select("id", "text", "lang"))
+    if not model.langs:
+        return docs.filter(F.col(text_col).cast("string").rlike(r"\p{L}"))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
     return predict(packed, model).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

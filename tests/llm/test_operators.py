@@ -99,6 +99,15 @@ def test_language(docs, nothing):
     assert identify(nothing).count() == 0
 
 
+def test_language_stage_without_labels(docs, nothing):
+    from pyspark.sql import functions as F
+    from featureflow.llm.langid import keep_identified
+    kept = keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 8, 8, 9, 10, 11]
+    assert keep_identified(nothing).count() == 0
+
+
 def test_pieces(spark):
     import public_tokenizers
     import sentencepiece
