@@ -26,7 +26,7 @@ from featureflow.operators.train import (
     FOREST_PARAMS, batch_predict_file, best_run, grid_search, importances, log_run, predict,
     load_model, load_scaler, read_runs, save_model, save_scaler, train_forest,
 )
-from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest
+from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest, materialize
 from featureflow.operators.serving import (
     ServingModel, batch_documents, load_serving_model, response_documents, score_batch_requests, score_requests,
 )
@@ -282,7 +282,9 @@ def q_latest_features(spark: SparkSession, sf: str) -> DataFrame:
 def q_latest_lookup(spark: SparkSession, sf: str) -> DataFrame:
     keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     latest = latest_features(feature_events(spark, sf), VIEW, LATEST_START, LATEST_END)
-    return lookup_latest(keys, latest, VIEW, LOOKUP_AS_OF)
+    online = scratch_path(spark, "online-latest")
+    materialize(latest, online)
+    return lookup_latest(keys, spark.read.schema(latest.schema).parquet(online), VIEW, LOOKUP_AS_OF)
 
 
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

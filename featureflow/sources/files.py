@@ -30,13 +30,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def load_table(spark: SparkSession, csv_path: str, schema: T.StructType, target: str,
-               table_name: str | None = None) -> int:
+def load_table(spark: SparkSession, csv_path: str, schema: T.StructType | None, target: str,
+               table_name: str | None = None, infer: bool = False) -> int:
     """CSV → table, truncating it first (IO4): header skipped, columns
     conformed to the fixed schema, parquet written with overwrite (or a
     catalog table when ``table_name`` is given). Returns the loaded row count,
-    read back from the written table."""
-    df = conform(read_csv(spark, csv_path, schema), schema)
+    read back from the written table. ``infer=True`` with no schema is the
+    opt-in equivalent of the reference's type detection."""
+    if schema is None and not infer:
+        raise ValueError("load_table needs a schema, or infer=True")
+    df = read_csv(spark, csv_path, schema, infer)
+    if schema is not None:
+        df = conform(df, schema)
     if table_name:
         df.write.mode("overwrite").format("parquet").option("path", target).saveAsTable(table_name)
         return spark.table(table_name).count()

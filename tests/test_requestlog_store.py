@@ -199,3 +199,36 @@ def test_asof_null_keys_match_nothing_at_any_bucket_width(spark):
     view = FeatureView(name="v", key="k", features=["x"], event_ts="ts", created_ts="created")
     got = {r.k: r.x for r in asof_join(spine, feats, view, "t").collect()}
     assert got == {None: None, 1: 8.0}
+
+
+def test_latest_lookup_reads_the_materialized_table(spark):
+    from conftest import SF0001
+    from featureflow.plans.catalog import LATEST_END, LATEST_START, LOOKUP_AS_OF, QUERIES, VIEW
+    from featureflow.operators.store import latest_features, lookup_latest
+    from featureflow.session import table
+    from featureflow.sources.standins import feature_events
+
+    got = QUERIES["latest_lookup"](spark, SF0001)
+    assert any("online-latest" in f for f in got.inputFiles())
+    keys = table(spark, SF0001, "customer").selectExpr("c_custkey AS user_id")
+    want = lookup_latest(keys, latest_features(feature_events(spark, SF0001), VIEW, LATEST_START, LATEST_END), VIEW, LOOKUP_AS_OF)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_materialize_overwrites(spark, tmp_path):
+    from featureflow.operators.store import materialize
+
+    for n in (5, 2):
+        materialize(spark.range(n), str(tmp_path / "online"))
+    assert spark.read.parquet(str(tmp_path / "online")).count() == 2
+
+
+def test_load_table_infers_on_request(spark, tmp_path):
+    from featureflow.sources.files import load_table, write_csv
+
+    src, target = str(tmp_path / "csv"), str(tmp_path / "table")
+    write_csv(spark.createDataFrame([(1, 2.5, "a"), (2, 3.5, "b")], "k long, v double, s string"), src)
+    assert load_table(spark, src, None, target, infer=True) == 2
+    assert dict(spark.read.parquet(target).dtypes) == {"k": "int", "v": "double", "s": "string"}
+    with pytest.raises(ValueError):
+        load_table(spark, src, None, target)
