@@ -201,7 +201,7 @@ def pairs_of_tasks(task: np.ndarray, mine: np.ndarray, low: np.ndarray, high: np
         at = to
 
 
-def _links(node: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(node: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of pairs of rows, as (node, root node)."""
     names, dense = np.unique(node, return_inverse=True)
     if not a:
@@ -267,7 +267,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keep = surviving(sig, i, j, band[i], least)
             a.append(i[keep])
             b.append(j[keep])
-        x, y = _links(node, a, b)
+        x, y = spanning_links(node, a, b)
         return pa.table({"a": x, "b": y})
 
     edges = tasks(members, "key", "size", PART_ROWS, block).groupBy("part").applyInArrow(candidates, "a long, b long")
@@ -303,7 +303,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             np.add.at(links, j, copies[i])
             a.append(i)
             b.append(j)
-        x, y = _links(node, a, b)
+        x, y = spanning_links(node, a, b)
         some = links > 0
         return pa.table({"a": np.append(x, node[some]), "b": np.append(y, node[some]),
                          "links": np.append(np.zeros(len(x), np.int64), links[some])})

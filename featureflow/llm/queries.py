@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featureflow.llm.chat import format_chat, read_back, text_parts
+from featureflow.llm.crosstok import align
 from featureflow.llm.exactdedup import exact_dedup
 from featureflow.llm.langid import identify
 from featureflow.llm.licenses import scan_licenses
 from featureflow.llm.mixing import Mix
 from featureflow.llm.nearjoin import similarity_links
 from featureflow.llm.pieces import encode
+from featureflow.llm.simhash import near_duplicates
+from featureflow.llm.spelling import count_words, spelling_variants
 from featureflow.llm.substrings import remove_repeated_passages
 from featureflow.llm.topk import quantised, top_k
 from featureflow.llm.urlfilter import judge_urls
@@ -88,6 +91,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(count_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mix": op2_source_mix,
@@ -99,6 +115,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_simhash_bktree": op12_simhash_bktree,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE = {
