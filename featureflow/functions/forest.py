@@ -1,13 +1,13 @@
 """A tree ensemble as a SQL expression (M4) and probability helpers.
 
-Each tree becomes a nested ``CASE`` returning its leaf's class-fraction
-array; the forest averages them. The expression is code-generated with the
-rest of the projection: no Python worker, no model broadcast, no shuffle.
-It gives the same probabilities as the ensemble's own ``predict_proba`` /
-MLlib ``transform`` (mean over trees of leaf class fractions). The expression
-is as large as the model: a trained forest of many deep trees is better
-served as the saved pipeline itself (``operators/serving.py:
-load_serving_model``), which has no expression to compile.
+The forest's node table becomes a few literal arrays (feature, threshold,
+children, leaf fractions). Every tree is descended by an ``aggregate`` of as
+many steps as the deepest tree has levels, which looks one node up per step;
+a leaf stays where it is. The forest averages the leaves' class fractions.
+The expression has the same few operators for any number of trees and nodes,
+so it compiles at once, and there is no Python worker and no shuffle. It gives
+the same probabilities as the ensemble's own ``predict_proba`` / MLlib
+``transform`` (mean over trees of leaf class fractions).
 """
 
 from __future__ import annotations
@@ -71,30 +71,70 @@ def forest_from_mllib(spark: SparkSession, model_path: str, classes: Sequence) -
     return forest_from_node_table(nd, classes)
 
 
-def _tree_expr(by_id: dict, nid: int, feats: Sequence[Column]) -> Column:
-    tree_node = by_id[nid]
-    _, _, feature, threshold, left, right, probs = tree_node
-    if feature is None or feature < 0:
-        return F.array(*[F.lit(float(p)) for p in probs])
-    return F.when(feats[feature] <= F.lit(float(threshold)), _tree_expr(by_id, left, feats)) \
-        .otherwise(_tree_expr(by_id, right, feats))
+@dataclass(frozen=True)
+class NodeArrays:
+    """All nodes of a forest in one numbering; a leaf's children are itself."""
+    feature: list               # 0-based; 0 for a leaf
+    threshold: list
+    left: list
+    right: list
+    probs: list                 # class fractions, one block of n_classes per node
+    roots: list
+    depth: int                  # edges from a root to its deepest leaf
+    n_classes: int
+
+
+def node_arrays(forest: Forest) -> NodeArrays:
+    place = {(n[0], n[1]): i for i, n in enumerate(forest.nodes)}
+    k = len(forest.classes)
+    feature, threshold, left, right, probs = [], [], [], [], []
+    for i, (tree, _, f, t, lo, hi, p) in enumerate(forest.nodes):
+        leaf = f is None or f < 0
+        feature.append(0 if leaf else int(f))
+        threshold.append(0.0 if leaf else float(t))
+        left.append(i if leaf else place[tree, lo])
+        right.append(i if leaf else place[tree, hi])
+        probs += [float(x) for x in p] if leaf else [0.0] * k
+    roots = [place[t, 0] for t in sorted({n[0] for n in forest.nodes})]
+    depth, level = 0, roots
+    while level := [c for i in level if left[i] != i for c in (left[i], right[i])]:
+        depth += 1
+    return NodeArrays(feature, threshold, left, right, probs, roots, depth, k)
+
+
+def _literal(values: list, kind: str) -> Column:
+    """An array literal of any length as one expression (constant-folded)."""
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast(f"array<{kind}>")
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def forest_proba(forest: Forest, feats: Sequence) -> Column:
     """Averaged class probabilities, ``array<double>`` in ``forest.classes`` order.
 
-    Trees are summed left to right and divided by the tree count.
+    ``value <= threshold`` goes left, anything else (null too) right. Trees
+    are summed in their order and divided by the tree count.
     """
-    cols = [F.col(f) if isinstance(f, str) else f for f in feats]
-    trees: dict[int, dict[int, tuple]] = {}
-    for n in forest.nodes:
-        trees.setdefault(n[0], {})[n[1]] = n
-    total = None
-    for t in sorted(trees):
-        e = _tree_expr(trees[t], 0, cols)
-        total = e if total is None else F.zip_with(total, e, lambda a, b: a + b)
-    k = float(len(trees))
-    return F.transform(total, lambda x: x / F.lit(k))
+    m = node_arrays(forest)
+    feature, left, right = (_literal(x, "int") for x in (m.feature, m.left, m.right))
+    threshold, probs = (_literal(x, "double") for x in (m.threshold, m.probs))
+    values = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in feats])
+
+    def leaf(x: Column, root: Column) -> Column:
+        if not m.depth:
+            return root
+        step = lambda at, _: F.when(F.get(x, F.get(feature, at)) <= F.get(threshold, at), F.get(left, at)) \
+            .otherwise(F.get(right, at))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(m.depth)), root, step)
+
+    def average(leaves: Column, c: int) -> Column:
+        return F.aggregate(leaves, F.lit(0.0), lambda total, at: total + F.get(probs, at * m.n_classes + c)) / float(len(m.roots))
+
+    leaves = _with(values, lambda x: F.transform(_literal(m.roots, "int"), lambda root: leaf(x, root)))
+    return _with(leaves, lambda found: F.array(*[average(found, c) for c in range(m.n_classes)]))
 
 
 def argmax_index(proba: Column) -> Column:

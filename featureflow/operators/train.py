@@ -225,6 +225,11 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def model_stage_path(path: str, index: int, uid: str) -> str:
+    """Where a saved pipeline keeps one of its (fewer than ten) stages."""
+    return f"{path.rstrip('/')}/stages/{index}_{uid}"
+
+
 def load_model(path: str) -> PipelineModel:
     """A missing model is an error."""
     return PipelineModel.load(path)

@@ -11,6 +11,8 @@ import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _INF = float("inf")
@@ -34,6 +36,14 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+_numbers = itertools.count()
+
+
+def _alias(kind: str) -> str:
+    """A fresh aggregate name, so a rule may occur any number of times in one validation."""
+    return f"__v_{kind}_{next(_numbers)}"
+
+
 @dataclass
 class Rule:
     """A rule contributes aggregate expressions and result rows over them."""
@@ -57,34 +67,29 @@ def column_count(df: DataFrame, expected: int) -> Rule:
 
 
 def row_count(expected) -> Rule:
-    o = F.col("__v_rows")
-    return Rule(aggs=[F.count(F.lit(1)).alias("__v_rows")],
+    name = _alias("rows")
+    o = F.col(name)
+    return Rule(aggs=[F.count(F.lit(1)).alias(name)],
                 rows=[_row("row_count", "*", o, _lit(expected), o == _lit(expected))])
 
 
 def no_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> Rule:
     """Null count per column and in total; NaN counts as null, as in pandas."""
     cols = list(cols or df.columns)
-    aggs, rows = [], []
-    for i, c in enumerate(cols):
+    aggs, rows, names = [], [], []
+    for c in cols:
         cond = F.col(f"`{c}`").isNull()
         if _floating(df, c):
             cond = cond | F.isnan(F.col(f"`{c}`"))
-        aggs.append(F.count_if(cond).alias(f"__v_null{i}"))
-        rows.append(_row("null_count", c, F.col(f"__v_null{i}"), F.lit(0), F.col(f"__v_null{i}") == 0))
-    total = sum((F.col(f"__v_null{i}") for i in range(len(cols))), F.lit(0))
+        name = _alias("null")
+        names.append(name)
+        aggs.append(F.count_if(cond).alias(name))
+        rows.append(_row("null_count", c, F.col(name), F.lit(0), F.col(name) == 0))
+    total = sum((F.col(name) for name in names), F.lit(0))
     rows.append(_row("null_count", "*", total, F.lit(0), total == 0))
     return Rule(aggs=aggs, rows=rows)
 
 
-_numbers = itertools.count()
-
-
-def _alias(kind: str) -> str:
-    """A fresh aggregate name, so a rule may occur any number of times in one validation."""
-    return f"__v_{kind}_{next(_numbers)}"
-
-
 def distinct_count(col: str, expected: int, approx: bool = False) -> Rule:
     c = F.col(f"`{col}`")
     agg = F.approx_count_distinct(c) if approx else F.count_distinct(c)
@@ -187,10 +192,23 @@ def metric_gates(metrics: DataFrame, gates: dict[str, float]) -> DataFrame:
 
 # Artifacts exist and load ---------------------------------------------------------
 
+_ABSENT_CONDITIONS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def _absent(error: Exception) -> bool:
+    """The error says that a path is missing or that nothing can be read there."""
+    if isinstance(error, AnalysisException):
+        return error.getCondition() in _ABSENT_CONDITIONS
+    # a model's metadata is read as an RDD: its input format names a missing path itself
+    return isinstance(error, (Py4JJavaError, PySparkException)) and "Input path does not exist" in str(error)
+
+
 def artifact_checks(spark, artifacts: dict[str, tuple[str, str]]) -> DataFrame:
     """``{name: (kind, path)}`` with kind 'parquet' | 'json' | 'text' |
     'csv' | 'model'; each artifact passes when it loads (reading only its
-    metadata/schema, no data pass). One row per artifact."""
+    metadata/schema, no data pass). A path that does not exist, or that holds
+    no readable table or model, fails its check; any other error (a lost
+    store, no permission) is raised. One row per artifact."""
     from pyspark.ml import PipelineModel
 
     rows = []
@@ -203,7 +221,9 @@ def artifact_checks(spark, artifacts: dict[str, tuple[str, str]]) -> DataFrame:
             else:
                 getattr(spark.read, kind)(path).schema  # noqa: B018
             ok = True
-        except Exception:  # noqa: BLE001 — missing or unreadable artifact
+        except Exception as e:  # noqa: BLE001
+            if not _absent(e):
+                raise
             ok = False
         rows.append(_row("artifact_exists", name, F.lit(1.0 if ok else 0.0), F.lit(1.0), F.lit(ok)))
     return spark.range(1).select(F.inline(F.array(*rows)))

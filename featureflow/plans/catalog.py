@@ -9,10 +9,11 @@ import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featureflow.functions.forest import (
-    STANDIN_FOREST, Forest, argmax_index, confidence, forest_proba, probability_columns,
+    STANDIN_FOREST, Forest, argmax_index, confidence, forest_from_mllib, forest_proba, probability_columns,
 )
 from featureflow.operators import evaluate as EV
 from featureflow.operators import validate as V
@@ -24,7 +25,7 @@ from featureflow.operators.ranking import row_index
 from featureflow.operators.requestlog import latency_flags, latency_summary, read_request_log, write_request_log
 from featureflow.operators.train import (
     FOREST_PARAMS, batch_predict_file, best_run, grid_search, importances, log_run, predict,
-    load_model, load_scaler, read_runs, save_model, save_scaler, train_forest,
+    load_model, load_scaler, model_stage_path, read_runs, save_model, save_scaler, train_forest,
 )
 from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest, materialize
 from featureflow.operators.serving import (
@@ -340,6 +341,21 @@ def q_train_predict(spark: SparkSession, sf: str) -> DataFrame:
                          .alias("gate_passed"))
 
 
+def q_forest_score_trained(spark: SparkSession, sf: str) -> DataFrame:
+    # the reference's forest as an expression, next to the trained model's own scores
+    sp = _rule_split(spark, sf)
+    model = train_forest(sp.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES, **FOREST_PARAMS)
+    path = scratch_path(spark, "forest")
+    save_model(model, path)
+    forest = forest_from_mllib(spark, model_stage_path(path, len(model.stages) - 1, model.stages[-1].uid), RULE_CLASSES)
+    own = model.transform(sp.where(F.col("split") == "test")).select(
+        "obs_id", vector_to_array("probability").alias("own"), forest_proba(forest, OBS_MEASURES).alias("proba"))
+    gap = F.array_max(F.zip_with("own", "proba", lambda a, b: F.abs(a - b)))
+    total = F.aggregate("proba", F.lit(0.0), lambda a, b: a + b)
+    return own.select("obs_id", (gap < 1e-9).alias("agrees"), (F.abs(total - 1) < 1e-9).alias("total_is_one"),
+                      F.lit(forest.n_trees).alias("n_trees"))
+
+
 def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     sp = _rule_split(spark, sf)
     model = train_forest(sp.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES, **FOREST_PARAMS)
@@ -533,6 +549,7 @@ QUERIES: dict[str, Query] = {
     "metrics_roundtrip": q_metrics_roundtrip,
     "stream_score": q_stream_score,
     "train_predict": q_train_predict,
+    "forest_score_trained": q_forest_score_trained,
     "feature_importance": q_feature_importance,
     "grid_search": q_grid_search,
     "batch_predict_file": q_batch_predict_file,

@@ -463,6 +463,11 @@ SELECT name, (SELECT count(*) FROM sp WHERE split = 'test'), true, gate
 FROM (VALUES ('accuracy', true), ('macro avg', NULL), ('weighted avg', NULL)) AS v(name, gate)
 """
 
+ORACLE["forest_score_trained"] = f"""
+WITH {RULE_SPLIT}
+SELECT obs_id, true AS agrees, true AS total_is_one, CAST(100 AS INTEGER) AS n_trees FROM sp WHERE split = 'test'
+"""
+
 ORACLE["feature_importance"] = f"""
 WITH {OBS}
 SELECT feature, CAST("index" AS INTEGER) AS "index", true AS in_range, true AS total_is_one
