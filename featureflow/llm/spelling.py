@@ -93,27 +93,34 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(node.view(np.int64)), step], ["side", "word", "at", "node", "step"])
 
 
+def bloom(suffix: Column) -> list[Column]:
+    """Two masks of one bit each that stand for a suffix."""
+    h = F.xxhash64(suffix)
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")) for x in (h, F.shiftright(h, 6))]
+
+
 def half(word: Column, side: Column) -> Column:
     """Where a word's states start."""
     return F.when(side == 0, F.floor(F.length(word) / 2)).otherwise(F.ceil(F.length(word) / 2)).cast("int")
 
 
 def build_tries(words: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges (node, label, child), ends (node, word), start states) of both tries of `word`."""
+    """(edges (node, label, child, m0, m1), ends (node, word), start states) of both tries of `word`."""
     spark = words.sparkSession
     both = words.select(F.lit(0).alias("side"), "word").unionByName(words.select(F.lit(1).alias("side"), F.reverse("word").alias("word")))
     both.mapInArrow(_paths, "side int, word string, at int, node long, step string").write.parquet(f"{path}/paths")
     paths = spark.read.parquet(f"{path}/paths")
-    stops = paths.groupBy("node").agg(F.min("step").alias("low"), F.max("step").alias("high")).filter(
-        (F.col("low") != F.col("high")) | (F.col("low") == "")).select("node")
-    own = F.array_sort(F.collect_list(F.struct("at", "node")))  # one word's own path
+    below = [F.bit_or(m).alias(f"m{i}") for i, m in enumerate(bloom(F.substring(F.col("word"), F.col("at") + 1, F.length("word"))))]
+    stops = paths.groupBy("node").agg(F.min("step").alias("low"), F.max("step").alias("high"), *below).filter(
+        (F.col("low") != F.col("high")) | (F.col("low") == "")).drop("low", "high")
+    own = F.array_sort(F.collect_list(F.struct("at", "node", "m0", "m1")))  # one word's own path
     paths.join(stops, "node").groupBy("side", "word").agg(own.alias("path")).write.parquet(f"{path}/stops")
     stops = spark.read.parquet(f"{path}/stops")
     hop = F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"),
                                  F.slice("path", F.lit(2), F.size("path") - 1).alias("b")))
     label = F.substring(F.col("word"), F.col("hop.a.at") + 1, F.col("hop.b.at") - F.col("hop.a.at"))
     stops.select("word", hop.alias("hop")).select(
-        F.col("hop.a.node").alias("node"), label.alias("label"), F.col("hop.b.node").alias("child")).distinct().write.parquet(f"{path}/edges")
+        F.col("hop.a.node").alias("node"), label.alias("label"), F.col("hop.b.node").alias("child"), "hop.b.m0", "hop.b.m1").distinct().write.parquet(f"{path}/edges")
     last = F.element_at("path", -1)
     ends = stops.select(last["node"].alias("node"), "side", F.col("word").alias("other"))
     begin = F.element_at(F.filter("path", lambda p: p["at"] >= half(F.col("word"), F.col("side"))), 1)
@@ -135,8 +142,11 @@ def advance(states: DataFrame, edges: DataFrame) -> DataFrame:
     for fits, _, _ in moves[1:]:
         some = some | fits
     steps = F.array(*[F.when(fits, F.struct(at.cast("int").alias("pos"), edits.alias("edits"))) for fits, at, edits in moves])
-    went = states.join(edges, "node").filter(some).select("side", "word", F.explode(steps).alias("to"), F.col("child").alias("node"))
-    return went.filter("to is not null").select("side", "word", F.col("to.pos").alias("pos"), "node", F.col("to.edits").alias("edits"))
+    went = states.join(edges, "node").filter(some).select("side", "word", F.explode(steps).alias("to"), F.col("child").alias("node"), "m0", "m1")
+    went = went.filter("to is not null").select("side", "word", F.col("to.pos").alias("pos"), "node", F.col("to.edits").alias("edits"), "m0", "m1")
+    rest = bloom(F.substring(word, pos + 1, F.length(word)))
+    admits = (F.col("m0").bitwiseAND(rest[0]) != 0) & (F.col("m1").bitwiseAND(rest[1]) != 0)
+    return went.filter((F.col("edits") == 0) | admits).drop("m0", "m1")
 
 
 def neighbours(words: DataFrame, path: str) -> DataFrame:
