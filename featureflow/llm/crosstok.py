@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from featureflow.llm.words import ranges, raw, slices
 from featureflow.session import scratch_path
 
-SLICE_BYTES = 2 << 20
-ROWS = 512              # rows of written lists that are aligned together
+SLICE_BYTES = 1 << 20
+TOKENS = 400_000        # tokens of both sides that are aligned together (one row at least)
 FREQUENT = 1 << 20      # pairs in the broadcast at most
 OCTAVE = 8              # steps of the count histogram in a doubling
 
@@ -209,9 +209,14 @@ class Digits:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into row ranges of about TOKENS ids."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        many = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+        ends, at = np.append(0, np.cumsum(many)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _count(shared, width: int):
