@@ -7,35 +7,34 @@ aggregated across partitions); nothing here gathers rows on the driver.
 Labels are encoded by class *position* (not StringIndexer's frequency
 order), so probability index i is class i.
 
-MLlib has no ``min_samples_split``. Growth below a node does not depend on
-that limit, so the limit is applied to the fitted forest: nodes with fewer
-rows become leaves (``prune_forest``), without another fit. An unlimited
-depth becomes MLlib's maximum depth 30.
+The search needs limits on the distinct rows of a node's bag, which MLlib does
+not have (its counts are draws, and it has no ``min_samples_split``), so its
+forests are grown by ``operators/growth.py`` and handed over as MLlib models.
+An unlimited depth becomes MLlib's maximum depth 30.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import logging
 import statistics
 import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from featureflow.functions.forest import argmax_index, confidence
 from featureflow.functions.lookup import index_of
+from featureflow.operators import growth
 from featureflow.schema import SCALER
-from featureflow.session import scratch_path, written
+from featureflow.session import scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -100,116 +99,78 @@ def predict(model: PipelineModel, df: DataFrame, classes: Sequence, class_names:
     return scored.select(*out, proba.alias("probability"), confidence(proba).alias("confidence"))
 
 
-def pruned_nodes(nodes: DataFrame, min_samples_split: int) -> DataFrame:
-    """Saved node rows ``(treeID, nodeData)`` of a forest in which no node with
-    fewer than ``min_samples_split`` training rows is split.
-
-    A child has no more rows than its parent, so a node stays exactly when
-    its parent may split. Nodes keep their pre-order and are numbered anew
-    without gaps, as the loader expects. One row per tree node (model
-    metadata); all work is within a tree.
-    """
-    n = nodes.select("treeID", "nodeData.*")
-    splits = (F.col("leftChild") >= 0) & (F.col("rawCount") >= min_samples_split)
-    kept = n.where(splits).select("treeID", F.explode(F.array("leftChild", "rightChild")).alias("id")) \
-        .unionByName(n.where(F.col("id") == 0).select("treeID", "id"))
-    new_id = kept.withColumn("new", F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1)
-    child = [new_id.select("treeID", F.col("id").alias(c), F.col("new").alias(f"new_{c}"))
-             for c in ("leftChild", "rightChild")]
-    leaf = nodes.schema["nodeData"].dataType["split"].dataType
-    no_split = F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"),
-                        F.lit(-1).alias("numCategories")).cast(leaf)
-    out = n.join(new_id, ["treeID", "id"]).join(child[0], ["treeID", "leftChild"], "left") \
-        .join(child[1], ["treeID", "rightChild"], "left")
-    out = out.select("treeID", F.struct(
-        F.col("new").alias("id"), "prediction", "impurity", "impurityStats", "rawCount",
-        F.when(splits, F.col("gain")).otherwise(-1.0).alias("gain"),
-        F.when(splits, F.col("new_leftChild")).otherwise(-1).alias("leftChild"),
-        F.when(splits, F.col("new_rightChild")).otherwise(-1).alias("rightChild"),
-        F.when(splits, F.col("split")).otherwise(no_split).alias("split")).alias("nodeData"))
-    return out.select("treeID", F.col("nodeData").cast(nodes.schema["nodeData"].dataType).alias("nodeData"))
-
-
-def prune_forest(spark: SparkSession, model: PipelineModel, min_samples_split: int) -> PipelineModel:
-    """``model`` with the split limit applied to its forest (its last stage).
-
-    The limit needs saved node rows: the forest is saved to the shared folder,
-    and a copy with the pruned nodes is loaded back."""
-    if min_samples_split <= 2:  # a node of one row is never split
-        return model
+def forest_model(spark: SparkSession, feature_cols: Sequence[str], n_classes: int, nodes: Sequence[tuple],
+                 seed: int = 42) -> PipelineModel:
+    """A pipeline whose forest has the given nodes ``(tree, node, feature, threshold, left, right, draws by class, n)``
+    (pre-order numbers; -1 for a leaf's feature and children).
+
+    MLlib builds forests by fitting or loading only: a forest of the right shape, without splits, is fitted on one
+    row per class, saved, given these nodes (one row per tree node, model metadata) and loaded."""
+    n_trees = len({n[0] for n in nodes})
+    pipe, _ = forest_estimator(feature_cols, n_trees, 0, seed)
+    label = F.col(LABEL).alias(LABEL, metadata={"ml_attr": {"type": "nominal", "num_vals": n_classes}})
+    rows = spark.range(n_classes).select(F.col("id").cast("double").alias(LABEL),
+                                         *[F.col("id").cast("double").alias(c) for c in feature_cols])
+    model = pipe.fit(rows.select(label, *feature_cols))
+    bare, full = scratch_path(spark, "forest"), scratch_path(spark, "forest-nodes")
     forest = model.stages[-1]
-    full, pruned = scratch_path(spark, "forest"), scratch_path(spark, "forest-pruned")
+    forest.write().save(bare)
     forest.write().save(full)
-    forest.write().save(pruned)
-    pruned_nodes(spark.read.parquet(f"{full}/data"), min_samples_split) \
-        .write.mode("overwrite").parquet(f"{pruned}/data")
-    return PipelineModel([*model.stages[:-1], type(forest).load(pruned)])
+    schema = spark.read.parquet(f"{bare}/data").schema
+
+    def gini(w: list[float]) -> float:
+        return 1.0 - sum((x / sum(w)) ** 2 for x in w)
+
+    weights = {(n[0], n[1]): n[6] for n in nodes}
+    out = []
+    for tree, node, feature, threshold, left, right, w, n in nodes:
+        gain = -1.0 if feature < 0 else gini(w) - sum(
+            sum(weights[tree, c]) / sum(w) * gini(weights[tree, c]) for c in (left, right))
+        split = (feature, [] if threshold is None else [float(threshold)], -1)
+        out.append((tree, (node, float(max(range(n_classes), key=lambda c: (w[c], -c))), gini(w), w, n, gain, left, right, split)))
+    spark.createDataFrame(out, schema).write.mode("overwrite").parquet(f"{full}/data")
+    return PipelineModel([*model.stages[:-1], type(forest).load(full)])
+
+
+# Grid axes in the order in which ties are broken: by name, as the reference's search orders them [lib]
+GRID_AXES = ("max_depth", "min_samples_leaf", "min_samples_split", "num_trees")
+GRID_DEFAULTS = {"max_depth": [None], "min_samples_leaf": [1], "min_samples_split": [2], "num_trees": [100]}
+CANDIDATES = T.StructType([T.StructField("candidate", T.IntegerType()), T.StructField("num_trees", T.IntegerType()),
+                           T.StructField("max_depth", T.IntegerType()), T.StructField("min_samples_split", T.IntegerType()),
+                           T.StructField("min_samples_leaf", T.IntegerType()), T.StructField("mean_accuracy", T.DoubleType()),
+                           T.StructField("std_accuracy", T.DoubleType())])
 
 
 def grid_search(train: DataFrame, feature_cols: Sequence[str], label_col: str, classes: Sequence,
-                fold_col: str, n_folds: int = 5, grid: dict | None = None, seed: int = 42,
-                parallelism: int = 4):
+                fold_col: str, n_folds: int = 5, grid: dict | None = None, seed: int = 42, id_col: str | None = None):
     """Grid search with k-fold cross-validation on a given fold column (M2).
 
-    Returns ``(best_model, candidates)``: ``best_model`` is refit on all of
-    ``train``; ``candidates`` has one row per grid point with the mean and
-    standard deviation of fold accuracy (A12) and ``is_best`` (highest mean;
-    ties → first in grid order, R4). The default grid is the reference's 108
-    candidates: 36 fits a fold, each with its three split limits.
+    Returns ``(best_model, candidates)``: ``best_model`` is grown on all of ``train``; ``candidates`` has one row
+    per grid point with the mean and standard deviation of fold accuracy (A12) and ``is_best`` (highest mean;
+    ties → first in grid order, R4). The default grid is the reference's 108 candidates. Forests are grown by
+    ``operators/growth.py``: one of the largest size per fold and leaf limit holds all candidates of that limit.
+    A row's bootstrap draws follow from ``id_col`` (from all its columns if None, so equal rows share them).
     """
-    grid = dict(grid or FULL_GRID)
-    limits = list(grid.pop("min_samples_split", [2]))
-    pipe, rf = forest_estimator(feature_cols, seed=seed)
-    axes = [("num_trees", rf.numTrees, lambda v: v), ("max_depth", rf.maxDepth,
-                                                       lambda v: MLLIB_MAX_DEPTH if v is None else v),
-            ("min_samples_leaf", rf.minInstancesPerNode, lambda v: v)]
-    builder = ParamGridBuilder()
-    used = []
-    for name, param, conv in axes:
-        if name in grid:
-            builder = builder.addGrid(param, [conv(v) for v in grid[name]])
-            used.append((name, param))
-    maps = builder.build()
-    spark = train.sparkSession
-    data = written(with_label_index(train, label_col, classes), "grid")
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=n_folds,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed,
-                        collectSubModels=any(limit > 2 for limit in limits))
-    cvm = cv.fit(data)
-
-    def accuracy(point: tuple[int, int, int]) -> float:
-        i, limit, fold = point
-        model = prune_forest(spark, cvm.subModels[fold][i], limit)
-        return ev.evaluate(model.transform(data.where(F.col(fold_col) == fold)))
-
-    points = [(i, limit, fold) for i in range(len(maps)) for limit in limits if limit > 2 for fold in range(n_folds)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        folds = dict(zip(points, pool.map(inheritable_thread_target(spark)(accuracy), points)))
+    grid = {**GRID_DEFAULTS, **(grid or FULL_GRID)}
+    grid["max_depth"] = [growth.MAX_DEPTH if d is None else d for d in grid["max_depth"]]
+    spark, n_classes, features = train.sparkSession, len(classes), list(feature_cols)
+    data, cuts = growth.prepare(with_label_index(train, label_col, classes), features, LABEL, fold_col,
+                                [id_col] if id_col else train.columns)
+    trees = growth.grow(data, max(grid["num_trees"]), grid["min_samples_leaf"], range(n_folds), n_classes, len(features), seed)
+    scores = growth.fold_scores(data, trees, grid["max_depth"], grid["min_samples_split"], grid["num_trees"], n_classes)
     rows = []
-    for i, pm in enumerate(maps):
-        vals = {name: int(pm[param]) for name, param in used}
-        for limit in limits:
-            if limit > 2:
-                scores = [folds[i, limit, fold] for fold in range(n_folds)]
-                mean, std = statistics.fmean(scores), statistics.pstdev(scores)
-            else:
-                mean, std = cvm.avgMetrics[i], cvm.stdMetrics[i]
-            rows.append((len(rows), vals.get("num_trees"), vals.get("max_depth"), limit,
-                         vals.get("min_samples_leaf"), float(mean), float(std)))
-    schema = T.StructType([T.StructField("candidate", T.IntegerType()), T.StructField("num_trees", T.IntegerType()),
-                           T.StructField("max_depth", T.IntegerType()),
-                           T.StructField("min_samples_split", T.IntegerType()),
-                           T.StructField("min_samples_leaf", T.IntegerType()),
-                           T.StructField("mean_accuracy", T.DoubleType()),
-                           T.StructField("std_accuracy", T.DoubleType())])
-    cand = train.sparkSession.createDataFrame(rows, schema)  # one row per grid point (model metadata)
-    best = max(rows, key=lambda r: (r[5], -r[0]))[0]
-    cand = cand.withColumn("is_best", F.col("candidate") == best)
-    base, limit = divmod(best, len(limits))
-    chosen = max(range(len(maps)), key=lambda i: (cvm.avgMetrics[i], -i))  # the one that was refit
-    model = cvm.bestModel if base == chosen else pipe.copy(maps[base]).fit(data)
-    return prune_forest(spark, model, limits[limit]), cand
+    for point in itertools.product(*(grid[a] for a in GRID_AXES)):
+        p = dict(zip(GRID_AXES, point))
+        folds = scores.get((p["num_trees"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"]), {})
+        if len(folds) != n_folds:
+            raise ValueError(f"every fold needs rows: found {sorted(folds)} of {n_folds}")
+        rows.append((len(rows), p["num_trees"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"],
+                     statistics.fmean(folds.values()), statistics.pstdev(folds.values())))
+    cand = spark.createDataFrame(rows, CANDIDATES)  # one row per grid point (model metadata)
+    number, size, depth, split_limit, leaf_limit, *_ = max(rows, key=lambda r: (r[5], -r[0]))
+    best = growth.grow(data, size, [leaf_limit], [-1], n_classes, len(features), seed)
+    model = forest_model(spark, features, n_classes, growth.node_rows(best, 0, cuts, depth, split_limit), seed)
+    return model, cand.withColumn("is_best", F.col("candidate") == number)
 
 
 def importances(model: PipelineModel) -> list[float]:

@@ -24,7 +24,7 @@ from featureflow.operators.features import (
 from featureflow.operators.ranking import row_index
 from featureflow.operators.requestlog import latency_flags, latency_summary, read_request_log, write_request_log
 from featureflow.operators.train import (
-    FOREST_PARAMS, batch_predict_file, best_run, grid_search, importances, log_run, predict,
+    FOREST_PARAMS, FULL_GRID, batch_predict_file, best_run, grid_search, importances, log_run, predict,
     load_model, load_scaler, model_stage_path, read_runs, save_model, save_scaler, train_forest,
 )
 from featureflow.operators.store import FeatureView, asof_join, latest_features, lookup_latest, materialize
@@ -365,18 +365,13 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
                       total.alias("total_is_one"))
 
 
-# The registered search runs a small grid (4 fits with 2 split limits, 5 folds)
-# so the check stays short; grid_search's default is the reference's full grid
-# (36 fits x 5 folds alone take about 5.6 minutes at sf0.01 on local[8]).
-QUERY_GRID = {"num_trees": [20, 50], "max_depth": [3, 5], "min_samples_split": [2, 10], "min_samples_leaf": [1]}
-
-
 def q_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     sp = stratified_folds(_rule_split(spark, sf), N_FOLDS)
     _, cand = grid_search(sp.where(F.col("split") == "train"), OBS_MEASURES, "label", RULE_CLASSES, "fold",
-                             N_FOLDS, QUERY_GRID, SEED)
+                          N_FOLDS, FULL_GRID, SEED, "obs_id")
     return cand.select("candidate", "num_trees", "max_depth", "min_samples_split", "min_samples_leaf",
                        F.col("mean_accuracy").between(0, 1).alias("in_range"),
+                       (cand.agg(F.max("mean_accuracy")).scalar() > TUNED_GATES["cv_score"]).alias("above_gate"),
                        cand.agg(F.count_if("is_best")).scalar().alias("n_best"))
 
 
@@ -437,7 +432,6 @@ def q_request_batch_loaded(spark: SparkSession, sf: str) -> DataFrame:
 
 # Fixed value: the reference's quality gate for the plain model.
 PLAIN_GATES = {"accuracy": 0.80}
-WORKFLOW_GRID = {"num_trees": [50], "max_depth": [5], "min_samples_split": [2], "min_samples_leaf": [1]}
 
 
 def q_workflow_run(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,7 +440,7 @@ def q_workflow_run(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "workflow")
     run_workflow(spark, rule_labelled_observations(spark, sf), WorkflowConfig(
         "obs_id", "label", RULE_CLASSES, OBS_MEASURES, OBS_RENAME, BASE_TIME, AS_OF, out, TEST_SIZE, SEED, N_FOLDS,
-        WORKFLOW_GRID, FOREST_PARAMS))
+        FULL_GRID, FOREST_PARAMS))
     gates = [V.metric_gates(read_record(spark, f"{out}/{name}", schema), limits)
              .select(F.lit(name).alias("artifact"), F.col("metric").alias("check"), (F.col("status") == "passed").alias("passed"))
              for name, schema, limits in (("metrics", PLAIN_RECORD, PLAIN_GATES), ("metrics_tuned", TUNED_RECORD, TUNED_GATES))]

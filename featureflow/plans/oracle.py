@@ -475,11 +475,14 @@ FROM (VALUES ('f1', 0), ('f2', 1), ('f3', 2), ('f4', 3)) AS v(feature, "index")
 WHERE EXISTS (SELECT 1 FROM obs)
 """
 
+# the reference's 108 candidates, numbered by depth, leaf limit, split limit and size
 ORACLE["grid_search"] = f"""
 WITH {OBS}
-SELECT CAST(4 * t.i + 2 * d.i + s.i AS INTEGER) AS candidate, CAST(t.v AS INTEGER) AS num_trees,
-       CAST(d.v AS INTEGER) AS max_depth, CAST(s.v AS INTEGER) AS min_samples_split, CAST(1 AS INTEGER) AS min_samples_leaf, true AS in_range, CAST(1 AS BIGINT) AS n_best
-FROM (VALUES (0, 20), (1, 50)) AS t(i, v), (VALUES (0, 3), (1, 5)) AS d(i, v), (VALUES (0, 2), (1, 10)) AS s(i, v)
+SELECT CAST(27 * d.i + 9 * l.i + 3 * s.i + t.i AS INTEGER) AS candidate, CAST(t.v AS INTEGER) AS num_trees,
+       CAST(d.v AS INTEGER) AS max_depth, CAST(s.v AS INTEGER) AS min_samples_split,
+       CAST(l.v AS INTEGER) AS min_samples_leaf, true AS in_range, true AS above_gate, CAST(1 AS BIGINT) AS n_best
+FROM (VALUES (0, 3), (1, 5), (2, 7), (3, 30)) AS d(i, v), (VALUES (0, 1), (1, 2), (2, 4)) AS l(i, v),
+     (VALUES (0, 2), (1, 5), (2, 10)) AS s(i, v), (VALUES (0, 50), (1, 100), (2, 200)) AS t(i, v)
 WHERE EXISTS (SELECT 1 FROM obs)
 """
 

@@ -79,7 +79,7 @@ def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) ->
         "n_estimators": params["num_trees"], "max_depth": params["max_depth"]})
     if cfg.grid:
         model, cand = grid_search(x_train, cfg.measures, cfg.label_col, cfg.classes, "fold",
-                                           cfg.n_folds, cfg.grid, cfg.seed)
+                                  cfg.n_folds, cfg.grid, cfg.seed, cfg.id_col)
         cand.write.mode("overwrite").parquet(f"{out}/candidates")
         best = spark.read.parquet(f"{out}/candidates").where("is_best").first()
         metrics["cv_score"] = best["mean_accuracy"]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from featureflow.operators import evaluate as EV
 from featureflow.operators import validate as V
 from featureflow.operators.scale import apply_scaler, fit_scaler
+from featureflow.session import scratch_path
 
 
 def _golden(spark):
@@ -111,3 +112,22 @@ def test_null_class_fails_the_evaluation(spark):
     df = spark.createDataFrame([("a", "a"), (None, "a")], "actual string, predicted string")
     with pytest.raises(Exception, match="null class in actual"):
         EV.confusion_matrix(df, "actual", "predicted").collect()
+
+
+def test_rules_may_repeat(spark):
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "a long, b double")
+    rules = [V.row_count(2), V.row_count(3), V.no_nulls(df), V.no_nulls(df, ["a"]), V.no_nulls(df)]
+    got = [(r["rule"], r["column"], r["passed"]) for r in V.validate(df, rules).collect()]
+    assert got[:2] == [("row_count", "*", True), ("row_count", "*", False)]
+    assert [x for x in got if x[:2] == ("null_count", "b")] == [("null_count", "b", False)] * 2
+    assert [x for x in got if x[:2] == ("null_count", "a")] == [("null_count", "a", True)] * 3
+
+
+def test_artifact_checks_tell_absent_from_broken(spark):
+    path = scratch_path(spark, "artifacts")
+    spark.range(3).write.parquet(f"{path}/table")
+    kinds = {"table": ("parquet", f"{path}/table"), "no_table": ("parquet", f"{path}/none"), "no_model": ("model", f"{path}/none")}
+    got = {r["column"]: r["passed"] for r in V.artifact_checks(spark, kinds).collect()}
+    assert got == {"table": True, "no_table": False, "no_model": False}
+    with pytest.raises(Exception):  # the store itself fails: not "absent"
+        V.artifact_checks(spark, {"t": ("parquet", "nosuchstore://x/y")}).collect()
