@@ -1,18 +1,20 @@
 """Cross-tokenizer alignment on Arrow columns.
 
 Two tokenizers cut the same bytes, space + text, in two ways. Side A is a
-byte-level BPE of the tokenizers library, side B a sentencepiece vocabulary.
-
-1. Tokens. Each slice of an Arrow batch is encoded by both libraries; a text
-   whose joined token bytes differ from space + text on either side has no
-   tokens. The ids are written once, as lists, in the shared folder.
-2. Alignment, a slice of lists at a time: flattened lists with parent indices,
-   segmented cumulative sums of the byte lengths, and an Acero hash join on
-   (document, end), which gives the offsets where tokens of both sides end.
-   Two tokens overlap on one stretch between neighbouring ends, so every
-   distinct end names exactly one link and no pair is tried in vain.
-3. Counts. `Table.group_by` counts the id pairs of a slice, Spark sums these
-   partial counts over the corpus.
+byte-level BPE file of the tokenizers library (encoded with tiktoken, which
+takes its entries as ranks and gives the same ids), side B a sentencepiece
+vocabulary.
+
+1. Tokens. Each slice of an Arrow batch is encoded by both sides; a text whose
+   joined token bytes differ from space + text on either side has no tokens.
+2. Alignment, a slice of id lists at a time: flattened lists with parent
+   indices, segmented cumulative sums of the byte lengths, and an Acero hash
+   join on (document, end), which gives the offsets where tokens of both sides
+   end. Two tokens overlap on one stretch between neighbouring ends, so every
+   distinct end names exactly one link and no pair is tried in vain. Links are
+   written once, as lists of ids, in the shared folder.
+3. Counts. `Table.group_by` counts the id pairs of a slice of links, Spark sums
+   these partial counts over the corpus.
 4. Look-up. The most frequent pairs, `frequent` at most (a parameter, so the
    broadcast is bounded), reach all tasks; links of the other pairs are
    counted by row and joined with the count table, so every link is looked up.
@@ -25,7 +27,7 @@ ids get a result each. Special tokens' strings are ordinary text.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,9 +41,11 @@ from featureflow.llm.words import ranges, raw, slices
 from featureflow.session import scratch_path
 
 SLICE_BYTES = 1 << 20
-TOKENS = 400_000        # tokens of both sides that are aligned together (one row at least)
+TOKENS = 400_000        # tokens of side A, or links, that are worked on together (one row at least)
 FREQUENT = 1 << 20      # pairs in the broadcast at most
 OCTAVE = 8              # steps of the count histogram in a doubling
+# how byte-level BPE files cut texts before merging (fixed value)
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Side:
@@ -76,14 +80,28 @@ def byte_level() -> dict[str, int]:
 
 
 def byte_bpe(data: str) -> Side:
-    """A byte-level BPE file of the tokenizers library; texts are encoded behind a space."""
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_str(data)
-    t.encode_special_tokens = True
-    byte, entries = byte_level(), [b""] * t.get_vocab_size(True)
-    for token, i in t.get_vocab(True).items():
+    """A byte-level BPE file of the tokenizers library; texts are encoded behind a space.
+
+    Ids grow with the order of the merges (checked), so a pair's merged id is its rank. A pair that joins to an
+    entry has that entry's own last merge: between borders that no earlier merge has crossed, an entry's bytes
+    merge as they do alone."""
+    import tiktoken
+    file = json.loads(data)
+    vocab, cut = file["model"]["vocab"], file["pre_tokenizer"]
+    if cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or file["normalizer"]:
+        raise ValueError("a byte-level file without a normalizer or a prefix space is needed")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+    merged = [vocab[left + right] for left, right in merges]
+    if merged != sorted(set(merged)):
+        raise ValueError("ids have to grow with the order of the merges")
+    byte = byte_level()
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    entries = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for token, i in {**vocab, **special}.items():
         entries[i] = bytes(byte[c] for c in token)
-    return Side(entries, lambda texts: [e.ids for e in t.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)])
+    ranks = {entries[i]: i for token, i in vocab.items() if token not in special}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Side(entries, lambda texts: [encoding.encode_ordinary(" " + x) for x in texts])
 
 
 def piece_bpe(data: bytes) -> Side:
@@ -103,7 +121,6 @@ _sides: dict[tuple, tuple[Side, Side]] = {}
 
 def sides(model: tuple[str, bytes]) -> tuple[Side, Side]:
     """Both sides, built once in a Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     key = (hash(model[0]), hash(model[1]))
     if key not in _sides:
         _sides[key] = byte_bpe(model[0]), piece_bpe(model[1])
@@ -114,30 +131,6 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values))
 
 
-def _tokens(shared):
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sides(shared.value)
-        for batch in slices(batches, "text", SLICE_BYTES):
-            text = batch.column("text")
-            full = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(text), 0), False).to_numpy(zero_copy_only=False))
-            said = text.take(pa.array(full))
-            want, offsets = raw(pc.binary_join_element_wise(" ", said, ""))
-            texts, good, found = said.to_pylist(), np.ones(len(full), bool), []
-            for side in both:
-                encoded = side.encode(texts)
-                counts = np.array([len(x) for x in encoded], np.int64)
-                ids = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
-                good &= side.returned(ids, counts, want, offsets)
-                found.append((ids, counts))
-            out = []
-            for ids, counts in found:
-                own = np.zeros(batch.num_rows, np.int64)
-                own[full] = np.where(good, counts, 0)
-                out.append(lists(ids[np.repeat(good, counts)], own))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *out], ["id", "a", "b"])
-    return tokens
-
-
 class Alignment:
     """Tokens of both sides of some rows, the places where both end, and the links."""
 
@@ -161,17 +154,17 @@ class Alignment:
         self.i, self.j = (common[c].to_numpy() for c in ("i", "j"))  # the last tokens of each group
         self.groups = np.bincount(self.row[0][self.i], minlength=self.rows)
 
-    def links(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, pair = A id * width + B id) of every link, in row order."""
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, A id, B id) of every link, in row order."""
         (ea, eb), (ia, ib) = self.ends, self.ids
         alone = np.ones(len(ib), bool)
         alone[self.j] = False
         alone = np.flatnonzero(alone)  # B tokens that end inside an A token
         left = np.append(np.arange(len(ia)), np.searchsorted(ea, eb[alone]))
         right = np.append(np.searchsorted(eb, ea), alone)
-        row, pair = self.row[0][left], ia[left].astype(np.int64) * width + ib[right]
+        row = self.row[0][left]
         order = np.argsort(row, kind="stable")
-        return row[order], pair[order]
+        return row[order], ia[left[order]], ib[right[order]]
 
     def strings(self, digits: "Digits") -> list[bytes]:
         """Each row's groups as `a1,a2|b1;a3|b2`."""
@@ -208,40 +201,76 @@ class Digits:
         return out.tobytes(), stops
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into row ranges of about TOKENS ids."""
-    for batch in batches:
-        many = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        ends, at = np.append(0, np.cumsum(many)), 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into row ranges of about TOKENS values of a list column."""
+    many = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.append(0, np.cumsum(many, dtype=np.int64)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _encoded(batch: pa.RecordBatch, both: tuple[Side, Side]) -> pa.RecordBatch:
+    """(id, a, b): the id lists of a batch's texts; empty where the bytes do not come back."""
+    text = batch.column("text")
+    full = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(text), 0), False).to_numpy(zero_copy_only=False))
+    said = text.take(pa.array(full))
+    want, offsets = raw(pc.binary_join_element_wise(" ", said, ""))
+    texts, good, found = said.to_pylist(), np.ones(len(full), bool), []
+    for side in both:
+        encoded = side.encode(texts)
+        counts = np.array([len(x) for x in encoded], np.int64)
+        ids = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
+        good &= side.returned(ids, counts, want, offsets)
+        found.append((ids, counts))
+    out = []
+    for ids, counts in found:
+        own = np.zeros(batch.num_rows, np.int64)
+        own[full] = np.where(good, counts, 0)
+        out.append(lists(ids[np.repeat(good, counts)], own))
+    return pa.RecordBatch.from_arrays([batch.column("id"), *out], ["id", "a", "b"])
+
+
+def _align(shared):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = sides(shared.value)
+        digits = Digits(max(len(s.lens) for s in both))
+        for batch in slices(batches, "text", SLICE_BYTES):
+            for part in _pieces(_encoded(batch, both), "a"):
+                found = Alignment(part.column("a"), part.column("b"), both)
+                row, left, right = found.links()
+                n_links = np.bincount(row, minlength=part.num_rows)
+                digest = [hashlib.sha256(s).hexdigest() if s else "" for s in found.strings(digits)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), *(pa.array(c.astype(np.int64)) for c in (*found.counts, found.groups, n_links)),
+                     pa.array(digest, pa.string()), lists(left, n_links), lists(right, n_links)],
+                    ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "left", "right"])
+    return align
+
+
+def _pairs(part: pa.RecordBatch, width: int) -> np.ndarray:
+    """A id * width + B id of every link."""
+    left, right = (pc.list_flatten(part.column(c)).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+    return left.astype(np.int64) * width + right
 
 
-def _count(shared, width: int):
+def _count(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sides(shared.value)
-        for batch in _pieces(batches):
-            _, pair = Alignment(batch.column("a"), batch.column("b"), both).links(width)
-            if len(pair):
-                partial = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+        for batch in batches:
+            for part in _pieces(batch, "left"):
+                partial = pa.table({"pair": _pairs(part, width)}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
                 yield from partial.rename_columns(["pair", "n"]).to_batches()
     return count
 
 
-def _look_up(shared, known, width: int):
+def _look_up(known, width: int):
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sides(shared.value)
         pairs, n, best = known.value
-        digits = Digits(max(len(s.lens) for s in both))
-        for batch in _pieces(batches):
-            found = Alignment(batch.column("a"), batch.column("b"), both)
-            row, pair = found.links(width)
-            n_links = np.bincount(row, minlength=batch.num_rows)
-            sums, bests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            rare_row, rare_pair = row[:0], pair[:0]
-            if len(pair):
+        for batch in batches:
+            for part in _pieces(batch, "left"):
+                pair = _pairs(part, width)
+                row = pc.list_parent_indices(part.column("left")).to_numpy(zero_copy_only=False)
                 coded = pa.array(pair).dictionary_encode()
                 names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
                 at = np.searchsorted(pairs, names)
@@ -249,21 +278,18 @@ def _look_up(shared, known, width: int):
                 hit[hit] = pairs[at[hit]] == names[hit]
                 times, top = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
                 times[hit], top[hit] = n[at[hit]], best[at[hit]]
-                some = np.flatnonzero(n_links)
-                first = (np.cumsum(n_links) - n_links)[some]
-                sums[some] = np.add.reduceat(times[code], first)
-                bests[some] = np.add.reduceat(top[code], first)
+                sums, bests = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+                some, first = np.unique(row, return_index=True)
+                if len(some):
+                    sums[some], bests[some] = np.add.reduceat(times[code], first), np.add.reduceat(top[code], first)
                 rare = ~hit[code]
-                rare_row, rare_pair = row[rare], pair[rare]
-            rest = pa.table({"row": rare_row, "pair": rare_pair}).group_by(["row", "pair"], use_threads=False).aggregate(
-                [([], "count_all")]).sort_by([("row", "ascending"), ("pair", "ascending")])
-            many = np.bincount(rest["row"].to_numpy(), minlength=batch.num_rows)
-            digest = [hashlib.sha256(s).hexdigest() if s else "" for s in found.strings(digits)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("place"), *(pa.array(c.astype(np.int64)) for c in (
-                    *found.counts, found.groups, n_links, bests, sums)), pa.array(digest, pa.string()),
-                 lists(rest["pair"].to_numpy(), many), lists(rest["count_all"].to_numpy(), many)],
-                ["id", "place", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare", "rare_n"])
+                rest = pa.table({"row": row[rare], "pair": pair[rare]}).group_by(["row", "pair"], use_threads=False).aggregate(
+                    [([], "count_all")]).sort_by([("row", "ascending"), ("pair", "ascending")])
+                many = np.bincount(rest["row"].to_numpy(), minlength=part.num_rows)
+                kept = [c for c in part.schema.names if c not in ("left", "right")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in kept), pa.array(bests), pa.array(sums), lists(rest["pair"].to_numpy(), many),
+                     lists(rest["count_all"].to_numpy(), many)], [*kept, "n_best", "count_sum", "rare", "rare_n"])
     return look_up
 
 
@@ -288,12 +314,12 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_bpe_path: str, id_col: str
     shared = spark.sparkContext.broadcast(model)  # the two vocabulary files
     width = len(piece_bpe(model[1]).lens)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = f"id {rows.schema['id'].dataType.simpleString()}"
-    rows.mapInArrow(_tokens(shared), f"{kind}, a array<int>, b array<int>").write.option(
-        "compression", "zstd").parquet(f"{path}/tokens")
-    tokens = spark.read.parquet(f"{path}/tokens")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+    rows.mapInArrow(_align(shared), f"{kind}, left array<int>, right array<int>").write.option(
+        "compression", "zstd").parquet(f"{path}/links")
+    links = spark.read.parquet(f"{path}/links")
 
-    partial = tokens.select("a", "b").mapInArrow(_count(shared, width), "pair long, n long")
+    partial = links.select("left", "right").mapInArrow(_count(width), "pair long, n long")
     partial.groupBy("pair").agg(F.sum("n").alias("n")).write.parquet(f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums").withColumn("b", F.col("pair") % width)
     most = sums.groupBy("b").agg(F.max("n").alias("most"))
@@ -302,9 +328,8 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_bpe_path: str, id_col: str
 
     top = frequent_pairs(counts, frequent).toArrow().sort_by("pair")
     known = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("pair", "n", "best")))
-    out = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    tokens.withColumn("place", F.monotonically_increasing_id()).mapInArrow(
-        _look_up(shared, known, width), f"{kind}, place long, {out}, rare array<long>, rare_n array<long>").write.parquet(f"{path}/rows")
+    links.withColumn("place", F.monotonically_increasing_id()).mapInArrow(
+        _look_up(known, width), f"{kind}, place long, n_best long, count_sum long, rare array<long>, rare_n array<long>").write.parquet(f"{path}/rows")
     found = spark.read.parquet(f"{path}/rows")
     rare = found.select("place", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select(
         "place", F.col("x.rare").alias("pair"), F.col("x.rare_n").alias("times"))
