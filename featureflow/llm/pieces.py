@@ -5,9 +5,11 @@ piece has the best score goes first, ties from the left, until no pair is in
 the vocabulary; symbols that are no piece become bytes. No piece of a usable
 vocabulary has the space mark after another character, so merges never cross
 into a new word, and each distinct word is encoded once per slice of an Arrow
-batch. The agendas of all short words advance together, one merge per step;
-long words use a heap. Every newly encoded word is checked against the
-sentencepiece library in the same batch; a difference raises.
+batch; words of earlier slices are kept, as flat arrays of ids, until there are
+`CACHE` of them, when only the current slice's stay. The agendas of short words
+of similar length advance together, one merge per step; long words use a heap.
+Every newly encoded word is checked against the sentencepiece library in the
+same batch; a difference raises.
 
 Null texts count as empty: they have the end id only.
 """
@@ -30,7 +32,9 @@ from featureflow.llm.words import ranges, slices
 
 SPACE = "▁"
 SHORT = 24       # longest word (characters) encoded in the common agenda
-CACHE = 100_000
+CACHE = 200_000   # words kept between slices
+TOGETHER = 20_000 # words whose agendas advance together
+END, UNKNOWN = -3, -4   # symbols: past a word's end; UNKNOWN - c: character c, which is no piece
 SLICE_BYTES = 2 << 20
 NO_PAIR = np.iinfo(np.int32).max
 
@@ -47,8 +51,14 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in normal) or len(self.byte) != 256:
             raise ValueError("the vocabulary needs byte pieces and space marks at piece starts only")
         self.normal, self.eos, self.size = normal, sp.eos_id(), len(sp)
-        self.text = {i: p.replace(SPACE, " ").encode() for p, i in normal.items()}
-        self.text |= {i: bytes([b]) for b, i in self.byte.items()}
+        self.symbol = UNKNOWN - np.arange(0x110000, dtype=np.int32)
+        for p, i in normal.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        text = {i: p.replace(SPACE, " ").encode() for p, i in normal.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        self.text_lens = np.array([len(text.get(i, b"")) for i in ids], np.int64)
+        self.text_starts = np.cumsum(self.text_lens) - self.text_lens
+        self.text = np.frombuffer(b"".join(text.get(i, b"") for i in ids), np.uint8)
         order = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in normal.values()}, reverse=True))}
         pairs = sorted((normal[p[:k]] * self.size + normal[p[k:]], i, order[sp.get_score(i)])
                        for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal)
@@ -62,21 +72,14 @@ class Vocabulary:
         hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.rank[at], NO_PAIR).astype(np.int32), np.where(hit, self.merged[at], -1).astype(np.int32)
 
-    def together(self, words: list[str]) -> list[list[int]]:
-        """Encode short words: one merge per word and step."""
-        wide = max(map(len, words))
-        sym = np.full((len(words), wide + 1), -3, np.int32)  # -3: past the end; -2 - n - 1: unknown character n
-        unknown: list[str] = []
-        for r, w in enumerate(words):
-            for c, ch in enumerate(w):
-                i = self.normal.get(ch)
-                if i is None:
-                    unknown.append(ch)
-                    i = -3 - len(unknown)
-                sym[r, c] = i
-        rank, to = self.look_up(sym[:, :-1], sym[:, 1:])
-        live = np.arange(len(words))
+    def together(self, points: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words given by their code points and lengths, one merge per word and step: flat ids, and their counts."""
+        wide, n = int(lens.max()), len(lens)
         columns = np.arange(wide)
+        sym = np.full((n, wide + 1), END, np.int32)
+        sym[:, :-1][columns[None, :] < lens[:, None]] = self.symbol[points]
+        rank, to = self.look_up(sym[:, :-1], sym[:, 1:])
+        live = np.arange(n)
         while len(live):
             j = rank[live].argmin(axis=1)
             go = rank[live, j] < NO_PAIR
@@ -87,7 +90,7 @@ class Vocabulary:
             s[np.arange(len(live)), j] = b[np.arange(len(live)), j]
             after = columns[None, :] > j[:, None]
             s[:, :-1] = np.where(after, s[:, 1:], s[:, :-1])
-            s[:, -1] = -3
+            s[:, -1] = END
             after = columns[None, :-1] >= j[:, None]
             a[:, :-1] = np.where(after, a[:, 1:], a[:, :-1])
             b[:, :-1] = np.where(after, b[:, 1:], b[:, :-1])
@@ -98,15 +101,19 @@ class Vocabulary:
             r, k = rows[inner], j[inner]
             a[r, k - 1], b[r, k - 1] = self.look_up(s[r, k - 1], s[r, k])
             sym[live], rank[live], to[live] = s, a, b
-        return [self._bytes(row[row != -3].tolist(), unknown) for row in sym]
-
-    def _bytes(self, symbols: list[int], unknown: list[str]) -> list[int]:
-        if min(symbols) >= 0:
-            return symbols
-        out = []
-        for s in symbols:
-            out += [s] if s >= 0 else [self.byte[b] for b in unknown[-s - 4].encode()]
-        return out
+        there = sym != END
+        flat, counts = sym[there], there.sum(axis=1)
+        return self.as_bytes(flat, counts) if (flat < 0).any() else (flat, counts)
+
+    def as_bytes(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols with the unknown characters replaced by the pieces of their bytes."""
+        odd = np.flatnonzero(flat < 0)
+        parts = [[self.byte[b] for b in chr(UNKNOWN - s).encode()] for s in flat[odd].tolist()]
+        lens = np.ones(len(flat), np.int64)
+        lens[odd] = [len(p) for p in parts]
+        out = np.repeat(flat, lens)
+        out[ranges((np.cumsum(lens) - lens)[odd], lens[odd])] = np.fromiter(chain.from_iterable(parts), np.int32)
+        return out, np.add.reduceat(lens, np.cumsum(counts) - counts)
 
     def alone(self, word: str) -> list[int]:
         """Encode one word of any length with a heap."""
@@ -138,26 +145,64 @@ class Vocabulary:
             i = right[i]
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words (each starts with a space mark), checked against the library."""
-        out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
-        for at in range(0, len(short), 20_000):
-            part = short[at:at + 20_000]
-            for i, ids in zip(part, self.together([words[i] for i in part])):
-                out[i] = ids
-        for i, w in enumerate(words):
-            if len(w) > SHORT:
-                out[i] = self.alone(w)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words (each starts with a space mark), and their counts, checked against the library."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lens, kind="stable")
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum(lens) - lens
+        flats, counts = [], np.zeros(len(words), np.int64)
+        n_short = int(np.searchsorted(lens[order], SHORT, side="right"))
+        for at in range(0, n_short, TOGETHER):
+            part = order[at:min(at + TOGETHER, n_short)]
+            flat, counts[part] = self.together(points[ranges(starts[part], lens[part])], lens[part])
+            flats.append(flat)
+        for i in order[n_short:].tolist():
+            ids = self.alone(words[i])
+            counts[i] = len(ids)
+            flats.append(np.array(ids, np.int32))
+        flat = np.concatenate(flats)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.cumsum(counts[order]) - counts[order]
+        flat = flat[ranges(place, counts)]
         expected = self.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
-        for w, a, b in zip(words, out, expected):
-            if w != SPACE and a != b:
-                raise RuntimeError(f"agenda and library differ on {w[:80]!r}")
-        return out
+        alone = [i for i, e in enumerate(expected) if not e]  # a space mark alone: the library sees an empty text
+        for i in alone:
+            expected[i] = flat[counts[:i].sum():counts[:i + 1].sum()].tolist() if words[i] == SPACE else []
+        same = np.fromiter(map(len, expected), np.int64, len(expected)) == counts
+        if not same.all() or (np.fromiter(chain.from_iterable(expected), np.int32, len(flat)) != flat).any():
+            differ = next(w for w, e, k in zip(words, expected, np.cumsum(counts).tolist()) if e != flat[k - len(e):k].tolist())
+            raise RuntimeError(f"agenda and library differ on {differ[:80]!r}")
+        return flat, counts
+
+
+class Known:
+    """Encoded words: their numbers, and their ids in one flat array. Number 0 is the end of a text."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.keep({}, np.array([v.eos], np.int32), np.ones(1, np.int64))
+
+    def keep(self, numbers: dict[str, int], flat: np.ndarray, counts: np.ndarray) -> None:
+        self.numbers, self.flat, self.counts = numbers, flat, counts
+        self.starts = np.cumsum(counts) - counts
 
-    def decode_ids(self, ids: list[int]) -> bytes:
-        """Text of a word's ids, its leading space included."""
-        return b"".join(self.text.get(i, b"") for i in ids)
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words; new ones are encoded."""
+        found = np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
+        new = np.flatnonzero(found == 0).tolist()
+        if new:
+            if len(self.numbers) + len(new) > CACHE:  # only this slice's words stay
+                old = [i for i, k in enumerate(found.tolist()) if k]
+                used = np.append(0, found[old])
+                self.keep({words[i]: k + 1 for k, i in enumerate(old)}, self.flat[ranges(self.starts[used], self.counts[used])],
+                          self.counts[used])
+                found[old] = np.arange(1, len(old) + 1)
+            flat, counts = self.v.encode_words([words[i] for i in new])
+            found[new] = len(self.counts) + np.arange(len(new))
+            self.numbers.update((words[i], k) for i, k in zip(new, found[new].tolist()))
+            self.keep(self.numbers, np.append(self.flat, flat), np.append(self.counts, counts))
+        return found
 
 
 def words_of(text: str) -> list[str]:
@@ -178,7 +223,7 @@ def vocabulary(model: bytes) -> Vocabulary:
 def _encode(model: bytes):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        cache: dict[str, tuple[list[int], bytes]] = {}
+        known = Known(v)
         for batch in slices(batches, "text", SLICE_BYTES):
             text = batch.column("text").fill_null("")
             lists = pc.split_pattern(text, " ")
@@ -202,22 +247,12 @@ def _encode(model: bytes):
                 index, distinct = np.concatenate(parts), list(places)
                 rows = np.append(0, np.cumsum(counts))
             used = np.unique(index)
-            missing = [distinct[i] for i in used if distinct[i] not in cache]
-            fresh = {w: (ids, v.decode_ids(ids)) for w, ids in zip(missing, v.encode_words(missing))} if missing else {}
-            entries = [([], b"")] * len(distinct)
-            for i in used.tolist():
-                entries[i] = fresh.get(distinct[i]) or cache[distinct[i]]
-            for w in missing:
-                if len(cache) >= CACHE:
-                    break
-                cache[w] = fresh[w]
-            entries.append(([v.eos], b""))  # closes each row
+            number = np.zeros(len(distinct) + 1, np.int64)  # the last one closes each row
+            number[used] = known.look_up([distinct[i] for i in used.tolist()])
             index = np.insert(index, rows[1:], len(distinct))
             rows = rows + np.arange(len(rows))
-            ids, id_rows = _gather(np.fromiter(chain.from_iterable(e[0] for e in entries), np.int32),
-                                   [len(e[0]) for e in entries], index, rows)
-            decoded, text_rows = _gather(np.frombuffer(b"".join(e[1] for e in entries), np.uint8),
-                                         [len(e[1]) for e in entries], index, rows)
+            ids, id_rows = _gather(known.flat, known.starts, known.counts, number[index], rows)
+            decoded, text_rows = _gather(v.text, v.text_starts, v.text_lens, ids, id_rows)
             decoded = decoded.tobytes()
             # the first space mark of a text is the encoder's own
             texts = [decoded[a + 1:b].decode("utf-8", "replace") for a, b in zip(text_rows[:-1].tolist(), text_rows[1:].tolist())]
@@ -228,13 +263,10 @@ def _encode(model: bytes):
     return encode
 
 
-def _gather(data: np.ndarray, lens: list[int], index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate the entries (of lengths lens in data) that index names; returns the data and each row's offsets in it."""
-    lens = np.array(lens, np.int64)
-    starts = np.cumsum(lens) - lens
+def _gather(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the entries of data that index names; returns the data and each row's offsets in it."""
     taken = lens[index]
-    ends = np.append(0, np.cumsum(taken))
-    return data[ranges(starts[index], taken)], ends[rows]
+    return data[ranges(starts[index], taken)], np.append(0, np.cumsum(taken))[rows]
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
