@@ -4,18 +4,21 @@
   source's size and the excess is reshared until none is above.
 * Lines: each source's rows are put in a shuffled order (by hash) on a line of
   tokens that repeats up to `most` times; the line is cut into equal-token
-  blocks. Positions come from (source, hash bucket) partial sums, so no window
-  holds a whole source.
+  blocks. Positions come from (source, hash bucket) partial sums, summed in two
+  levels, so no window holds a whole source or all its buckets.
 * Schedule: slot n maps the golden-ratio point frac(n * phi) through the
   cumulative target shares to a source; the k-th slot of a source takes its
   k-th block. Slots past a target are dropped, missing ones close the
-  schedule, so every source's words equal its target rounded down.
+  schedule, so every source's words equal its target rounded down. The slots are
+  the mix's order: taken() names each row's first slot, documents() comes in slot
+  order, and every stretch of it holds the sources near their target shares.
 
 The list of sources (a weight each, set by a person) is read to the driver:
 one small row per source, never rows of data.
 
 Null texts have size 0 and are never taken; a null source is a source (last).
 Equal rows get their own places. Reruns agree: order depends on hashes only.
+The rows' own columns travel packed, so their names may be any.
 """
 
 from __future__ import annotations
@@ -56,13 +59,26 @@ def targets(sizes: list[int], weights: list[int], most: int = 3) -> list[Fractio
     return out
 
 
+def sums_before(rows: DataFrame, group: str, at: str, value: str, span: int = SLOT_CHUNK) -> DataFrame:
+    """rows with `__before`: the sum of value over the group's rows of smaller `at` (distinct in a group; null groups
+    are one). Ranges of `span` are summed first, so a window holds the rows of one range, or one row a range."""
+    ranged = rows.withColumn("__range", F.floor(F.col(at) / span))
+    total = ranged.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.sum(value).alias("__sum"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__g", "__r", F.coalesce(F.sum("__sum").over(earlier(Window.partitionBy("__g").orderBy("__r"))),
+                                                  F.lit(0)).alias("__low"))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(group, "__range").orderBy(at))), F.lit(0))
+    ranged = ranged.withColumn("__inside", inside)
+    out = ranged.join(total, ranged[group].eqNullSafe(total["__g"]) & (ranged["__range"] == total["__r"]))
+    return out.select(*[ranged[c] for c in rows.columns], (F.col("__low") + F.col("__inside")).alias("__before"))
+
+
 class Mix:
     """The plan of a mix: sources with their targets, rows on their lines, and the schedule."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                  cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, seed: int = 17):
-        self.docs, self.block, self.most = docs, block, most
-        self.id_col, self.inputs = id_col, list(dict.fromkeys([id_col, source_col, text_col]))
+        self.docs, self.block, self.most, self.id_col = docs, block, most, id_col
         self.spark = docs.sparkSession
         n = docs.count()
         self.buckets = max(1, n // ROWS_A_BUCKET)
@@ -82,13 +98,13 @@ class Mix:
         plan = [(r["__source"], i, s, float(t), int(t)) for i, (r, s, t) in enumerate(zip(sources, self.sizes, self.targets))]
         self.sources = self.spark.createDataFrame(
             plan, "__source string, source_no int, source_size long, target double, quota long")
-        before = F.sum("__sum").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(
-            Window.unboundedPreceding, -1))
-        self.offsets = sums.withColumn("__before", F.coalesce(before, F.lit(0)))
+        self.offsets = sums_before(sums, "__source", "__bucket", "__sum")
 
-    def lines(self, docs: DataFrame) -> DataFrame:
-        """docs with size, source_no, source_size, target, quota and the start on the source's line."""
-        rows = docs.withColumns(self._keys).alias("r")
+    def lines(self, *kept: str) -> DataFrame:
+        """`row` (a struct of the kept columns) with size, source_no, source_size, target, quota and the start on the
+        source's line."""
+        rows = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+                                *[e.alias(c) for c, e in self._keys.items()]).alias("r")
         o = self.offsets.alias("o")
         same = F.col("r.__source").eqNullSafe(F.col("o.__source")) & (F.col("r.__bucket") == F.col("o.__bucket"))
         rows = rows.join(o, same).select("r.*", "__before")
@@ -97,7 +113,7 @@ class Mix:
         rows = rows.withColumn("start", F.col("__before") + running - F.col("__size")).withColumnRenamed("__size", "size")
         s = F.broadcast(self.sources).alias("s")  # one row per source
         out = rows.alias("r").join(s, F.col("r.__source").eqNullSafe(F.col("s.__source")))
-        return out.select(*[F.col(f"r.{c}") for c in docs.columns], "size", "start", "source_no", "source_size", "target", "quota")
+        return out.select("r.row", "size", "start", "source_no", "source_size", "target", "quota")
 
     def schedule(self) -> DataFrame:
         """(slot, source_no, block): which block of which source each slot of the mix takes."""
@@ -117,12 +133,10 @@ class Mix:
         slots = slots.select(F.col("id").alias("slot"), F.floor(F.col("id") / SLOT_CHUNK).alias("chunk"),
                              F.size(F.filter(edges, lambda e: e <= F.col("point"))).alias("source_no"))
         counts = slots.groupBy("chunk", "source_no").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))
         rank = F.row_number().over(Window.partitionBy("chunk", "source_no").orderBy("slot")) - 1
-        ranked = slots.withColumn("rank", rank).join(counts.withColumn("before", before).drop("n"), ["chunk", "source_no"])
+        ranked = slots.withColumn("rank", rank).join(sums_before(counts, "source_no", "chunk", "n").drop("n"), ["chunk", "source_no"])
         wanted = F.broadcast(self.spark.createDataFrame(list(enumerate(need)), "source_no int, need long"))  # one row per source
-        taken = ranked.withColumn("block", F.col("rank") + F.col("before")).join(wanted, "source_no").filter(
+        taken = ranked.withColumn("block", F.col("rank") + F.col("__before")).join(wanted, "source_no").filter(
             "block < need").select("slot", "source_no", "block")
         have = counts.groupBy("source_no").agg(F.sum("n").alias("have"))
         short = wanted.join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < need")
@@ -130,8 +144,8 @@ class Mix:
             (F.lit(n_slots) + F.col("block")).alias("slot"), "source_no", "block")
         return taken.unionByName(closing)
 
-    def pieces(self, lines: DataFrame, *keep: str) -> DataFrame:
-        """(slot, *keep, start, source_no, epoch, word_from, word_to): the mix, block by block."""
+    def pieces(self, lines: DataFrame) -> DataFrame:
+        """(slot, start, source_no, epoch, word_from, word_to): the mix, block by block."""
         size, quota = F.col("size"), F.col("quota")
         rows = lines.filter(size > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
         rows = rows.withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size")).filter(F.col("a") < quota)
@@ -139,26 +153,27 @@ class Mix:
         rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / self.block), F.floor((F.col("b") - 1) / self.block))))
         low = F.greatest(F.col("a"), F.col("block") * self.block) - F.col("a")
         high = F.least(F.col("b"), (F.col("block") + 1) * self.block) - F.col("a")
-        rows = rows.select(*keep, "start", "source_no", "block", "epoch", low.alias("word_from"), high.alias("word_to"))
+        rows = rows.select("start", "source_no", "block", "epoch", low.alias("word_from"), high.alias("word_to"))
         return rows.join(self.schedule(), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
-        """Every row's (id_col, size, source_size, target, taken)."""
-        path, id_col = scratch_path(self.spark, "mix-lines"), self.id_col
-        self.lines(self.docs.select(*self.inputs)).select(id_col, "size", "start", "source_no", "source_size", "target", "quota").write.parquet(path)
+        """Every row's (id_col, size, source_size, target, taken, slot): slot is the first one that takes some of its
+        words (null: none does)."""
+        path = scratch_path(self.spark, "mix-lines")
+        self.lines(self.id_col).write.parquet(path)
         lines = self.spark.read.parquet(path)
-        words = self.pieces(lines).groupBy("source_no", "start").agg(
-            F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+        words = self.pieces(lines.drop("row")).groupBy("source_no", "start").agg(
+            F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.min("slot").alias("slot"))
         lines = lines.withColumn("start", F.when(F.col("size") > 0, F.col("start")))
         out = lines.join(words, ["source_no", "start"], "left")
-        return out.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return out.select(F.col("row")[self.id_col].alias(self.id_col), "size", "source_size", "target",
+                          F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
 
     def documents(self) -> DataFrame:
-        """Whole rows of docs, once for every pass over the line that reaches their first word."""
-        columns = self.docs.columns
-        lines = self.lines(self.docs).filter("size > 0").withColumn(
-            "__epoch", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
-        first = F.col("start") + F.col("__epoch") * F.col("source_size")
-        lines = lines.filter(first < F.col("quota")).withColumn("block", F.floor(first / self.block))
-        return lines.join(self.schedule().drop("slot"), ["source_no", "block"], "left_semi").select(*columns)
-
+        """Whole rows of docs, once for every pass over the line that reaches their first word, in slot order."""
+        lines = self.lines(*self.docs.columns).filter("size > 0").withColumn(
+            "epoch", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
+        first = F.col("start") + F.col("epoch") * F.col("source_size")
+        lines = lines.filter(first < F.col("quota")).withColumn("first", first).withColumn("block", F.floor(first / self.block))
+        placed = lines.join(self.schedule(), ["source_no", "block"]).select("row", "slot", "first")
+        return placed.repartitionByRange("slot", "first").sortWithinPartitions("slot", "first").select("row.*")

@@ -89,6 +89,62 @@ def test_targets_and_mix(docs, nothing):
     assert Mix(nothing).taken().count() == 0 and Mix(nothing).documents().count() == 0
 
 
+def test_mix_with_any_column_names(docs):
+    from pyspark.sql import functions as F
+    from featureflow.llm.mixing import Mix
+    names = ["size", "target", "quota", "source_no", "start", "row", "slot", "block", "epoch", "__source", "first"]
+    more = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    plain = sorted(map(tuple, Mix(docs, block=16).taken().collect()), key=str)
+    assert sorted(map(tuple, Mix(more, block=16).taken().collect()), key=str) == plain
+    got = Mix(more, block=16).documents()
+    assert got.columns == more.columns and all(r["quota"] == 2 and r["slot"] == 6 for r in got.collect())
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in Mix(docs, block=16).documents().collect())
+
+
+def test_mix_against_plain_targets_and_schedule(spark):
+    """Targets by bisection on the level, and the order of the mix by its own stretches."""
+    from featureflow.llm.mixing import Mix
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 5}" if i % 5 else None) for i, n in enumerate(rng.integers(0, 120, 2500))]
+    rows.append((9999, "w " * 20_000, "s1"))  # a very long text
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=32)
+    names, sizes = [*sorted({r[2] for r in rows if r[2]}), None], {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    weight = {s: [1, 2, 3][k % 3] for k, s in enumerate(names)}
+    low, high = 0.0, float(sum(sizes.values()))
+    for _ in range(200):  # the level at which capped shares add up to all sizes
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 3 * sizes[s]) for s in names) < sum(sizes.values()) else (low, level)
+    target = {s: min(low * weight[s], 3 * sizes[s]) for s in names}
+    source = {r[0]: r[2] for r in rows}
+    got = mix.taken().collect()
+    words_taken, first = {s: 0 for s in names}, []
+    for r in got:
+        s = source[r.doc_id]
+        assert abs(r.target - target[s]) < 1e-3 and r.taken <= 3 * r["size"]
+        words_taken[s] += r.taken
+        assert (r.slot is None) == (r.taken == 0)
+    assert all(abs(words_taken[s] - target[s]) <= 1 for s in names)
+    slots = mix.schedule().orderBy("slot").collect()
+    order = [r.source_no for r in slots]
+    share = np.array([target[s] for s in names]) / sum(target.values())
+    for n in range(200, len(order) - 200, 97):  # every stretch from the start is near the shares
+        assert np.abs(np.bincount(order[:n], minlength=len(names)) / n - share).max() < 0.02
+    place = {(r.source_no, r.block): r.slot for r in slots}
+    lines = mix.lines("doc_id").collect()
+    first = {r["row"]["doc_id"]: place[r.source_no, r.start // 32] for r in lines if r["size"] and (r.source_no, r.start // 32) in place}
+    assert all(first[r.doc_id] >= r.slot for r in got if r.doc_id in first and r.slot is not None)
+    assert len({r.slot for r in got}) > 500
+
+
+def test_sums_before(spark):
+    from featureflow.llm.mixing import sums_before
+    rows = [(g, i, i + 1) for g in ("a", None) for i in range(0, 60, 2)]
+    got = sums_before(spark.createDataFrame(rows, "g string, at long, v long"), "g", "at", "v", span=7).collect()
+    assert {(r.g, r.at): r["__before"] for r in got} == {(g, at): sum(v for h, a, v in rows if h == g and a < at) for g, at, _ in rows}
+
+
 def test_language(docs, nothing):
     from featureflow.llm.langid import identify, keep_identified
     got = {r.doc_id: r for r in identify(docs).collect()}
