@@ -16,17 +16,20 @@ make it fast. Nothing depends on partition ids, so a recomputed partition
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from featureflow.session import written
+
 _BUCKET = "__ff_bucket"
 _OFFSET = "__ff_offset"
 _KEYNUM = "__ff_keynum"
 _SALTS = 256         # first-level merges of quantile sketches
 _SKETCH_SIZE = 4096  # rank error of about 1/1500 of a bucket; some 100 KB
+_KEYS_A_BUCKET = 32  # keys drawn for each splitter
+_HEAVY = 4           # a part this many times its share is cut again
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -86,19 +89,8 @@ def exact_rank(df: DataFrame, order_cols: Sequence[str], bucket: Column,
     return out.drop(_BUCKET, _OFFSET)
 
 
-def _shared_prefix(df: DataFrame, col: str) -> int:
-    """Bytes that all values of a string or binary key start with (those that
-    the smallest and the largest share); 0 for other types."""
-    if not isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType)):
-        return 0
-    ends = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    if ends["lo"] is None:
-        return 0
-    return len(os.path.commonprefix([x.encode() if isinstance(x, str) else bytes(x) for x in ends]))
-
-
 def key_as_double(df: DataFrame, col: str) -> Column:
-    """A monotone double image of an order key (for bucketing only)."""
+    """A monotone double image of an order key that has one (for bucketing only)."""
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -110,12 +102,6 @@ def key_as_double(df: DataFrame, col: str) -> Column:
         return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{col}`)").cast("double")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c).cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        # the 6 bytes after the prefix that all keys share, zero padded, as a
-        # 48-bit number: non-decreasing in the binary (UTF-8) order of strings
-        raw = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
-        hex6 = F.rpad(F.hex(F.substring(raw, 1 + _shared_prefix(df, col), 6)), 12, "0")
-        return F.conv(hex6, 16, 10).cast("double")
     raise TypeError(f"cannot order by column {col} of type {dt}")
 
 
@@ -139,6 +125,55 @@ def _refine(staged: DataFrame, bounds: list[float], parts: int) -> tuple[list[fl
     return sorted({*bounds, *(x for r in rows for x in r["q"])}), sum(r["n"] for r in rows)
 
 
+def _is_text(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType))
+
+
+def key_splitters(df: DataFrame, col: str, need: int, n: int) -> list:
+    """About ``need - 1`` whole keys that cut the ``n`` keys of ``col`` into like parts, in order.
+
+    A hash of the key draws about ``_KEYS_A_BUCKET`` keys a part, range partitioning sorts them, and only the first
+    key of each part comes to the driver."""
+    share = min(1.0, _KEYS_A_BUCKET * need / max(1, n))
+    drawn = df.select(col).where(F.col(col).isNotNull()).where(
+        F.pmod(F.xxhash64(col), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    first = drawn.repartitionByRange(need, col).groupBy(F.spark_partition_id().alias("part")).agg(F.min(col).alias("key"))
+    return sorted(bytes(r["key"]) if isinstance(r["key"], bytearray) else r["key"] for r in first.collect())[1:]
+
+
+def splitter_bucket(col: str, splitters: list) -> Column:
+    """How many of the sorted splitters are at or below the key, by binary search."""
+    if not splitters:
+        return F.lit(0)
+    keys, none = F.array(*[F.lit(k) for k in splitters]), F.lit(0)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(keys, middle) <= F.col(col)
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(
+            F.when(below, middle + 1).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high")))
+
+    ends = F.struct(none.alias("low"), F.lit(len(splitters)).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
+    return F.aggregate(steps, ends, halve)["low"]
+
+
+def text_splitters(df: DataFrame, col: str, need: int, n: int) -> list:
+    """Splitters of a string or binary key; a part of over ``_HEAVY`` times its share is cut again at its own keys."""
+    splitters, share = key_splitters(df, col, need, n), max(1, n // need)
+    while splitters:
+        at = splitter_bucket(col, splitters)
+        heavy = df.select(at.alias("b")).groupBy("b").count().where(F.col("count") > _HEAVY * share).collect()  # few parts
+        if not heavy:
+            break
+        rows = sum(r["count"] for r in heavy)
+        more = key_splitters(df.where(at.isin([r["b"] for r in heavy])), col, -(-2 * rows // share), rows)
+        if set(more) <= set(splitters):
+            break
+        splitters = sorted({*splitters, *more})
+    return splitters
+
+
 def _bucketize(staged: DataFrame, bounds: list[float], out: str) -> DataFrame:
     splits = [float("-inf")] + sorted({b for b in bounds if math.isfinite(b)}) + [float("inf")]
     if len(splits) < 3:
@@ -152,8 +187,12 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, buckets: int = 256)
 
     One aggregate pass returns ``buckets - 1`` boundaries (an array whose size
     is the parameter, not the data); MLlib's Bucketizer then does a JVM binary
-    search per row. Equal keys always land in the same bucket.
+    search per row. Strings and binaries are cut at whole keys instead. Equal
+    keys always land in the same bucket.
     """
+    if _is_text(df, col):
+        cuts = text_splitters(df, col, buckets, df.count()) if buckets > 1 else []
+        return df.withColumn(out, splitter_bucket(col, cuts))
     staged = df.withColumn(_KEYNUM, key_as_double(df, col))
     bounds = _refine(staged, [], buckets)[0] if buckets > 1 else []
     return _bucketize(staged, bounds, out).drop(_KEYNUM)
@@ -171,7 +210,8 @@ def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: i
     are thinned to the needed number; an input of more than
     ``coarse_buckets * rows_per_bucket`` rows has each bucket cut again at its
     own quantiles, pass by pass, so buckets stay bounded at any size (the
-    driver holds one number per ``rows_per_bucket`` rows).
+    driver holds one number per ``rows_per_bucket`` rows). String and binary
+    keys are cut at sampled whole keys, so what they share does not matter.
     """
     if df.schema[order_col].nullable:
         df = df.withColumn(order_col, F.when(F.col(order_col).isNull(),
@@ -179,6 +219,10 @@ def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: i
                            .otherwise(F.col(order_col)))
     if buckets is not None:
         staged = with_quantile_bucket(df, order_col, "__ff_qbucket", buckets)
+    elif _is_text(df, order_col):
+        n = df.count()
+        need = max(2, df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_bucket))
+        staged = df.withColumn("__ff_qbucket", splitter_bucket(order_col, text_splitters(df, order_col, need, n)))
     else:
         staged = df.withColumn(_KEYNUM, key_as_double(df, order_col))
         have = max(2, coarse_buckets)
@@ -199,7 +243,29 @@ def row_index(df: DataFrame, order_col: str, name: str = "row_index", buckets: i
     return ranked.drop("__ff_qbucket")
 
 
-def hash_prefix_bucket(hex_col: Column, digits: int = 3) -> Column:
-    """Bucket from the leading hex digits of a fixed-width lowercase hex hash:
-    monotone in the hash's string order, uniform by construction."""
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
+def hash_trie(df: DataFrame, hex_col: str, partition_cols: Sequence[str], out: str, cell_rows: int = 1_000_000,
+              digits: int = 1) -> DataFrame:
+    """Add ``out``: a row's cell in a trie over the leading digits of a lowercase hex hash, numbered in hash order.
+
+    Cells of ``digits`` digits are counted per partition; only those of more than ``cell_rows`` rows are cut by
+    another digit and counted again, until none is heavy. So the cells are few for a small input and bounded for a
+    large one, whatever a partition's share of the rows is. Heavy cells (at most one per ``cell_rows`` rows and
+    level) are joined back, one join a level."""
+    parts = list(partition_cols)
+    rows = df.withColumn("__depth", F.lit(digits))
+    cell = lambda: F.substring(F.col(hex_col), F.lit(1), F.col("__depth"))
+    depth = digits
+    while depth < 15:
+        here = rows.where(F.col("__depth") == depth).groupBy(*parts, cell().alias("__cell")).agg(F.count("*").alias("__n"))
+        heavy = written(here.where(F.col("__n") > cell_rows).select(*parts, "__cell"), "heavy-cells")
+        if heavy.isEmpty():
+            break
+        heavy = heavy.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(parts)], F.col("__cell").alias("__heavy"))
+        same = cell() == F.col("__heavy")
+        for i, c in enumerate(parts):
+            same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+        rows = rows.join(heavy, same, "left")
+        rows = rows.withColumn("__depth", F.when(F.col("__heavy").isNotNull(), depth + 1).otherwise(F.col("__depth")))
+        rows = rows.drop("__heavy", *[f"__p{i}" for i in range(len(parts))])
+        depth += 1
+    return rows.withColumn(out, F.conv(F.rpad(cell(), 15, "0"), 16, 10).cast("long")).drop("__depth")

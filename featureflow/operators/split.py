@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from featureflow.operators.ranking import exact_rank, hash_prefix_bucket
+from featureflow.operators.ranking import exact_rank, hash_trie
 
 
 def split_hash(id_col: str, seed: int) -> Column:
@@ -54,27 +54,26 @@ def _allocation(label_col: str, test_size: float):
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2,
-                     seed: int = 42, hex_digits: int = 5, rank_col: str = "class_rank",
+                     seed: int = 42, cell_rows: int = 1_000_000, rank_col: str = "class_rank",
                      split_col: str = "split") -> DataFrame:
     """Adds ``split`` ('train'|'test') and the row's 0-based ``class_rank``.
 
-    Work per task is bounded by the hash buckets (16**hex_digits per class),
-    not by class size, so a class holding a third of all rows is spread out:
-    with 5 digits (about a million buckets per class) a class of 3e11 rows
-    puts about 3e5 rows in each window task, while the bucket-count table
-    stays at most ``classes * 16**hex_digits`` rows. ``id_col`` must be unique; a row
+    Work per task is bounded by the cells of a trie over the hash's digits
+    (``cell_rows`` rows a cell), not by class size, so a class holding a third
+    of all rows is spread out; the table of cells has at most 16 rows per class
+    and per ``cell_rows`` rows. ``id_col`` must be unique; a row
     without a label fails the split (it would belong to no class).
     """
     h = "__ff_h"
     label = F.col(label_col)
     no_label = F.raise_error(F.lit("stratified split: a row has no label")).cast(df.schema[label_col].dataType)
     staged = df.withColumns({h: split_hash(id_col, seed), label_col: F.when(label.isNull(), no_label).otherwise(label)})
-    ranked = exact_rank(staged, [h, id_col], hash_prefix_bucket(F.col(h), hex_digits),
-                        partition_cols=[label_col], name=rank_col,
+    cells = hash_trie(staged, h, [label_col], "__ff_cell", cell_rows)
+    ranked = exact_rank(cells, [h, id_col], F.col("__ff_cell"), partition_cols=[label_col], name=rank_col,
                         per_partition=_allocation(label_col, test_size))
     return (ranked.withColumn(split_col, F.when(F.col(rank_col) < F.col("__ff_ntrain"), F.lit("train"))
                               .otherwise(F.lit("test")))
-            .drop(h, "__ff_ntrain", "__ff_nclass"))
+            .drop(h, "__ff_cell", "__ff_ntrain", "__ff_nclass"))
 
 
 def stratified_folds(split_df: DataFrame, k: int = 5, rank_col: str = "class_rank",

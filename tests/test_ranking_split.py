@@ -130,7 +130,7 @@ def test_split_matches_brute_force(spark, sizes, test_size, seed):
     n = len(rows)
     assume(math.ceil(test_size * n) >= len(sizes) and n - math.ceil(test_size * n) >= len(sizes))
     df = spark.createDataFrame(rows, "id long, label int")
-    got = {r["id"]: r["split"] for r in stratified_split(df, "id", "label", test_size, seed, hex_digits=2).collect()}
+    got = {r["id"]: r["split"] for r in stratified_split(df, "id", "label", test_size, seed, cell_rows=5).collect()}
     assert got == _brute_split(rows, test_size, seed)
 
 
@@ -150,3 +150,51 @@ def test_keys_with_a_long_shared_prefix_are_spread_over_buckets(spark):
     assert got == sorted(got)
     empty = row_index(df.where("k IS NULL"), "k", buckets=8)
     assert empty.count() == 0
+
+
+def test_an_outlier_key_does_not_spoil_the_buckets(spark):
+    from featureflow.operators.ranking import text_splitters, with_quantile_bucket
+
+    df = spark.range(20_000).selectExpr("concat('order-', lpad(cast(id AS string), 9, '0')) AS k").union(
+        spark.createDataFrame([("zz",)], "k string"))
+    sizes = [r["count"] for r in with_quantile_bucket(df, "k", "b", 16).groupBy("b").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 4 * 20_001 / 16
+    assert len(text_splitters(df, "k", 1, 20_001)) == 0
+    got = [r["k"] for r in row_index(df, "k", rows_per_bucket=900).orderBy("row_index").collect()]
+    assert got == sorted(got)
+    raw = df.selectExpr("cast(k AS binary) AS k")
+    assert with_quantile_bucket(raw, "k", "b", 8).select("b").distinct().count() >= 6
+
+
+def test_heavy_parts_are_cut_again(spark, monkeypatch):
+    from featureflow.operators import ranking
+
+    df = spark.range(4000).selectExpr("concat('k', lpad(cast(id AS string), 6, '0')) AS k")
+    first = ranking.key_splitters
+    calls = []
+
+    def poor(frame, col, need, n):  # the first sample sees the start only
+        calls.append(need)
+        return ["k000001", "k000002"] if len(calls) == 1 else first(frame, col, need, n)
+
+    monkeypatch.setattr(ranking, "key_splitters", poor)
+    cuts = ranking.text_splitters(df, "k", 20, 4000)
+    assert len(calls) > 1
+    sizes = [r["count"] for r in df.groupBy(ranking.splitter_bucket("k", cuts)).count().collect()]
+    assert max(sizes) <= 4 * 200 and sum(sizes) == 4000
+
+
+def test_hash_trie_deepens_heavy_cells_only(spark):
+    from featureflow.operators.ranking import hash_trie
+    from featureflow.operators.split import split_hash
+
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2900, "big").when(F.col("id") < 2990, "small").alias("c"))
+    cells = hash_trie(df.withColumn("h", split_hash("id", 42)), "h", ["c"], "cell", cell_rows=50).collect()
+    sizes = {}
+    for r in cells:
+        sizes[r["c"], r["cell"]] = sizes.get((r["c"], r["cell"]), 0) + 1
+    assert max(sizes.values()) <= 50 and len(sizes) < 400
+    assert len([k for k in sizes if k[0] == "small"]) <= 16 and len([k for k in sizes if k[0] is None]) <= 10
+    for c in ("big", "small", None):
+        own = sorted((r["h"], r["cell"]) for r in cells if r["c"] == c)
+        assert [x for _, x in own] == sorted(x for _, x in own)
