@@ -3,41 +3,39 @@
 ``percentile`` keeps a value→count map per group (unbounded for a big
 group of continuous values) and ``percentile_approx`` is approximate. Here:
 
-1. every value gets a bucket from global approximate-quantile boundaries
-   (a parameter-sized array; MLlib Bucketizer does a JVM binary search);
-2. ``(group, bucket)`` counts, min and max → prefix counts (small table);
-   per group the target ranks ``floor(h)``, ``ceil(h)`` with
-   ``h = (n - 1) * p`` each get the value range ``[a, b]`` of the bucket
-   holding them and the number of the group's values below ``a``;
-3. narrowing: while a target range still holds more than ``max_rank_rows``
-   values, its rows (joined to the table of open targets, at most two rows
-   a group, which Spark broadcasts when its bytes allow it) are split into
-   ``buckets`` equal-width sub-ranges with a partial aggregate, and the
-   sub-range holding the rank becomes the new range. The range's minimum
-   and maximum always land in different sub-ranges (infinities and NaN get
-   sub-ranges of their own), so every round shrinks it and the rounds end;
-   the small target table is checkpointed between rounds;
-4. a range of equal values answers directly; the others (at most
-   ``max_rank_rows`` rows each after narrowing) are ranked with
-   ``row_number`` plus the count below the range, and the two order
-   statistics interpolate: ``v_lo + (h - lo) * (v_hi - v_lo)``.
-
-Exact for any boundaries; balanced boundaries only make it fast.
+1. a double has a 64-bit image that orders like it (its bits, with negative
+   ones turned round); one pass counts the values of every group by the
+   image's ``lead_bits`` leading bits, with their minimum and maximum. No
+   boundaries are looked for first, and the counts of all groups and ranks
+   come from the same partial aggregate;
+2. per group the target ranks ``floor(h)``, ``ceil(h)`` with
+   ``h = (n - 1) * p`` each get the value range ``[a, b]`` of the cell holding
+   them and the number of the group's values below it;
+3. a target cell of more than ``max_rank_rows`` values is counted again by the
+   image's next bits, over its own rows only (joined to the table of open
+   targets, at most two rows a group, which Spark broadcasts when its bytes
+   allow it): twice at most, then all bits are used and a cell is one value;
+4. a cell of equal values answers directly; the others (at most
+   ``max_rank_rows`` rows each) are ranked with ``row_number`` plus the count
+   below the cell, and the two order statistics interpolate:
+   ``v_lo + (h - lo) * (v_hi - v_lo)``.
+
+Two passes over the values unless a cell is heavy.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featureflow.functions.lookup import join_null_safe
-from featureflow.operators.ranking import with_quantile_bucket
 from featureflow.session import ensure_checkpoint_dir
 
-_B = "__q_bucket"
+CELL = "__q_lead"   # column of a cell's leading bits
 _V = "__q_v"
+LEAD_BITS = 20      # sign, exponent and 8 bits of the fraction: cells 0.4 % wide
+NEXT_BITS = 22      # of each further count
 _ALL = "__q_all"
 # A target row is (group..., __q_r: the rank, __q_a/__q_b: its value range,
 # __q_before: the group's values below __q_a, __q_c: values in the range)
@@ -62,17 +60,15 @@ def _targets_from_ranges(ranges: DataFrame, groups: list[str], part: list[str],
                       F.col("__q_cnt").cast("long").alias("__q_c"), *_H)
 
 
-def _sub_range(buckets: int) -> Column:
-    """Number of the equal-width sub-range of ``[__q_a, __q_b]`` that holds the
-    value: monotone, and different for the two ends. A width beyond the
-    largest double is measured in halves."""
-    largest = F.lit(sys.float_info.max)
-    v, a, b = (F.greatest(F.least(F.col(c), largest), -largest) for c in (_V, "__q_a", "__q_b"))
-    scale = F.when(b - a < F.lit(float("inf")), F.lit(1.0)).otherwise(F.lit(0.5))
-    at = F.coalesce(F.try_divide(v * scale - a * scale, b * scale - a * scale), F.lit(0.0))
-    inner = F.least(F.floor(at * F.lit(float(buckets))), F.lit(buckets - 1))
-    return (F.when(F.isnan(_V), F.lit(buckets + 1)).when(F.col(_V) > largest, F.lit(buckets))
-            .when(F.col(_V) < -largest, F.lit(-1)).otherwise(inner).cast("int"))
+def ordered_bits(value: Column) -> Column:
+    """A long that orders like the double: equal for equal values (0.0 and -0.0 are), NaN last."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
+
+
+def lead(value: Column, bits: int = LEAD_BITS) -> Column:
+    """The leading bits of the value's image."""
+    return F.shiftright(ordered_bits(value), 64 - bits)
 
 
 def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str]) -> DataFrame:
@@ -92,37 +88,43 @@ def _rows_in(vals: DataFrame, targets: DataFrame, groups: list[str]) -> DataFram
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, group_cols: Sequence[str] = (),
-                     name: str = "percentile", buckets: int = 256, max_rank_rows: int = 1_000_000) -> DataFrame:
+                     name: str = "percentile", lead_bits: int = LEAD_BITS, max_rank_rows: int = 1_000_000) -> DataFrame:
     """``(group cols..., name)``; null is a group, groups with no non-null value
     are absent. ``max_rank_rows`` bounds what one task ranks."""
-    spark = df.sparkSession
+    vals = df.select(*group_cols, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    cells = vals.groupBy(*group_cols, lead(F.col(value), lead_bits).alias(CELL)).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return percentile_of_cells(vals, cells, value, p, group_cols, name, lead_bits, max_rank_rows)
+
+
+def percentile_of_cells(vals: DataFrame, cells: DataFrame, value: str, p: float, group_cols: Sequence[str] = (),
+                        name: str = "percentile", lead_bits: int = LEAD_BITS, max_rank_rows: int = 1_000_000) -> DataFrame:
+    """``exact_percentile`` of ``vals`` (no nulls in ``value``) whose cells ``(group cols..., CELL, n, low, high)`` by
+    ``lead`` are counted already."""
     groups = list(group_cols)
     if not groups:
-        df = df.withColumn(_ALL, F.lit(0))
+        vals, cells = vals.withColumn(_ALL, F.lit(0)), cells.withColumn(_ALL, F.lit(0))
         groups = [_ALL]
-    vals = df.select(*groups, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
-
-    # level 0: global quantile buckets, per-(group, bucket) statistics
-    b = with_quantile_bucket(vals, _V, _B, buckets)
-    stats = b.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias("__q_cnt"), F.min(_V).alias("__q_min"),
-                                       F.max(_V).alias("__q_max"))
+    vals = vals.select(*groups, F.col(value).alias(_V))
+    stats = cells.select(*groups, CELL, F.col("n").alias("__q_cnt"), F.col("low").alias("__q_min"), F.col("high").alias("__q_max"))
     n = F.sum("__q_cnt").over(Window.partitionBy(*groups))
     h = (n - 1).cast("double") * F.lit(float(p))
     stats = stats.select("*", h.alias("__q_h")).select(
         "*", F.floor("__q_h").cast("long").alias("__q_lo"), F.ceil("__q_h").cast("long").alias("__q_hi"),
         F.lit(0).cast("long").alias("__q_base"))
     stats = stats.select("*", F.explode(F.array_distinct(F.array("__q_lo", "__q_hi"))).alias("__q_want"))
-    ensure_checkpoint_dir(spark)
-    targets = _targets_from_ranges(stats, groups, ["__q_want"], _B).checkpoint(eager=True)
+    ensure_checkpoint_dir(vals.sparkSession)
+    targets = _targets_from_ranges(stats, groups, ["__q_want"], CELL).checkpoint(eager=True)
 
-    # narrowing rounds over the targets whose range is still large
-    while True:
+    bits = lead_bits
+    while bits < 64:  # cells that are still large are counted by the next bits
         is_open = (F.col("__q_a") < F.col("__q_b")) & (F.col("__q_c") > max_rank_rows)
         open_t = targets.where(is_open)
         if open_t.isEmpty():
             break
+        bits = min(64, bits + NEXT_BITS)
         rows = _rows_in(vals, open_t, groups)
-        ranges = rows.groupBy(*groups, "__q_r", "__q_before", *_H, _sub_range(buckets).alias("__q_sub")).agg(
+        ranges = rows.groupBy(*groups, "__q_r", "__q_before", *_H, lead(F.col(_V), bits).alias("__q_sub")).agg(
             F.count(F.lit(1)).alias("__q_cnt"), F.min(_V).alias("__q_min"), F.max(_V).alias("__q_max"))
         ranges = ranges.select("*", F.col("__q_before").alias("__q_base"), F.col("__q_r").alias("__q_want"))
         narrowed = _targets_from_ranges(ranges.drop("__q_before", "__q_r"), groups, ["__q_want"], "__q_sub")

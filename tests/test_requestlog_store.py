@@ -15,11 +15,11 @@ def test_exact_percentile_matches_numpy_with_many_buckets(spark):
     rows = [(g, rnd.choice([rnd.random() * 10, 3.0, 3.0])) for g in ("a", "b", "c") for _ in range(400)]
     rows += [("one", 4.5)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["p"] for r in exact_percentile(df, "v", 0.95, ["g"], "p", buckets=17).collect()}
+    got = {r["g"]: r["p"] for r in exact_percentile(df, "v", 0.95, ["g"], "p", lead_bits=13).collect()}
     for g in ("a", "b", "c", "one"):
         vals = [v for gg, v in rows if gg == g]
         assert got[g] == pytest.approx(float(np.percentile(vals, 95)), abs=1e-12)
-    whole = exact_percentile(df, "v", 0.5, [], "p", buckets=5).first()["p"]
+    whole = exact_percentile(df, "v", 0.5, [], "p", lead_bits=12).first()["p"]
     assert whole == pytest.approx(float(np.percentile([v for _, v in rows], 50)), abs=1e-12)
 
 
@@ -30,7 +30,7 @@ def test_exact_percentile_narrowing_on_hot_group(spark):
     rows = [("hot", rnd.expovariate(1.0) ** 3 if i % 4 else 2.0) for i in range(3000)]
     rows += [("cold", rnd.choice([rnd.random(), 0.5])) for _ in range(300)] + [("pair", 1.0), ("pair", 3.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for kw in (dict(buckets=2, max_rank_rows=1), dict(buckets=8, max_rank_rows=10)):
+    for kw in (dict(lead_bits=2, max_rank_rows=1), dict(lead_bits=14, max_rank_rows=10)):
         for p in (0.95, 0.5, 1.0):
             got = {r["g"]: r["p"] for r in exact_percentile(df, "v", p, ["g"], "p", **kw).collect()}
             for g in ("hot", "cold", "pair"):
@@ -43,7 +43,7 @@ def test_exact_percentile_narrows_ranges_wider_than_a_double(spark):
     vals = [-big, big, 0.0, 5e-324, 1.0, 2.0, 3.0, big / 2, -1.0, 1e-300] * 3 + [float("inf")]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     for p in (0.0, 0.1, 0.5, 0.9, 1.0):
-        got = exact_percentile(df, "v", p, [], "p", buckets=2, max_rank_rows=1).first()["p"]
+        got = exact_percentile(df, "v", p, [], "p", lead_bits=2, max_rank_rows=1).first()["p"]
         assert got == sorted(vals)[int(p * (len(vals) - 1))], p                     # 31 values: whole ranks
 
 
@@ -232,3 +232,30 @@ def test_load_table_infers_on_request(spark, tmp_path):
     assert dict(spark.read.parquet(target).dtypes) == {"k": "int", "v": "double", "s": "string"}
     with pytest.raises(ValueError):
         load_table(spark, src, None, target)
+
+
+def test_ordered_bits_order_like_the_values(spark):
+    from featureflow.operators.quantile import lead, ordered_bits
+    vals = [float("-inf"), -1.7e308, -2.0, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 3.0, 1.7e308, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v double")
+    got = [(r["b"], r["l"]) for r in df.select("i", ordered_bits(F.col("v")).alias("b"), lead(F.col("v"), 3).alias("l")).orderBy("i").collect()]
+    bits, leads = [b for b, _ in got], [x for _, x in got]
+    assert bits == sorted(bits) and leads == sorted(leads) and len(set(bits)) == len(vals) - 1 and bits[5] == bits[6]
+
+
+def test_percentile_of_latencies_takes_two_passes(spark):
+    # cells of the one aggregate name the rows to rank: no pass looks for boundaries
+    log = spark.range(4000).selectExpr("id AS request_id", "cast(id % 997 AS double) / 10 AS response_time", "id % 7 <> 0 AS success",
+                                       "cast(id AS double) AS timestamp", "cast(id % 3 AS int) AS phase")
+    log = log.unionByName(log.where("request_id < 5").selectExpr("request_id", "response_time", "success", "timestamp", "cast(null AS int) AS phase"))
+    rows = log.collect()
+    for r in latency_summary(log, ["phase"]).collect():
+        good = [x["response_time"] for x in rows if x["phase"] == r["phase"] and x["success"]]
+        own = [x for x in rows if x["phase"] == r["phase"]]
+        assert r["p95_response_time"] == pytest.approx(float(np.percentile(good, 95)), abs=1e-12)
+        assert r["avg_response_time"] == pytest.approx(np.mean(good)) and r["total_requests"] == len(own)
+        assert (r["min_response_time"], r["max_response_time"]) == (min(good), max(good))
+    approx = latency_summary(log, [], approx=True).first()
+    assert approx["p95_response_time"] == pytest.approx(float(np.percentile([x["response_time"] for x in rows if x["success"]], 95)), abs=0.2)
+    empty = latency_summary(log.limit(0)).first()
+    assert empty["total_requests"] == 0 and empty["p95_response_time"] is None and empty["high_latency"] is None
