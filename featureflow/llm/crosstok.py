@@ -12,7 +12,7 @@ vocabulary.
    join on (document, end), which gives the offsets where tokens of both sides
    end. Two tokens overlap on one stretch between neighbouring ends, so every
    distinct end names exactly one link and no pair is tried in vain. Links are
-   written once, as lists of ids, in the shared folder.
+   written once, a row's as packed ids of both sides, in the shared folder.
 3. Counts. `Table.group_by` counts the id pairs of a slice of links, Spark sums
    these partial counts over the corpus.
 4. Look-up. The most frequent pairs, `frequent` at most (a parameter, so the
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from featureflow.llm.words import ranges, raw, slices
 from featureflow.session import scratch_path
 
-SLICE_BYTES = 1 << 20
-TOKENS = 400_000        # tokens of side A, or links, that are worked on together (one row at least)
+SLICE_BYTES = 1 << 19
+TOKENS = 200_000        # tokens of side A, or links, that are worked on together (one row at least)
 FREQUENT = 1 << 20      # pairs in the broadcast at most
 OCTAVE = 8              # steps of the count histogram in a doubling
 # how byte-level BPE files cut texts before merging (fixed value)
@@ -201,16 +201,42 @@ class Digits:
         return out.tobytes(), stops
 
 
-def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into row ranges of about TOKENS values of a list column."""
-    many = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+def _pieces(batch: pa.RecordBatch, many: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Cut a batch whose rows hold so many values into row ranges of about TOKENS values."""
     ends, at = np.append(0, np.cumsum(many, dtype=np.int64)), 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
-        yield batch.slice(at, to - at)
+        yield batch.slice(at, to - at), many[at:to]
         at = to
 
 
+def kind_of(both: tuple[Side, Side]) -> str:
+    """The packed type of an id."""
+    return "<u2" if max(len(s.lens) for s in both) <= 1 << 16 else "<u4"
+
+
+def packed(left: np.ndarray, right: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """Each row's A ids followed by its B ids, as bytes."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    place = np.arange(len(left)) + np.repeat(starts, counts)  # behind both sides of the rows before
+    data = np.empty(2 * len(left), kind)
+    data[place], data[place + np.repeat(counts, counts)] = left, right
+    offsets = np.append(0, 2 * ends * data.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(batch: pa.RecordBatch, kind: str, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(some rows, their numbers of links, A id * width + B id of every link)."""
+    size = 2 * np.dtype(kind).itemsize
+    many = (pc.binary_length(batch.column("links")).to_numpy(zero_copy_only=False) // size).astype(np.int64)
+    for part, counts in _pieces(batch, many):
+        data = raw(part.column("links"))[0].view(kind)
+        starts = np.cumsum(counts) - counts
+        place = np.arange(int(counts.sum())) + np.repeat(starts, counts)
+        yield part, counts, data[place].astype(np.int64) * width + data[place + np.repeat(counts, counts)]
+
+
 def _encoded(batch: pa.RecordBatch, both: tuple[Side, Side]) -> pa.RecordBatch:
     """(id, a, b): the id lists of a batch's texts; empty where the bytes do not come back."""
     text = batch.column("text")
@@ -235,42 +261,36 @@ def _encoded(batch: pa.RecordBatch, both: tuple[Side, Side]) -> pa.RecordBatch:
 def _align(shared):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(shared.value)
-        digits = Digits(max(len(s.lens) for s in both))
+        digits, kind = Digits(max(len(s.lens) for s in both)), kind_of(both)
         for batch in slices(batches, "text", SLICE_BYTES):
-            for part in _pieces(_encoded(batch, both), "a"):
+            ids = _encoded(batch, both)
+            for part, _ in _pieces(ids, ids.column("a").value_lengths().to_numpy(zero_copy_only=False)):
                 found = Alignment(part.column("a"), part.column("b"), both)
                 row, left, right = found.links()
                 n_links = np.bincount(row, minlength=part.num_rows)
                 digest = [hashlib.sha256(s).hexdigest() if s else "" for s in found.strings(digits)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *(pa.array(c.astype(np.int64)) for c in (*found.counts, found.groups, n_links)),
-                     pa.array(digest, pa.string()), lists(left, n_links), lists(right, n_links)],
-                    ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "left", "right"])
+                     pa.array(digest, pa.string()), packed(left, right, n_links, kind)],
+                    ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
     return align
 
 
-def _pairs(part: pa.RecordBatch, width: int) -> np.ndarray:
-    """A id * width + B id of every link."""
-    left, right = (pc.list_flatten(part.column(c)).to_numpy(zero_copy_only=False) for c in ("left", "right"))
-    return left.astype(np.int64) * width + right
-
-
-def _count(width: int):
+def _count(kind: str, width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch, "left"):
-                partial = pa.table({"pair": _pairs(part, width)}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+            for _, _, pair in _unpacked(batch, kind, width):
+                partial = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
                 yield from partial.rename_columns(["pair", "n"]).to_batches()
     return count
 
 
-def _look_up(known, width: int):
+def _look_up(known, kind: str, width: int):
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = known.value
         for batch in batches:
-            for part in _pieces(batch, "left"):
-                pair = _pairs(part, width)
-                row = pc.list_parent_indices(part.column("left")).to_numpy(zero_copy_only=False)
+            for part, counts, pair in _unpacked(batch, kind, width):
+                row = np.repeat(np.arange(len(counts)), counts)
                 coded = pa.array(pair).dictionary_encode()
                 names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
                 at = np.searchsorted(pairs, names)
@@ -279,14 +299,15 @@ def _look_up(known, width: int):
                 times, top = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
                 times[hit], top[hit] = n[at[hit]], best[at[hit]]
                 sums, bests = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
-                some, first = np.unique(row, return_index=True)
+                some = np.flatnonzero(counts)
+                first = (np.cumsum(counts) - counts)[some]
                 if len(some):
                     sums[some], bests[some] = np.add.reduceat(times[code], first), np.add.reduceat(top[code], first)
                 rare = ~hit[code]
                 rest = pa.table({"row": row[rare], "pair": pair[rare]}).group_by(["row", "pair"], use_threads=False).aggregate(
                     [([], "count_all")]).sort_by([("row", "ascending"), ("pair", "ascending")])
                 many = np.bincount(rest["row"].to_numpy(), minlength=part.num_rows)
-                kept = [c for c in part.schema.names if c not in ("left", "right")]
+                kept = [c for c in part.schema.names if c != "links"]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array(bests), pa.array(sums), lists(rest["pair"].to_numpy(), many),
                      lists(rest["count_all"].to_numpy(), many)], [*kept, "n_best", "count_sum", "rare", "rare_n"])
@@ -312,14 +333,14 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_bpe_path: str, id_col: str
     with open(byte_bpe_path, encoding="utf-8") as f, open(piece_bpe_path, "rb") as g:
         model = f.read(), g.read()
     shared = spark.sparkContext.broadcast(model)  # the two vocabulary files
-    width = len(piece_bpe(model[1]).lens)
+    both = sides(model)
+    width, packing = len(both[1].lens), kind_of(both)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-    rows.mapInArrow(_align(shared), f"{kind}, left array<int>, right array<int>").write.option(
-        "compression", "zstd").parquet(f"{path}/links")
+    rows.mapInArrow(_align(shared), f"{kind}, links binary").write.option("compression", "zstd").parquet(f"{path}/links")
     links = spark.read.parquet(f"{path}/links")
 
-    partial = links.select("left", "right").mapInArrow(_count(width), "pair long, n long")
+    partial = links.select("links").mapInArrow(_count(packing, width), "pair long, n long")
     partial.groupBy("pair").agg(F.sum("n").alias("n")).write.parquet(f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums").withColumn("b", F.col("pair") % width)
     most = sums.groupBy("b").agg(F.max("n").alias("most"))
@@ -329,7 +350,7 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_bpe_path: str, id_col: str
     top = frequent_pairs(counts, frequent).toArrow().sort_by("pair")
     known = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("pair", "n", "best")))
     links.withColumn("place", F.monotonically_increasing_id()).mapInArrow(
-        _look_up(known, width), f"{kind}, place long, n_best long, count_sum long, rare array<long>, rare_n array<long>").write.parquet(f"{path}/rows")
+        _look_up(known, packing, width), f"{kind}, place long, n_best long, count_sum long, rare array<long>, rare_n array<long>").write.parquet(f"{path}/rows")
     found = spark.read.parquet(f"{path}/rows")
     rare = found.select("place", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select(
         "place", F.col("x.rare").alias("pair"), F.col("x.rare_n").alias("times"))
