@@ -16,6 +16,13 @@ The reference's service decides each request's outcome in this order:
 body is parsed once with ``try_parse_json`` and inspected by kind.
 Booleans count as numbers (1/0), as numpy converts them.
 
+The reference's parser also takes ``NaN``, ``Infinity`` and ``-Infinity`` as
+numbers and keeps the last of a repeated key; Spark's takes neither. Bodies
+that the strict parse rejects get a second reading: these three words, outside
+strings, become a number without a finite value (no model takes one), and the
+entries of a body with repeated keys are read in order, of which the last
+``features`` counts. Keys repeated inside a nested object are still rejected.
+
 Each step is its own projection over the previous step's columns: the
 parsed body and its type string are computed once per row, and Catalyst
 does not inline a non-trivial expression that is used more than once.
@@ -93,14 +100,37 @@ def _four_numbers(t: Column, arr: Column, doubles: Column | None = None) -> Colu
     return F.when(t.rlike(_NUMERIC_ARRAY), no_null).otherwise(mixed_ok)
 
 
+# a string, or what stands between strings
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[^"]+|"'
+_NOT_FINITE = r"(?<![\w.+-])(?:NaN|-?Infinity)(?![\w.])"
+
+
+def _finite_words(body: Column) -> Column:
+    """The body with NaN and infinities outside strings written as an overflowing number."""
+    tokens = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0))
+    plain = F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, _NOT_FINITE, "1e999")))
+    return F.array_join(plain, "")
+
+
+def _entries(text: Column) -> Column:
+    """The entries of an object in order, repeated keys included; null for anything else."""
+    return F.map_entries(F.from_json(text, "map<string,variant>", {"allowNonNumericNumbers": "false"}))
+
+
 def _envelope(df: DataFrame, body: str) -> DataFrame:
     """Adds ``__f`` (the ``features`` value), ``__ft`` (its type string) and
     ``__pre_status``/``__pre_error`` (decided before ``features`` is read;
     null when it is present)."""
     df = df.withColumn("__v", F.try_parse_json(F.col(body)))
+    df = df.withColumn("__again", F.when(F.col("__v").isNull(), _finite_words(F.col(body))))
+    df = df.withColumn("__v", F.coalesce("__v", F.try_parse_json("__again")))
+    df = df.withColumn("__entries", F.when(F.col("__v").isNull(), _entries(F.col("__again"))))
+    named = F.filter("__entries", lambda e: e["key"] == "features")
+    last = F.when(F.size(named) > 0, F.element_at(named, -1)["value"])
     df = df.withColumns({"__vt": F.schema_of_variant("__v"),
-                         "__f": F.try_variant_get("__v", "$.features", "variant")})
-    df = df.withColumns({"__k": kind_of(F.col("__vt")), "__ft": F.schema_of_variant("__f")})
+                         "__f": F.coalesce(F.try_variant_get("__v", "$.features", "variant"), last)})
+    df = df.withColumns({"__k": F.when(F.col("__entries").isNotNull(), "object").otherwise(kind_of(F.col("__vt"))),
+                         "__ft": F.schema_of_variant("__f")})
     v, k = F.col("__v"), F.col("__k")
     num = F.try_variant_get(v, "$", "double")
     falsy = ((k == "null") | (k.isin("bool", "number") & (num == 0))
@@ -112,14 +142,15 @@ def _envelope(df: DataFrame, body: str) -> DataFrame:
                     | ((k == "string") & (F.instr(_string(v), "features") > 0))
                     | ((k == "array") & F.coalesce(F.array_contains(string_elems, "features"), F.lit(False))))
     feats_absent = F.col("__f").isNull()
-    df = df.withColumn("__pre", F.when(v.isNull(), F.struct(F.lit(500).alias("s"), F.lit(NOT_JSON).alias("e")))
+    df = df.withColumn("__pre", F.when(v.isNull() & F.col("__entries").isNull(),
+                                     F.struct(F.lit(500).alias("s"), F.lit(NOT_JSON).alias("e")))
                        .when(falsy, F.struct(F.lit(400).alias("s"), F.lit(MISSING).alias("e")))
                        .when(k != "object", F.when(member_fails, F.struct(F.lit(500).alias("s"),
                                                                           F.lit(NOT_CONTAINER).alias("e")))
                              .otherwise(F.struct(F.lit(400).alias("s"), F.lit(MISSING).alias("e"))))
                        .when(feats_absent, F.struct(F.lit(400).alias("s"), F.lit(MISSING).alias("e"))))
     return df.select("*", F.col("__pre.s").alias("__pre_status"), F.col("__pre.e").alias("__pre_error")) \
-        .drop("__v", "__vt", "__k", "__pre")
+        .drop("__v", "__vt", "__k", "__pre", "__again", "__entries")
 
 
 _TEMP = ["__f", "__ft", "__fk", "__farr", "__n", "__code", "__pre_status", "__pre_error"]

@@ -116,23 +116,29 @@ def _num(*cols) -> list:
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(req_id, body)`` single-prediction requests, one per event; the event
     type picks the request shape so every rule outcome occurs:
-    view → valid; click → 2 features; signup → ``{}`` / ``null`` / no
-    ``features``; error → not JSON / ``features: null``; purchase → a string
-    element / 5 features / a 4-character string / a boolean element."""
+    view → valid (some with a repeated key, some with a non-finite number
+    beside the features); click → 2 features; signup → ``{}`` / ``null`` / no
+    ``features``; error → not JSON / ``features: null``; purchase → a string or
+    NaN element / 5 features / a 4-character string / a boolean element."""
     p = _request_parts(spark, sf_dir)
     four = F.concat(F.lit('{"features":['), *_num("x1", "x2", "x3", "x4"), F.lit("]}"))
     k = F.col("k")
-    body = (F.when(F.col("event_type") == "view", four)
+    inside = F.concat(F.lit('"features":['), *_num("x1", "x2", "x3", "x4"), F.lit("]}"))
+    body = (F.when((F.col("event_type") == "view") & (k % 6 == 5), F.concat(F.lit('{"features":null,'), inside))
+            .when((F.col("event_type") == "view") & (k % 6 == 4),
+                  F.concat(F.lit('{"note":"a \\"NaN\\", ok","limit":-Infinity,"note":NaN,'), inside))
+            .when(F.col("event_type") == "view", four)
             .when(F.col("event_type") == "click", F.concat(F.lit('{"features":['), *_num("x1", "x2"), F.lit("]}")))
             .when(F.col("event_type") == "signup",
                   F.when(k % 3 == 0, F.lit("{}")).when(k % 3 == 1, F.lit("null"))
-                  .otherwise(F.concat(F.lit('{"other":'), k.cast("string"), F.lit("}"))))
+                  .otherwise(F.concat(F.lit('{"other":'), F.when(k % 2 == 0, F.lit("NaN")).otherwise(k.cast("string")), F.lit("}"))))
             .when(F.col("event_type") == "error",
                   F.when(k % 2 == 0, F.concat(F.lit("not json "), k.cast("string")))
                   .otherwise(F.lit('{"features":null}')))
             .otherwise(
-                F.when(k % 4 == 0, F.concat(F.lit('{"features":['), *_num("x1", F.lit('"x"'), "x3", "x4"),
-                                            F.lit("]}")))
+                F.when(k % 4 == 0, F.concat(
+                    F.lit('{"features":['), *_num("x1", F.when(k % 8 == 0, F.lit("NaN")).otherwise(F.lit('"x"')), "x3", "x4"),
+                    F.lit("]}")))
                 .when(k % 4 == 1, F.concat(F.lit('{"features":['), *_num("x1", "x2", "x3", "x4", "x1"),
                                            F.lit("]}")))
                 .when(k % 4 == 2, F.lit('{"features":"abcd"}'))
@@ -142,18 +148,22 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(req_id, body)`` batch requests: view → two valid samples; click →
-    second sample too short; signup → empty list; error → a null sample;
+    """``(req_id, body)`` batch requests: view → two valid samples, some behind
+    a repeated key; click → second sample too short; signup → empty list; error
+    → a null sample or one with an infinity;
     purchase → a non-numeric first sample followed by a short one."""
     p = _request_parts(spark, sf_dir)
     s1 = F.concat(F.lit("["), *_num("x1", "x2", "x3", "x4"), F.lit("]"))
     s2 = F.concat(F.lit("["), *_num("x4", "x3", "x2", "x1"), F.lit("]"))
     bad = F.concat(F.lit("["), *_num("x1", "x2", F.lit('"x"'), "x4"), F.lit("]"))
     et = F.col("event_type")
-    body = (F.when(et == "view", F.concat(F.lit('{"features":['), s1, F.lit(","), s2, F.lit("]}")))
+    k = F.col("k")
+    body = (F.when(et == "view", F.concat(F.when(k % 3 == 0, F.lit('{"features":[[1]],"features":[')).otherwise(F.lit('{"features":[')),
+                                          s1, F.lit(","), s2, F.lit("]}")))
             .when(et == "click", F.concat(F.lit('{"features":['), s1, F.lit(",["), F.col("x1").cast("string"),
                                           F.lit("]]}")))
             .when(et == "signup", F.lit('{"features":[]}'))
-            .when(et == "error", F.concat(F.lit('{"features":['), s1, F.lit(",null]}")))
+            .when(et == "error", F.concat(F.lit('{"features":['), s1, F.when(k % 2 == 0, F.lit(",null]}"))
+                                          .otherwise(F.lit(",[1,2,Infinity,4]]}"))))
             .otherwise(F.concat(F.lit('{"features":['), bad, F.lit(",[1,2]]}"))))
     return p.select("req_id", body.alias("body"))

@@ -101,3 +101,34 @@ def test_spread_is_the_callers_choice(spark):
     one = spark.createDataFrame([(i, "{}") for i in range(50)], "req_id long, body string").coalesce(1)
     assert spread(one, None) is one
     assert sorted(r["req_id"] for r in spread(one, 7).collect()) == list(range(50))   # same rows, none lost
+
+
+def test_bodies_that_only_the_reference_parser_takes(spark):
+    from featureflow.functions.requests import batch_request, single_request
+    single = {  # body -> (status, received, features)
+        '{"features":[1,2],"features":[1,2,3,4]}': (200, None, [1.0, 2.0, 3.0, 4.0]),
+        '{"features":[1,2,3,4],"features":[1,2]}': (400, 2, None),
+        '{"features":[1,2,3,4],"features":null}': (500, None, None),
+        '{"a":1,"a":2}': (400, None, None),
+        '{"features":[1,NaN,3,4]}': (500, None, None),
+        '{"features":[1,-Infinity,3]}': (400, 3, None),
+        '{"note":NaN,"features":[1,2,3,4]}': (200, None, [1.0, 2.0, 3.0, 4.0]),
+        '{"note":"NaN","x":Infinity,"x":"\\"Infinity","features":[1,2,3,4]}': (200, None, [1.0, 2.0, 3.0, 4.0]),
+        'NaN': (500, None, None), 'Infinity': (500, None, None), '[NaN]': (400, None, None),
+        '-NaN': (500, None, None), '{"features":[1,INF,3,4]}': (500, None, None), '{"features":[1,+Infinity,3,4]}': (500, None, None),
+        '{"features":[1,NaNa,3,4]}': (500, None, None),
+    }
+    import json
+    df = spark.createDataFrame([(b,) for b in single], "body string")
+    for r in single_request(df).collect():
+        assert (r["status"], r["received"], r["features"]) == single[r["body"]], r["body"]
+        try:
+            json.loads(r["body"])
+        except ValueError:
+            assert r["error"] == "Invalid JSON body"
+        else:
+            assert r["error"] != "Invalid JSON body"
+    batch = {'{"features":[[1]],"features":[[1,2,3,4]]}': (200, None), '{"features":[[1,2,3,4],[1,2,Infinity,4],[1]]}': (500, "features must be numbers"),
+             '{"features":[[1,2,NaN],[1,2,3,4]]}': (400, "Sample 0: Expected 4 features, got 3"), '{"features":[],"features":NaN}': (500, "features is not iterable")}
+    for r in batch_request(spark.createDataFrame([(b,) for b in batch], "body string")).collect():
+        assert (r["status"], r["error"]) == batch[r["body"]], r["body"]
