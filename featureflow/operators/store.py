@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featureflow.functions.lookup import ntz
 from featureflow.session import written
+from featureflow.sources.versions import replace_table
 
 CELL_BITS = (32, 26, 20, 14, 8, 2, 0)   # cells are 2**bits microseconds wide
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -169,8 +170,9 @@ def latest_features(features: DataFrame, view: FeatureView, start=None, end=None
 
 
 def materialize(latest: DataFrame, path: str) -> None:
-    """Overwrite the online table with the latest values (S2 sink)."""
-    latest.write.mode("overwrite").parquet(path)
+    """Replace the online table with the latest values (S2 sink); lookups read the
+    old values until the new ones are complete."""
+    replace_table(latest, path)
 
 
 def lookup_latest(keys: DataFrame, latest: DataFrame, view: FeatureView, as_of) -> DataFrame:

@@ -21,6 +21,7 @@ import logging
 import statistics
 import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -245,17 +246,19 @@ RUNS = T.StructType([
 
 def log_run(spark: SparkSession, runs_path: str, experiment: str, params: dict, metrics: dict,
             model_path: str | None = None, logged_at: dt.datetime | None = None) -> str:
-    """Append one run record to the runs table (partitioned by experiment);
-    the experiment exists as soon as it has a run."""
+    """Append one run record to the runs table; the experiment exists as soon
+    as it has a run. Every run is a folder of its own, committed by itself and
+    found by listing, so any number of writers may log to one table."""
     run_id = uuid.uuid4().hex
     row = (run_id, {k: str(v) for k, v in params.items()}, {k: float(v) for k, v in metrics.items()},
            model_path, logged_at or dt.datetime.now(), experiment)
-    spark.createDataFrame([row], RUNS).write.mode("append").partitionBy("experiment").parquet(runs_path)
+    own = f"{runs_path.rstrip('/')}/experiment={quote(experiment, safe='')}/run_id={run_id}"
+    spark.createDataFrame([row], RUNS).drop("experiment", "run_id").coalesce(1).write.parquet(own)
     return run_id
 
 
 def read_runs(spark: SparkSession, runs_path: str) -> DataFrame:
-    return spark.read.schema(RUNS).parquet(runs_path)
+    return spark.read.schema(RUNS).parquet(runs_path).select(*RUNS.fieldNames())
 
 
 def best_run(runs: DataFrame, experiment: str, metric: str) -> DataFrame:

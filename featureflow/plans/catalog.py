@@ -36,6 +36,7 @@ from featureflow.operators.split import stratified_folds, stratified_split
 from featureflow.schema import EVALUATION, FEATURE_MEASURES, PLAIN_RECORD, RAW_MEASURES, TUNED_RECORD
 from featureflow.functions.lookup import lookup_join
 from featureflow.sources.files import load_table, read_csv, read_record, write_csv, write_record
+from featureflow.sources.versions import read_table
 from featureflow.plans.workflow import WorkflowConfig, run_workflow
 from featureflow.streaming.stream_score import start_stream_scoring
 from featureflow.session import scratch_path, table, written
@@ -285,7 +286,7 @@ def q_latest_lookup(spark: SparkSession, sf: str) -> DataFrame:
     latest = latest_features(feature_events(spark, sf), VIEW, LATEST_START, LATEST_END)
     online = scratch_path(spark, "online-latest")
     materialize(latest, online)
-    return lookup_latest(keys, spark.read.schema(latest.schema).parquet(online), VIEW, LOOKUP_AS_OF)
+    return lookup_latest(keys, read_table(spark, online), VIEW, LOOKUP_AS_OF)
 
 
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,7 +294,7 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     csv_dir, target = scratch_path(spark, "part-csv"), scratch_path(spark, "part-table")
     write_csv(part, csv_dir)
     load_table(spark, csv_dir, part.schema, target)
-    return spark.read.parquet(target)
+    return read_table(spark, target)
 
 
 def q_metrics_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

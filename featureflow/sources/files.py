@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from featureflow.schema import conform
+from featureflow.sources.versions import read_table, replace_table
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -32,21 +32,23 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def load_table(spark: SparkSession, csv_path: str, schema: T.StructType | None, target: str,
                table_name: str | None = None, infer: bool = False) -> int:
-    """CSV → table, truncating it first (IO4): header skipped, columns
-    conformed to the fixed schema, parquet written with overwrite (or a
-    catalog table when ``table_name`` is given). Returns the loaded row count,
-    read back from the written table. ``infer=True`` with no schema is the
-    opt-in equivalent of the reference's type detection."""
+    """CSV → table, replacing its rows (IO4): header skipped, columns conformed
+    to the fixed schema, the new version written beside the old one and then
+    pointed to (``read_table`` reads it; with ``table_name`` the catalog table
+    is pointed to it as well). A load that fails leaves the old rows. Returns
+    the loaded row count, read back from the written table. ``infer=True`` with
+    no schema is the opt-in equivalent of the reference's type detection."""
     if schema is None and not infer:
         raise ValueError("load_table needs a schema, or infer=True")
-    df = read_csv(spark, csv_path, schema, infer)
-    if schema is not None:
-        df = conform(df, schema)
+    version = replace_table(read_csv(spark, csv_path, schema, infer), target, schema)
     if table_name:
-        df.write.mode("overwrite").format("parquet").option("path", target).saveAsTable(table_name)
+        if spark.catalog.tableExists(table_name):
+            spark.sql(f"ALTER TABLE {table_name} SET LOCATION '{version}'")
+        else:
+            spark.catalog.createTable(table_name, path=version, source="parquet")
+        spark.catalog.refreshTable(table_name)
         return spark.table(table_name).count()
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).count()
+    return read_table(spark, target).count()
 
 
 def write_record(df: DataFrame, path: str) -> None:

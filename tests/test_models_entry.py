@@ -66,6 +66,18 @@ def test_run_log_best_run(spark):
     assert r["run_id"] == best and r["params"]["n"] == "2"
 
 
+def test_runs_logged_at_once_are_all_kept(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    runs = scratch_path(spark, "runs")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: log_run(spark, runs, "a/b = c%d" % (i % 2), {"n": i}, {"accuracy": i / 10}, f"m{i}"), range(8)))
+    rows = read_runs(spark, runs).collect()
+    assert sorted(r["run_id"] for r in rows) == sorted(ids)
+    assert {(r["experiment"], r["params"]["n"], r["model_path"]) for r in rows} == {("a/b = c%d" % (i % 2), str(i), f"m{i}") for i in range(8)}
+    assert best_run(read_runs(spark, runs), "a/b = c1", "accuracy").first()["params"]["n"] == "7"
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

@@ -217,10 +217,45 @@ def test_latest_lookup_reads_the_materialized_table(spark):
 
 def test_materialize_overwrites(spark, tmp_path):
     from featureflow.operators.store import materialize
+    from featureflow.sources.versions import read_table
 
     for n in (5, 2):
         materialize(spark.range(n), str(tmp_path / "online"))
-    assert spark.read.parquet(str(tmp_path / "online")).count() == 2
+    assert read_table(spark, str(tmp_path / "online")).count() == 2
+
+
+def test_a_failed_load_leaves_the_old_rows(spark, tmp_path):
+    from featureflow.sources.files import load_table, write_csv
+    from featureflow.sources.versions import read_table, replace_table
+
+    good, target = str(tmp_path / "good"), str(tmp_path / "table")
+    schema = spark.range(1).selectExpr("id AS k", "cast(id AS double) AS v").schema
+    write_csv(spark.range(40).selectExpr("id AS k", "cast(id AS double) AS v"), good)
+    assert load_table(spark, good, schema, target) == 40
+    before = read_table(spark, target)
+    (tmp_path / "bad").mkdir()  # many good rows, then a malformed one: the write fails half way
+    (tmp_path / "bad" / "a.csv").write_text("k,v\n" + "".join(f"{i},{i}.5\n" for i in range(500)))
+    (tmp_path / "bad" / "b.csv").write_text("k,v\n1,x\n")
+    with pytest.raises(Exception):
+        load_table(spark, str(tmp_path / "bad"), schema, target)
+    with pytest.raises(Exception):  # columns that do not conform
+        replace_table(spark.range(3), target, schema)
+    assert read_table(spark, target).agg(F.sum("v")).first()[0] == sum(range(40))
+    replace_table(spark.range(3).selectExpr("id AS k", "1.0D AS v"), target, schema)
+    assert read_table(spark, target).count() == 3 and before.count() == 40  # a reader of the old version keeps it
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, str(tmp_path / "none"))
+
+
+def test_catalog_table_points_to_the_new_version(spark, tmp_path):
+    from featureflow.sources.files import load_table, write_csv
+
+    schema, name = spark.range(1).schema, "versions_" + tmp_path.name.replace("-", "_")
+    for n in (7, 4):
+        write_csv(spark.range(n), str(tmp_path / "csv"))
+        assert load_table(spark, str(tmp_path / "csv"), schema, str(tmp_path / "t"), name) == n
+    assert spark.table(name).count() == 4
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_load_table_infers_on_request(spark, tmp_path):
@@ -229,7 +264,8 @@ def test_load_table_infers_on_request(spark, tmp_path):
     src, target = str(tmp_path / "csv"), str(tmp_path / "table")
     write_csv(spark.createDataFrame([(1, 2.5, "a"), (2, 3.5, "b")], "k long, v double, s string"), src)
     assert load_table(spark, src, None, target, infer=True) == 2
-    assert dict(spark.read.parquet(target).dtypes) == {"k": "int", "v": "double", "s": "string"}
+    from featureflow.sources.versions import read_table
+    assert dict(read_table(spark, target).dtypes) == {"k": "int", "v": "double", "s": "string"}
     with pytest.raises(ValueError):
         load_table(spark, src, None, target)
 
