@@ -220,6 +220,31 @@ def test_exact_dedup(docs, nothing):
     assert exact_dedup(nothing).count() == 0
 
 
+def test_exact_dedup_buckets_split_and_chains_compare_texts(spark):
+    from pyspark.sql import functions as F
+    from featureflow.llm.exactdedup import build_index, directory, exact_dedup
+    rows = [(i, f"text {i % 300} " + "y" * (i % 4)) for i in range(3000)] + [(5000 + i, "THE SAME Text") for i in range(2000)]
+    rows += [(9000, "word " * 100_000), (9001, "Word " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    last, size = {}, {}
+    for i, t in rows:
+        last[t.lower()], size[t.lower()] = max(i, last.get(t.lower(), -1)), size.get(t.lower(), 0) + 1
+    want = {i: (last[t.lower()], size[t.lower()]) for i, t in rows}
+    few = lambda t: F.length(t).cast("long")  # noqa: E731  many texts under one key
+    for kw in ({"capacity": 8}, {"capacity": 8, "key": few}):
+        got = exact_dedup(df, **kw).collect()
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+        chains = {(r.bucket, r.digest): r.chain for r in got}
+        assert (max(chains.values()) > 50) == ("key" in kw)
+    plain = df.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")).withColumn("key", F.xxhash64("text"))
+    index, cells, depth = build_index(plain, 8)
+    loads = {r.bucket: r["count"] for r in index.groupBy("bucket").count().collect()}
+    assert max(loads.values()) <= 8 and len(loads) > 40 and depth > 4
+    assert cells.select("local_depth").distinct().count() > 1  # fuller buckets were split more often
+    skewed = spark.range(64).select(F.col("id").alias("key"))  # equal leading bits: the directory doubles to its end
+    assert directory(skewed, 8)[1] == 60
+
+
 def test_dedup_stages_keep_one_row_of_equal_id_and_text(spark):
     from featureflow.llm.exactdedup import drop_copies
     from featureflow.llm.nearjoin import keep_one_of_each_class
