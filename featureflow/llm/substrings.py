@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.words import U64, cut, find_words, grams, slices, word_hashes
+from featureflow.llm.words import POS_BASE, U64, cut, find_words, grams, mix, slices, word_hashes
 
 PREFIX = 4          # words of a short prefix
 GROUP_WINDOWS = 2_000_000  # suffixes that a group should hold at most
@@ -102,14 +102,14 @@ def _count_prefixes(window: int):
 def _local(a: Anchored, window: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows known to be repeats of a smaller row of the slice, windows that must travel, and the
     other places of travelling windows in rows of the same id with the window that each one follows."""
-    h1, h2 = grams(a.hashes, window, 1)[a.at], grams(a.hashes, window, 2)[a.at]
+    h1, h2 = grams(a.hashes, window, 1)[a.at], grams(mix(a.hashes), window, 2, POS_BASE)[a.at]
     own = ids[a.row]
     order = np.lexsort((a.at, own, h1))
     s1, s2, sid = h1[order], h2[order], own[order]
     new = np.ones(len(order), bool)
     new[1:] = s1[1:] != s1[:-1]
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = s2 == s2[head]  # a second hash; on a clash the window travels
+    same = s2 == s2[head]  # a second, independent hash; on a clash the window travels
     repeat = np.zeros(len(order), bool)
     travel = np.zeros(len(order), bool)
     repeat[order] = same & (sid > sid[head])

@@ -119,14 +119,15 @@ def cut(w_buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
                                             [None, pa.py_buffer(offs), pa.py_buffer(data)])
 
 
-def grams(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of each k consecutive words (crossing rows; callers mask), length n - k + 1."""
+def grams(hashes: np.ndarray, k: int, salt: int = 0, base: np.uint64 = GRAM_BASE) -> np.ndarray:
+    """Hash of each k consecutive words (crossing rows; callers mask), length n - k + 1. Hashes with another
+    base are independent; the salt alone only renames them."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, U64)
     h = np.full(n, U64(salt), U64)
     for j in range(k):
-        h *= GRAM_BASE
+        h *= base
         h += hashes[j:j + n]
     return mix(h)
 
