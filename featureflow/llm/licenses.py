@@ -1,13 +1,14 @@
 """License scan with a positional rare-token index.
 
-The index holds every template's words with their positions. IDF weights come
-from the document frequencies of these words over all texts. In a file, the
-highest-IDF word of a template's key phrase is looked up; each place, minus the
-word's position in the template, is a possible alignment. Alignments are
-intersected with the postings of the phrase's next rarest word at the same
-relative position, and the whole mandatory key phrase is verified word by word.
-Every occurrence of a key phrase holds its rarest word, so none is missed. The
-score of an alignment is the share of the template's words found in place.
+The index is a table of postings (word, template, position). IDF weights come
+from the document frequencies of the templates' words over all texts. In a file,
+the words that are the highest-IDF word of some key phrase are looked up; each
+place, minus the posting's position, is a possible alignment of the posting's
+template. Alignments are intersected with the phrase's next rarest word at the
+same relative position, and the whole mandatory key phrase is verified word by
+word. Every occurrence of a key phrase holds its rarest word, so none is missed.
+The score of a file is its best alignment's share of the template's IDF weight
+that is found in place.
 
 A-Z are lower-cased; words are runs of letters, digits and non-ASCII
 characters. Null or empty texts have no words, no places and score 0.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.words import find_words, slices, word_hashes
+from featureflow.llm.words import find_words, ranges, slices, word_hashes
 
 # label, template text, mandatory key phrase, base (fixed values)
 TEMPLATES = [
@@ -72,16 +73,60 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return w, np.where(self.hashes[at] == h, self.order[at], -1)
 
-    def plan(self, idf: dict[int, float]) -> list[dict]:
-        """Per template: where its key phrase stands and its words, rarest first."""
-        out = []
-        for label, text, key, base in self.templates:
-            words, phrase = [self.code[x] for x in text.split()], [self.code[x] for x in key.split()]
-            rarest = sorted(range(len(phrase)), key=lambda i: (-idf.get(phrase[i], 0.0), i))
-            offset = next(i for i in range(len(words)) if words[i:i + len(phrase)] == phrase)
-            out.append({"label": label, "base": base, "words": words, "phrase": phrase, "offset": offset, "rarest": rarest})
+    def plan(self, idf: np.ndarray) -> "Plan":
+        return Plan(self, idf)
+
+
+class Plan:
+    """Templates as padded arrays, and the postings of each key phrase's highest-IDF word."""
+
+    def __init__(self, index: Index, idf: np.ndarray):
+        codes = lambda text: [index.code[x] for x in text.split()]
+        texts, phrases = ([codes(t[k]) for t in index.templates] for k in (1, 2))
+        self.label, self.base = [t[0] for t in index.templates], np.array([t[3] for t in index.templates])
+        self.offset = np.array([next(i for i in range(len(x)) if x[i:i + len(p)] == p) for x, p in zip(texts, phrases)])
+        self.words, self.phrase = self.padded(texts), self.padded(phrases)
+        self.length = np.array([len(p) for p in phrases])
+        self.weight = np.where(self.words >= 0, idf[self.words], 0.0)
+        rarest = [sorted(range(len(p)), key=lambda i: (-idf[p[i]], i)) for p in phrases]
+        self.second = np.array([r[min(1, len(r) - 1)] for r in rarest])
+        postings = sorted((p[r[0]], t, r[0]) for t, (p, r) in enumerate(zip(phrases, rarest)))
+        self.word, self.template, self.position = (np.array(c) for c in zip(*postings))
+
+    @staticmethod
+    def padded(rows: list[list[int]]) -> np.ndarray:
+        out = np.full((len(rows), max(map(len, rows))), -2)
+        for i, r in enumerate(rows):
+            out[i, :len(r)] = r
         return out
 
+    def alignments(self, code: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, first word of its key phrase, row) of every verified place."""
+        low, high = (np.searchsorted(self.word, code, side=s) for s in ("left", "right"))
+        hit = np.flatnonzero((high > low) & (code >= 0))
+        many = (high - low)[hit]
+        at, posting = np.repeat(hit, many), ranges(low[hit], many)
+        t, start = self.template[posting], at - self.position[posting]
+        row = np.searchsorted(rows, at, side="right") - 1
+        fits = (start >= rows[row]) & (start + self.length[t] <= rows[row + 1])
+        t, start, row = t[fits], start[fits], row[fits]
+        fits = code[start + self.second[t]] == self.phrase[t, self.second[t]]
+        t, start, row = t[fits], start[fits], row[fits]
+        for i in range(self.phrase.shape[1]):
+            fits = (i >= self.length[t]) | (code[np.minimum(start + i, len(code) - 1)] == self.phrase[t, i])
+            t, start, row = t[fits], start[fits], row[fits]
+        return t, start, row
+
+    def scores(self, code: np.ndarray, rows: np.ndarray, t: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Each alignment's share of its template's weight."""
+        found = np.zeros(len(t))
+        for i in range(self.words.shape[1]):
+            at = start - self.offset[t] + i
+            inside = (at >= rows[row]) & (at < rows[row + 1])
+            same = inside & (code[np.clip(at, 0, len(code) - 1)] == self.words[t, i])
+            found += np.where(same, self.weight[t, i], 0.0)
+        return np.minimum(1.0, found / self.weight.sum(axis=1)[t])
+
 
 def _frequencies(index: Index):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,48 +140,31 @@ def _frequencies(index: Index):
     return count
 
 
-def _scan(index: Index, plan: list[dict]):
+def _scan(index: Index, plan: Plan):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             w, code = index.codes(batch.column("text"))
-            n = batch.num_rows
-            by_word = {c: np.flatnonzero(code == c) for c in {t["phrase"][t["rarest"][0]] for t in plan}}
-            n_base, first, last = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
-            base, labels, score = [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n)
-            for t in plan:
-                phrase, rarest = t["phrase"], t["rarest"]
-                start = by_word[phrase[rarest[0]]] - rarest[0]  # of the key phrase
-                row = np.searchsorted(w.rows, start + rarest[0], side="right") - 1
-                fits = (start >= w.rows[row]) & (start + len(phrase) <= w.rows[row + 1])
-                start, row = start[fits], row[fits]
-                for i in rarest[1:]:  # the next rarest word first
-                    same = code[start + i] == phrase[i]
-                    start, row = start[same], row[same]
-                if not len(start):
-                    continue
-                found = np.zeros(len(start))
-                for i, c in enumerate(t["words"]):
-                    at = start - t["offset"] + i
-                    inside = (at >= w.rows[row]) & (at < w.rows[row + 1])
-                    found += inside & (code[np.clip(at, 0, len(code) - 1)] == c)
-                np.maximum.at(score, row, found / len(t["words"]))
-                for r in np.unique(row).tolist():
-                    labels[r].add(t["label"])
-                    if t["base"]:
-                        base[r].add(t["label"])
-                if t["base"]:
-                    np.add.at(n_base, row, 1)
-                    at = start - w.rows[row]
-                    np.maximum.at(last, row, at)
-                    low = np.full(n, np.iinfo(np.int64).max)
-                    np.minimum.at(low, row, at)
-                    seen = low < np.iinfo(np.int64).max
-                    first[seen] = np.where(first[seen] < 0, low[seen], np.minimum(first[seen], low[seen]))
-            none = n_base == 0
+            n, none = batch.num_rows, np.iinfo(np.int64).max
+            t, start, row = plan.alignments(code, w.rows) if len(code) else (np.empty(0, int),) * 3
+            score, n_base = np.zeros(n), np.zeros(n, np.int64)
+            first, last = np.full(n, none), np.full(n, -1)
+            base, labels = [set() for _ in range(n)], [set() for _ in range(n)]
+            if len(t):
+                np.maximum.at(score, row, plan.scores(code, w.rows, t, start, row))
+                own = plan.base[t]
+                at = start - w.rows[row]
+                np.add.at(n_base, row[own], 1)
+                np.minimum.at(first, row[own], at[own])
+                np.maximum.at(last, row[own], at[own])
+                for r, k in set(zip(row.tolist(), t.tolist())):
+                    labels[r].add(plan.label[k])
+                    if plan.base[k]:
+                        base[r].add(plan.label[k])
+            empty = n_base == 0
             join = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(w.counts()), pa.array(n_base), pa.array(first, mask=none),
-                 pa.array(last, mask=none), join(base), join(labels), pa.array(score)],
+                [batch.column("id"), pa.array(w.counts()), pa.array(n_base), pa.array(first, mask=empty),
+                 pa.array(last, mask=empty), join(base), join(labels), pa.array(score)],
                 ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
     return scan
 
@@ -147,7 +175,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = rows.select("text").mapInArrow(_frequencies(index), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     n = {r["code"]: r["n"] for r in counted.collect()}  # one row per template word
-    idf = {c: log((1 + n.get(-1, 0)) / (1 + k)) for c, k in n.items() if c >= 0}
+    idf = np.array([log(1 + n.get(-1, 0) / (1 + n.get(c, 0))) for c in range(len(index.words))])
+    idf = idf if idf.any() else np.ones(len(idf))  # no texts
     id_type = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_scan(index, index.plan(idf)), f"id {id_type}, n_words long, n_base long, first_word long,"
                            " last_word long, base_labels string, labels string, score double").withColumnRenamed("id", id_col)

@@ -191,6 +191,50 @@ def test_licenses(spark, docs, nothing):
     assert scan_licenses(nothing).count() == 0
 
 
+def test_licenses_against_plain_search(spark):
+    from math import log
+    from featureflow.llm.licenses import TEMPLATES, scan_licenses
+    rng = np.random.default_rng(12)
+    pool = sorted({w for t in TEMPLATES for w in t[1].split()}) + ["other", "words", "été"]
+    texts = [None, "", "!!", "under the mit licens", "MIT license under the mit license under the mit license"]
+    for _ in range(150):
+        parts = [" ".join(rng.choice(pool, int(rng.integers(0, 9)))) if rng.random() < 0.5 else TEMPLATES[rng.integers(len(TEMPLATES))][int(
+            rng.integers(1, 3))] for _ in range(int(rng.integers(1, 6)))]
+        texts.append("; ".join(parts).upper() if rng.random() < 0.3 else ", ".join(parts))
+    texts.append("filler " * 60_000 + "Apache License, Version 2 " + "filler " * 60_000)
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rows = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
+    vocabulary = {w for t in TEMPLATES for w in f"{t[1]} {t[2]}".split()}
+    idf = {w: log(1 + len(rows) / (1 + sum(w in set(r) for r in rows))) for w in vocabulary}
+    for i, ws in enumerate(rows):
+        places, base, labels, score = [], set(), set(), 0.0
+        for label, text, key, is_base in TEMPLATES:
+            text, key = text.split(), key.split()
+            offset = next(k for k in range(len(text)) if text[k:k + len(key)] == key)
+            for at in range(len(ws) - len(key) + 1):
+                if ws[at:at + len(key)] == key:
+                    labels.add(label)
+                    if is_base:
+                        places.append(at)
+                        base.add(label)
+                    found = sum(idf[w] for k, w in enumerate(text) if 0 <= at - offset + k < len(ws) and ws[at - offset + k] == w)
+                    score = max(score, found / sum(idf[w] for w in text))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels, r.labels) == (len(ws), len(places), ",".join(sorted(base)), ",".join(sorted(labels)))
+        assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
+        assert abs(r.score - score) < 1e-9
+
+
+def test_grams_of_another_base_are_independent():
+    from featureflow.llm.words import GRAM_BASE, POS_BASE, U64, grams, mix
+    h = np.random.default_rng(1).integers(0, 2**63, 6).astype(U64)
+    g = h.copy()  # other words with the same hash: trade the first for the second
+    with np.errstate(over="ignore"):
+        g[0], g[1] = h[0] + U64(1), h[1] - GRAM_BASE
+    assert (h != g).any() and grams(h, 2)[0] == grams(g, 2)[0] and grams(h, 2, 1)[0] == grams(g, 2, 1)[0]
+    assert grams(mix(h), 2, 2, POS_BASE)[0] != grams(mix(g), 2, 2, POS_BASE)[0]
+
+
 def test_top_k(spark):
     from pyspark.sql import functions as F
     from featureflow.llm.topk import quantised, top_k
