@@ -4,7 +4,8 @@ Texts are sets of 5-word shingles; two texts are linked when the Jaccard
 similarity of their sets reaches the threshold (0.8).
 
 1. Sketch. Every text gets 96 MinHash values (16 bits each) and a 128-bit key
-   of its word sequence. Copies collapse to one node per key.
+   of its word sequence. Copies collapse to one node per key: a 64-bit number,
+   which texts of different keys never share.
 2. Candidates. Nodes that agree on 4 consecutive values (one of 24 bands) meet
    in a bucket. Large buckets are cut into blocks and each pair of blocks is a
    task of its own; a pair is looked at in its first common band only.
@@ -13,9 +14,10 @@ similarity of their sets reaches the threshold (0.8).
    reaches the threshold falls below `tolerance`. The others join their nodes'
    candidate groups; only a spanning forest leaves the task, so no task emits
    all pairs of a group.
-4. Verification. Each candidate group is laid out in blocks again and all its
-   pairs are verified on the exact shingle sets, with their links counted.
-   Classes are the connected components of verified links.
+4. Verification. Each candidate group is laid out in blocks again; its pairs that
+   the posterior does not drop are verified on the shingle sets (64-bit hashes of
+   the shingles), with their links counted. A dropped pair is never verified and
+   is no link. Classes are the connected components of verified links.
 
 Texts of fewer than 5 words are one shingle of all their words; texts without
 words (null, empty) and rows with a null id are linked to nothing and are their
@@ -101,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = (np.diff(offsets) > 0) & valid
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(k1.view(np.int64), mask=~some), pa.array(k2.view(np.int64), mask=~some),
-             fixed(min_hashes(values, offsets))], ["id", "node", "key2", "sig"])
+             fixed(min_hashes(values, offsets)), pa.array(k1.view(np.int64), mask=~some)], ["id", "node", "key2", "sig", "k1"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +236,19 @@ def components(edges: DataFrame, path: str) -> DataFrame:
             return done.select("node", "root")
 
 
+def separate(sketch: DataFrame, path: str) -> DataFrame:
+    """sketch with a number of its own for every (node, key2): where different texts share a node number, it is drawn
+    again from both keys."""
+    spark = sketch.sparkSession
+    shared = sketch.filter("node is not null").groupBy("node").agg(F.min("key2").alias("low"), F.max("key2").alias("high"))
+    shared.filter("low <> high").select("node", F.lit(True).alias("shared")).write.parquet(f"{path}/shared")
+    shared = spark.read.parquet(f"{path}/shared")
+    if shared.isEmpty():
+        return sketch
+    again = F.when(F.col("shared"), F.xxhash64("node", "key2")).otherwise(F.col("node"))
+    return sketch.join(shared, "node", "left").select("id", again.alias("node"), "key2", "sig", "k1")
+
+
 def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                      tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """(id_col, class_id, n_links) for every row: the smallest id of its class, and the number of other rows
@@ -241,12 +256,12 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     path = scratch_path(spark, "near-join")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows.mapInArrow(_sketch, "id long, node long, key2 long, sig binary").write.parquet(f"{path}/sketch")
-    sketch = spark.read.parquet(f"{path}/sketch")
-    sketch.filter("node is not null").groupBy("node", "key2").agg(
+    rows.mapInArrow(_sketch, "id long, node long, key2 long, sig binary, k1 long").write.parquet(f"{path}/sketch")
+    sketch = separate(spark.read.parquet(f"{path}/sketch"), path)
+    sketch.filter("node is not null").groupBy("node", "key2", "k1").agg(
         F.min("id").alias("id"), F.count("*").alias("copies")).write.parquet(f"{path}/nodes")
     nodes = spark.read.parquet(f"{path}/nodes")
-    # one sketch a node: the first row's; ids may repeat, so does dropDuplicates on the node only
+    # one sketch a node: the first row's; ids may repeat, and a node is one key pair
     reps = sketch.join(nodes.select("id", "node", "key2"), ["id", "node", "key2"], "left_semi").select(
         "node", "sig").dropDuplicates(["node"])
     reps.write.parquet(f"{path}/reps")
@@ -273,32 +288,37 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = tasks(members, "key", "size", PART_ROWS, block).groupBy("part").applyInArrow(candidates, "a long, b long")
     groups = components(edges, f"{path}/candidates")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    grouped = groups.join(sizes, "root").join(nodes, "node").select("node", "key2", "id", "copies", "root", "size")
+    grouped = groups.join(sizes, "root").join(nodes, "node").join(reps, "node").select(
+        "node", "k1", "key2", "id", "copies", "root", "size", "sig")
 
     def exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             values, offsets, k1, k2 = shingles(batch.column("text"))
-            own = np.flatnonzero((k1.view(np.int64) == batch.column("node").to_numpy())
+            own = np.flatnonzero((k1.view(np.int64) == batch.column("k1").to_numpy())
                                  & (k2.view(np.int64) == batch.column("key2").to_numpy()))
             sets = [np.unique(values[offsets[r]:offsets[r + 1]]).tobytes() for r in own]
-            kept = batch.select(["node", "root", "size", "copies"]).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], ["node", "root", "size", "copies", "set"])
+            kept = batch.select(["node", "root", "size", "copies", "sig"]).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())],
+                                             ["node", "root", "size", "copies", "sig", "set"])
 
     texts = rows.join(grouped, "id").mapInArrow(
-        exact_sets, "node long, root long, size long, copies long, `set` binary").dropDuplicates(["node"])
+        exact_sets, "node long, root long, size long, copies long, sig binary, `set` binary").dropDuplicates(["node"])
     texts.write.parquet(f"{path}/sets")
     texts = spark.read.parquet(f"{path}/sets")
 
     def verified(table):
         table = table.sort_by([("task", "ascending")])
         task, mine, low, high, node, copies = (table[c].to_numpy() for c in ("task", "mine", "low", "high", "node", "copies"))
-        sets = [np.frombuffer(x.as_buffer(), U64) for x in table["set"]]
+        sets, sig = [np.frombuffer(x.as_buffer(), U64) for x in table["set"]], signatures(table["sig"])
         edges = np.append(np.flatnonzero(np.diff(task, prepend=task[0] - 1 if len(task) else 0)), len(task))
         a, b, links = [], [], np.zeros(len(task), np.int64)
         for s, e in zip(edges[:-1], edges[1:]):
-            i, j = exact_pairs(sets[s:e], threshold)
+            i, j = np.triu_indices(e - s, 1)
             cross = (low[s] == high[s]) | (mine[s + i] != mine[s + j])
-            i, j = s + i[cross], s + j[cross]
+            i, j = i[cross], j[cross]
+            kept = surviving(sig[s:e], i, j, None, least)
+            i, j = linked_pairs(sets[s:e], i[kept], j[kept], threshold)
+            i, j = s + i, s + j
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             a.append(i)
@@ -323,9 +343,13 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return linked.unionByName(alone).withColumnRenamed("id", id_col)
 
 
-def exact_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of sets with Jaccard similarity >= threshold, from blockwise exact intersection counts."""
-    n = len(sets)
+def linked_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of sets with Jaccard similarity >= threshold, from blockwise exact intersection counts."""
+    if not len(i):
+        return i, j
+    used, at = np.unique(np.append(i, j), return_inverse=True)  # sets of dropped pairs only are not looked at
+    n, a, b = len(used), at[:len(i)], at[len(i):]
+    sets = [sets[k] for k in used.tolist()]
     lens = np.array([len(s) for s in sets])
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), lens)
@@ -336,15 +360,13 @@ def exact_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, n
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     width = max(256, (1 << 22) // n)
-    for at in range(0, int(values[-1]) + 1 if len(values) else 0, width):
-        lo, hi = np.searchsorted(values, [at, at + width])
-        present = np.zeros((n, min(width, int(values[-1]) + 1 - at)), np.float32)
-        present[owner[lo:hi], values[lo:hi] - at] = 1
+    for start in range(0, int(values[-1]) + 1 if len(values) else 0, width):
+        lo, hi = np.searchsorted(values, [start, start + width])
+        present = np.zeros((n, min(width, int(values[-1]) + 1 - start)), np.float32)
+        present[owner[lo:hi], values[lo:hi] - start] = 1
         both += present @ present.T
-    i, j = np.triu_indices(n, 1)
-    common = np.rint(both[i, j])
-    union = lens[i] + lens[j] - common
-    linked = common >= threshold * union - 1e-9
+    common = np.rint(both[a, b])
+    linked = common >= threshold * (lens[a] + lens[b] - common) - 1e-9
     return i[linked], j[linked]
 
 

@@ -355,6 +355,38 @@ def test_near_join(spark, nothing):
     assert {r.doc_id for r in kept.collect()} == {c for c, _ in want.values()} | {None}
 
 
+def test_near_join_finds_planted_similarities(spark):
+    """Recall by similarity: groups of texts with known Jaccard similarities around the threshold."""
+    from featureflow.llm.nearjoin import similarity_links
+    rng = np.random.default_rng(21)
+    rows, pairs = [], {}
+    for g in range(220):  # pairs that differ in one word every so often
+        n, changes = int(rng.integers(60, 200)), int(rng.integers(0, 5))
+        base = [f"g{g}w{k}" for k in range(n)]
+        own = list(base)
+        for at in rng.choice(n, changes, replace=False):
+            own[at] += "x"
+        a, b = ({tuple(t[k:k + 5]) for k in range(n - 4)} for t in (base, own))
+        pairs[2 * g] = len(a & b) / len(a | b)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+    rows.append((9998, "long " + "tail of words " * 40_000))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r.doc_id: r.n_links for r in similarity_links(df).collect()}
+    assert sum(0.8 <= s < 0.85 for s in pairs.values()) > 5 and sum(s < 0.8 for s in pairs.values()) > 20
+    assert all(linked[i] == linked[i + 1] == int(s >= 0.8 - 1e-12) for i, s in pairs.items())
+    # the posterior decides what is verified: with a high tolerance it drops pairs, and they are no links
+    strict = {r.doc_id: r.n_links for r in similarity_links(df, tolerance=0.999).collect()}
+    assert sum(strict.values()) < sum(linked.values()) and all(strict[i] <= linked[i] for i in linked)
+
+
+def test_near_join_tells_clashing_keys_apart(spark, tmp_path):
+    from featureflow.llm.nearjoin import separate
+    rows = [(1, 7, 1, b"a", 7), (2, 7, 2, b"b", 7), (3, 7, 2, b"b", 7), (4, 8, 1, b"c", 8), (5, None, None, b"d", None)]
+    df = spark.createDataFrame(rows, "id long, node long, key2 long, sig binary, k1 long")
+    got = {r.id: r.node for r in separate(df, str(tmp_path)).collect()}
+    assert got[1] != got[2] == got[3] and got[4] == 8 and got[5] is None and len({*got.values()}) == 4
+
+
 def test_least_matches():
     from featureflow.llm.nearjoin import STEP, least_matches
     least = least_matches(0.8, 1e-6)
