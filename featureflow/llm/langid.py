@@ -7,12 +7,15 @@ language has the largest sum; its score is the posterior under equal priors.
 
 The model is fitted on a sample of labelled rows of at most about
 `docs_a_language` documents per language, chosen by a hash of the id, and
-keeps at most `max_words` words and `max_grams` n-grams, the most frequent
-ones. All three bounds are parameters, so the broadcast model is bounded.
+keeps the `words` most frequent words and, of each order, the `grams` most
+frequent n-grams of every language, so a language of few rows keeps its own.
+All three bounds are parameters, so the broadcast model is bounded.
 
 Null texts, and texts without a letter, are `und` with score 0; so is
 everything when no labelled row exists. Ties go to the first language by name.
-The pipeline's stage (keep_identified) drops texts without a letter only.
+The pipeline's stage (keep_identified) drops documents that are `und` or whose
+best language has less than `least_score` (0.5) of the posterior: such a text
+fits no language better than the others together.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featureflow.llm.words import slices
+from featureflow.session import written
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
@@ -118,7 +122,7 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, docs_a_language: int = 5000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
+def fit(labelled: DataFrame, docs_a_language: int = 5000, words: int = 15_000, grams: int = 4000) -> Model:
     """Fit on rows (id, text, lang) with non-null lang."""
     labelled = labelled.filter("lang is not null and text is not null and id is not null")
     per_lang = labelled.groupBy("lang").count().collect()  # one row per language
@@ -132,16 +136,18 @@ def fit(labelled: DataFrame, docs_a_language: int = 5000, max_words: int = 60_00
     sample = labelled.filter(drawn).select("lang", "text")
     counted = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(
         F.sum("n").alias("n"))
-    grams = counted.mapInArrow(_char_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(
+    pieces = counted.mapInArrow(_char_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
 
-    def most_frequent(df: DataFrame, kind: str, limit: int) -> list:
-        by_lang = df.groupBy(kind).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        top = by_lang.orderBy(F.desc("total"), kind).limit(limit)
-        return [{kind: r[kind], "lang": x["lang"], "n": x["n"]} for r in top.collect() for x in r["by"]]
+    def most_frequent(df: DataFrame, kind: str, order: Column, limit: int) -> list:
+        # a window holds the words, or n-grams of an order, of one language's sample
+        rank = F.row_number().over(Window.partitionBy("lang", order).orderBy(F.desc("n"), kind))
+        top = df.withColumn("rank", rank).filter(F.col("rank") <= limit).select(kind).distinct()
+        return df.join(top, kind, "left_semi").orderBy(kind, "lang").collect()
 
-    return Model(langs, Table(most_frequent(counted, "word", max_words), langs, "word"),
-                 Table(most_frequent(grams, "gram", max_grams), langs, "gram"))
+    counted, pieces = written(counted, "language-words"), written(pieces, "language-grams")
+    return Model(langs, Table(most_frequent(counted, "word", F.lit(0), words), langs, "word"),
+                 Table(most_frequent(pieces, "gram", F.length("gram"), grams), langs, "gram"))
 
 
 def _predict(shared):
@@ -170,9 +176,9 @@ def _predict(shared):
 
 
 def predict(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """rows without the text, plus lang_pred and score."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most max_words + max_grams entries
-    kept = [f for f in rows.schema.fields if f.name != text_col]
+    """rows without the text, plus lang_pred and score; a column of rows with one of these names gives way."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most words + 4 * grams entries a language
+    kept = [f for f in rows.schema.fields if f.name not in (text_col, "text", "lang_pred", "score")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
     rows = rows.select(*[f"`{f.name}`" for f in kept], F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(shared), schema)
@@ -192,13 +198,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(rows.select("id", held_out.alias("held_out"), "text"), model).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that have a language, with all their columns: those whose text holds a letter, whether or
-    not labelled rows give a model."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    least_score: float = 0.5) -> DataFrame:
+    """The rows of docs that have a language, with all their columns: those whose prediction is not `und` and has
+    least_score at least. Where no labelled row gives a model, those whose text holds a letter."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"), fold(F.col(id_col)).alias("fold"))
     model = fit(rows.filter("fold <> 0").select("id", "text", "lang"))
     if not model.langs:
         return docs.filter(F.col(text_col).cast("string").rlike(r"\p{L}"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return predict(packed, model).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return predict(packed, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
