@@ -49,15 +49,15 @@ class Shard:
         self.members = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
         self.edges = np.stack([np.searchsorted(np.sort(level[:, d]), np.arange(LEVELS + 1)) for d in range(vectors.shape[1])])
 
-    def top(self, q: np.ndarray, k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Member numbers that can be among the best k, with exact scores (a superset of the best k)."""
-        n = len(self.vectors)
+    def top(self, q: np.ndarray, k: int, allowed: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+        """Member numbers that can be among the best k, with exact scores (a superset of the best k). The index is
+        read until at most k * few members are possible."""
         possible = allowed
-        if len(allowed) > k * FEW:
-            possible = self._possible(q, k, allowed, n)
+        if len(allowed) > k * max(1, few):
+            possible = self._possible(q, k, allowed, len(self.vectors), few)
         return possible, self.vectors[possible] @ q
 
-    def _possible(self, q: np.ndarray, k: int, allowed: np.ndarray, n: int) -> np.ndarray:
+    def _possible(self, q: np.ndarray, k: int, allowed: np.ndarray, n: int, few: int) -> np.ndarray:
         weight = np.abs(q) * self.width
         level = np.arange(LEVELS)
         # a segment's impact: what its members gain over the worst segment of the dimension
@@ -86,18 +86,21 @@ class Shard:
             scores = acc[allowed]
             bar = np.partition(scores, len(scores) - k)[len(scores) - k]
             possible = allowed[scores + rest.sum() + slack >= bar]
-            if len(possible) <= k * FEW:
+            if len(possible) <= k * few:
                 break
         return possible
 
 
-def search(shard_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
-    """Best k of one shard for each query: (query_id, vec_id, score)."""
+def search(shard_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
+           few: int = FEW) -> pa.Table:
+    """Best k of one shard for each query: (query_id, vec_id, score). Scores beyond 64 bits raise."""
+    if float(np.abs(vectors).max(initial=0)) * float(np.abs(queries.astype(float)).sum(axis=1).max(initial=0)) >= 2.0 ** 62:
+        raise OverflowError("inner products do not fit into 64 bits")
     shard, out = Shard(vectors), []
     everyone = np.arange(len(shard_ids))
     for qid, q in zip(query_ids, queries):
         own = shard_ids == qid
-        who, score = shard.top(q, k, everyone[~own] if own.any() else everyone)
+        who, score = shard.top(q, k, everyone[~own] if own.any() else everyone, few)
         best = np.lexsort((shard_ids[who], -score))[:k]
         out.append((np.full(len(best), qid), shard_ids[who[best]], score[best]))
     names = ["query_id", "vec_id", "score"]
@@ -111,7 +114,7 @@ def quantised(embedding: Column, scale: int = 1024) -> Column:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "vector",
-          shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+          shard: int = SHARD, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest inner products, ties to the smaller id."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<bigint>").alias("v"),
                           is_query.alias("q")).filter("id is not null and v is not null")
@@ -126,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     def both(members, asked):
         if not members.num_rows or not asked.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        return search(members["id"].to_numpy(), matrix(members["v"], dims), asked["id"].to_numpy(), matrix(asked["v"], dims), k)
+        return search(members["id"].to_numpy(), matrix(members["v"], dims), asked["id"].to_numpy(), matrix(asked["v"], dims), k, few)
 
     found = left.select("shard", "block", "id", "v").groupBy("shard", "block").cogroup(
         right.select("shard", "block", "id", "v").groupBy("shard", "block")).applyInArrow(both, "query_id long, vec_id long, score long")
