@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featureflow.session import written
+
 from featureflow.llm.words import raw
 
 MAX_LEVELS = 64
@@ -166,12 +168,13 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow",
                url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict; the longest fitting rule wins, without one the default."""
+    """pages with host, path, rule and verdict; the longest fitting rule wins, without one the default. A column of
+    pages that has one of these four names gives way to the result."""
     host, path = host_path(F.col(url_col).cast("string"))
     lengths = sorted({len(p) for _, p, _ in rules})
     rows = pages.withColumns({"host": host, "path": path})
     rows = rows.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    universe = rows.select(F.explode("__keys").alias("key"))
+    universe = written(rows.select(F.explode("__keys").alias("key")).distinct(), "url-keys")  # read once per level
     verdicts = sorted({v for _, _, v in rules})
     # one cascade per verdict: its levels answer "is this key a rule with that verdict"
     rule_of, length_of = F.lit(None).cast("string"), F.lit(-1)
