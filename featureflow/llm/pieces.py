@@ -270,10 +270,11 @@ def _gather(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.nd
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """docs without the text, plus ids (end id included) and the text decoded from them."""
+    """docs without the text, plus ids (end id included) and the text decoded from them. A column of docs with one of
+    these two names gives way to the result."""
     with open(model_path, "rb") as f:
         model = f.read()
-    kept = [f for f in docs.schema.fields if f.name != text_col]
+    kept = [f for f in docs.schema.fields if f.name not in (text_col, "text", "ids", "decoded")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "decoded string"])
     rows = docs.select(*[f"`{f.name}`" for f in kept], F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encode(model), schema)

@@ -155,6 +155,29 @@ def test_language(docs, nothing):
     assert identify(nothing).count() == 0
 
 
+def test_language_held_out_accuracy(spark):
+    from conftest import SF001
+    from featureflow.llm.langid import identify
+    from featureflow.session import table
+    docs = table(spark, SF001, "documents")
+    rows = identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out and lang is not null").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.98
+
+
+def test_language_rare_languages_ties_and_long_texts(spark):
+    from featureflow.llm.langid import identify, keep_identified
+    rows = [(i, "the cat and the dog sit on the mat " * (1 + i % 5), "en") for i in range(400)]
+    rows += [(1000 + i, "kissa ja koira istuvat matolla yhdessä", "fi") for i in range(12)]  # few rows keep their words
+    rows += [(5000, "koira istuvat kissa", None), (5001, "dog on mat the", None), (5002, "zzqq", None), (5003, "the dog " * 150_000, None)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=8, grams=20).collect()}
+    assert (got[5000].lang_pred, got[5001].lang_pred, got[5003].lang_pred) == ("fi", "en", "en")
+    twins = [(i, t, lang) for i in range(0, 40, 2) for t, lang in (("same words here", "aa"), ("same words here", "bb"))]
+    twins = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(twins)], "doc_id long, text string, lang string")
+    tied = identify(twins).collect()  # equal languages: the first by name
+    assert {r.lang_pred for r in tied} <= {"aa", "bb"} and all(0.3 < r.score <= 1 for r in tied)
+    assert keep_identified(twins, least_score=1.1).count() == 0 and keep_identified(twins, least_score=0.0).count() == 40
+
+
 def test_language_stage_without_labels(docs, nothing):
     from pyspark.sql import functions as F
     from featureflow.llm.langid import keep_identified
@@ -253,6 +276,28 @@ def test_top_k(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_index_decides_the_members(spark):
+    """Shards above and below the index's threshold, ties, and few possible members left by the proof."""
+    from featureflow.llm.topk import FEW, Shard, search
+    rng = np.random.default_rng(9)
+    for n, d in ((3000, 16), (900, 64), (12, 4)):
+        v = rng.integers(-900, 900, (n, d))
+        v[n // 2:n // 2 + min(40, n // 4)] = v[3]  # ties
+        ids, asked = np.arange(n) * 7, rng.integers(-900, 900, (9, d))
+        asked[0] = v[3]
+        for few in (0, FEW):
+            got = search(ids, v, np.arange(9) * 7, asked, 10, few).to_pandas()
+            for q in range(9):
+                best = sorted(((-int(v[i] @ asked[q]), int(ids[i])) for i in range(n) if ids[i] != q * 7))[:10]
+                own = got[got["query_id"] == q * 7]
+                assert [(-s, i) for s, i in zip(own["score"], own["vec_id"])] == best
+        if n == 3000:
+            left = [len(Shard(v).top(q, 10, np.arange(n), 0)[0]) for q in asked]
+            assert min(left) < n / 2  # the proof drops members before any rescoring
+    with pytest.raises(OverflowError):
+        search(np.arange(2), np.full((2, 2), 2**40), np.arange(1), np.full((1, 2), 2**40), 1)
+
+
 def test_exact_dedup(docs, nothing):
     from featureflow.llm.exactdedup import drop_copies, exact_dedup
     got = {r.doc_id: r for r in exact_dedup(docs, capacity=1).collect()}
@@ -320,6 +365,11 @@ def test_urls(spark):
     got = {r.url: (r.rule, r.verdict) for r in judge_urls(df, URL_RULES).collect()}
     assert got == urls
     assert judge_urls(df.limit(0), URL_RULES).count() == 0
+    clash = df.selectExpr("*", "'mine' AS host", "'mine' AS rule", "'mine' AS `key`")
+    again = {r.url: (r.rule, r.verdict) for r in judge_urls(clash, URL_RULES).collect()}
+    assert again == urls and {r.key for r in judge_urls(clash, URL_RULES).collect()} == {"mine"}
+    long = spark.createDataFrame([(1, "http://" + "a." * 400 + "net/" + "p" * 20_000)], "page_id long, url string")
+    assert judge_urls(long, URL_RULES).first().rule == "net/"
 
 
 def test_near_join(spark, nothing):
