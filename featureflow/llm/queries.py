@@ -104,6 +104,16 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(count_words(table(spark, sf_dir, "documents")))
 
 
+def crc32_table() -> list[int]:
+    """The byte table of CRC-32 (reflected polynomial 0xEDB88320)."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mix": op2_source_mix,
@@ -182,5 +192,27 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
+                     FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(x, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM t),
+c AS (SELECT run, doc_id, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(
+          regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda y: ('0x' || y)::BIGINT),
+          lambda a, b: xor(a >> 8, {crc32_table()}[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM c),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+d AS (SELECT word, i, word[:i] || word[i + 2:] AS v FROM w, LATERAL unnest(range(length(word))) u(i)),
+p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+      UNION SELECT d.word, d.v FROM d JOIN w ON w.word = d.v UNION SELECT d.v, d.word FROM d JOIN w ON w.word = d.v),
+m AS (SELECT p.word, count(*) AS n_near, max(w.n) AS top FROM p JOIN w ON w.word = near GROUP BY 1),
+b AS (SELECT p.word, min(near) AS best FROM p JOIN w ON w.word = near JOIN m ON m.word = p.word AND m.top = w.n GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN best END AS form,
+             CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN m USING (word) LEFT JOIN b USING (word)),
+up(word, here) AS (SELECT word, form FROM f WHERE form IS NOT NULL
+                   UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = here WHERE f.form IS NOT NULL),
+e AS (SELECT up.word, here FROM up JOIN f ON f.word = here WHERE f.form IS NULL)
+SELECT word, form, coalesce(here, word) AS root, n, n_near, form_n FROM f LEFT JOIN e USING (word)
 """,
 }
