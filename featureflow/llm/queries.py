@@ -88,7 +88,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("learnt", F.filter("back", lambda x: x["loss"]))
     return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                       F.length(under).cast("long").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"),
-                      F.length("formatted").cast("long").alias("formatted_chars"))
+                      F.length("formatted").cast("long").alias("formatted_chars"),
+                      F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
 
 
 def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +186,13 @@ SELECT d.doc_id, (SELECT min(top) FROM r WHERE id = d.doc_id) AS class_id,
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (SELECT *, 6 + length(role) + 1 + length(text) + 8
-             + length(regexp_replace(role || text, '[^\\<>#]', '', 'g')) AS chars FROM t)
+             + length(regexp_replace(role || text, '[^\\<>#]', '', 'g')) AS chars,
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
+       sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, sum(words)::BIGINT AS expanded_tokens
 FROM e GROUP BY conv_id
 """,
     "op13_spelling_variants": rf"""

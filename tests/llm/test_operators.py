@@ -459,3 +459,26 @@ def test_chat(spark):
     assert len(spans) == 1 and "<" not in spans[0] and "#" not in spans[0]
     assert got[2].back[0].role == "a>\\b" and got[2].expanded_tokens == 5
     assert format_chat(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_chat_with_all_types_of_parts(spark):
+    from pyspark.sql import functions as F
+    from featureflow.llm.chat import format_chat, read_back
+    kind = "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,tokens:int>>"
+    parts = [("text", "two words", None, None), ("image", None, "a.png", 64), ("document", "ignored", "b.pdf", 900),
+             (None, "untyped is text", None, None), ("audio", None, None, None), ("vi<deo", None, "c", 3)]
+    long = "<word>\\# " * 60_000
+    rows = [(1, 1, "user", parts), (1, 1, "user", parts), (1, 2, "assistant", [("text", long, None, None)]), (2, 5, "user", None),
+            (2, 5, None, []), (None, 1, "user", parts[:1])]
+    df = spark.createDataFrame(rows, kind).withColumns({c: F.lit(1) for c in ("conv", "no", "body", "head", "files", "formatted", "loss")})
+    out = format_chat(df).withColumn("back", read_back(F.col("formatted"), F.col("loss")))
+    got = {r.conv_id: r for r in out.collect()}
+    own = [("image", "a.png", 64), ("document", "b.pdf", 900), ("audio", None, 0), ("vi<deo", "c", 3)]
+    assert [tuple(a)[1:] for a in got[1].attachments] == own * 2  # equal rows are two turns
+    marks = [a.placeholder for a in got[1].attachments]
+    assert marks[:3] == ["<image 1.2>", "<document 1.3>", "<audio 1.5>"] and marks[4] == "<image 2.2>" and "vi\\ldeo" in marks[3]
+    assert [got[1].formatted.count(m) for m in marks] == [1] * 8
+    assert got[1].expanded_tokens == 2 * (2 + 64 + 900 + 3 + 0 + 3) + 60_000
+    assert got[1].back[2].text == long and [b.loss for b in got[1].back] == [False, False, True]
+    assert got[1].formatted[got[1].loss_spans[0]["from"]:got[1].loss_spans[0]["to"]].count("<") == 0
+    assert got[2].expanded_tokens == 0 and len(got[2].back) == 2 and got[None].expanded_tokens == 2
