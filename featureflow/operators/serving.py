@@ -123,23 +123,55 @@ def response_documents(scored: DataFrame, model: ServingModel, as_of: str) -> Da
     return scored.select("req_id", "status", F.to_json(document).alias("document"))  # null fields are left out
 
 
-def batch_documents(summary: DataFrame, predictions: DataFrame, model: ServingModel, as_of: str) -> DataFrame:
+def batch_documents(requests: DataFrame, model: ServingModel, as_of: str, spread_over: int | None = None) -> DataFrame:
     """``(req_id, status, document)``: the JSON answer to each batch request.
-    A request's samples came in one body and go back into one document."""
+
+    A request's samples came in one body and go back into one document. A
+    forest is an expression, so they are scored inside the row: one parse, no
+    explode and no shuffle. A pipeline scores rows, so its samples are
+    exploded and put together again."""
+    if model.forest is None:
+        return _joined_documents(*score_batch_requests(requests, model, spread_over), model, as_of)
+    b = batch_request(spread(requests.select("req_id", "body"), spread_over), "body")
+    b = b.withColumn("__scaler", scaler_map(model.scaler) if model.scaler is not None else F.lit(None))
+    b = b.withColumn("__p", F.transform("samples", lambda x, i: _answer(model, x, i)))
+    return b.select("req_id", "status", F.to_json(_batch_document(model, as_of, F.size("samples"))).alias("document"))
+
+
+def _answer(model: ServingModel, sample: Column, place: Column) -> Column:
+    """One sample's entry in the document, from its array of features."""
+    xs = [F.element_at(sample, i + 1) for i in range(len(model.feature_names))]
+    m = F.col("__scaler")
+    scaled = xs if model.scaler is None else [(x - m[name]["mean"]) / m[name]["scale"] for x, name in zip(xs, model.feature_names)]
+
+    def entry(proba: Column) -> Column:
+        pred = argmax_index(proba)
+        prediction = F.struct(pred.alias("prediction"), name_by_index(pred, list(model.class_names)).alias("class_name"),
+                              probability_map(proba, model.class_names).alias("probabilities"), confidence(proba).alias("confidence"))
+        return F.struct(place.alias("sample_id"), prediction.alias("prediction"), F.array(*xs).alias("input_features"))
+
+    return F.get(F.transform(F.array(forest_proba(model.forest, scaled)), entry), 0)
+
+
+def _batch_document(model: ServingModel, as_of: str, total: Column) -> Column:
+    """The answer from ``status``, ``error`` and the entries ``__p`` of a successful request; null fields are left out."""
+    ok = F.col("status") == 200
+    example = F.when(F.col("error") == MISSING, F.struct(
+        F.array(*[F.array(*[F.lit(x) for x in row]) for row in BATCH_EXAMPLE]).alias("features")))
+    return F.struct(
+        F.when(ok, F.lit(True)).when(F.col("status") == 500, F.lit(False)).alias("success"),
+        F.col("error"), example.alias("expected_format"), F.when(ok, F.col("__p")).alias("predictions"),
+        F.when(ok, total).alias("total_samples"), F.when(ok, F.lit(as_of)).alias("timestamp"))
+
+
+def _joined_documents(summary: DataFrame, predictions: DataFrame, model: ServingModel, as_of: str) -> DataFrame:
     sample = F.struct("sample_id", _prediction(model).alias("prediction"),
                       F.array(*[f"in_{n}" for n in model.feature_names]).alias("input_features"))
     in_order = F.array_sort(F.collect_list(sample), lambda a, b: a["sample_id"] - b["sample_id"])
     lists = predictions.groupBy("req_id").agg(in_order.alias("__p"))
-    ok = F.col("status") == 200
-    example = F.when(F.col("error") == MISSING, F.struct(
-        F.array(*[F.array(*[F.lit(x) for x in row]) for row in BATCH_EXAMPLE]).alias("features")))
     empty = F.array().cast(lists.schema["__p"].dataType)
-    document = F.struct(
-        F.when(ok, F.lit(True)).when(F.col("status") == 500, F.lit(False)).alias("success"),
-        F.col("error"), example.alias("expected_format"),
-        F.when(ok, F.coalesce(F.col("__p"), empty)).alias("predictions"), F.col("total_samples"),
-        F.when(ok, F.lit(as_of)).alias("timestamp"))
-    return summary.join(lists, "req_id", "left").select("req_id", "status", F.to_json(document).alias("document"))
+    joined = summary.join(lists, "req_id", "left").withColumn("__p", F.coalesce("__p", empty))
+    return joined.select("req_id", "status", F.to_json(_batch_document(model, as_of, F.col("total_samples"))).alias("document"))
 
 
 def _prediction(model: ServingModel) -> Column:

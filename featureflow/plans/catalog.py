@@ -479,7 +479,7 @@ def q_response_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_batch_documents(spark: SparkSession, sf: str) -> DataFrame:
     model = serving_model()
-    docs = batch_documents(*score_batch_requests(batch_request_bodies(spark, sf), model), model, AS_OF)
+    docs = batch_documents(batch_request_bodies(spark, sf), model, AS_OF)
     d = docs.withColumn("d", _answer("document", f"success boolean, error string, predictions array<struct<sample_id int, "
                                      f"prediction {_PREDICTION}, input_features array<double>>>, total_samples int, "
                                      "timestamp string"))

@@ -132,3 +132,20 @@ def test_bodies_that_only_the_reference_parser_takes(spark):
              '{"features":[[1,2,NaN],[1,2,3,4]]}': (400, "Sample 0: Expected 4 features, got 3"), '{"features":[],"features":NaN}': (500, "features is not iterable")}
     for r in batch_request(spark.createDataFrame([(b,) for b in batch], "body string")).collect():
         assert (r["status"], r["error"]) == batch[r["body"]], r["body"]
+
+
+def test_batch_documents_inside_the_row_equal_the_joined_ones(spark):
+    from featureflow.functions.forest import STANDIN_FOREST
+    from featureflow.operators import serving as S
+    from featureflow.schema import FEATURE_MEASURES
+    from featureflow.sources.standins import OBS_CLASS_NAMES
+    scaler = spark.createDataFrame([(n, 1.0 + i, 2.0) for i, n in enumerate(FEATURE_MEASURES)], "feature string, mean double, scale double")
+    bodies = ['{"features":[[1,2,0.3,4],[50,90000,0.01,0.02]]}', '{"features":[]}', '{"features":[[1]]}', "nope", "{}", '{"features":""}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "req_id int, body string")
+    for sc in (None, scaler):
+        model = S.ServingModel(STANDIN_FOREST, OBS_CLASS_NAMES, sc)
+        own = S.batch_documents(df, model, "now")
+        joined = S._joined_documents(*S.score_batch_requests(df, model), model, "now")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, joined.collect()))
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("BroadcastExchange", "") or sc is not None
