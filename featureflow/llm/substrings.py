@@ -8,8 +8,11 @@ and its internal nodes at word depth `window` are the repeats.
 * Sparse suffixes. A suffix is anchored at the smallest of the 4-word prefixes
   that its window holds, so equal windows always meet under the same prefix,
   and consecutive windows with one anchor travel as a single run of words.
-* Variable-length prefixes. A pass over all texts counts 4-word prefixes; one
-  that would overfill a group is extended to the whole window.
+* Variable-length prefixes. A pass over all texts counts every window under its
+  4-word prefix, in CELLS counters by the prefix's hash; the prefixes of a cell
+  that could overfill a group are extended to the whole window. A counter is never
+  below the windows of one of its prefixes, so no prefix that needs it is missed,
+  and the table of heavy cells has one size for any corpus.
 * Pre-aggregation. Within a slice of rows only the first of equal windows in
   the smallest row travels; windows of larger rows are already known to be
   repeats, and other places in rows of the smallest id travel as positions that
@@ -39,7 +42,7 @@ from featureflow.llm.words import POS_BASE, U64, cut, find_words, grams, mix, sl
 PREFIX = 4          # words of a short prefix
 GROUP_WINDOWS = 2_000_000  # suffixes that a group should hold at most
 SLICE_BYTES = 2 << 20
-MAX_LONG_PREFIXES = 1_000_000  # bound of the list of extended prefixes (8 bytes each)
+CELLS = 1 << 18     # counters of prefixes
 I64_MIN = np.iinfo(np.int64).min
 
 
@@ -85,17 +88,12 @@ class Anchored:
 
 def _count_prefixes(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)  # of the task
         for batch in slices(batches, "text", SLICE_BYTES):
             a = Anchored(batch, window)
-            if not len(a.at):
-                continue
-            all_windows = np.ones(len(a.at), bool)
-            values, times = np.unique(a.prefix[a.runs(all_windows, ~all_windows)[0]], return_counts=True)
-            often = times > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(values[often].view(np.int64), 0)),
-                 pa.array(np.append(times[often], len(a.at)).astype(np.int64)),
-                 pa.array(np.append(np.zeros(int(often.sum()), bool), True))], ["prefix", "n", "total"])
+            total += np.bincount((a.prefix % U64(CELLS)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
     return count
 
 
@@ -136,7 +134,7 @@ def _places(a: Anchored, row_key: np.ndarray, at_row: np.ndarray, first: np.ndar
     return pa.ListArray.from_arrays(pa.array(offsets), places)
 
 
-def _ship(window: int, groups: int, long_prefixes: np.ndarray):
+def _ship(window: int, groups: int, heavy: np.ndarray):
     """Rows (grp >= 0: packed runs for a group; grp < 0: repeats found within the slice)."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +147,7 @@ def _ship(window: int, groups: int, long_prefixes: np.ndarray):
             repeat, travel, other, follows = _local(a, window, ids)
             at_row = a.at - a.words.rows[a.row]
             none = np.zeros(len(a.at), bool)
-            long = np.isin(a.prefix, long_prefixes) if len(long_prefixes) else none
+            long = heavy[(a.prefix % U64(CELLS)).astype(np.int64)]
             out_group, out_data = [], []
             first, n = a.runs(repeat, none)
             if len(first):
@@ -263,15 +261,12 @@ def repeats_of_group(runs: pa.Table, window: int) -> pa.Table:
 def repeated_spans(rows: DataFrame, window: int, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """Spans (id, row_key, start, n): n consecutive windows from word `start` are repeats."""
     rows = rows.select("id", "row_key", "text").filter("id is not null and text is not null")
-    counts = rows.mapInArrow(_count_prefixes(window), "prefix long, n long, total boolean").groupBy(
-        "prefix", "total").agg(F.sum("n").alias("n"))
-    total = counts.filter("total").agg(F.sum("n").alias("n")).first()["n"] or 0
-    group_size = max(group_windows, 2 * total // MAX_LONG_PREFIXES)
-    # at most 2 * total / group_size <= MAX_LONG_PREFIXES prefixes can be this frequent
-    long = counts.filter(~F.col("total") & (F.col("n") > group_size // 2)).select("prefix")
-    long = np.sort(np.array([r[0] for r in long.collect()], np.int64).view(U64))
-    groups = max(1, -(-total // group_size))
-    shipped = rows.mapInArrow(_ship(window, groups, long), "grp long, data binary")
+    counts = rows.mapInArrow(_count_prefixes(window), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = counts.toArrow()  # CELLS rows at most
+    total, heavy = int(counted["n"].to_numpy().sum()), np.zeros(CELLS, bool)
+    heavy[counted["cell"].to_numpy()[counted["n"].to_numpy() > group_windows // 2]] = True
+    groups = max(1, -(-total // group_windows))
+    shipped = rows.mapInArrow(_ship(window, groups, heavy), "grp long, data binary")
 
     def subtree(table):
         runs = _unpack(table["data"])
