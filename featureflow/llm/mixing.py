@@ -10,8 +10,9 @@
   cumulative target shares to a source; the k-th slot of a source takes its
   k-th block. Slots past a target are dropped, missing ones close the
   schedule, so every source's words equal its target rounded down. The slots are
-  the mix's order: taken() names each row's first slot, documents() comes in slot
-  order, and every stretch of it holds the sources near their target shares.
+  the mix's order: every stretch of it holds the sources near their target shares.
+  taken() names each row's first slot; each partition of documents() is a hashed
+  share of the blocks in slot order (a global order would shuffle the texts again).
 
 The list of sources (a weight each, set by a person) is read to the driver:
 one small row per source, never rows of data.
@@ -170,10 +171,11 @@ class Mix:
                           F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
 
     def documents(self) -> DataFrame:
-        """Whole rows of docs, once for every pass over the line that reaches their first word, in slot order."""
+        """Whole rows of docs, once for every pass over the line that reaches their first word; in each partition in
+        slot order."""
         lines = self.lines(*self.docs.columns).filter("size > 0").withColumn(
             "epoch", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
         first = F.col("start") + F.col("epoch") * F.col("source_size")
         lines = lines.filter(first < F.col("quota")).withColumn("first", first).withColumn("block", F.floor(first / self.block))
         placed = lines.join(self.schedule(), ["source_no", "block"]).select("row", "slot", "first")
-        return placed.repartitionByRange("slot", "first").sortWithinPartitions("slot", "first").select("row.*")
+        return placed.sortWithinPartitions("slot", "first").select("row.*")
