@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featureflow.llm.words import slices
 from featureflow.session import written
@@ -150,11 +151,21 @@ def fit(labelled: DataFrame, docs_a_language: int = 5000, words: int = 15_000, g
                  Table(most_frequent(pieces, "gram", F.length("gram"), grams), langs, "gram"))
 
 
-def _predict(shared):
+def _beside(batches: Iterator[pa.RecordBatch], field: str | None) -> Iterator[pa.RecordBatch]:
+    """Batches with the named field of the struct `row` as their column text; its bytes are not copied."""
+    for batch in batches:
+        if field is None:
+            yield batch
+        else:
+            row = batch.column("row")
+            yield batch.append_column("text", row.field(row.type.get_field_index(field)))
+
+
+def _predict(shared, field: str | None = None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         cache: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(_beside(batches, field), "text", SLICE_BYTES):
             flat, offsets = words_of(batch.column("text"))
             n = batch.num_rows
             best, score = np.zeros(n, np.int64), np.zeros(n)
@@ -207,5 +218,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = fit(rows.filter("fold <> 0").select("id", "text", "lang"))
     if not model.langs:
         return docs.filter(F.col(text_col).cast("string").rlike(r"\p{L}"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return predict(packed, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if docs.schema[text_col].dataType.simpleString() == "string" and docs.columns.count(text_col) == 1:  # the text travels once
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as in predict
+        judged = packed.mapInArrow(_predict(shared, text_col), T.StructType(list(packed.schema.fields)).add("lang_pred", "string").add(
+            "score", "double"))
+    else:
+        judged = predict(packed.withColumn("text", F.col("row")[text_col].cast("string")), model)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
