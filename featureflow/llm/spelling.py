@@ -38,7 +38,7 @@ from featureflow.llm.exactdedup import ascii_lower
 from featureflow.llm.words import BYTE_CODE, POS_BASE, U64, mix, ranges
 from featureflow.session import scratch_path
 
-LETTERS = "a-zÀ-ÿ"
+LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 DROP_ONE_IN = 31        # of the occurrences, so many lose a character by the contract of the query
 SIDES = (U64(0x632BE59BD9B4E019), U64(0xE220A8397B1DCDAF))
@@ -56,10 +56,11 @@ def dropped(run: Column, key: Column) -> Column:
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH,
                 least_count: int = LEAST_COUNT) -> DataFrame:
     """(word, n) of the words of all texts that take part; the last character drop makes the query's variants."""
-    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    runs = F.regexp_extract_all(text, F.lit(f"[{LETTERS}]{{{least_length},}}"), F.lit(0))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(f"[{LETTERS}]{{{least_length},}}"), F.lit(0))  # shorter runs give no word
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    words = docs.select(key.alias("key"), F.explode(runs).alias("run")).select(dropped(F.col("run"), F.col("key")).alias("word"))
+    words = docs.select(key.alias("key"), F.explode(runs).alias("run")).select("key", ascii_lower(F.col("run")).alias("run"))
+    words = words.select(dropped(F.col("run"), F.col("key")).alias("word"))
     return words.filter(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).filter(
         F.col("n") >= least_count)
 
