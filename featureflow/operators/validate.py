@@ -15,6 +15,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from featureflow.sources.versions import read_table
+
 _INF = float("inf")
 
 RESULT = T.StructType([
@@ -197,6 +199,8 @@ _ABSENT_CONDITIONS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 def _absent(error: Exception) -> bool:
     """The error says that a path is missing or that nothing can be read there."""
+    if isinstance(error, FileNotFoundError):  # a table without a version
+        return True
     if isinstance(error, AnalysisException):
         return error.getCondition() in _ABSENT_CONDITIONS
     # a model's metadata is read as an RDD: its input format names a missing path itself
@@ -205,7 +209,7 @@ def _absent(error: Exception) -> bool:
 
 def artifact_checks(spark, artifacts: dict[str, tuple[str, str]]) -> DataFrame:
     """``{name: (kind, path)}`` with kind 'parquet' | 'json' | 'text' |
-    'csv' | 'model'; each artifact passes when it loads (reading only its
+    'csv' | 'table' (a table of versions) | 'model'; each artifact passes when it loads (reading only its
     metadata/schema, no data pass). A path that does not exist, or that holds
     no readable table or model, fails its check; any other error (a lost
     store, no permission) is raised. One row per artifact."""
@@ -216,6 +220,8 @@ def artifact_checks(spark, artifacts: dict[str, tuple[str, str]]) -> DataFrame:
         try:
             if kind == "model":
                 PipelineModel.load(path)
+            elif kind == "table":
+                read_table(spark, path).schema  # noqa: B018
             elif kind == "csv":
                 spark.read.option("header", True).csv(path).schema  # noqa: B018
             else:

@@ -445,13 +445,14 @@ def q_workflow_run(spark: SparkSession, sf: str) -> DataFrame:
     gates = [V.metric_gates(read_record(spark, f"{out}/{name}", schema), limits)
              .select(F.lit(name).alias("artifact"), F.col("metric").alias("check"), (F.col("status") == "passed").alias("passed"))
              for name, schema, limits in (("metrics", PLAIN_RECORD, PLAIN_GATES), ("metrics_tuned", TUNED_RECORD, TUNED_GATES))]
-    kinds = {"feature_table": "parquet", "split": "parquet", "scaler": "parquet", "model": "model",
+    kinds = {"feature_table": "table", "split": "parquet", "scaler": "parquet", "model": "model",
              "evaluation_report": "json", "confusion_matrix": "text", "feature_importance": "parquet", "runs": "parquet"}
     loads = V.artifact_checks(spark, {name: (kind, f"{out}/{name}") for name, kind in kinds.items()}) \
         .select(F.col("column").alias("artifact"), F.col("rule").alias("check"), "passed")
     checks = gates[0].unionByName(gates[1]).unionByName(loads)
-    rows = [spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("rows"))
-            for name in ("feature_table", "split", "scaler", "feature_importance", "runs")]
+    tables = {name: spark.read.parquet(f"{out}/{name}") for name in ("split", "scaler", "feature_importance", "runs")}
+    tables["feature_table"] = read_table(spark, f"{out}/feature_table")
+    rows = [t.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("rows")) for name, t in tables.items()]
     return checks.join(reduce(DataFrame.unionByName, rows), "artifact", "left")
 
 

@@ -1,6 +1,6 @@
 """End-to-end training workflow (the reference's stage sequence, E1).
 
-features → feature table (fixed schema, overwrite) → exact stratified split
+features → feature table (fixed schema, replaced as a whole) → exact stratified split
 (written, by split) → scaler fit on train → one fixed forest and its plain
 metrics record → with a grid: grid search with stratified folds and the tuned
 record → test evaluation of the last model → evaluation record, matrix text,
@@ -24,6 +24,7 @@ from featureflow.operators.train import (
 )
 from featureflow.schema import PLAIN_RECORD, TUNED_RECORD
 from featureflow.sources.files import write_record
+from featureflow.sources.versions import replace_table
 
 
 @dataclass
@@ -59,7 +60,7 @@ def _write_metrics(spark: SparkSession, path: str, schema: T.StructType, record:
 def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) -> dict:
     out = cfg.out_dir.rstrip("/")
     feats = engineer_features(source, cfg.id_col, dict(cfg.rename), cfg.base_time, cfg.as_of)
-    feats.write.mode("overwrite").parquet(f"{out}/feature_table")
+    replace_table(feats, f"{out}/feature_table")
 
     split = stratified_split(source, cfg.id_col, cfg.label_col, cfg.test_size, cfg.seed)
     stratified_folds(split, cfg.n_folds).write.mode("overwrite").partitionBy("split").parquet(f"{out}/split")

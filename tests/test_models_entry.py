@@ -89,6 +89,7 @@ def test_entry_and_registry(spark):
 def test_workflow_end_to_end(spark):
     from featureflow.plans.workflow import WorkflowConfig, run_workflow
     from featureflow.sources.standins import OBS_RENAME
+    from featureflow.sources.versions import read_table
     out = scratch_path(spark, "workflow")
     cfg = WorkflowConfig(id_col="obs_id", label_col="label", classes=CLASSES, measures=OBS_MEASURES,
                          rename=OBS_RENAME, forest_params={"num_trees": 10, "max_depth": 5, "seed": 42}, base_time="2024-06-01 00:00:00", as_of="2024-06-01 12:00:00",
@@ -101,4 +102,4 @@ def test_workflow_end_to_end(spark):
     assert tuned["cv_score"] > 0.8 and tuned["best_params"]["num_trees"] == 10
     lines = spark.read.text(f"{out}/confusion_matrix").collect()
     assert len(lines) == 3
-    assert spark.read.parquet(f"{out}/feature_table").count() == rule_labelled_observations(spark, SF0001).count()
+    assert read_table(spark, f"{out}/feature_table").count() == rule_labelled_observations(spark, SF0001).count()
