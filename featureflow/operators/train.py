@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Sequence
 from urllib.parse import quote
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -157,7 +158,9 @@ def grid_search(train: DataFrame, feature_cols: Sequence[str], label_col: str, c
     spark, n_classes, features = train.sparkSession, len(classes), list(feature_cols)
     data, cuts = growth.prepare(with_label_index(train, label_col, classes), features, LABEL, fold_col,
                                 [id_col] if id_col else train.columns)
-    trees = growth.grow(data, max(grid["num_trees"]), grid["min_samples_leaf"], range(n_folds), n_classes, len(features), seed)
+    # without a fold left out (-1): the forests for the model, of which the best candidate's is taken
+    trees = growth.grow(data, max(grid["num_trees"]), grid["min_samples_leaf"], [*range(n_folds), -1], n_classes,
+                        len(features), seed)
     scores = growth.fold_scores(data, trees, grid["max_depth"], grid["min_samples_split"], grid["num_trees"], n_classes)
     rows = []
     for point in itertools.product(*(grid[a] for a in GRID_AXES)):
@@ -169,8 +172,8 @@ def grid_search(train: DataFrame, feature_cols: Sequence[str], label_col: str, c
                      statistics.fmean(folds.values()), statistics.pstdev(folds.values())))
     cand = spark.createDataFrame(rows, CANDIDATES)  # one row per grid point (model metadata)
     number, size, depth, split_limit, leaf_limit, *_ = max(rows, key=lambda r: (r[5], -r[0]))
-    best = growth.grow(data, size, [leaf_limit], [-1], n_classes, len(features), seed)
-    model = forest_model(spark, features, n_classes, growth.node_rows(best, 0, cuts, depth, split_limit), seed)
+    whole = int(np.flatnonzero((trees.leaf_limit == leaf_limit) & (trees.left_out == -1))[0])
+    model = forest_model(spark, features, n_classes, growth.node_rows(trees, whole, cuts, depth, split_limit, size), seed)
     return model, cand.withColumn("is_best", F.col("candidate") == number)
 
 

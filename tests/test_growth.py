@@ -167,3 +167,59 @@ def test_one_leaf_forest_and_nulls_go_right(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "a double")
     got = df.select(forest_proba(lone, ["a"]).alias("l"), forest_proba(split, ["a"]).alias("s")).collect()
     assert [r["l"] for r in got] == [[0.5, 0.5]] * 3 and [r["s"] for r in got] == [[1.0, 0.0], [0.0, 1.0], [0.0, 1.0]]
+
+
+def test_equal_binned_rows_are_one_unit(spark, monkeypatch):
+    # 3,000 rows in 24 places, one of them with half of the rows, and 3 rows in places of their own
+    where = [(i % 2, 0, 0) if i % 4 else (0, i % 12 // 4, 1 + i % 5 // 3) for i in range(3000)] + [(5, 5, k) for k in range(3)]
+    raw = [(7919 * i + 1, p[2] % 2, i % 2, *p) for i, p in enumerate(where)]
+    rows = spark.createDataFrame(raw, "key long, label int, fold int, b0 int, b1 int, b2 int").repartition(4)
+    monkeypatch.setattr(growth, "UNIT_ROWS", 400)
+    made = growth.units(rows, 6, 3, 9).collect()
+    places = {(r[3:], r[1], r[2]) for r in raw}
+    assert len(made) < len(places) + 40 < 100
+    want, got = {}, {}
+    for r in raw:
+        w = growth.bag(np.array([r[0]]), 6, 9)[0]
+        want[r[3:], r[1], r[2]] = want.get((r[3:], r[1], r[2]), 0) + np.stack([w, w > 0])
+    for u in made:
+        if u["key"] is None:
+            both = np.stack([np.frombuffer(u[c], np.int32) for c in ("w", "n")])
+        else:
+            w = growth.bag(np.array([u["key"]]), 6, 9)[0]
+            both = np.stack([w, w > 0])
+        place = ((u["b0"], u["b1"], u["b2"]), u["label"], u["fold"])
+        got[place] = got.get(place, 0) + both
+    assert set(got) == set(want) and all((got[p] == want[p]).all() for p in want)
+    assert sum(u["key"] is not None for u in made) < 50
+
+
+def test_forests_share_nodes_until_their_splits_differ(spark, data, monkeypatch):
+    rows, _ = binned(data)
+    seen = []
+    unfolded = growth.Nodes.unfolded
+    monkeypatch.setattr(growth.Nodes, "unfolded", lambda self: seen.append(len(self.tree)) or unfolded(self))
+    trees = growth.grow(rows, 4, [1, 5], [0, 1, 2, -1], 2, 3, 7)
+    assert seen[0] < len(trees.n)
+    for g in (2, 7):  # a group alone gives the same trees
+        limit, out = trees.leaf_limit[g], trees.left_out[g]
+        alone = growth.grow(rows, 4, [int(limit)], [int(out)], 2, 3, 7)
+        cuts = [[float(i) for i in range(growth.MAX_BINS)]] * 3
+        assert growth.node_rows(trees, g, cuts, 30, 2) == growth.node_rows(alone, 0, cuts, 30, 2)
+
+
+def test_wide_levels_are_counted_in_windows(spark, data, monkeypatch):
+    rows, cuts = binned(data)
+    at_once = growth.grow(rows, 3, [1, 4], [0, -1], 2, 3, 5)
+    cells = growth._cells
+    monkeypatch.setattr(growth, "_cells", lambda shared: cells(shared, 1))
+    windows = growth.grow(rows, 3, [1, 4], [0, -1], 2, 3, 5)
+    assert (windows.n == at_once.n).all() and (windows.weights == at_once.weights).all()
+
+
+def test_draws_are_the_poisson_quantiles_of_the_hash():
+    keys = np.random.default_rng(1).integers(-2**62, 2**62, 20000)
+    trees = growth._mix(np.arange(1, 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(3))
+    u = (growth._mix(keys.view(np.uint64)[:, None] ^ trees[None, :]) >> np.uint64(11)) / float(1 << 53)
+    want = np.searchsorted(growth.CDF, u, side="right")
+    assert (growth.bag(keys, 5, 3) == want).all() and (growth.bag(keys, 5, 3, 2) == want[:, 2:]).all()
