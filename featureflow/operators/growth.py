@@ -290,7 +290,8 @@ def _columns(batch: pa.RecordBatch, n_features: int):
     return get("label").astype(np.int64), get("fold"), bins
 
 
-def _parts(rows: DataFrame) -> int:
+def task_count(rows: DataFrame) -> int:
+    """Tasks that rows are dealt to: all cores, and more for much data, as the session says."""
     conf, sc = rows.sparkSession.conf, rows.sparkSession.sparkContext
     return max(sc.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
 
@@ -349,9 +350,9 @@ def units(rows: DataFrame, n_trees: int, n_features: int, seed: int) -> DataFram
     that a place of very many rows is dealt to several tasks (and gives several units)."""
     names = _place(n_features)
     # also a small input is dealt to all cores
-    sorted_ = rows.repartitionByRange(_parts(rows), *names, "key").sortWithinPartitions(*names)
+    sorted_ = rows.repartitionByRange(task_count(rows), *names, "key").sortWithinPartitions(*names)
     schema = ", ".join(f"{c} int" for c in names) + ", key long, w binary, n binary"
-    return written(sorted_.mapInArrow(_together(n_trees, n_features, seed), schema).repartition(_parts(rows), *names, "key"),
+    return written(sorted_.mapInArrow(_together(n_trees, n_features, seed), schema).repartition(task_count(rows), *names, "key"),
                    "units")
 
 
@@ -535,7 +536,7 @@ def fold_scores(rows: DataFrame, trees: Trees, depths: list[int], split_limits:
     """{(num_trees, depth, split limit, leaf limit): {fold: accuracy}} of all candidates that the trees hold."""
     shared = rows.sparkSession.sparkContext.broadcast(trees)  # the model
     names = _place(trees.n_features)  # rows of the same bins, label and fold have the same votes
-    places = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("rows")).repartition(_parts(rows), *names)
+    places = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("rows")).repartition(task_count(rows), *names)
     counts = places.mapInArrow(_votes(shared, depths, split_limits, sizes, n_classes),
                              "group long, num_trees long, max_depth long, min_samples_split long, correct long, n long")
     keys = ["group", "num_trees", "max_depth", "min_samples_split"]

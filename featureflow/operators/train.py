@@ -76,10 +76,14 @@ def train_forest(df: DataFrame, feature_cols: Sequence[str], label_col: str, cla
     """Fit the forest (M1) on ``df`` (gini, bootstrap, sqrt features).
 
     MLlib reads its input several times (metadata, split candidates, bagged
-    points), so the label-indexed input is persisted (memory, spilling to
-    disk; lost blocks are recomputed from lineage) for the fit only."""
+    points), so the label and the features are persisted (memory, spilling to
+    disk; lost blocks are recomputed from lineage) for the fit only. Every pass
+    takes as long as its longest task, so the rows are dealt out evenly first, by
+    turns: equal rows too go to all tasks. A task's rows are sorted because their
+    draws follow from their order, which a recomputed task must have again."""
     pipe, _ = forest_estimator(feature_cols, num_trees, max_depth, seed, min_instances)
-    data = with_label_index(df, label_col, classes).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = with_label_index(df, label_col, classes).select(LABEL, *[F.col(f"`{c}`") for c in dict.fromkeys(feature_cols)])
+    data = rows.repartition(growth.task_count(rows)).sortWithinPartitions(*rows.columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipe.fit(data)
     finally:

@@ -4,8 +4,9 @@ features → feature table (fixed schema, replaced as a whole) → exact stratif
 (written, by split) → scaler fit on train → one fixed forest and its plain
 metrics record → with a grid: grid search with stratified folds and the tuned
 record → test evaluation of the last model → evaluation record, matrix text,
-importances → run log. One lazy lineage per step; the only materialisations
-are the written tables.
+importances → run log. One lazy lineage per step; besides these tables only
+the source and each model's predictions of the test rows are written, to the
+shared scratch folder, because several steps read them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from featureflow.operators.train import (
     grid_search, importances, log_run, predict, save_model, save_scaler, train_forest,
 )
 from featureflow.schema import PLAIN_RECORD, TUNED_RECORD
+from featureflow.session import written
 from featureflow.sources.files import write_record
 from featureflow.sources.versions import replace_table
 
@@ -48,8 +50,13 @@ class WorkflowConfig:
 MODEL_TYPE = "RandomForestClassifier"
 
 
-def _accuracy(model, test: DataFrame, cfg: WorkflowConfig) -> float:
-    pred = predict(model, test, cfg.classes)
+def _predicted(model, test: DataFrame, cfg: WorkflowConfig) -> DataFrame:
+    """Label and predicted label of every test row, scored once for all that is read from them."""
+    pred = predict(model, test, cfg.classes, keep=[cfg.label_col])
+    return written(pred.select(cfg.label_col, "predicted_label"), "predicted")
+
+
+def _accuracy(pred: DataFrame, cfg: WorkflowConfig) -> float:
     return EV.evaluation_report(pred, cfg.label_col, "predicted_label", with_matrix=False).first()["accuracy"]
 
 
@@ -59,6 +66,7 @@ def _write_metrics(spark: SparkSession, path: str, schema: T.StructType, record:
 
 def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) -> dict:
     out = cfg.out_dir.rstrip("/")
+    source = written(source, "source")  # read by the feature table and by the split, each several times
     feats = engineer_features(source, cfg.id_col, dict(cfg.rename), cfg.base_time, cfg.as_of)
     replace_table(feats, f"{out}/feature_table")
 
@@ -75,8 +83,9 @@ def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) ->
     metrics: dict = {}
     params: dict = dict(cfg.forest_params)
     model = train_forest(x_train, cfg.measures, cfg.label_col, cfg.classes, **cfg.forest_params)
+    pred = _predicted(model, x_test, cfg)
     _write_metrics(spark, f"{out}/metrics", PLAIN_RECORD, {
-        "accuracy": _accuracy(model, x_test, cfg), "model_type": MODEL_TYPE,
+        "accuracy": _accuracy(pred, cfg), "model_type": MODEL_TYPE,
         "n_estimators": params["num_trees"], "max_depth": params["max_depth"]})
     if cfg.grid:
         model, cand = grid_search(x_train, cfg.measures, cfg.label_col, cfg.classes, "fold",
@@ -85,12 +94,12 @@ def run_workflow(spark: SparkSession, source: DataFrame, cfg: WorkflowConfig) ->
         best = spark.read.parquet(f"{out}/candidates").where("is_best").first()
         metrics["cv_score"] = best["mean_accuracy"]
         params = {k: best[k] for k in ("num_trees", "max_depth", "min_samples_split", "min_samples_leaf")}
+        pred = _predicted(model, x_test, cfg)
         _write_metrics(spark, f"{out}/metrics_tuned", TUNED_RECORD, {
-            "accuracy": _accuracy(model, x_test, cfg), "cv_score": best["mean_accuracy"], "best_params": params,
+            "accuracy": _accuracy(pred, cfg), "cv_score": best["mean_accuracy"], "best_params": params,
             "model_type": MODEL_TYPE})
     save_model(model, f"{out}/model")
 
-    pred = predict(model, x_test, cfg.classes)
     report = EV.evaluation_report(pred, cfg.label_col, "predicted_label")
     write_record(report, f"{out}/evaluation_report")
     rec = spark.read.json(f"{out}/evaluation_report").first()
